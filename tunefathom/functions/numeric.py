@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tunefathom import fixed_values as fv
@@ -52,15 +54,25 @@ def release_year(date: Column) -> Column:
 
 # --- arrays -----------------------------------------------------------------------
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    Inside a lambda an outer expression runs again for every element; a lambda variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 def floor_values(values: Column, floor: float = fv.LOUDNESS_FLOOR_DB) -> Column:
     return F.transform(values, lambda v: F.when(v.isNotNull(), F.greatest(v, F.lit(floor))))
 
 
 def normalise_series(values: Column, digits: int | None = None) -> Column:
-    low, high = F.array_min(values), F.array_max(values)
-    scaled = F.transform(values, lambda v: F.when(high == low, F.lit(fv.CONSTANT_LEVEL)).otherwise(
-        F.try_divide(v - low, high - low)))
-    return scaled if digits is None else F.transform(scaled, lambda v: rounded(v, digits))
+    """Min-max of one array; a constant one is 0.5."""
+    def scaled(box: Column) -> Column:
+        span = box["high"] - box["low"]
+        return F.transform(box["values"], lambda v: F.when(span == 0, F.lit(fv.CONSTANT_LEVEL)).otherwise(F.try_divide(v - box["low"], span)))
+    boxed = F.struct(values.alias("values"), F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    result = F.when(values.isNotNull(), let(boxed, scaled))
+    return result if digits is None else F.transform(result, lambda v: rounded(v, digits))
 
 
 def window_centres(n: Column, hop: float, window: float) -> Column:
@@ -81,20 +93,21 @@ def value_at(values: Column, seconds: Column, hop: float, window: float) -> Colu
 
 def resample_relative(values: Column, duration: Column, hop: float, window: float) -> Column:
     """100 values at 0 %, 1 %, ... of the song, ending at 100 %."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(99)), lambda i: value_at(values, i / F.lit(99.0) * duration, hop, window))
+    return let(values, lambda vs: F.transform(
+        F.sequence(F.lit(0), F.lit(99)), lambda i: value_at(vs, i / F.lit(99.0) * duration, hop, window)))
 
 
 def resample_absolute(values: Column, duration: Column, hop: float, window: float) -> Column:
     """One value per whole second before the song's end."""
     seconds = F.sequence(F.lit(0), F.greatest(F.ceil(duration) - 1, F.lit(0)).cast("int"))
-    return F.transform(F.filter(seconds, lambda s: s < duration), lambda s: value_at(values, s.cast("double"), hop, window))
+    return let(values, lambda vs: F.transform(
+        F.filter(seconds, lambda s: s < duration), lambda s: value_at(vs, s.cast("double"), hop, window)))
 
 
 def stretch_series(values: Column, length: Column) -> Column:
     """Nearest-index stretch to ``length`` values (rounding half up)."""
-    size = F.size(values)
-    return F.when((size > 0) & (length > 0), F.transform(
-        F.sequence(F.lit(0), length.cast("int") - 1),
-        lambda i: F.get(values, F.least(F.floor(i * size / length + 0.5).cast("int"), size - 1)),
-    )).otherwise(values)
+    def stretched(vs: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), length.cast("int") - 1),
+            lambda i: F.get(vs, F.least(F.floor(i * F.size(vs) / length + 0.5).cast("int"), F.size(vs) - 1)))
+    return F.when((F.size(values) > 0) & (length > 0), let(values, stretched)).otherwise(values)
