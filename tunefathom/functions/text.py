@@ -125,7 +125,7 @@ def parse_featured(title: Column) -> Column:
     """Guests of the first featuring pattern that matches, as an array (empty when there is none)."""
     found = F.coalesce(*[none_if_empty(F.regexp_extract(title, p, 1)) for p in fv.FEATURED_PATTERNS])
     names = F.split(F.rtrim(strip(found), F.lit(")]")), fv.FEATURED_SPLIT)
-    kept = F.filter(F.transform(names, strip), lambda n: n != "")
+    kept = F.filter(F.transform(names, lambda n: strip(n)), lambda n: n != "")
     return F.coalesce(F.transform(kept, lambda n: F.rtrim(n, F.lit("])"))), F.array().cast("array<string>"))
 
 

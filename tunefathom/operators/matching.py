@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
+from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio, song_id
 from tunefathom.plans.shapes import one_row, top_n
 
@@ -61,10 +62,12 @@ def with_candidates(tracks: DataFrame, track: str = "track_id", title: str = "ti
 
 def _phrases(words: Column, longest: Column) -> Column:
     """Every run of up to ``longest`` words, once."""
-    n = F.size(words)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.least(n, longest)),
-        lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.array_join(F.slice(words, at, size), " ")))))
+    def runs(box: Column) -> Column:
+        ws = box["words"]
+        return F.flatten(F.transform(
+            F.sequence(F.lit(1), F.least(F.size(ws), box["longest"])),
+            lambda size: F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda at: F.array_join(F.slice(ws, at, size), " "))))
+    return F.array_distinct(let(F.struct(words.alias("words"), longest.alias("longest")), runs))
 
 
 def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", title: str = "video_title", uploader: str = "uploader") -> DataFrame:
@@ -107,9 +110,10 @@ def title_in_library(hits: DataFrame, titles: DataFrame, keep_known: bool, video
     # distinct title lengths: a short list of small numbers
     lengths = one_row(names.agg(F.array_sort(F.collect_set(F.length("_t"))).alias("sizes")))
     low = hits.select(video, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_x")).withColumn("_s", lengths)
-    spans = F.flatten(F.transform(F.filter(F.col("_s.sizes"), lambda n: n <= F.length("_x")), lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("_x") - n + 1), lambda at: F.substr(F.col("_x"), at, n))))
-    known = low.select(video, F.explode(F.array_distinct(spans)).alias("_t")).join(names, "_t", "left_semi").select(video).distinct()
+    def cuts(x: Column) -> Column:
+        return F.flatten(F.transform(F.filter(F.col("_s.sizes"), lambda n: n <= F.length(x)), lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(x) - n + 1), lambda at: F.substr(x, at, n))))
+    known = low.select(video, F.explode(F.array_distinct(let(F.col("_x"), cuts))).alias("_t")).join(names, "_t", "left_semi").select(video).distinct()
     return hits.join(known, video, "left_semi" if keep_known else "left_anti")
 
 

@@ -68,7 +68,7 @@ def class_scores(patches: DataFrame, song: str = "song_id", model: str = "model"
 
 def class_series(patches: DataFrame, song: str = "song_id", model: str = "model", index: str = "patch_idx", probs: str = "probs") -> DataFrame:
     """The chosen class's value of every patch, in long form (rows keep their order column)."""
-    return patches.select(song, model, index, rounded(F.get(F.col(probs), positive_index(F.col(model))), 4).alias("value"))
+    return patches.select(song, model, index, rounded(F.get(F.col(probs), positive_index(F.col(model))).cast("double"), 4).alias("value"))
 
 
 def arousal_valence(patches: DataFrame, song: str = "song_id", pair: str = "probs") -> DataFrame:
