@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
+from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio, song_id, without_accents  # noqa: F401  (part of this surface)
 
 
@@ -156,8 +157,12 @@ def dedup_featured(names: Column) -> Column:
     """Drop names that are part of a longer one in the list."""
     def key(n: Column) -> Column:
         return strip(F.lower(n))
-    return F.array_distinct(F.filter(names, lambda n: ~F.exists(
-        names, lambda other: F.contains(key(other), key(n)) & (F.length(key(other)) > F.length(key(n))))))
+
+    def kept(box: Column) -> Column:
+        keys = box["keys"]
+        return F.filter(box["names"], lambda n, i: ~let(F.get(keys, i), lambda own: F.exists(
+            keys, lambda other: (F.length(other) > F.length(own)) & F.contains(other, own))))
+    return F.array_distinct(let(F.struct(names.alias("names"), F.transform(names, key).alias("keys")), kept))
 
 
 def latin_name(name: Column, sort_name: Column) -> Column:
@@ -289,43 +294,50 @@ def _sides(video_title: Column) -> Column:
     return F.when(F.size(by_dash) == 2, by_dash).otherwise(F.split(text, fv.COLON_SEPARATOR, 2))
 
 
-def parsed_video(video_title: Column, uploader: Column) -> Column:
-    """``struct(title, artist, mentioned_artist)`` a video most likely holds; null when unreadable."""
-    sides = _sides(video_title)
-    two = F.size(sides) == 2
-    left, right = sides[0], F.try_element_at(sides, F.lit(2))
-    channel = _channel_artist(uploader)
-    topic = _is_topic(uploader)
-    left_artist, right_artist = _clean_video_artist(left), _clean_video_artist(right)
-    title_first = (channel != "") & (casefold(right_artist) == casefold(channel)) & (casefold(left_artist) != casefold(channel))
+def _naming(title: Column, artist: Column, mentioned: Column) -> Column:
+    return F.when((title != "") & (artist != ""), F.struct(title.alias("title"), artist.alias("artist"), mentioned.alias("mentioned_artist")))
 
-    split_title = F.when(title_first, _clean_video_title(left)).otherwise(_clean_video_title(right))
-    split_artist = F.when(title_first, right_artist).otherwise(left_artist)
-    # "Composer: Piece" under an artist list that names the composer
-    prefix, rest = F.split(split_title, ": ", 2)[0], strip(F.try_element_at(F.split(split_title, ": ", 2), F.lit(2)))
-    names = F.transform(F.array_append(F.split(split_artist, fv.VIDEO_ARTIST_SPLIT), split_artist), casefold)
-    repeats = (rest != "") & F.array_contains(names, casefold(strip(prefix)))
-    split_title = F.when(repeats, rest).otherwise(split_title)
 
-    topic_title = F.when(two & (channel != "") & (casefold(left_artist) == casefold(channel)), _clean_video_title(right)).otherwise(
-        _clean_video_title(video_title))
-    from_title = two & ~topic
-    title = F.when(from_title, split_title).otherwise(topic_title)
-    artist = F.when(from_title, split_artist).otherwise(channel)
+def with_parsed_video(videos: DataFrame, video_title: str, uploader: str, name: str = "parsed") -> DataFrame:
+    """Adds ``struct(title, artist, mentioned_artist)`` a video most likely holds; null when unreadable.
 
-    by_colon = F.split(strip(video_title), fv.COLON_SEPARATOR, 2)
-    named = _clean_video_artist(by_colon[0])
-    mentioned = F.when(topic & (F.size(by_colon) == 2) & (named != "") & (casefold(named) != casefold(artist)), named)
-    return F.when((title != "") & (artist != ""), F.struct(
-        title.alias("title"), artist.alias("artist"), mentioned.alias("mentioned_artist")))
+    The steps are columns of their own, so every text is split and cleaned once.
+    """
+    by_colon = F.split(strip(F.col(video_title)), fv.COLON_SEPARATOR, 2)
+    rows = videos.select(
+        "*", _sides(F.col(video_title)).alias("_sides"), F.coalesce(_channel_artist(F.col(uploader)), F.lit("")).alias("_channel"),
+        _is_topic(F.col(uploader)).alias("_topic"), by_colon.alias("_colon"))
+    second = F.coalesce(F.try_element_at("_sides", F.lit(2)), F.lit(""))
+    rows = rows.select(
+        "*", (F.size("_sides") == 2).alias("_two"),
+        _clean_video_artist(F.col("_sides")[0]).alias("_left_artist"), _clean_video_title(F.col("_sides")[0]).alias("_left_title"),
+        _clean_video_artist(second).alias("_right_artist"), _clean_video_title(second).alias("_right_title"),
+        _clean_video_title(F.col(video_title)).alias("_whole"), _clean_video_artist(F.col("_colon")[0]).alias("_named"))
+    channel, two, topic = F.col("_channel"), F.col("_two"), F.col("_topic")
+    left_is_channel = casefold(F.col("_left_artist")) == casefold(channel)
+    title_first = (channel != "") & (casefold(F.col("_right_artist")) == casefold(channel)) & ~left_is_channel
+    from_title = two & ~topic
+    topic_title = F.when(two & (channel != "") & left_is_channel, F.col("_right_title")).otherwise(F.col("_whole"))
+    rows = rows.select(
+        "*", F.when(from_title, F.when(title_first, F.col("_left_title")).otherwise(F.col("_right_title"))).otherwise(topic_title).alias("_title"),
+        F.when(from_title, F.when(title_first, F.col("_right_artist")).otherwise(F.col("_left_artist"))).otherwise(channel).alias("_artist"))
+    # "Composer: Piece" under an artist list that names the composer
+    halves = F.split("_title", ": ", 2)
+    rest = strip(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+    names = F.transform(F.array_append(F.split("_artist", fv.VIDEO_ARTIST_SPLIT), F.col("_artist")), casefold)
+    repeats = from_title & (rest != "") & F.array_contains(names, casefold(strip(halves[0])))
+    title = F.when(repeats, rest).otherwise(F.col("_title"))
+    mentioned = F.when(topic & (F.size("_colon") == 2) & (F.col("_named") != "") & (casefold(F.col("_named")) != casefold(F.col("_artist"))), F.col("_named"))
+    return rows.select(*[F.col(c) for c in videos.columns], _naming(title, F.col("_artist"), mentioned).alias(name))
 
 
-def parsed_query(query: Column) -> Column:
-    """``struct(title, artist, mentioned_artist)`` of an "Artist - Title" query; null without a dash."""
-    sides = F.split(strip(query), fv.VIDEO_SEPARATOR, 2)
-    artist, title = _clean_video_artist(sides[0]), _clean_video_title(F.try_element_at(sides, F.lit(2)))
-    return F.when((F.size(sides) == 2) & (artist != "") & (title != ""), F.struct(
-        title.alias("title"), artist.alias("artist"), F.lit(None).cast("string").alias("mentioned_artist")))
+def with_parsed_query(queries: DataFrame, query: str, name: str = "parsed") -> DataFrame:
+    """Adds the naming of an "Artist - Title" query; null without a dash."""
+    rows = queries.withColumn("_sides", F.split(strip(F.col(query)), fv.VIDEO_SEPARATOR, 2))
+    second = F.coalesce(F.try_element_at("_sides", F.lit(2)), F.lit(""))
+    rows = rows.select("*", _clean_video_artist(F.col("_sides")[0]).alias("_artist"), _clean_video_title(second).alias("_title"))
+    naming = F.when(F.size("_sides") == 2, _naming(F.col("_title"), F.col("_artist"), F.lit(None).cast("string")))
+    return rows.select(*[F.col(c) for c in queries.columns], naming.alias(name))
 
 
 def names_its_artist(video_title: Column, uploader: Column) -> Column:
@@ -333,9 +345,11 @@ def names_its_artist(video_title: Column, uploader: Column) -> Column:
     return (F.size(_sides(video_title)) == 2) | _is_topic(uploader) | F.contains(channel, F.lit("vevo"))
 
 
-def guessed_track(video_title: Column, uploader: Column, query: Column) -> Column:
-    """The video's own naming, else the query that led to it."""
-    return F.coalesce(F.when(~names_its_artist(video_title, uploader), parsed_query(query)), parsed_video(video_title, uploader))
+def with_guessed_track(videos: DataFrame, video_title: str, uploader: str, query: str, name: str = "guess") -> DataFrame:
+    """The video's own naming; the query that led to it where the video does not name its artist."""
+    rows = with_parsed_query(with_parsed_video(videos, video_title, uploader, "_video"), query, "_query")
+    guess = F.coalesce(F.when(~names_its_artist(F.col(video_title), F.col(uploader)), F.col("_query")), F.col("_video"))
+    return rows.select(*[F.col(c) for c in videos.columns], guess.alias(name))
 
 
 def query_artist(query: Column) -> Column:

@@ -78,8 +78,9 @@ def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", tit
     the longest library key) are looked up by equality, first among all titles and all artists, then the pairs
     that survive among the songs: work grows with the text, not with how many songs share a title.
     """
-    parsed = tx.parsed_video(F.col(title), F.col(uploader))
-    ids = videos.select(video, parsed.alias("_p")).filter(F.col("_p").isNotNull()).select(video, song_id(F.col("_p.title"), F.col("_p.artist")).alias("_sid"))
+    # a key that cannot be null: else the join would filter on it, below a second copy of all the parsing
+    parsed = tx.with_parsed_video(videos.select(video, title, uploader), title, uploader, "_p")
+    ids = parsed.select(video, F.coalesce(song_id(F.col("_p.title"), F.col("_p.artist")), F.lit("")).alias("_sid"))
     known_ids = songs.filter((F.col("title") != "") & (F.col("artist") != "")).select(song_id(F.col("title"), F.col("artist")).alias("_sid"))
     by_id = ids.join(known_ids, "_sid", "left_semi").select(video)
 

@@ -154,7 +154,7 @@ _VIDEOS_PARSED_SQL = """
 
 @query("t10_parse_video_title", _VIDEOS_PARSED_SQL)
 def _video(t: Tables):
-    return videos(t).select("video_id", tx.parsed_video(F.col("video_title"), F.col("uploader")).alias("_p")).select("video_id", "_p.title", "_p.artist", "_p.mentioned_artist")
+    return tx.with_parsed_video(videos(t), "video_title", "uploader").select("video_id", "parsed.title", "parsed.artist", "parsed.mentioned_artist")
 
 
 @query("t11_guess_track", """
@@ -163,8 +163,9 @@ def _video(t: Tables):
 def _guess(t: Tables):
     brand = F.translate("p_brand", "#", " ")
     uploader = F.when(F.col("p_size") >= 20, "Some Label").otherwise(F.concat(brand, F.lit(" - Topic")))
-    guess = tx.guessed_track(F.col("p_name"), uploader, F.concat(F.lit("Query Artist - "), F.col("p_name"), F.lit(" (Lyric Video)")))
-    return t.part.select(F.col("p_partkey").alias("video_id"), guess.alias("_p")).select("video_id", "_p.title", "_p.artist")
+    asked = F.concat(F.lit("Query Artist - "), F.col("p_name"), F.lit(" (Lyric Video)"))
+    rows = t.part.select(F.col("p_partkey").alias("video_id"), F.col("p_name").alias("video_title"), uploader.alias("uploader"), asked.alias("query"))
+    return tx.with_guessed_track(rows, "video_title", "uploader", "query").select("video_id", "guess.title", "guess.artist")
 
 
 @query("t12_split_query", "SELECT p_partkey, lower(replace(p_brand, '#', ' ')) AS artist, p_name AS song FROM part")
