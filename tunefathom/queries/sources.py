@@ -1 +1,186 @@
-"""Placeholder."""
+"""Scans, flattening of landed documents, and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunefathom import schemas
+from tunefathom.plans.shapes import rounded
+from tunefathom.queries.filters import REASONS_SQL
+from tunefathom.queries.registry import LABELS_SQL, Tables, labels_from_lineitem, query, sql_round
+from tunefathom.session import work_path
+from tunefathom.sources import catalogue as sc, library as li
+
+
+@query("s1_scan_songs", f"""
+    WITH l AS (SELECT song_id, string_agg(label, ' ' ORDER BY rank) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, label) AS rank FROM ({LABELS_SQL}) QUALIFY rank <= 12) GROUP BY 1)
+    SELECT o_orderkey AS song_id, o_totalprice, c_name, n_name, labels FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l ON l.song_id = o_orderkey""")
+def _scan(t: Tables):
+    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    wide = li.song_wide(songs, t.customer.select("c_custkey", "c_name", "c_nationkey"), key="c_custkey")
+    wide = li.song_wide(wide.withColumnRenamed("c_nationkey", "n_nationkey"), t.nation.select("n_nationkey", "n_name"), key="n_nationkey")
+    wide = li.song_wide(wide, li.nested_labels(labels_from_lineitem(t), "labels"))
+    return wide.select("song_id", "o_totalprice", "c_name", "n_name", F.when(F.col("labels").isNotNull(), F.array_join(F.transform("labels", lambda e: e["label"]), " ")).alias("labels"))
+
+
+@query("s2_scan_feature", f"SELECT vec_id AS song_id, len(embedding) AS n, {sql_round('embedding[3]::DOUBLE', 6)} AS third FROM embeddings")
+def _feature(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("song_id"), F.size("embedding").cast("bigint").alias("n"), rounded(F.get("embedding", F.lit(2)).cast("double"), 6).alias("third"))
+
+
+@query("j1_song_wide", """
+    SELECT s_suppkey AS song_id, s_name, n_name, l.lines, l.total FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
+    LEFT JOIN (SELECT l_suppkey, count(*) AS lines, sum(l_linenumber)::BIGINT AS total FROM lineitem WHERE l_quantity > 49 GROUP BY 1) l ON l_suppkey = s_suppkey""")
+def _wide(t: Tables):
+    songs = t.supplier.select(F.col("s_suppkey").alias("song_id"), "s_name", "s_nationkey").join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey", "left")
+    lines = t.lineitem.filter("l_quantity > 49").groupBy(F.col("l_suppkey").alias("song_id")).agg(F.count("*").alias("lines"), F.sum("l_linenumber").alias("total"))
+    return li.song_wide(songs, lines).select("song_id", "s_name", "n_name", "lines", "total")
+
+
+@query("j2_song_detail", "SELECT o_orderkey, o_totalprice, c_name, l_partkey, l_quantity FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 77")
+def _detail(t: Tables):
+    one = t.orders.filter("o_orderkey = 77").withColumn("c_custkey", F.col("o_custkey")).withColumn("l_orderkey", F.col("o_orderkey"))
+    wide = li.song_wide(one, t.customer, key="c_custkey")
+    return li.song_wide(wide, t.lineitem.filter("l_orderkey = 77"), key="l_orderkey").select("o_orderkey", "o_totalprice", "c_name", "l_partkey", "l_quantity")
+
+
+def _landed(t: Tables, documents, schema: str):
+    """Documents written as JSON lines and read back with their declared schema."""
+    path = work_path(t.spark, "landed")
+    documents.write.json(path)
+    return sc.scan_catalogue(t.spark, path, schema)
+
+
+@query("s3_scan_catalogue", """
+    SELECT o_orderkey AS query_id, 0 AS position, 'r' || o_orderkey AS recording_id, 'Song ' || o_custkey AS hit_title, CASE WHEN o_custkey % 3 = 0 THEN 'Pyotr Tchaikovsky' ELSE 'Artist' END AS hit_artist, 'Guest' AS featured, 90 AS score
+    FROM orders WHERE o_orderstatus <> 'P'""")
+def _catalogue(t: Tables):
+    credit = F.array(
+        F.when(F.col("o_custkey") % 3 == 0, F.struct(F.lit("Чайковский").alias("name"), F.struct(F.lit("Чайковский").alias("name"), F.lit("Tchaikovsky, Pyotr").alias("sort-name")).alias("artist"))).otherwise(
+            F.struct(F.lit("Artist").alias("name"), F.struct(F.lit("Artist").alias("name"), F.lit("Artist").alias("sort-name")).alias("artist"))),
+        F.struct(F.lit("Guest").alias("name"), F.struct(F.lit("Guest").alias("name"), F.lit("Guest").alias("sort-name")).alias("artist")))
+    recording = F.struct(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("Song "), "o_custkey")).alias("title"), F.lit(90).alias("score"), credit.alias("artist-credit"))
+    documents = t.orders.select(F.col("o_orderkey").cast("string").alias("query_id"), F.lit(1).alias("count"), F.array(recording).alias("recordings"))
+    rows = sc.recordings(_landed(t, documents, schemas.RECORDING_SEARCH))
+    return rows.select(F.col("query_id").cast("bigint").alias("query_id"), "position", "recording_id", "hit_title", "hit_artist", F.array_join("featured", "+").alias("featured"), "score")
+
+
+@query("s4_flatten_playlist_items", """
+    SELECT l_orderkey AS playlist_id, 't' || l_partkey AS track_id, 'Name' AS title, 'A' || l_suppkey AS artists, l_linenumber * 1000 AS duration_ms, 'alb' || l_suppkey AS album_id
+    FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 40 AND l_returnflag <> 'R' AND l_discount > 0.02""")
+def _flatten(t: Tables):
+    artists = F.when(F.col("l_discount") > 0.02, F.array(F.struct(F.concat(F.lit("A"), "l_suppkey").alias("name")), F.struct(F.lit("").alias("name")))).otherwise(F.array(F.struct(F.lit("").alias("name"))))
+    track = F.struct(
+        F.concat(F.lit("t"), "l_partkey").alias("id"), F.when(F.col("l_returnflag") != "R", "Name").otherwise("").alias("name"), F.when(F.col("l_linestatus") == "O", "track").otherwise("episode").alias("type"),
+        (F.col("l_quantity") >= 40).alias("is_local"), (F.col("l_linenumber") * 1000).cast("bigint").alias("duration_ms"), F.struct(F.lit("x").alias("isrc")).alias("external_ids"), artists.alias("artists"),
+        F.struct(F.concat(F.lit("alb"), "l_suppkey").alias("id"), F.lit("Album").alias("name"), artists.alias("artists")).alias("album"))
+    pages = _landed(t, t.lineitem.select(F.col("l_orderkey").cast("string").alias("playlist_id"), F.array(F.struct(track.alias("track"))).alias("items")), schemas.PLAYLIST_PAGE)
+    return sc.flatten_playlist_items(pages).select(F.col("playlist_id").cast("bigint").alias("playlist_id"), "track_id", "title", F.array_join("artists", "+").alias("artists"), "duration_ms", "album_id")
+
+
+@query("s6_query_lines", r"""
+    SELECT doc_id, line AS value FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents) WHERE line <> '' AND line NOT LIKE '#%'""")
+def _lines(t: Tables):
+    return li.query_lines(t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("value")))
+
+
+@query("s7_list_audio_files", """
+    SELECT page_id, lower(name) AS basename FROM (SELECT page_id, 'Track' || page_id || list_extract(['.MP3', '.flac', '.txt', '.m4a', '.mp3.part', '.aiff', '.jpg'], page_id % 7 + 1) AS name FROM pages) WHERE page_id % 7 IN (0, 1, 3, 5)""")
+def _files(t: Tables):
+    endings = F.array(*[F.lit(e) for e in (".MP3", ".flac", ".txt", ".m4a", ".mp3.part", ".aiff", ".jpg")])
+    name = F.concat(F.lit("Track"), "page_id", F.get(endings, (F.col("page_id") % 7).cast("int")))
+    return li.audio_files(t.pages.select("page_id", F.concat_ws("/", "url", name).alias("path"))).select("page_id", "basename")
+
+
+@query("s8_split_results", """
+    SELECT DISTINCT lower(p_name) AS title, lower(p_brand) AS artist FROM part WHERE p_size > 5 AND lower(p_name) || '|' || lower(p_brand) NOT IN (SELECT lower(p_name) || '|' || lower(p_brand) FROM part WHERE p_size > 48)""")
+def _split(t: Tables):
+    results = t.part.select(
+        F.concat(F.lit(" "), F.upper("p_name")).alias("title"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("artist"), F.lit(None).cast("string").alias("recording_id"), F.lit("file_tags").alias("metadata_source"),
+        F.lit("f").alias("original_name"), F.lit(None).cast("string").alias("video_id"),
+        *[F.from_json(F.lit("{}"), f"struct<{s.split(', ', 1)[1]}>").alias(n) for n, s in {**schemas.ONE_TO_ONE, "artist_info": schemas.ARTISTS}.items()],
+        *[F.array(F.struct(F.col("p_type").alias("label"), F.col("p_retailprice").alias("score"))).alias(n) for n in schemas.LABEL_TABLES])
+    known = t.part.filter("p_size > 48").select(li.song_id(F.col("p_name"), F.col("p_brand")).alias("song_id"))
+    tables = li.split_results(results, known, t.part.limit(0).select(F.col("p_brand").alias("artist")))
+    genres = tables["parent_genres"].groupBy("song_id").agg(F.count("*").alias("n"))
+    return tables["songs"].join(genres, "song_id").select(F.trim(F.lower("title")).alias("title"), F.lower("artist").alias("artist"))
+
+
+FAILURE_ROWS_SQL = f"""
+    SELECT e.event_id, 'bulk' AS source, substr(repeat('label ' || e.event_id || ' ', 60), 1, 512) AS label, CASE WHEN e.event_type = 'click' THEN 'error' ELSE 'skipped' END AS status, r.reason, r.detail
+    FROM events e JOIN ({REASONS_SQL}) r ON r.id = e.event_id WHERE e.event_type <> 'view'"""
+
+
+def failure_stream(events):
+    """Results as the failure log receives them; saved ones are dropped by the operator."""
+    kind = F.col("event_type")
+    reason = F.when(kind == "error", "duplicate").when(kind == "click", F.concat(F.lit("download_error: HTTP "), F.col("user_id").cast("string"))).when(
+        kind == "view", "write_error").when(kind == "purchase", F.concat(F.lit("Traceback: "), F.col("props"))).otherwise("")
+    return events.select(
+        F.lit("bulk").alias("source"), F.repeat(F.concat(F.lit("label "), "event_id", F.lit(" ")), 60).alias("label"), F.col("event_id").cast("string").alias("video_id"),
+        F.when(kind == "view", "saved").when(kind == "click", "").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(F.col("value") > 20, F.concat(F.lit("value "), F.col("props"))).alias("message"))
+
+
+@query("s9_write_failure", FAILURE_ROWS_SQL)
+def _failures(t: Tables):
+    path = work_path(t.spark, "failures")
+    li.write_failures(failure_stream(t.events), path)
+    return t.spark.read.parquet(path).withColumn("event_id", F.col("video_id").cast("bigint")).drop("video_id")
+
+
+@query("s10_append_login_event", "SELECT doc_id, nullif(substr(text, 1, 512), '') AS user_agent FROM documents")
+def _logins(t: Tables):
+    path = work_path(t.spark, "logins")
+    li.append_logins(t.documents.select("doc_id", F.col("text").alias("user_agent")), path)
+    return t.spark.read.parquet(path)
+
+
+@query("s11_dump_results", "SELECT p_partkey, p_name, CASE WHEN p_size > 20 THEN p_retailprice END AS price FROM part")
+def _dump(t: Tables):
+    path = work_path(t.spark, "results")
+    li.dump_results(t.part.select("p_partkey", "p_name", F.when(F.col("p_size") > 20, F.col("p_retailprice")).alias("price")), path)
+    return t.spark.read.schema("p_partkey bigint, p_name string, price double").json(path)
+
+
+@query("s12_truncate_library", f"SELECT * FROM (VALUES {', '.join(repr((name, 0)) for name in li.TABLES)}) v(name, n)")
+def _truncate(t: Tables):
+    root = work_path(t.spark, "library")
+    li.create_library(t.spark, root)
+    li.read_table(t.spark, root, "songs").unionByName(t.part.select(F.col("p_partkey").cast("string").alias("song_id"), F.col("p_name").alias("title")), allowMissingColumns=True).write.mode("append").parquet(f"{root}/songs")
+    li.truncate_library(t.spark, root)
+    counts = [li.read_table(t.spark, root, name).agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("name"), "n") for name in li.TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("t22_similar_tracks", f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i AS position, 'T' || (l_partkey + i) AS title, CASE WHEN i <> 1 THEN 'A' END AS artist, {sql_round('CASE WHEN i = 2 THEN 0 ELSE l_discount / (i + 1) END', 4)} AS similarity
+    FROM lineitem, range(7) r(i) WHERE (l_linenumber > 2 AND i < 5) OR (l_linenumber <= 2 AND i = 0)""")
+def _similar(t: Tables):
+    def entry(i: int):
+        return F.struct(F.concat(F.lit("T"), (F.col("l_partkey") + i).cast("string")).alias("name"), F.when(F.lit(i) != 2, (F.col("l_discount") / (i + 1)).cast("string")).alias("match"), F.when(F.lit(i) != 1, "A").otherwise("").alias("artist"))
+    text = F.when(F.col("l_linenumber") > 2, F.to_json(F.array(*[entry(i) for i in range(7)]))).otherwise(F.to_json(entry(0)))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = sc.similar_tracks(t.lineitem.select(F.struct(*keys).alias("k"), text.alias("text")), "k", "text")
+    return rows.select("k.*", "position", "title", "artist", "similarity")
+
+
+@query("t22_track_info", """
+    SELECT o_orderkey, 'Song ft. G' || o_custkey AS title, 'G' || o_custkey AS guests, strftime(o_orderdate, '%Y-%m-%d') AS release_date, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS playcount, 0::BIGINT AS listeners FROM orders""")
+def _track_info(t: Tables):
+    track = F.struct(F.concat(F.lit("Song ft. G"), "o_custkey").alias("name"), F.struct(F.lit("A").alias("name")).alias("artist"), F.struct(F.lit("").alias("title")).alias("album"),
+                     F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string")).alias("playcount"), F.lit("n/a").alias("listeners"),
+                     F.struct(F.date_format("o_orderdate", "dd MMM yyyy, HH:mm").alias("published")).alias("wiki"))
+    rows = sc.track_info(t.orders.select("o_orderkey", F.to_json(F.struct(track.alias("track"))).alias("text")), "o_orderkey", "text")
+    return rows.select("o_orderkey", "title", F.array_join("featured", "+").alias("guests"), "release_date", "playcount", "listeners")
+
+
+@query("t23_file_tags", f"""
+    SELECT p_partkey AS file_id, p_brand AS artist, 'Guest+Other' AS featured, 'MP3' AS file_format, {sql_round('p_retailprice / 7', 2)} AS duration_seconds, CASE WHEN p_size > 5 THEN CAST(round((p_size * 1000 + 128000) / 1000.0) AS INTEGER) END AS bitrate_kbps FROM part""")
+def _file_tags(t: Tables):
+    tags = t.part.select(
+        F.col("p_partkey").alias("file_id"), F.concat(F.lit("track."), "p_partkey", F.lit(".mp3")).alias("filename"), F.concat("p_name", F.lit(" (feat. Guest & Other)")).alias("title"), F.concat("p_brand", F.lit(" Ft. Guest")).alias("artist"),
+        F.lit("Album").alias("album"), F.lit("2001").alias("date"), F.lit("rock").alias("genre"), (F.col("p_retailprice") / 7).alias("length"), F.when(F.col("p_size") > 5, F.col("p_size") * 1000 + 128000).otherwise(0).alias("bitrate"))
+    return li.file_tag_rows(tags).select("file_id", "artist", F.array_join("featured", "+").alias("featured"), "file_format", "duration_seconds", "bitrate_kbps")

@@ -1,23 +1,21 @@
 """Incremental jobs as structured streams.
 
-Every start function returns the running query; the caller chooses the trigger. State and sink paths belong
+Every start function returns the running query; the caller chooses the trigger. Output and checkpoint paths belong
 below the cluster's shared folder. Batches are written under their batch id, so a batch that is run again after
 a failure replaces its own output instead of adding to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tunefathom.operators.features import add_songs, knn_of_new, standardise
+from tunefathom.operators.features import apply_map, knn_of_new, standardise
 from tunefathom.operators.matching import already_saved
 from tunefathom.operators.playlists import upsert_links
+from tunefathom.plans.shapes import previous_value
 from tunefathom.sources.library import failure_rows
+from tunefathom.session import settled
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -26,13 +24,24 @@ def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def _merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All batches written so far; empty before the first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def written(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """Everything the batches of a stream have written so far; only batches before ``before`` where given.
+
+    A batch that is run again must not see its own earlier output.
+    """
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+
+def _start(stream: DataFrame, each, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_failures(results: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
@@ -48,107 +57,98 @@ def stream_add_songs(
 
     ``library``: song_id, features (standardised by the same statistics).
     """
-    id_type = dict(library.dtypes)[song]
+    placed_schema = f"{song} {dict(library.dtypes)[song]}, features array<double>, x double, y double"
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        placed_schema = f"{song} {id_type}, features array<double>, x double, y double"
-        earlier = _merged_before(spark, map_path, placed_schema, batch_id)
-        known = library.select(song, "features").unionByName(earlier.select(song, "features"))
-        fresh = batch.join(known.select(song), song, "left_anti").dropDuplicates([song])
-        placed = standardise(fresh, keys, statistics, song=song).join(add_songs(fresh, known.limit(0), statistics, model, keys, song), song)
-        placed.write.mode("overwrite").parquet(_batch_path(map_path, batch_id))
-        written = spark.read.schema(placed_schema).parquet(_batch_path(map_path, batch_id))
-        knn_of_new(written.select(song, "features"), known, k, song).write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
-
-    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def _merged_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Output of the batches before ``batch_id`` (a batch run again must not see its own earlier output)."""
-    everything = _merged(spark, path, schema)
-    return everything.filter(F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)", 1).cast("bigint") < batch_id) if everything.inputFiles() else everything
-
-
-STAGE_OUTPUT = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"
-STAGE_STATE = "stage string, stage_since double, last_update double"
-
-
-def track_stage(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stage and its start for one job; an unchanged stage keeps its start, a finished or stale job leaves the state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    stage, since, last = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(batches)).sort_values("ts")
-    for row in rows.itertuples():
-        at = row.ts.timestamp()
-        if row.stage is None:
-            continue
-        if row.stage != stage:
-            stage, since = row.stage, at
-        last = at
-    if stage is None:
-        return
-    if stage == "finished":
-        if state.exists:
-            state.remove()
-        return
-    state.update((stage, since, last))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "stage_since": [pd.Timestamp(since, unit="s")], "last_update": [pd.Timestamp(last, unit="s")]})
+        known = library.select(song, "features").unionByName(written(spark, map_path, placed_schema, batch_id).select(song, "features"))
+        fresh = settled(batch, "arrivals").join(known.select(song), song, "left_anti").dropDuplicates([song])
+        vectors = settled(standardise(fresh, keys, statistics, song=song), "arrival-vectors")
+        vectors.join(apply_map(vectors, model, song), song).write.mode("overwrite").parquet(_batch_path(map_path, batch_id))
+        knn_of_new(vectors, known, k, song).write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
+
+    return _start(new, add, checkpoint, trigger)
+
+
+STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"
+FINISHED = "finished"
+
+
+def merge_stages(view: DataFrame, updates: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """A stage view (STAGE_VIEW) brought forward by a batch of updates (job_id, stage, ts).
+
+    The batch is first reduced to one row per job: its first and last stage and its last change. An update
+    that repeats the known stage keeps the known start.
+    """
+    chunk = F.floor(F.unix_seconds("ts") / 3600) if chunk is None else chunk
+    rows = previous_value(updates.filter(F.col("stage").isNotNull()).select("job_id", "stage", "ts"), ["job_id"], ["ts"], chunk, "stage", "_before")
+    changed = F.col("_before").isNotNull() & (F.col("stage") != F.col("_before"))
+    jobs = rows.groupBy("job_id").agg(
+        F.min_by("stage", "ts").alias("_first"), F.min("ts").alias("_start"), F.max_by("stage", "ts").alias("_stage"),
+        F.max(F.when(changed, F.col("ts"))).alias("_change"), F.max("ts").alias("_last"))
+    both = view.join(jobs, "job_id", "full")
+    since = F.coalesce("_change", F.when(F.col("_first") == F.col("stage"), F.col("stage_since")), "_start")
+    touched = F.col("_stage").isNotNull()
+    return both.select(
+        "job_id", F.when(touched, F.col("_stage")).otherwise(F.col("stage")).alias("stage"), F.when(touched, since).otherwise(F.col("stage_since")).alias("stage_since"),
+        F.coalesce("_last", "last_update").alias("last_update")).filter(F.col("stage") != FINISHED)
 
 
 def stream_job_stage(updates: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Latest stage per job: ``updates`` has job_id, stage, ts. Each batch writes the jobs it changed."""
-    stages = updates.select("job_id", "stage", "ts").groupBy("job_id").applyInPandasWithState(
-        track_stage, STAGE_OUTPUT, STAGE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-    return stages.writeStream.outputMode("update").foreachBatch(
-        lambda batch, i: batch.write.mode("overwrite").parquet(_batch_path(path, i))
-    ).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    """Latest stage per running job: each batch writes the view as it then stands, finished jobs left out.
 
+    ``updates``: job_id, stage, ts. Only the view of the batch before is read, which holds running jobs only.
+    """
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = _batch_path(path, batch_id - 1)
+        view = spark.read.schema(STAGE_VIEW).parquet(earlier) if _exists(spark, earlier) else spark.createDataFrame([], STAGE_VIEW)
+        merge_stages(view, batch).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+
+    return _start(updates, advance, checkpoint, trigger)
 
-def latest_stages(spark: SparkSession, path: str) -> DataFrame:
-    """The stream's current view: the last row written for each job."""
-    rows = _merged(spark, path, STAGE_OUTPUT)
-    return rows.groupBy("job_id").agg(F.max_by(F.struct("stage", "stage_since"), "last_update").alias("_r"), F.max("last_update").alias("last_update")).select(
-        "job_id", "_r.*", "last_update")
 
+def current_stages(spark: SparkSession, path: str) -> DataFrame:
+    """The newest view a stage stream has written."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], STAGE_VIEW)
+    rows = spark.read.schema(f"{STAGE_VIEW}, batch bigint").parquet(path)
+    newest = rows.agg(F.max("batch").alias("b")).scalar()
+    return rows.filter(F.col("batch") == newest).drop("batch")
 
-def stream_dedup_songs(arrivals: DataFrame, library: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """First arrival of a song wins, against the library too. ``arrivals``: song_id, recording_id, ts.
 
-    The state drops repeats within the delay; repeats across batches are checked against what was written.
+def stream_dedup_songs(arrivals: DataFrame, library: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
+    """First arrival of a song or recording wins, against the library and everything written before.
+
+    ``arrivals``: song_id, recording_id, ts. ``library``: song_id, recording_id.
     """
-    schema = "song_id string, recording_id string"
+    types = dict(library.dtypes)
+    schema = f"song_id {types['song_id']}, recording_id {types['recording_id']}"
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = _merged_before(spark, path, schema, batch_id)
-        known = library.select("song_id", "recording_id").unionByName(earlier.select("song_id", "recording_id"))
-        # within the batch: one row per song, then one song per recording
-        one = batch.groupBy("song_id").agg(F.min_by("recording_id", "ts").alias("recording_id"), F.min("ts").alias("ts"))
-        key = F.coalesce(F.concat(F.lit("r"), "recording_id"), F.concat(F.lit("s"), "song_id"))
-        one = one.groupBy(key.alias("_k")).agg(F.min_by(F.struct("song_id", "recording_id"), F.struct("ts", "song_id")).alias("_r")).select("_r.*")
-        old = already_saved(one, known).select("song_id")
-        one.join(old, "song_id", "left_anti").write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        known = library.select("song_id", "recording_id").unionByName(written(batch.sparkSession, path, schema, batch_id))
+        songs = batch.groupBy("song_id").agg(F.min_by("recording_id", "ts").alias("recording_id"), F.min("ts").alias("ts"))
+        # one song per recording; songs without a recording stand for themselves
+        key = F.struct("recording_id", F.when(F.col("recording_id").isNull(), F.col("song_id")).alias("own"))
+        songs = settled(songs.groupBy(key.alias("_k")).agg(F.min_by(F.struct("song_id", "recording_id"), F.struct("ts", "song_id")).alias("_r")).select("_r.*"), "arrivals")
+        songs.join(already_saved(songs, known).select("song_id"), "song_id", "left_anti").write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
-    first = arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["song_id"])
-    return first.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _start(arrivals, add, checkpoint, trigger)
 
 
 def stream_playlist_links(results: DataFrame, links: DataFrame, songs: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Link songs as results arrive: playlist_id, song_id, position. Each batch writes its new links; read with :func:`current_links`."""
+    """Link songs as results arrive (playlist_id, song_id, position); read the merged links with :func:`current_links`."""
     def add(batch: DataFrame, batch_id: int) -> None:
         upsert_links(links.limit(0), batch, songs).write.mode("overwrite").parquet(_batch_path(path, batch_id))
-    return results.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _start(results, add, checkpoint, trigger)
 
 
 def current_links(spark: SparkSession, path: str, links: DataFrame) -> DataFrame:
     """Stored links merged with the stream's: the smallest position wins."""
-    fields = dict(links.dtypes)
-    written = _merged(spark, path, ", ".join(f"{c} {fields[c]}" for c in ("playlist_id", "song_id", "position")))
-    return links.select("playlist_id", "song_id", "position").unionByName(written).groupBy("playlist_id", "song_id").agg(F.min("position").alias("position"))
+    types = dict(links.dtypes)
+    columns = ["playlist_id", "song_id", "position"]
+    new = written(spark, path, ", ".join(f"{c} {types[c]}" for c in columns))
+    return links.select(*columns).unionByName(new).groupBy("playlist_id", "song_id").agg(F.min("position").alias("position"))
 
 
 def stream_suggestions(suggestions: DataFrame, path: str, checkpoint: str, memory: str = "6 hours", trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
