@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
@@ -111,20 +109,22 @@ def core_title_words(title: Column) -> Column:
     return squeeze(F.translate(core, "$'", "s"), r"(?U)[^\w]+|_+| +")
 
 
-def unwanted_version(wanted_words: Column, video_title: Column) -> Column:
-    """The video announces a version (live, cover, ...) the track's title does not."""
-    video = match_words(F.regexp_replace(video_title, fv.REMASTER, " "))
-    return reduce(lambda a, b: a | b, [
-        has_phrase(video, F.lit(w)) & ~has_phrase(wanted_words, F.lit(w))
-        for w in fv.VERSION_WORDS + fv.EXTRA_VERSION_WORDS
-    ])
+def phrases_in(words: Column, phrases: list[str]) -> Column:
+    """Which of the phrases stand in the normalised text, in one scan of it."""
+    return F.regexp_extract_all(words, F.lit(r"(?:^| )(" + "|".join(phrases) + r")(?= |$)"), F.lit(1))
+
+
+def announces_other(video_words: Column, wanted_words: Column, phrases: list[str]) -> Column:
+    """The video announces a version (live, cover, ...) the wanted title does not."""
+    return F.size(F.array_except(phrases_in(video_words, phrases), phrases_in(wanted_words, phrases))) > 0
 
 
 # --- artists ----------------------------------------------------------------------
 
 def parse_featured(title: Column) -> Column:
     """Guests of the first featuring pattern that matches, as an array (empty when there is none)."""
-    found = F.coalesce(*[none_if_empty(F.regexp_extract(title, p, 1)) for p in fv.FEATURED_PATTERNS])
+    tried = F.array(*[F.regexp_extract(title, p, 1) for p in fv.FEATURED_PATTERNS])
+    found = F.get(F.filter(tried, lambda found: found != ""), F.lit(0))
     names = F.split(F.rtrim(strip(found), F.lit(")]")), fv.FEATURED_SPLIT)
     kept = F.filter(F.transform(names, lambda n: strip(n)), lambda n: n != "")
     return F.coalesce(F.transform(kept, lambda n: F.rtrim(n, F.lit("])"))), F.array().cast("array<string>"))

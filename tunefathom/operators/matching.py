@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunefathom import fixed_values as fv
@@ -164,8 +162,7 @@ def candidate_fits(tracks: DataFrame, hits: DataFrame, track: str = "track_id")
     words_there = (F.col("_core") != "") & (F.size(F.array_except(F.split("_core", " "), F.split("_video", " "))) == 0)
     artist_there = _any(F.col("_artists"), lambda a: tx.has_phrase(F.col("_video"), a) | tx.has_phrase(F.col("_channel"), a))
     foreign = _any(F.col("_guests"), lambda g: (g != "") & ~F.exists(F.col("_artists"), lambda a: tx.has_phrase(g, a) | tx.has_phrase(a, g)))
-    unwanted = reduce(lambda a, b: a | b, [
-        tx.has_phrase(F.col("_versions"), F.lit(w)) & ~tx.has_phrase(F.col("_full"), F.lit(w)) for w in fv.VERSION_WORDS + fv.EXTRA_VERSION_WORDS])
+    unwanted = tx.announces_other(F.col("_versions"), F.col("_full"), fv.VERSION_WORDS + fv.EXTRA_VERSION_WORDS)
     fitting = pairs.filter(words_there & artist_there & ~unwanted & ~foreign & length_fits(F.col("duration_ms"), F.col("duration")))
     return fitting.select(*hits.columns)
 
@@ -252,7 +249,7 @@ def rank_hits(queries: DataFrame, hits: DataFrame, query: str = "query_id") -> D
     channel_is_artist = (F.length("_channel") >= 2) & tx.has_phrase(F.col("_artist"), F.col("_channel"))
     title_names_artist = (F.size(artist_words) > 0) & F.forall(artist_words, lambda w: F.array_contains(title_words, w))
     wanted = F.array_join(song, " ")
-    other_version = reduce(lambda a, b: a | b, [tx.has_phrase(title, F.lit(w)) & ~tx.has_phrase(wanted, F.lit(w)) for w in fv.VERSION_WORDS])
+    other_version = tx.announces_other(title, wanted, fv.VERSION_WORDS)
     sides = F.split(tx.strip(F.coalesce("title", F.lit(""))), fv.QUERY_SEPARATOR, 2)
     concert = (F.size(sides) == 2) & F.contains(sides[0], F.lit(":"))
 

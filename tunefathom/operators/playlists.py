@@ -8,7 +8,7 @@ from tunefathom.functions import text as tx
 from tunefathom.operators.filters import failure_reason
 from tunefathom.operators.matching import resolve_tracks
 from tunefathom.operators.ranking import latest_per
-from tunefathom.plans.shapes import top_n
+from tunefathom.plans.shapes import following_event, top_n
 
 STATUSES = ["queued", "saved", "duplicate", "failed"]
 
@@ -61,12 +61,14 @@ def backfill_finished(tracks: DataFrame, failures: DataFrame, imports: DataFrame
 
     ``tracks``: id, import_id, video_id, title, artists_json, status. ``failures``: video_id, label, created_at. ``imports``: import_id, created_at.
     """
+    def key(video: Column, label: Column) -> Column:
+        # equal videos or both without one
+        return F.concat_ws("|", F.coalesce(F.concat(F.lit("v"), video), F.lit("-")), label)
+    label = tx.label_text(F.col("artists_json"), F.col("title"))
     asked = tracks.filter("status = 'failed'").join(imports.select("import_id", F.col("created_at").alias("_since")), "import_id").select(
-        "id", "_since", "video_id", tx.label_text(F.col("artists_json"), F.col("title")).alias("_label"))
-    # failures of one video and label collapse to their times, so repeats of one failure do not multiply the join
-    seen = failures.select(F.col("video_id").alias("_video"), F.col("label").alias("_l"), "created_at").distinct()
-    hit = (asked["_label"] == seen["_l"]) & asked["video_id"].eqNullSafe(seen["_video"]) & (seen["created_at"] >= asked["_since"])
-    return asked.join(seen, hit, "left").groupBy("id").agg(F.min("created_at").alias("finished_at"))
+        "id", "_since", key(F.col("video_id"), label).alias("_match"))
+    seen = failures.select(key(F.col("video_id"), F.col("label")).alias("_match"), "created_at")
+    return following_event(asked, seen, "_match", "_since", "created_at", lambda t: F.unix_date(F.to_date(t)), "finished_at").select("id", "finished_at")
 
 
 def backfill_links(imports: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:

@@ -122,17 +122,30 @@ def music_span(segments: DataFrame, song: str = "song_id", index: str = "idx", l
 
 # --- chorus -----------------------------------------------------------------------
 
-def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[width:] - total[:-width]
+_ROWS_AT_ONCE = 256
 
 
-def _chorus_start(series: list, duration: float | None) -> int | None:
-    """Start second of one song's most recurring, energetic window.
+def _best_repeats(windows: np.ndarray, apart: int) -> np.ndarray:
+    """Highest similarity of each unit-length window to any window more than ``apart`` away.
 
-    Windows are compared lag by lag: the product of two windows is a running sum of per-second products,
-    so a song of n seconds needs memory for one lag, never for all pairs.
+    A block of rows is multiplied with the windows after it, and both sides keep their maxima; memory is one block.
     """
+    best = np.full(len(windows), -1.0)
+    for start in range(0, len(windows), _ROWS_AT_ONCE):
+        rows = windows[start:start + _ROWS_AT_ONCE]
+        later = windows[start + apart + 1:]
+        if not len(later):
+            break
+        similarity = rows @ later.T
+        near = np.arange(min(len(rows), len(later)))[None, :] < np.arange(len(rows))[:, None]
+        similarity[:, :near.shape[1]][near] = -1.0
+        best[start:start + len(rows)] = np.maximum(best[start:start + len(rows)], similarity.max(1))
+        best[start + apart + 1:] = np.maximum(best[start + apart + 1:], similarity.max(0))
+    return best
+
+
+def _chorus_start(series: list, duration: float | None) -> int | None:
+    """Start second of one song's most recurring, energetic window."""
     if duration is None or duration <= 0:
         return None
     width = fv.CHORUS_SECONDS
@@ -145,33 +158,20 @@ def _chorus_start(series: list, duration: float | None) -> int | None:
     m = np.column_stack([c[:length] for c in columns])
     m = (m - m.mean(0)) / (m.std(0) + fv.CHORUS_EPSILON)
     count = length - width
-    norm = np.sqrt(np.maximum(_window_sums((m * m).sum(1), width)[:count], 0.0)) + fv.CHORUS_EPSILON
-
-    def similarity(lag: int) -> np.ndarray:
-        products = (m[:length - lag] * m[lag:]).sum(1)
-        n = count - lag
-        return _window_sums(products, width)[:n] / (norm[:n] * norm[lag:lag + n])
-
-    best = np.full(count, -1.0)
-    for lag in range(width + 1, count):
-        s = similarity(lag)
-        best[:len(s)] = np.maximum(best[:len(s)], s)
-        best[lag:] = np.maximum(best[lag:], s)
-    loud = m[:, 0]
-    energy = _window_sums((loud - loud.min()) / (np.ptp(loud) + fv.CHORUS_EPSILON), width)[:count] / width
-    score = fv.CHORUS_REPETITION_WEIGHT * best + fv.CHORUS_ENERGY_WEIGHT * energy
+    windows = np.lib.stride_tricks.sliding_window_view(m, width, axis=0)[:count].reshape(count, -1)
+    windows = windows / (np.linalg.norm(windows, axis=1, keepdims=True) + fv.CHORUS_EPSILON)
+    best = _best_repeats(windows, width)
+    energy = (m[:, 0] - m[:, 0].min()) / (np.ptp(m[:, 0]) + fv.CHORUS_EPSILON)
+    score = fv.CHORUS_REPETITION_WEIGHT * best + fv.CHORUS_ENERGY_WEIGHT * np.convolve(energy, np.full(width, 1.0 / width), "valid")[:count]
     edge = max(fv.CHORUS_EDGE_SECONDS, int(length * fv.CHORUS_EDGE_SHARE))
     score[:edge] = -1.0
     score[max(0, count - edge):] = -1.0
     top = int(np.argmax(score))
-    for i in range(edge, top):
-        if top - i > width:
-            value = float((m[i:i + width] * m[top:top + width]).sum() / (norm[i] * norm[top]))
-        else:
-            value = -1.0
-        if value >= best[top] * fv.CHORUS_SAME_SECTION:
-            return i
-    return top
+    # the first window that is the same section: close enough to the winner, and not overlapping it
+    earlier = windows[edge:max(edge, top)] @ windows[top]
+    earlier[max(0, top - width - edge):] = -1.0
+    same = np.nonzero(earlier >= best[top] * fv.CHORUS_SAME_SECTION)[0]
+    return edge + int(same[0]) if len(same) else top
 
 
 def chorus_segment(songs: DataFrame, series: list[str], duration: str = "duration_seconds", song: str = "song_id") -> DataFrame:

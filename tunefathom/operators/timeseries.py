@@ -8,6 +8,7 @@ from tunefathom import fixed_values as fv
 from tunefathom.functions import numeric as nu
 from tunefathom.operators.filters import valid_series
 from tunefathom.plans.shapes import exact_quantiles, one_row
+from tunefathom.session import settled
 
 MODES = ("relative", "absolute")
 
@@ -31,7 +32,8 @@ def resampled(values: Column, duration: Column, feature: str, mode: str) -> Colu
 def resample_long(songs: DataFrame, feature: str, mode: str, values: str = "values", duration: str = "duration_seconds", song: str = "song_id") -> DataFrame:
     """``(song_id, position, value)`` of every usable song; narrow, nothing is shuffled."""
     usable = valid_series(songs, values, duration)
-    return usable.select(song, F.posexplode(resampled(F.col(values), F.col(duration), feature, mode)).alias("position", "value"))
+    # the outer form, as the plain one would add a filter that resamples every song a second time
+    return usable.select(song, F.posexplode_outer(resampled(F.col(values), F.col(duration), feature, mode)).alias("position", "value"))
 
 
 def with_centres(songs: DataFrame, feature: str, values: str = "values", song: str = "song_id") -> DataFrame:
@@ -43,16 +45,17 @@ def with_centres(songs: DataFrame, feature: str, values: str = "values", song: s
 
 def envelope(points: DataFrame, min_songs: int = fv.MIN_SERIES_SONGS, position: str = "position", value: str = "value") -> DataFrame:
     """Mean, quartiles and count per grid position; values are null below ``min_songs`` songs."""
-    means = points.filter(F.col(value).isNotNull()).groupBy(position).agg(F.avg(value).alias("mean"), F.count("*").alias("songs"))
-    quartiles = exact_quantiles(points, [position], value, [0.25, 0.75])
-    enough = F.col("songs") >= min_songs
-    return means.join(quartiles, position).select(
+    rows = exact_quantiles(points, [position], value, [0.25, 0.75], also=[F.avg(value).alias("mean")])
+    enough = F.col("n") >= min_songs
+    return rows.select(
         position, F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.col("q0")).alias("p25"),
-        F.when(enough, F.col("q1")).alias("p75"), "songs")
+        F.when(enough, F.col("q1")).alias("p75"), F.col("n").alias("songs"))
 
 
 def timeseries_envelope(songs: DataFrame, feature: str, mode: str, values: str = "values", duration: str = "duration_seconds", song: str = "song_id") -> DataFrame:
-    return envelope(resample_long(songs, feature, mode, values, duration, song))
+    """The envelope of a library. The grid points are settled, as the quantiles read them twice and they are
+    far smaller and cheaper than the series they come from."""
+    return envelope(settled(resample_long(songs, feature, mode, values, duration, song).select("position", "value"), "grid-points"))
 
 
 def normalise_envelope(env: DataFrame) -> DataFrame:

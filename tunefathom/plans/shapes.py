@@ -52,22 +52,53 @@ def previous_value(
     return joined.withColumn(name, F.coalesce("_inner", "_across")["v"]).drop("_chunk", "_inner", "_across")
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
+def following_event(
+    asked: DataFrame, events: DataFrame, key: str, since: str, at: str, chunk, name: str,
+) -> DataFrame:
+    """Adds to ``asked`` the time of the first event of the same key at or after ``since`` (null without one).
+
+    Both sides are merged in time order instead of being joined pair by pair. ``chunk`` buckets a time column;
+    rows meet per (key, chunk), and one summary per chunk carries the first event of later chunks back, so a
+    key with a third of all rows is spread over its chunks. ``key`` must not be null.
+    """
+    columns = asked.columns
+    rows = asked.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.col(since).alias("_t"), F.lit(None).cast(events.schema[at].dataType).alias("_e"))
+    marks = events.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_t"), F.col(at).alias("_e")).distinct()
+    merged = rows.unionByName(marks).withColumn("_chunk", chunk(F.col("_t")))
+    ahead = Window.partitionBy("_key", "_chunk").orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = merged.withColumn("_inside", F.min("_e").over(ahead)).filter(F.col("_row").isNotNull())
+    firsts = merged.groupBy("_key", "_chunk").agg(F.min("_e").alias("_first"))
+    later = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select("_key", "_chunk", F.min("_first").over(later).alias("_later"))
+    found = inside.join(carried, ["_key", "_chunk"])
+    return found.select("_row.*", F.coalesce("_inside", "_later").alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them; others stay as they are.
+
+    For scans feeding heavy per-row work. Input large enough to fill the cluster is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10000, also: list[Column] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group, without holding a group in one task.
 
     A mergeable sketch brackets every wanted rank; only values inside a bracket (about four parts in
     ``accuracy`` of a group) are ranked, as distinct values with counts, so equal values collapse first.
-    Columns: the keys, ``n`` and ``q0..`` in the order of ``probs``.
+    All values below a bracket collapse to one count on the map side. The values are read twice.
+    Columns: the keys, ``n``, ``q0..`` in the order of ``probs``, and the aggregates in ``also``.
     """
-    values = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    values = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     margin = 2.0 / accuracy
     grid = [g for p in probs for g in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = values.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", grid, accuracy).alias("_cut"),
-    )
-    # The next order statistic may lie just past a bracket's rank; the margin covers it for large groups,
-    # and groups smaller than the accuracy are bracketed by their whole range.
+        F.percentile_approx("_v", grid, accuracy).alias("_cut"), *also)
+    extra = [c for c in sketch.columns if c not in (*by, "n", "_min", "_max", "_cut")]
+    # groups no larger than the accuracy are bracketed by their whole range
     small = F.col("n") <= accuracy
     brackets = F.array(*[
         F.struct(
@@ -78,23 +109,19 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         )
         for i, p in enumerate(probs)
     ])
-    bounds = sketch.select(*by, "n", brackets.alias("_b"))
-    distinct = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    tagged = distinct.join(bounds, by).select(*by, "n", "_v", "_c", F.explode("_b").alias("_b"))
-    below = tagged.filter(F.col("_v") < F.col("_b.lo")).groupBy(*by, F.col("_b.q").alias("_q")).agg(F.sum("_c").alias("_below"))
-    inside = tagged.filter(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi"))).select(
-        *by, "n", "_v", "_c", F.col("_b.q").alias("_q"), F.col("_b.h").alias("_h"))
-    ranked = inside.withColumn(
-        "_upto", F.sum("_c").over(Window.partitionBy(*by, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.join(below, [*by, "_q"], "left").withColumn("_upto", F.col("_upto") + F.coalesce("_below", F.lit(0)))
-    floor, ceil = F.floor("_h"), F.ceil("_h")
-    # Order statistic r (0-based) is the smallest value whose cumulative count exceeds r.
+    bounds = sketch.select(*by, F.struct("n", *extra).alias("_g"), brackets.alias("_b"))
+    tagged = values.select(*by, "_v").join(bounds.select(*by, "_b"), by).select(*by, "_v", F.explode("_b").alias("_b"))
+    below = F.col("_v") < F.col("_b.lo")
+    counts = tagged.filter(F.col("_v") <= F.col("_b.hi")).groupBy(
+        *by, F.col("_b.q").alias("_q"), F.col("_b.h").alias("_h"), F.when(~below, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    # nulls first: everything below the bracket is counted before its first value
+    ranked = counts.withColumn("_upto", F.sum("_c").over(
+        Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)))
+    # order statistic r (0-based) is the smallest value whose cumulative count exceeds r
     picked = ranked.groupBy(*by, "_q").agg(
-        F.first("n").alias("n"), F.first("_h").alias("_h"),
-        F.min(F.when(F.col("_upto") > floor, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > ceil, F.col("_v"))).alias("_hi"),
+        F.first("_h").alias("_h"),
+        F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v"))).alias("_hi"),
     ).withColumn("_value", F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo")))
-    return picked.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(f"q{i}") for i in range(len(probs))],
-    )
+    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(f"q{i}") for i in range(len(probs))])
+    return wide.join(bounds.select(*by, "_g"), by).select(*by, "_g.n", *[f"q{i}" for i in range(len(probs))], *[f"_g.{c}" for c in extra])

@@ -95,7 +95,7 @@ def _tracks(t: Tables):
 
 
 def _hits(t: Tables):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.spread("lineitem").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     k, name, brand = F.col("l_linenumber"), F.col("p_name"), F.col("p_brand")
     title = F.when(k == 1, F.concat(brand, F.lit(" - "), name, F.lit(" (Official Video)"))).when(k == 2, F.concat(name, F.lit(" LIVE - "), brand)).when(
         k == 3, F.concat(brand, F.lit(" - "), name, F.lit(" ft. Nobody Else"))).when(k == 4, F.concat(brand, F.lit(" - something else"))).when(
@@ -135,7 +135,7 @@ def _first_fitting(t: Tables):
 @query("j9_identity_matches", """
     SELECT DISTINCT l_partkey AS track_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS found_id FROM lineitem WHERE l_linenumber IN (1, 2, 3, 6) AND l_returnflag <> 'R'""")
 def _identity(t: Tables):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.spread("lineitem").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     k, name, brand = F.col("l_linenumber"), F.col("p_name"), F.col("p_brand")
     title = F.when(k == 1, F.upper(name)).when(k == 2, F.concat(name, F.lit(" - Live"))).when(k == 3, F.concat(name, F.lit(" (Initial D)"))).when(
         k == 4, F.concat(name, F.lit(" (Club Rework)"))).when(k == 6, F.concat(F.translate(name, "i", "í"), F.lit(" (feat. X)"))).otherwise("Entirely Different Song")
@@ -146,7 +146,7 @@ def _identity(t: Tables):
 
 @query("j10_trusted_upload", "SELECT l_partkey AS track_id, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS video_id FROM lineitem WHERE l_linenumber IN (1, 5)")
 def _trusted(t: Tables):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.spread("lineitem").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     k, name, brand = F.col("l_linenumber"), F.col("p_name"), F.col("p_brand")
     title = F.when(k == 1, F.concat(brand, F.lit(" & Second Name - "), name, F.lit(" (Official 4K Video) 2011"))).when(k == 2, F.concat(brand, F.lit(" - "), name, F.lit(" drum cam"))).otherwise(name)
     uploader = F.when(k.isin(1, 2), F.concat(brand, F.lit(" (Official)"))).when(k == 5, F.concat(F.lit("Second Name"), F.lit("VEVO"))).otherwise("Fan Channel")

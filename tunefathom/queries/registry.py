@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tunefathom.plans.shapes import spread
 from tunefathom.session import apply_defaults
 
 
@@ -29,6 +30,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table dealt out to all cores where its files have too few splits, for heavy work per row."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of :class:`Tables` under ``name``."""

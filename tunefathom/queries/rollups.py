@@ -14,7 +14,7 @@ from tunefathom.queries.series import series_songs
 
 def _frames(t: Tables):
     """Every word of every document is a frame: its first letter the chord, its length the value."""
-    rows = t.documents.select(F.col("doc_id").alias("song_id"), F.posexplode(whole_words(F.col("text"))).alias("frame_idx", "word"))
+    rows = t.spread("documents").select(F.col("doc_id").alias("song_id"), F.posexplode_outer(whole_words(F.col("text"))).alias("frame_idx", "word")).filter("frame_idx is not null")
     return rows.select("song_id", "frame_idx", F.length("word").cast("double").alias("value"), F.substring("word", 1, 1).alias("chord"), (F.length("word") / 20).alias("strength"))
 
 

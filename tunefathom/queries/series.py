@@ -14,7 +14,7 @@ from tunefathom.queries.registry import Tables, query, sql_round, whole_words
 def series_songs(t: Tables):
     """Every document with the lengths of its words; documents without words have an empty series."""
     values = F.transform(whole_words(F.col("text")), lambda w: F.length(w).cast("double"))
-    return t.documents.select(F.col("doc_id").alias("song_id"), values.alias("values")).withColumn("duration_seconds", F.size("values") * 1.5)
+    return t.spread("documents").select(F.col("doc_id").alias("song_id"), values.alias("values")).withColumn("duration_seconds", F.size("values") * 1.5)
 
 
 # words are split at the ASCII white space both engines agree on

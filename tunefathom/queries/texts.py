@@ -67,12 +67,12 @@ def _versions(t: Tables):
 
 @query("t2_strip_version_markers_documents", f"SELECT doc_id, {_version_sql('text')} AS title FROM documents")
 def _versions_documents(t: Tables):
-    return t.documents.select("doc_id", tx.strip_version_markers(F.col("text")).alias("title"))
+    return t.spread("documents").select("doc_id", tx.strip_version_markers(F.col("text")).alias("title"))
 
 
 @query("t3_plain_quotes", "SELECT doc_id, translate(translate(text, 'éèê', '’‘“'), '’‘ʼ“”', '''''''\"\"') AS text FROM documents")
 def _quotes(t: Tables):
-    return t.documents.select("doc_id", tx.plain_quotes(F.translate("text", "éèê", "’‘“")).alias("text"))
+    return t.spread("documents").select("doc_id", tx.plain_quotes(F.translate("text", "éèê", "’‘“")).alias("text"))
 
 
 @query("t4_clean_title", f"SELECT p_partkey, trim({_replace(_replace(_replace('title', fv.NOISE_BRACKET), fv.NOISE_DASH_TAIL), fv.NOISE_PIPE_TAIL)}, ' -_.') AS title FROM ({TITLES_SQL})")
@@ -91,13 +91,13 @@ _LATIN = "documents WHERE regexp_full_match(strip_accents(lower(text)), '[\\x00-
 
 @query("t5_match_words", f"SELECT doc_id, {_words_sql('text', '')} AS words FROM {_LATIN}")
 def _match_words(t: Tables):
-    folded = t.documents.filter(F.rlike(tx.without_accents(F.lower("text")), F.lit(r"^[\x00-\x7F]*\z")) & ~F.contains("text", F.lit("$")))
+    folded = t.spread("documents").filter(F.rlike(tx.without_accents(F.lower("text")), F.lit(r"^[\x00-\x7F]*\z")) & ~F.contains("text", F.lit("$")))
     return folded.select("doc_id", tx.match_words(F.col("text")).alias("words"))
 
 
 @query("t6_word_key", r"SELECT doc_id, coalesce(' ' || nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), '') || ' ', '') AS key FROM documents")
 def _word_key(t: Tables):
-    return t.documents.select("doc_id", tx.word_key(F.col("text")).alias("key"))
+    return t.spread("documents").select("doc_id", tx.word_key(F.col("text")).alias("key"))
 
 
 @query("t7_plain_and_core_title", f"""
