@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
-from tunefathom.plans.shapes import top_n
+from tunefathom.plans.shapes import place_in_group, top_n
 
 
 def _first(df: DataFrame, by: list[str], keep: list[str], order: list[Column]) -> DataFrame:
@@ -133,7 +133,7 @@ def search_candidates(queries: DataFrame, hits: DataFrame, query: str = "query_i
     asked = queries.select(query, tx.comparable(F.col("artist")).alias("_a"))
     rows = hits.filter(F.col("score") >= fv.MIN_SEARCH_SCORE).withColumn("_ha", tx.comparable(F.col("hit_artist"))).join(asked, query)
     fits = rows.filter(artist_fit(F.col("_a"), F.col("_ha"), F.col("sort_name")).isNotNull())
-    return top_n(fits, [query], [F.desc("score"), "position"], 2147483647, "place").select(*hits.columns, "place")
+    return place_in_group(fits, [query], [-F.col("score"), F.col("position")], "place").select(*hits.columns, "place")
 
 
 # --- albums -----------------------------------------------------------------------

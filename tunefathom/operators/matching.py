@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
 from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio, song_id
-from tunefathom.plans.shapes import one_row, top_n
+from tunefathom.plans.shapes import one_row, place_in_group, top_n
 
 
 def with_audio(songs: DataFrame, files: DataFrame, filename: str = "filename", basename: str = "basename") -> DataFrame:
@@ -175,8 +175,8 @@ def order_candidates(tracks: DataFrame, hits: DataFrame, track: str = "track_id"
     """Topic uploads first, then the closest length, then input order; adds ``place``."""
     topic = F.endswith(F.lower(F.coalesce("uploader", F.lit(""))), F.lit(fv.TOPIC_SUFFIX))
     off = F.coalesce(F.abs(F.col("duration") - F.nullif(F.col("duration_ms"), F.lit(0)) / 1000), F.lit(0.0))
-    window = Window.partitionBy(track).orderBy(F.when(topic, 0).otherwise(1), off, "input_pos")
-    return hits.join(tracks.select(track, "duration_ms"), track).withColumn("place", F.row_number().over(window)).drop("duration_ms")
+    rows = hits.join(tracks.select(track, "duration_ms"), track)
+    return place_in_group(rows, [track], [F.when(topic, 0).otherwise(1), off, F.col("input_pos")], "place").drop("duration_ms")
 
 
 def first_fitting(fitting: DataFrame, attempts: int = 3, track: str = "track_id", tier: str = "tier") -> DataFrame:
@@ -260,5 +260,5 @@ def rank_hits(queries: DataFrame, hits: DataFrame, query: str = "query_id") -> D
         + points(channel_is_artist | title_names_artist, fv.ARTIST_NAMED_BONUS) + points(F.col("verified"), fv.VERIFIED_BONUS)
         - points(concert | other_version, fv.VERSION_PENALTY) + fv.VIEWS_WEIGHT * F.log10(F.coalesce("view_count", F.lit(0)) + 1)
     )
-    window = Window.partitionBy(query).orderBy(F.desc("score"), "input_pos")
-    return both.withColumn("score", score).withColumn("place", F.row_number().over(window)).select(*hits.columns, "score", "place")
+    scored = both.withColumn("score", score).select(*hits.columns, "score")
+    return place_in_group(scored, [query], [-F.col("score"), F.col("input_pos")], "place")

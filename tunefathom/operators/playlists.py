@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom.functions import text as tx
 from tunefathom.operators.filters import failure_reason
 from tunefathom.operators.matching import resolve_tracks
 from tunefathom.operators.ranking import latest_per
-from tunefathom.plans.shapes import following_event, top_n
+from tunefathom.plans.shapes import even_chunks, following_event, top_n
 
 STATUSES = ["queued", "saved", "duplicate", "failed"]
 
@@ -68,7 +68,7 @@ def backfill_finished(tracks: DataFrame, failures: DataFrame, imports: DataFrame
     asked = tracks.filter("status = 'failed'").join(imports.select("import_id", F.col("created_at").alias("_since")), "import_id").select(
         "id", "_since", key(F.col("video_id"), label).alias("_match"))
     seen = failures.select(key(F.col("video_id"), F.col("label")).alias("_match"), "created_at")
-    return following_event(asked, seen, "_match", "_since", "created_at", lambda t: F.unix_date(F.to_date(t)), "finished_at").select("id", "finished_at")
+    return following_event(asked, seen, "_match", "_since", "created_at", even_chunks(failures, "created_at"), "finished_at").select("id", "finished_at")
 
 
 def backfill_links(imports: DataFrame, tracks: DataFrame, songs: DataFrame) -> DataFrame:
@@ -218,8 +218,3 @@ def recent_imports(imports: DataFrame, user: int, n: int) -> DataFrame:
 def recent_imports_per_user(imports: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` imports of every user."""
     return top_n(imports, ["user_id"], [F.desc("import_id")], n, "place")
-
-
-def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """Positions 0.. inside bounded lists (playlists as stored)."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunefathom import fixed_values as fv
-from tunefathom.plans.shapes import previous_value, top_n
+from tunefathom.plans.shapes import Chunker, even_chunks, previous_value, top_n
 
 
 def ranked_moods(moods: list[str] = fv.MOODS) -> Column:
@@ -63,10 +63,10 @@ def next_neighbour(plays: DataFrame, edges: DataFrame, session: str = "session_i
     return marked.groupBy(session, "current_id").agg(choice.alias("next_id"))
 
 
-def stage_since(updates: DataFrame, job: str = "job_id", stage: str = "stage", at: str = "ts", chunk: Column | None = None) -> DataFrame:
+def stage_since(updates: DataFrame, job: str = "job_id", stage: str = "stage", at: str = "ts", chunk: Chunker | None = None) -> DataFrame:
     """Current stage per job and when it began: the last update whose stage differs from the one before."""
-    chunk = F.unix_date(F.to_date(at)) if chunk is None else chunk
-    steps = previous_value(updates.filter(F.col(stage).isNotNull()).select(job, stage, at), [job], [at], chunk, stage, "_before")
+    chunk = even_chunks(updates, at) if chunk is None else chunk
+    steps = previous_value(updates.filter(F.col(stage).isNotNull()).select(job, stage, at), [job], at, chunk, stage, "_before")
     changed = ~F.col(stage).eqNullSafe(F.col("_before"))
     return steps.groupBy(job).agg(
         F.max_by(stage, at).alias("stage"), F.max(F.when(changed, F.col(at))).alias("stage_since"), F.max(at).alias("last_update"))

@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from tunefathom import fixed_values as fv
-from tunefathom.plans.shapes import previous_value, rounded, top_n
+from tunefathom.plans.shapes import chunks_of, previous_value, rounded, top_n
 
 # rows per window task of an ordered scan over one song
 CHUNK = 65536
 
 
-def _chunk(index: str) -> Column:
-    return F.floor(F.col(index) / CHUNK)
-
-
 def seconds_from_frames(frames: DataFrame, value: str, per: int = fv.FRAMES_PER_SECOND_VALUE, song: str = "song_id", index: str = "frame_idx") -> DataFrame:
     """``(song_id, second, value)``: mean of every ``per`` frames, the last partial group included."""
     return frames.groupBy(song, F.floor(F.col(index) / per).alias("second")).agg(rounded(F.avg(value), 4).alias("value"))
@@ -36,7 +32,7 @@ def vector_mean(frames: DataFrame, vector: str, size: int, song: str = "song_id"
 
 def chord_changes(frames: DataFrame, chord: str = "chord", song: str = "song_id", index: str = "frame_idx") -> DataFrame:
     """Every frame with whether its chord differs from the one before (false on the first frame)."""
-    rows = previous_value(frames, [song], [index], _chunk(index), chord, "_before")
+    rows = previous_value(frames, [song], index, chunks_of(lambda i: F.floor(i / CHUNK)), chord, "_before")
     first = F.col("_before").isNull()
     return rows.withColumn("changed", ~first & ~F.col(chord).eqNullSafe(F.col("_before"))).drop("_before")
 

@@ -6,8 +6,14 @@ side, limited on the map side, or keyed by more than the hot key.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tunefathom.session import settled
+
 
 def one_row(aggregate: DataFrame) -> Column:
     """The single row of a global aggregate as a struct, attached as a scalar subquery (no join)."""
@@ -25,35 +31,73 @@ def top_n(df: DataFrame, by: list, order: list, n: int, rank: str = "rank") -> D
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+def place_in_group(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rank of every row in its group (1, 2, ...) when all ranks are wanted, not a first few.
+
+    Rows are range-partitioned by group and order, numbered inside each slice of a group, and shifted by the
+    slices before; a group holding a third of the rows spans a third of the partitions. ``order`` must be total.
+    The sliced rows are settled, so slice numbers stay the same when a task runs again.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(keys, order)))
+    slices = settled(rows.repartitionByRange(*by, *keys).withColumn("_slice", F.spark_partition_id()), "ranked")
+    counts = slices.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*keys)
+    numbered = slices.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*by, "_slice"])
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("int").alias(name))
+
+
+Chunker = Callable[[DataFrame, str], DataFrame]
+
+
+def chunks_of(bucket: Callable[[Column], Column]) -> Chunker:
+    """Adds ``_chunk`` as a plain expression of the order column."""
+    return lambda rows, order: rows.withColumn("_chunk", bucket(F.col(order)))
+
+
+def even_chunks(df: DataFrame, order: str, cuts: int = 1000) -> Chunker:
+    """Adds ``_chunk`` such that every chunk holds about equally many rows of ``df``, whatever their spread.
+
+    The cuts are approximate quantiles: one bounded list on the driver, searched by bisection in the JVM.
+    """
+    def number(rows: DataFrame, column: str) -> Column:
+        kind = dict(rows.dtypes)[column]
+        return (F.unix_micros(F.col(column).cast("timestamp")) if "timestamp" in kind else F.col(column)).cast("double")
+
+    edges = df.select(number(df, order).alias("v")).approxQuantile("v", [i / cuts for i in range(1, cuts)], 0.25 / cuts)
+    splits = [-math.inf, *sorted(set(edges)), math.inf]
+
+    def add(rows: DataFrame, column: str) -> DataFrame:
+        if len(splits) < 3:
+            return rows.withColumn("_chunk", F.lit(0))
+        bucketizer = Bucketizer(splits=splits, inputCol="_number", outputCol="_chunk", handleInvalid="keep")
+        return bucketizer.transform(rows.withColumn("_number", number(rows, column))).drop("_number")
+    return add
+
+
 def previous_value(
-    df: DataFrame, group: list[str], order: list[str], chunk: Column, value: str, name: str, direction: int = -1,
+    df: DataFrame, group: list[str], order: str, chunk: Chunker, value: str, name: str,
 ) -> DataFrame:
-    """The value of the row before (after, with ``direction=1``) inside an ordered group.
+    """The value of the row before inside an ordered group.
 
-    ``chunk`` is a bucket of the order column. Rows are windowed per (group, chunk); only one
+    ``chunk`` buckets the order column. Rows are windowed per (group, chunk); only one
     summary row per chunk is windowed per group to carry values across chunk borders, so a group
     holding a third of the table is still spread over all its chunks.
     """
     keys = [*group, "_chunk"]
-    rows = df.withColumn("_chunk", chunk)
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    rows = chunk(df, order)
     boxed = F.struct(F.col(value).alias("v"))
-    if direction < 0:
-        inner, edge = F.lag(boxed), F.max_by(F.struct(F.col(value).alias("v")), key)
-        across = F.lag("_edge")
-    else:
-        inner, edge = F.lead(boxed), F.min_by(F.struct(F.col(value).alias("v")), key)
-        across = F.lead("_edge")
-    rows = rows.withColumn("_inner", inner.over(Window.partitionBy(*keys).orderBy(*order)))
-    chunks = rows.groupBy(*keys).agg(edge.alias("_edge"))
-    by_group = Window.partitionBy(*group).orderBy("_chunk")
-    chunks = chunks.select(*keys, across.over(by_group).alias("_across"))
-    joined = rows.join(chunks, keys, "left")
+    rows = rows.withColumn("_inner", F.lag(boxed).over(Window.partitionBy(*keys).orderBy(order)))
+    chunks = rows.groupBy(*keys).agg(F.max_by(boxed, order).alias("_edge"))
+    across = F.lag("_edge").over(Window.partitionBy(*group).orderBy("_chunk"))
+    joined = rows.join(chunks.select(*keys, across.alias("_across")), keys, "left")
     return joined.withColumn(name, F.coalesce("_inner", "_across")["v"]).drop("_chunk", "_inner", "_across")
 
 
 def following_event(
-    asked: DataFrame, events: DataFrame, key: str, since: str, at: str, chunk, name: str,
+    asked: DataFrame, events: DataFrame, key: str, since: str, at: str, chunk: Chunker, name: str,
 ) -> DataFrame:
     """Adds to ``asked`` the time of the first event of the same key at or after ``since`` (null without one).
 
@@ -64,11 +108,12 @@ def following_event(
     columns = asked.columns
     rows = asked.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.col(since).alias("_t"), F.lit(None).cast(events.schema[at].dataType).alias("_e"))
     marks = events.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_t"), F.col(at).alias("_e")).distinct()
-    merged = rows.unionByName(marks).withColumn("_chunk", chunk(F.col("_t")))
-    ahead = Window.partitionBy("_key", "_chunk").orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    merged = chunk(rows.unionByName(marks), "_t")
+    # latest first: a frame growing from the start is one pass, a frame shrinking to the end is not
+    ahead = Window.partitionBy("_key", "_chunk").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = merged.withColumn("_inside", F.min("_e").over(ahead)).filter(F.col("_row").isNotNull())
     firsts = merged.groupBy("_key", "_chunk").agg(F.min("_e").alias("_first"))
-    later = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = firsts.select("_key", "_chunk", F.min("_first").over(later).alias("_later"))
     found = inside.join(carried, ["_key", "_chunk"])
     return found.select("_row.*", F.coalesce("_inside", "_later").alias(name))

@@ -7,13 +7,13 @@ a failure replaces its own output instead of adding to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tunefathom.operators.features import apply_map, knn_of_new, standardise
 from tunefathom.operators.matching import already_saved
 from tunefathom.operators.playlists import upsert_links
-from tunefathom.plans.shapes import previous_value
+from tunefathom.plans.shapes import Chunker, chunks_of, previous_value
 from tunefathom.sources.library import failure_rows
 from tunefathom.session import settled
 
@@ -74,14 +74,14 @@ STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update ti
 FINISHED = "finished"
 
 
-def merge_stages(view: DataFrame, updates: DataFrame, chunk: Column | None = None) -> DataFrame:
+def merge_stages(view: DataFrame, updates: DataFrame, chunk: Chunker | None = None) -> DataFrame:
     """A stage view (STAGE_VIEW) brought forward by a batch of updates (job_id, stage, ts).
 
     The batch is first reduced to one row per job: its first and last stage and its last change. An update
     that repeats the known stage keeps the known start.
     """
-    chunk = F.floor(F.unix_seconds("ts") / 3600) if chunk is None else chunk
-    rows = previous_value(updates.filter(F.col("stage").isNotNull()).select("job_id", "stage", "ts"), ["job_id"], ["ts"], chunk, "stage", "_before")
+    chunk = chunks_of(lambda t: F.floor(F.unix_seconds(t) / 600)) if chunk is None else chunk
+    rows = previous_value(updates.filter(F.col("stage").isNotNull()).select("job_id", "stage", "ts"), ["job_id"], "ts", chunk, "stage", "_before")
     changed = F.col("_before").isNotNull() & (F.col("stage") != F.col("_before"))
     jobs = rows.groupBy("job_id").agg(
         F.min_by("stage", "ts").alias("_first"), F.min("ts").alias("_start"), F.max_by("stage", "ts").alias("_stage"),
