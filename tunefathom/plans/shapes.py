@@ -128,7 +128,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 10000, also: list[Column] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 1000, also: list[Column] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group, without holding a group in one task.
 
     A mergeable sketch brackets every wanted rank; only values inside a bracket (about four parts in
