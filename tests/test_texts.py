@@ -166,3 +166,20 @@ def test_canonical_name_prefers_the_full_credit(spark):
                                  "query_id int, position int, hit_title string, hit_artist string, sort_name string")
     row = ca.canonical_name(queries, hits).first()
     assert (row["title"], row["artist"]) == ("Gymnopédie no. 1", "Satie")
+
+
+def test_similarity_and_candidate_ids(spark):
+    import difflib
+    names = [("dont stop me now", "don t stop me now"), ("abc", "xyz"), ("", "a"), ("shallow", "shallow")]
+    got = apply(spark, tx.sequence_ratio, names)
+    assert all(abs(g - difflib.SequenceMatcher(None, a, b).ratio()) < 1e-12 for g, (a, b) in zip(got, names))
+    pairs(spark, tx.title_similar, [(("Hello", "Hello (Live)"), True), (("Hello", "Goodbye"), False), (("", "x"), False), (("Colour", "Color"), True)])
+    tracks = spark.createDataFrame([("t", "Don’t Stop (feat. Z) - Remastered 2009", ["B", "A"])], "track_id string, title string, artists array<string>")
+    assert ma.with_candidates(tracks).first()["candidates"] == [song_key("Don't Stop", "B"), song_key("Don't Stop", "A")]
+    sample = rk.random_sample(spark.range(100), 10, seed=3).collect()
+    assert len({r[0] for r in sample}) == 10
+
+
+def test_shared_folder_follows_the_session(spark):
+    from tunefathom.session import shared_folder, work_path
+    assert work_path(spark, "x").startswith(shared_folder(spark)) and work_path(spark, "x") != work_path(spark, "x")

@@ -38,14 +38,18 @@ def build_session(app: str = "tunefathom", master: str | None = None, shuffle_pa
     return apply_defaults(builder.getOrCreate())
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a fresh local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="tunefathom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tunefathom-")
+    return _LOCAL_FOLDERS[application]
 
 
 def work_path(spark: SparkSession, purpose: str) -> str:
