@@ -212,7 +212,7 @@ def _tag_genres(t: Tables):
 
 
 @query("e11_first_with_genres", """
-    WITH l AS (SELECT o_custkey AS song_id, o_orderkey AS position, o_orderkey % 5 = 0 AS has, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d,
+    WITH l AS (SELECT o_custkey AS song_id, o_orderkey AS position, o_orderpriority = '3-MEDIUM' AS has, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d,
         CASE WHEN o_orderkey % 4 = 1 THEN 'alb' || o_orderkey END AS album_id, 'guest' || o_orderkey AS featured FROM orders),
     u AS (SELECT * FROM (SELECT *, min(position) FILTER (WHERE has) OVER (PARTITION BY song_id) AS stop FROM l) WHERE stop IS NULL OR position <= stop)
     SELECT song_id, min(position) FILTER (WHERE has) AS genre_recording_id, coalesce(min(d) FILTER (WHERE length(d) = 10), min(d)) AS release_date, arg_min(featured, position) AS featured,
@@ -222,7 +222,7 @@ def _first_genres(t: Tables):
     date = F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy")).when(k % 3 == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
     lookups = t.orders.select(F.col("o_custkey").alias("song_id"), k.alias("position"), k.alias("recording_id"), date.alias("release_date"), F.concat(F.lit("guest"), k).alias("featured"),
                               F.when(k % 4 == 1, F.concat(F.lit("alb"), k)).otherwise("").alias("album_id"), F.lit("Album").alias("album"))
-    genres = t.orders.filter("o_orderkey % 5 = 0").select(k.alias("recording_id"), F.lit(1).alias("place"), F.lit("rock").alias("name"))
+    genres = t.orders.filter("o_orderpriority = '3-MEDIUM'").select(k.alias("recording_id"), F.lit(1).alias("place"), F.lit("rock").alias("name"))
     return ca.first_with_genres(lookups, genres).drop("album")
 
 
@@ -262,12 +262,12 @@ def _merge(t: Tables):
 
 
 @query("e18_apply_recording_identity", """
-    WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'rec' || o_custkey END AS rec FROM orders),
+    WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'rec' || o_custkey END AS rec, o_orderpriority AS p FROM orders),
     own AS (SELECT rec, min(k) AS a, max(k) AS b FROM o WHERE rec IS NOT NULL GROUP BY rec),
-    x AS (SELECT o.*, k % 4 = 0 AS asked, coalesce(a <> k OR b <> k, false) AS taken FROM o LEFT JOIN own ON own.rec = 'rec' || c)
+    x AS (SELECT o.*, p = '2-HIGH' AS asked, coalesce(a <> k OR b <> k, false) AS taken FROM o LEFT JOIN own ON own.rec = 'rec' || c)
     SELECT k AS song_id, CASE WHEN asked AND NOT taken THEN 'New' ELSE 'Old' END AS title, CASE WHEN asked AND NOT taken THEN 'rec' || c ELSE rec END AS recording_id, asked AND taken AS conflict FROM x""")
 def _apply_identity(t: Tables):
     rec = F.concat(F.lit("rec"), "o_custkey")
     songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.lit("Old").alias("title"), F.lit("A").alias("artist"), F.when(F.col("o_orderstatus") == "F", rec).alias("recording_id"))
-    wanted = t.orders.filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"))
+    wanted = t.orders.filter("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"))
     return ca.apply_recording_identity(songs, wanted).select("song_id", "title", "recording_id", "conflict")

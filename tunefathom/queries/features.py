@@ -72,7 +72,7 @@ def _map_neighbours(t: Tables):
 
 
 @query("m8_knn_copies", f"""
-    WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS song_id, min(l_quantity) AS q, min(floor(l_discount * 20)) AS d FROM lineitem WHERE l_tax = 0.08 GROUP BY 1),
+    WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS song_id, min(l_quantity) AS q, min(floor(l_discount * 20)) AS d FROM lineitem GROUP BY 1),
     g AS (SELECT q, d, song_id FROM v QUALIFY row_number() OVER (PARTITION BY q, d ORDER BY song_id) <= 4),
     c AS (SELECT DISTINCT q, d FROM v),
     n AS (SELECT c.q, c.d, g.song_id AS neighbor_id, sqrt((c.q - g.q) ** 2 + (c.d - g.d) ** 2) AS distance FROM c, g
@@ -81,7 +81,7 @@ def _map_neighbours(t: Tables):
     FROM v JOIN n USING (q, d) WHERE neighbor_id <> v.song_id QUALIFY rank <= 3""")
 def _knn_copies(t: Tables):
     # two coarse features: nearly every song has exact copies
-    songs = t.lineitem.filter("l_tax = 0.08").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("song_id")).agg(
+    songs = t.lineitem.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("song_id")).agg(
         F.array(F.min("l_quantity"), F.min(F.floor(F.col("l_discount") * 20)).cast("double")).alias("features"))
     return fe.knn(songs, 3).withColumn("distance", rounded(F.col("distance"), 4))
 

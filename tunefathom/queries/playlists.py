@@ -117,11 +117,11 @@ def _elapsed(t: Tables):
 
 
 @query("j11_playlist_view", f"""
-    SELECT import_id AS playlist_id, position, 'Track ' || track_id AS title, 'A' || track_id || ', B' AS artists, CASE WHEN track_id % 3 > 0 THEN track_id // 2 END AS song_id FROM ({_TRACKS_SQL}) WHERE import_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+    SELECT import_id AS playlist_id, position, 'Track ' || track_id AS title, 'A' || track_id || ', B' AS artists, CASE WHEN track_id IN (SELECT p_partkey FROM part WHERE p_size > 15) THEN track_id // 2 END AS song_id FROM ({_TRACKS_SQL}) WHERE import_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
     UNION ALL SELECT playlist_id, position, p_name, p_brand, song_id FROM ({_LINKS_SQL}) JOIN part ON p_partkey = song_id WHERE playlist_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
 def _view(t: Tables):
     entries = _tracks(t).select(F.col("import_id").alias("playlist_id"), "position", "track_id", F.concat(F.lit("Track "), "track_id").alias("title"), F.array(F.concat(F.lit("A"), "track_id"), F.lit("B")).alias("artists"))
-    resolved = t.part.filter("p_partkey % 3 > 0").select(F.col("p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
+    resolved = t.part.filter("p_size > 15").select(F.col("p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
     playlists = t.orders.select(F.col("o_orderkey").alias("playlist_id"), (F.col("o_orderstatus") != "P").alias("has_tracks"))
     songs = t.part.select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
     return pl.playlist_view(entries, resolved, playlists, _links(t), songs)
