@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import numeric as nu
-from tunefathom.operators.filters import valid_series
+from tunefathom.operators.filters import is_valid_series
 from tunefathom.plans.shapes import exact_quantiles, one_row
 from tunefathom.session import settled
 
@@ -31,9 +31,10 @@ def resampled(values: Column, duration: Column, feature: str, mode: str) -> Colu
 
 def resample_long(songs: DataFrame, feature: str, mode: str, values: str = "values", duration: str = "duration_seconds", song: str = "song_id") -> DataFrame:
     """``(song_id, position, value)`` of every usable song; narrow, nothing is shuffled."""
-    usable = valid_series(songs, values, duration)
-    # the outer form, as the plain one would add a filter that resamples every song a second time
-    return usable.select(song, F.posexplode_outer(resampled(F.col(values), F.col(duration), feature, mode)).alias("position", "value"))
+    # Validity is part of the expression and empty results go afterwards: a filter in front, or the one the plain
+    # posexplode adds, would compute a derived series a second time.
+    usable = F.when(is_valid_series(F.col(values), F.col(duration)), resampled(F.col(values), F.col(duration), feature, mode))
+    return songs.select(song, F.posexplode_outer(usable).alias("position", "value")).filter(F.col("position").isNotNull())
 
 
 def with_centres(songs: DataFrame, feature: str, values: str = "values", song: str = "song_id") -> DataFrame:
