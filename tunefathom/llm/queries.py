@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tunefathom.llm import quality_rules
+from tunefathom.llm import bpe, quality_rules, records, sharding
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
 
@@ -32,3 +33,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op6(spark, folder):
     judged = quality_rules.quality_rules(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_sharding", sharding.sql())
+def op4(spark, folder):
+    return sharding.assign_shards(table(spark, folder, "documents"), "doc_id").select("doc_id", "slot", "shard")
+
+
+@query("op9_bpe")
+def op9(spark, folder):
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), columns).select("doc_id", *columns)
+
+
+@query("op10_token_records")
+def op10(spark, folder):
+    return records.round_trip(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
