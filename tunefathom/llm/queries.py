@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, quality_rules, records, sharding
+from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding
+from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
 
@@ -50,3 +51,11 @@ def op9(spark, folder):
 @query("op10_token_records")
 def op10(spark, folder):
     return records.round_trip(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op7_quality_classifier")
+def op7(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    sample = labelled_sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, quality_cnn.PER_CLASS)
+    scored = quality_cnn.score_texts(docs.select("doc_id", "text"), quality_cnn.train(sample))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
