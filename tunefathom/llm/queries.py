@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding
+from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding, toxicity
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
@@ -59,3 +59,11 @@ def op7(spark, folder):
     sample = labelled_sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, quality_cnn.PER_CLASS)
     scored = quality_cnn.score_texts(docs.select("doc_id", "text"), quality_cnn.train(sample))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_toxicity")
+def op8(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
