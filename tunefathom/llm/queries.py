@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding, toxicity
+from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
@@ -67,3 +67,9 @@ def op8(spark, folder):
     model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
     scored = toxicity.score_texts(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_url_templates", url_templates.sql())
+def op5(spark, folder):
+    judged = url_templates.judge_urls(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
