@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
+from tunefathom.llm import bpe, decontamination, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
@@ -73,3 +73,8 @@ def op8(spark, folder):
 def op5(spark, folder):
     judged = url_templates.judge_urls(table(spark, folder, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query("op1_decontamination")
+def op1(spark, folder):
+    return decontamination.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
