@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, decontamination, line_dedup, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
+from tunefathom.llm import bpe, decontamination, jaccard_join, line_dedup, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
@@ -85,3 +85,8 @@ def op2(spark, folder):
     found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
                         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+@query("op3_jaccard_join", jaccard_join.sql())
+def op3(spark, folder):
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"), n=3, a=90, b=100)
