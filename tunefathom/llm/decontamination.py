@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Every three-word sequence of the benchmark is counted over all documents.
-2. In each stretch of ``WINDOW`` neighbouring sequences of an item the rarest is kept as a seed. However common an
-   item's words are, and however often it was copied, every part of it keeps a seed; no frequency is cut off.
+2. Rare sequences are seeds, and in each stretch of ``WINDOW`` neighbouring sequences of an item the rarest one.
+   However common an item's words are, and however often it was copied, every part of it keeps a seed.
 3. Where a document has a seed, the passage around it that the item would cover is aligned with the item by
    Smith-Waterman over words (match 2, mismatch -1, gap -1), which bridges substituted, lost and added words.
    The score is relative to a perfect copy of the whole item.
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tunefathom.llm.bpe import text_slices
 
 GRAM, WINDOW, MIN_WORDS = 3, 4, 5
+#: A sequence is rare in up to so many documents, or up to this share of all.
+RARE_DOCUMENTS, RARE_SHARE = 100, 1e-4
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Share of a perfect copy's score from which a passage counts as taken from the item.
 MIN_SCORE = 0.5
@@ -91,32 +93,40 @@ def grams(w: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, block, size: int) -> np.ndarray:
-    """In how many documents each sequence of the block occurs. At most one row per sequence leaves a task."""
+    """In how many documents each sequence of the block occurs, and the number of documents last.
+
+    At most one row per sequence leaves a task.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Block = block.value
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size + 1, dtype=np.int64)
         for batch in text_slices(batches, "text"):
+            total[size] += batch.num_rows
             for text in batch.column("text").to_pylist():
                 total[np.unique(known.places(known.encode(text))[1])] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    counts = np.zeros(size, dtype=np.int64)
+    counts = np.zeros(size + 1, dtype=np.int64)
     for row in docs.select("text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[row["gram"]] = row["n"]
     return counts
 
 
 def seeds(block: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rarest sequence of every window of every item: seed row, and by seed (first, count) of item and place."""
+    """By sequence of the block: where its entries begin, how many they are; by entry: the item and the place in it.
+
+    Sequences that are no seeds have no entries.
+    """
     rows, owners, places = [], [], []
+    rare = np.flatnonzero(counts[:-1] <= max(RARE_DOCUMENTS, RARE_SHARE * counts[-1]))
     for i, (_, w) in enumerate(block.items):
         row = np.searchsorted(block.keys, grams(w))
         n = counts[row]
         width = min(WINDOW, len(row))
         low = np.lib.stride_tricks.sliding_window_view(n, width).argmin(axis=1) + np.arange(len(row) - width + 1)
         # a sequence that stands several times in an item is a seed at all its places
-        at = np.flatnonzero(np.isin(row, row[np.unique(low)]))
+        at = np.flatnonzero(np.isin(row, np.append(rare, row[low])))
         rows.append(row[at]), owners.append(np.full(len(at), i)), places.append(at)
     row, owner, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, owners, places))
     order = np.lexsort((place, owner, row))
