@@ -29,7 +29,7 @@ def test_previous_value_across_chunks(spark):
     random.seed(2)
     rows = [(g, t, random.choice(["a", "b", None])) for g in ("x", "y") for t in sorted(random.sample(range(1000), 200))]
     df = spark.createDataFrame(rows, "g string, t int, v string").repartition(5)
-    for chunk in (shapes.chunks_of(lambda t: F.floor(t / 7)), shapes.even_chunks(df, "t", 20)):
+    for chunk in (shapes.chunks_of(lambda t: F.floor(t / 7)), shapes.even_chunks(df, "t", 15)):
         got = {(r["g"], r["t"]): r["p"] for r in shapes.previous_value(df, ["g"], "t", chunk, "v", "p").collect()}
         for g in ("x", "y"):
             mine = [(t, v) for k, t, v in rows if k == g]

@@ -56,6 +56,8 @@ INSTRUMENT_FAMILIES = {
     "other": [],
 }
 JOB_STAGES = ["analyzing", "trimming", "downloading", "searching", "waiting", "queued"]
+# models that report both classes; their series is the first one
+FIRST_CLASS_SERIES = ["approachability", "engagement", "voice_instrumental", "gender"]
 POSITIVE_CLASS_FIRST = ["mood_happy", "mood_aggressive", "mood_acoustic", "mood_electronic"]
 
 # --- numeric constants ------------------------------------------------------------

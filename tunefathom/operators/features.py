@@ -15,6 +15,7 @@ from tunefathom.session import settled
 # Upper bounds of what is sent to every task: pivots of the space, and rows per compared block.
 MAX_PIVOTS = 256
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 32_000_000
 
 
 def feature_statistics(songs: DataFrame, keys: list[str], zero_is_missing: bool = True) -> DataFrame:
@@ -184,22 +185,31 @@ def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vecto
         song, (F.col("_pos") + 1).alias("rank"), "_e.neighbor_id", "_e.distance")
 
 
-def knn_of_new(new: DataFrame, library: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Neighbours of a bounded set of new songs among the library plus themselves.
+def knn_of_new(new: DataFrame, library: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Neighbours of new songs among the library plus themselves.
 
-    The new rows are checked to fit one block per task and sent to the library's partitions; larger
-    sets go through :func:`knn` over the union instead.
+    The new songs are dealt by hash into blocks of about ``block_rows`` rows and ``block_bytes`` bytes; each block is
+    sent to the library's partitions, which are only read. Every block costs one pass over the library.
     """
-    if new.limit(block_rows + 1).count() > block_rows:
-        everything = library.select(song, vector).unionByName(new.select(song, vector))
-        return knn(everything, k, song, vector).join(new.select(song), song, "left_semi")
-    asked = new.select(song, vector).collect()
     id_type = dict(new.dtypes)[song]
     schema = f"{song} {id_type}, neighbor_id {id_type}, distance double"
-    if not asked:
-        return new.sparkSession.createDataFrame([], f"{song} {id_type}, rank int, neighbor_id {id_type}, distance double")
-    names = np.array([r[song] for r in asked], dtype=object)
-    points = np.array([r[vector] for r in asked], dtype=float)
+    asked = settled(new.select(F.col(song), F.col(vector)), "asked-songs")
+    everything = library.select(song, vector).unionByName(asked)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    rows = max(1, min(block_rows, block_bytes // (8 * max(size["width"] or 1, 1))))
+    blocks = -(-size["n"] // rows)
+    pairs = new.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64(song), F.lit(blocks)) == b).collect()
+        if part:
+            pairs = pairs.unionByName(_nearest_of(part, everything, k, song, vector, schema))
+    return top_n(pairs.filter(F.col(song) != F.col("neighbor_id")), [song], ["distance", "neighbor_id"], k).select(song, "rank", "neighbor_id", "distance")
+
+
+def _nearest_of(part: list, everything: DataFrame, k: int, song: str, vector: str, schema: str) -> DataFrame:
+    """The ``k + 1`` closest rows to each of a block of songs, from every record batch."""
+    names = np.array([r[song] for r in part], dtype=object)
+    points = np.array([r[vector] for r in part], dtype=float)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,9 +218,7 @@ def knn_of_new(new: DataFrame, library: DataFrame, k: int = fv.NEIGHBOURS, song:
                 qi, di, dist = _closest(points, np.stack(batch[vector].to_numpy()).astype(float), ids, k + 1)
                 yield pd.DataFrame({song: names[qi], "neighbor_id": ids[di], "distance": dist})
 
-    everything = library.select(song, vector).unionByName(new.select(song, vector))
-    pairs = everything.mapInPandas(scan, schema).filter(F.col(song) != F.col("neighbor_id"))
-    return top_n(pairs, [song], ["distance", "neighbor_id"], k).select(song, "rank", "neighbor_id", "distance")
+    return everything.mapInPandas(scan, schema)
 
 
 def fit_map(features: DataFrame, dimensions: int, vector: str = "features") -> dict:

@@ -171,18 +171,26 @@ def without_accents_lines(lines: Column) -> Column:
     return tx.without_accents(F.translate(F.lower(tx.plain_quotes(lines)), "$'", "s"))
 
 
-def order_candidates(tracks: DataFrame, hits: DataFrame, track: str = "track_id") -> DataFrame:
-    """Topic uploads first, then the closest length, then input order; adds ``place``."""
+def _trial_order() -> list[Column]:
     topic = F.endswith(F.lower(F.coalesce("uploader", F.lit(""))), F.lit(fv.TOPIC_SUFFIX))
     off = F.coalesce(F.abs(F.col("duration") - F.nullif(F.col("duration_ms"), F.lit(0)) / 1000), F.lit(0.0))
+    return [F.when(topic, 0).otherwise(1), off, F.col("input_pos")]
+
+
+def order_candidates(tracks: DataFrame, hits: DataFrame, track: str = "track_id") -> DataFrame:
+    """Topic uploads first, then the closest length, then input order; adds ``place``."""
     rows = hits.join(tracks.select(track, "duration_ms"), track)
-    return place_in_group(rows, [track], [F.when(topic, 0).otherwise(1), off, F.col("input_pos")], "place").drop("duration_ms")
+    return place_in_group(rows, [track], _trial_order(), "place").drop("duration_ms")
 
 
-def first_fitting(fitting: DataFrame, attempts: int = 3, track: str = "track_id", tier: str = "tier") -> DataFrame:
-    """Hits of the first tier that has any, in order; at most three are tried."""
+def first_fitting(fitting: DataFrame, tracks: DataFrame, attempts: int = 3, track: str = "track_id", tier: str = "tier") -> DataFrame:
+    """Hits of the first tier that has any, in the order they are tried (topic uploads, closest length, input order).
+
+    ``tracks``: track_id, duration_ms. At most ``attempts`` hits of a track are kept, on the map side already.
+    """
     best = fitting.groupBy(track).agg(F.min(tier).alias(tier))
-    return top_n(fitting.join(best, [track, tier], "left_semi"), [track], ["input_pos"], attempts, "attempt")
+    rows = fitting.join(best, [track, tier], "left_semi").join(tracks.select(track, "duration_ms"), track)
+    return top_n(rows, [track], _trial_order(), attempts, "attempt").drop("duration_ms")
 
 
 def _numerals(text: Column) -> Column:

@@ -26,22 +26,19 @@ def top_genre(labels: DataFrame, song: str = "song_id", label: str = "label", sc
     return labels.filter(F.col(score).isNotNull()).groupBy(song).agg(first.alias("_f")).select(song, "_f.*")
 
 
-def queue_moves(queue: DataFrame, list_id: str, position: str, item: str) -> DataFrame:
-    """Next and previous item of every queue position, wrapping around (positions are 0, 1, 2, ...).
+def queue_moves(queue: DataFrame, list_id: str, position: str, item: str, chunk: Chunker | None = None) -> DataFrame:
+    """Next and previous item of every queue position, wrapping around; positions may have gaps but not repeat.
 
-    Neighbours come from an equi join on (list, position), so one endless queue still spreads over all tasks;
+    Neighbours are carried from chunk to chunk of the positions, so one endless queue still spreads over all tasks;
     only the first and the last item of a queue are gathered, by aggregation.
     """
-    ends = queue.groupBy(list_id).agg(
-        F.min_by(item, position).alias("_first"), F.max_by(item, position).alias("_last"),
-        F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-    after = queue.select(list_id, (F.col(position) - 1).alias(position), F.col(item).alias("next_item"))
-    after = after.filter(F.col(position) >= 0).unionByName(ends.select(list_id, F.col("_hi").alias(position), F.col("_first").alias("next_item")))
-    before = queue.select(list_id, (F.col(position) + 1).alias(position), F.col(item).alias("previous_item"))
-    wrap = ends.select(list_id, F.col("_lo").alias(position), F.col("_last").alias("previous_item"))
-    keys = [list_id, position]
-    # the row shifted past the end finds no partner in an inner join on the queue's own positions
-    return queue.join(after, keys).join(before.unionByName(wrap), keys)
+    chunk = even_chunks(queue, position) if chunk is None else chunk
+    ends = queue.groupBy(list_id).agg(F.min_by(item, position).alias("_first"), F.max_by(item, position).alias("_last"))
+    behind = previous_value(queue, [list_id], position, chunk, item, "_before")
+    backwards = behind.withColumn("_back", -F.col(position))
+    flipped = lambda rows, order: chunk(rows, position).withColumn("_chunk", -F.col("_chunk"))
+    both = previous_value(backwards, [list_id], "_back", flipped, item, "_after").drop("_back")
+    return both.join(ends, list_id).select(*queue.columns, F.coalesce("_after", "_first").alias("next_item"), F.coalesce("_before", "_last").alias("previous_item"))
 
 
 def start_of_queue(queue: DataFrame, list_id: str, position: str, item: str) -> DataFrame:

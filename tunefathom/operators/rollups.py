@@ -63,14 +63,23 @@ def class_scores(patches: DataFrame, song: str = "song_id", model: str = "model"
 
 
 def class_series(patches: DataFrame, song: str = "song_id", model: str = "model", index: str = "patch_idx", probs: str = "probs") -> DataFrame:
-    """The chosen class's value of every patch, in long form (rows keep their order column)."""
-    return patches.select(song, model, index, rounded(F.get(F.col(probs), positive_index(F.col(model))).cast("double"), 4).alias("value"))
+    """The chosen class's value of every patch, in long form (rows keep their order column).
+
+    Models that report both classes have the first one as their series.
+    """
+    chosen = F.when(F.col(model).isin(fv.FIRST_CLASS_SERIES), 0).otherwise(positive_index(F.col(model)))
+    return patches.select(song, model, index, rounded(F.get(F.col(probs), chosen).cast("double"), 4).alias("value"))
 
 
 def arousal_valence(patches: DataFrame, song: str = "song_id", pair: str = "probs") -> DataFrame:
-    """Mean valence and arousal (first and second entry of a patch), as predicted."""
+    """Mean arousal and valence (first and second entry of a patch), as predicted."""
     return patches.groupBy(song).agg(
-        rounded(F.avg(F.get(F.col(pair), F.lit(0))), 4).alias("valence"), rounded(F.avg(F.get(F.col(pair), F.lit(1))), 4).alias("arousal"))
+        rounded(F.avg(F.get(F.col(pair), F.lit(0))), 4).alias("arousal"), rounded(F.avg(F.get(F.col(pair), F.lit(1))), 4).alias("valence"))
+
+
+def arousal_valence_series(patches: DataFrame, song: str = "song_id", index: str = "patch_idx", pair: str = "probs") -> DataFrame:
+    """Arousal and valence of every patch, in long form."""
+    return patches.select(song, index, *[rounded(F.get(F.col(pair), F.lit(i)).cast("double"), 4).alias(name) for i, name in enumerate(("arousal", "valence"))])
 
 
 def class_means(patches: DataFrame, labels: list[str], song: str = "song_id", probs: str = "probs") -> DataFrame:
@@ -118,30 +127,39 @@ def music_span(segments: DataFrame, song: str = "song_id", index: str = "idx", l
 
 # --- chorus -----------------------------------------------------------------------
 
-_ROWS_AT_ONCE = 256
+def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
+    return np.diff(np.concatenate([[0.0], values.cumsum()])[np.add.outer([0, width], np.arange(len(values) - width + 1))], axis=0)[0]
 
 
-def _best_repeats(windows: np.ndarray, apart: int) -> np.ndarray:
-    """Highest similarity of each unit-length window to any window more than ``apart`` away.
+def _section(signals: np.ndarray, width: int) -> int:
+    """Start of the window that recurs most and is loud, from standardised signals (rows are seconds).
 
-    A block of rows is multiplied with the windows after it, and both sides keep their maxima; memory is one block.
+    Windows are compared lag by lag: the products of each second with the one ``lag`` later, summed over windows,
+    are all similarities of that lag. No window matrix is built.
     """
-    best = np.full(len(windows), -1.0)
-    for start in range(0, len(windows), _ROWS_AT_ONCE):
-        rows = windows[start:start + _ROWS_AT_ONCE]
-        later = windows[start + apart + 1:]
-        if not len(later):
-            break
-        similarity = rows @ later.T
-        near = np.arange(min(len(rows), len(later)))[None, :] < np.arange(len(rows))[:, None]
-        similarity[:, :near.shape[1]][near] = -1.0
-        best[start:start + len(rows)] = np.maximum(best[start:start + len(rows)], similarity.max(1))
-        best[start + apart + 1:] = np.maximum(best[start + apart + 1:], similarity.max(0))
+    seconds = len(signals)
+    starts = seconds - width
+    length = np.sqrt(_window_sums((signals**2).sum(1), width)[:starts]) + fv.CHORUS_EPSILON
+    alike = np.full(starts, -1.0)
+    for lag in range(width + 1, starts):
+        pairs = _window_sums((signals[lag:] * signals[:-lag]).sum(1), width)[:starts - lag] / (length[lag:] * length[:starts - lag])
+        np.maximum(alike[:starts - lag], pairs, out=alike[:starts - lag])
+        np.maximum(alike[lag:], pairs, out=alike[lag:])
+    loud = signals[:, 0]
+    share = (_window_sums(loud, width)[:starts] / width - loud.min()) / (loud.max() - loud.min() + fv.CHORUS_EPSILON)
+    edge = max(fv.CHORUS_EDGE_SECONDS, int(seconds * fv.CHORUS_EDGE_SHARE))
+    if starts - 2 * edge < 1:
+        return 0
+    best = edge + int((fv.CHORUS_REPETITION_WEIGHT * alike + fv.CHORUS_ENERGY_WEIGHT * share)[edge:starts - edge].argmax())
+    # the same section may come earlier; the first place counts
+    for start in range(edge, best - width):
+        if (signals[start:start + width] * signals[best:best + width]).sum() / (length[start] * length[best]) >= alike[best] * fv.CHORUS_SAME_SECTION:
+            return start
     return best
 
 
 def _chorus_start(series: list, duration: float | None) -> int | None:
-    """Start second of one song's most recurring, energetic window."""
+    """Start second of one song's chorus; the middle of a short song, nothing of one shorter than two windows."""
     if duration is None or duration <= 0:
         return None
     width = fv.CHORUS_SECONDS
@@ -151,23 +169,8 @@ def _chorus_start(series: list, duration: float | None) -> int | None:
         return None
     if length < fv.CHORUS_MIN_ANALYSABLE_SECONDS:
         return max(0, (length - width) // 2)
-    m = np.column_stack([c[:length] for c in columns])
-    m = (m - m.mean(0)) / (m.std(0) + fv.CHORUS_EPSILON)
-    count = length - width
-    windows = np.lib.stride_tricks.sliding_window_view(m, width, axis=0)[:count].reshape(count, -1)
-    windows = windows / (np.linalg.norm(windows, axis=1, keepdims=True) + fv.CHORUS_EPSILON)
-    best = _best_repeats(windows, width)
-    energy = (m[:, 0] - m[:, 0].min()) / (np.ptp(m[:, 0]) + fv.CHORUS_EPSILON)
-    score = fv.CHORUS_REPETITION_WEIGHT * best + fv.CHORUS_ENERGY_WEIGHT * np.convolve(energy, np.full(width, 1.0 / width), "valid")[:count]
-    edge = max(fv.CHORUS_EDGE_SECONDS, int(length * fv.CHORUS_EDGE_SHARE))
-    score[:edge] = -1.0
-    score[max(0, count - edge):] = -1.0
-    top = int(np.argmax(score))
-    # the first window that is the same section: close enough to the winner, and not overlapping it
-    earlier = windows[edge:max(edge, top)] @ windows[top]
-    earlier[max(0, top - width - edge):] = -1.0
-    same = np.nonzero(earlier >= best[top] * fv.CHORUS_SAME_SECTION)[0]
-    return edge + int(same[0]) if len(same) else top
+    signals = np.stack([(c[:length] - c[:length].mean()) / (c[:length].std() + fv.CHORUS_EPSILON) for c in columns], axis=1)
+    return _section(signals, width)
 
 
 def chorus_segment(songs: DataFrame, series: list[str], duration: str = "duration_seconds", song: str = "song_id") -> DataFrame:

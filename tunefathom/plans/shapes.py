@@ -57,16 +57,18 @@ def chunks_of(bucket: Callable[[Column], Column]) -> Chunker:
     return lambda rows, order: rows.withColumn("_chunk", bucket(F.col(order)))
 
 
-def even_chunks(df: DataFrame, order: str, cuts: int = 1000) -> Chunker:
+def even_chunks(df: DataFrame, order: str, rows_per_chunk: int = 50_000) -> Chunker:
     """Adds ``_chunk`` such that every chunk holds about equally many rows of ``df``, whatever their spread.
 
-    The cuts are approximate quantiles: one bounded list on the driver, searched by bisection in the JVM.
+    The cuts are approximate quantiles, one number per ``rows_per_chunk`` rows on the driver, searched by bisection
+    in the JVM.
     """
     def number(rows: DataFrame, column: str) -> Column:
         kind = dict(rows.dtypes)[column]
         return (F.unix_micros(F.col(column).cast("timestamp")) if "timestamp" in kind else F.col(column)).cast("double")
 
-    edges = df.select(number(df, order).alias("v")).approxQuantile("v", [i / cuts for i in range(1, cuts)], 0.25 / cuts)
+    cuts = -(-df.count() // rows_per_chunk)
+    edges = df.select(number(df, order).alias("v")).approxQuantile("v", [i / cuts for i in range(1, cuts)], 0.25 / cuts) if cuts > 1 else []
     splits = [-math.inf, *sorted(set(edges)), math.inf]
 
     def add(rows: DataFrame, column: str) -> DataFrame:
@@ -119,15 +121,6 @@ def following_event(
     return found.select("_row.*", F.coalesce("_inside", "_later").alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out to all of them; others stay as they are.
-
-    For scans feeding heavy per-row work. Input large enough to fill the cluster is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = 1000, also: list[Column] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group, without holding a group in one task.
 

@@ -215,11 +215,13 @@ def _top_genre(t: Tables):
 # --- ordered lists ----------------------------------------------------------------
 
 @query("w7_queue_moves", """
-    SELECT event_id, coalesce(lead(user_id) OVER (ORDER BY event_id), first_value(user_id) OVER (ORDER BY event_id)) AS next_item,
-        coalesce(lag(user_id) OVER (ORDER BY event_id), last_value(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_item FROM events""")
+    SELECT event_id, coalesce(lead(user_id) OVER (PARTITION BY g ORDER BY event_id), first_value(user_id) OVER (PARTITION BY g ORDER BY event_id)) AS next_item,
+        coalesce(lag(user_id) OVER (PARTITION BY g ORDER BY event_id), last_value(user_id) OVER (PARTITION BY g ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_item
+    FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 10 + user_id % 5 END AS g FROM events)""")
 def _queue_moves(t: Tables):
-    # the whole table is one queue
-    queue = t.events.select(F.lit(1).alias("list_id"), F.col("event_id").alias("position"), "user_id")
+    # one queue holds a third of the table; the positions of all have gaps
+    owner = F.when(F.col("event_id") % 3 == 0, 1).otherwise(10 + F.col("user_id") % 5)
+    queue = t.events.select(owner.alias("list_id"), F.col("event_id").alias("position"), "user_id")
     return rk.queue_moves(queue, "list_id", "position", "user_id").select(F.col("position").alias("event_id"), "next_item", "previous_item")
 
 

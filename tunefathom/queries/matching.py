@@ -126,10 +126,10 @@ def _order(t: Tables):
 
 
 @query("o5_first_fitting", f"""
-    SELECT track_id, input_pos, row_number() OVER (PARTITION BY track_id ORDER BY input_pos) AS attempt FROM (
+    SELECT track_id, input_pos, row_number() OVER (PARTITION BY track_id {_ORDER_SQL}) AS attempt FROM (
         SELECT *, min(tier) OVER (PARTITION BY track_id) AS best FROM ({_FITS_SQL})) WHERE tier = best QUALIFY attempt <= 3""")
 def _first_fitting(t: Tables):
-    return ma.first_fitting(ma.candidate_fits(_tracks(t), _hits(t))).select("track_id", "input_pos", "attempt")
+    return ma.first_fitting(ma.candidate_fits(_tracks(t), _hits(t)), _tracks(t)).select("track_id", "input_pos", "attempt")
 
 
 @query("j9_identity_matches", """

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tunefathom.plans.shapes import spread
 from tunefathom.session import apply_defaults
 
 
@@ -31,8 +30,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table dealt out to all cores where its files have too few splits, for heavy work per row."""
-        return spread(getattr(self, name))
+        """A table dealt out to the session's shuffle partitions: the driver writes files of one split, and the work per row is heavy."""
+        return getattr(self, name).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def query(name: str, sql: str | None = None) -> Callable:

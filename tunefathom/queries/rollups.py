@@ -61,17 +61,18 @@ def _chord_stats(t: Tables):
     return ro.chord_stats(_frames(t))
 
 
-_MODELS = ["mood_happy", "mood_sad", "mood_aggressive", "mood_party", "mood_relaxed"]
+_MODELS = ["mood_happy", "mood_sad", "mood_aggressive", "mood_party", "mood_relaxed", "approachability", "engagement", "voice_instrumental", "gender"]
 
 
 def _patches(t: Tables):
     names = F.array(*[F.lit(m) for m in _MODELS])
-    return t.embeddings.select((F.col("label") % 3).alias("song_id"), F.get(names, (F.col("vec_id") % 5).cast("int")).alias("model"), F.col("vec_id").alias("patch_idx"), F.col("embedding").alias("probs"))
+    return t.embeddings.select((F.col("label") % 3).alias("song_id"), F.get(names, (F.col("vec_id") % 9).cast("int")).alias("model"), F.col("vec_id").alias("patch_idx"), F.col("embedding").alias("probs"))
 
 
 _PATCHES_SQL = f"""
-    SELECT label % 3 AS song_id, list_extract({_MODELS}, vec_id % 5 + 1) AS model, vec_id AS patch_idx, embedding[1]::DOUBLE AS p0, embedding[2]::DOUBLE AS p1,
-        CASE WHEN vec_id % 5 IN (0, 2) THEN embedding[1]::DOUBLE ELSE embedding[2]::DOUBLE END AS chosen FROM embeddings"""
+    SELECT label % 3 AS song_id, list_extract({_MODELS}, vec_id % 9 + 1) AS model, vec_id AS patch_idx, embedding[1]::DOUBLE AS p0, embedding[2]::DOUBLE AS p1,
+        CASE WHEN vec_id % 9 IN (0, 2) THEN embedding[1]::DOUBLE ELSE embedding[2]::DOUBLE END AS chosen,
+        CASE WHEN vec_id % 9 IN (0, 2, 5, 6, 7, 8) THEN embedding[1]::DOUBLE ELSE embedding[2]::DOUBLE END AS shown FROM embeddings"""
 
 
 @query("a22_class_scores", f"""
@@ -80,16 +81,21 @@ def _class_scores(t: Tables):
     return ro.class_scores(_patches(t))
 
 
-@query("a22_class_series", f"SELECT song_id, model, patch_idx, {sql_round('chosen', 4)} AS value FROM ({_PATCHES_SQL})")
+@query("a22_class_series", f"SELECT song_id, model, patch_idx, {sql_round('shown', 4)} AS value FROM ({_PATCHES_SQL})")
 def _class_series(t: Tables):
     return ro.class_series(_patches(t))
 
 
-@query("a23_arousal_valence", f"SELECT song_id, {sql_round('avg(p0)', 4)} AS valence, {sql_round('avg(p1)', 4)} AS arousal FROM ({_PATCHES_SQL}) GROUP BY 1")
+@query("a23_arousal_valence", f"SELECT song_id, {sql_round('avg(p0)', 4)} AS arousal, {sql_round('avg(p1)', 4)} AS valence FROM ({_PATCHES_SQL}) GROUP BY 1")
 def _arousal(t: Tables):
     return ro.arousal_valence(_patches(t))
 
 
+@query("a23_arousal_valence_series", f"SELECT song_id, patch_idx, {sql_round('p0', 4)} AS arousal, {sql_round('p1', 4)} AS valence FROM ({_PATCHES_SQL})")
+def _arousal_series(t: Tables):
+    return ro.arousal_valence_series(_patches(t))
+
+
 _CLASSES = [f"G{i % 9}---D{i}" for i in range(64)]
 
 

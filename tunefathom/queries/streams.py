@@ -93,5 +93,5 @@ def _suggestions(t: Tables):
 def _failures(t: Tables):
     out, checkpoint = _paths(t, "failures")
     jobs.stream_failures(failure_stream(_stream(t, "events")), out, checkpoint).awaitTermination()
-    return t.spark.read.schema("source string, label string, video_id string, status string, reason string, detail string").parquet(out).withColumn(
+    return t.spark.read.schema("source string, label string, video_id string, status string, reason string, detail string, title string, artist string, song_id string").parquet(out).withColumn(
         "event_id", F.col("video_id").cast("bigint")).drop("video_id")

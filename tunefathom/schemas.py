@@ -44,9 +44,9 @@ RELEASE = (f"struct<title: string, status: string, date: string, `artist-credit`
            "`release-group`: struct<id: string, title: string, `primary-type`: string, `secondary-types`: array<string>>>")
 RECORDING_SEARCH = ("query_id string, count bigint, recordings array<struct<id: string, title: string, score: int, "
                     f"`artist-credit`: {_CREDIT}, releases: array<{RELEASE}>>>")
-PLAYLIST_PAGE = ("playlist_id string, items array<struct<track: struct<id: string, name: string, type: string, is_local: boolean, "
-                 "duration_ms: bigint, external_ids: struct<isrc: string>, artists: array<struct<name: string>>, "
-                 "album: struct<id: string, name: string, artists: array<struct<name: string>>>>>>")
+_TRACK = ("struct<id: string, name: string, type: string, is_local: boolean, duration_ms: bigint, external_ids: struct<isrc: string>, "
+          "artists: array<struct<name: string>>, album: struct<id: string, name: string, artists: array<struct<name: string>>>>")
+PLAYLIST_PAGE = f"playlist_id string, page int, items array<struct<item: {_TRACK}, track: {_TRACK}>>"
 SIMILAR_TRACKS = "array<struct<name: string, match: string, artist: string>>"
 ANALYSIS_RESULT = ("title string, artist string, recording_id string, metadata_source string, original_name string, video_id string, "
                    f"dsp struct<{DSP.split(', ', 1)[1]}>, profile struct<{PROFILE.split(', ', 1)[1]}>, moods struct<{MOODS.split(', ', 1)[1]}>, "

@@ -42,10 +42,17 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh local one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Without the setting only a local master gets a folder of its own: elsewhere every executor would write to its
+    own disk, and later reads would see a part of the rows.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tunefathom-")

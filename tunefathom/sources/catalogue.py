@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tunefathom import schemas
 from tunefathom.functions import text as tx
@@ -16,13 +16,23 @@ def scan_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def flatten_playlist_items(pages: DataFrame) -> DataFrame:
-    """``(playlist_id, position, track_id, ...)`` of playlist pages; episodes, local files and incomplete rows are left out."""
-    rows = pages.select("playlist_id", F.posexplode("items").alias("position", "_i")).withColumn("_t", F.col("_i.track"))
-    artists = F.filter(F.transform("_t.artists", lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
-    usable = (F.col("_t.type") == "track") & ~F.coalesce("_t.is_local", F.lit(False)) & (F.coalesce("_t.id", F.lit("")) != "") & (
-        F.coalesce("_t.name", F.lit("")) != "") & (F.size(artists) > 0)
-    return rows.filter(usable).select(
-        "playlist_id", "position", F.col("_t.id").alias("track_id"), F.col("_t.name").alias("title"), artists.alias("artists"),
+    """``(playlist_id, position, track_id, ...)`` of playlist pages; episodes, local files and incomplete rows are left out.
+
+    An entry holds its track as ``item`` or as ``track``. Positions number the kept tracks over all pages of a playlist;
+    only the pages' counts are ordered, not the tracks.
+    """
+    def names(of) -> Column:
+        return F.filter(F.transform(of["artists"], lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
+
+    def usable(t) -> Column:
+        return F.coalesce((t["type"] == "track") & ~F.coalesce(t["is_local"], F.lit(False)) & (F.coalesce(t["id"], F.lit("")) != "") & (
+            F.coalesce(t["name"], F.lit("")) != "") & (F.size(names(t)) > 0), F.lit(False))
+    kept = pages.select("playlist_id", "page", F.filter(F.transform("items", lambda i: F.coalesce(i["item"], i["track"])), usable).alias("_tracks"))
+    before = Window.partitionBy("playlist_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.withColumn("_before", F.coalesce(F.sum(F.size("_tracks")).over(before), F.lit(0)))
+    rows = placed.select("playlist_id", "_before", F.posexplode("_tracks").alias("_at", "_t"))
+    return rows.select(
+        "playlist_id", (F.col("_before") + F.col("_at")).cast("int").alias("position"), F.col("_t.id").alias("track_id"), F.col("_t.name").alias("title"), names(F.col("_t")).alias("artists"),
         F.col("_t.duration_ms").alias("duration_ms"), F.col("_t.external_ids.isrc").alias("isrc"), F.col("_t.album.id").alias("album_id"),
         F.col("_t.album.name").alias("album_name"),
         F.filter(F.transform("_t.album.artists", lambda a: a["name"]), lambda n: n.isNotNull() & (n != "")).alias("album_artists"))
@@ -40,7 +50,7 @@ def recordings(search: DataFrame) -> DataFrame:
         "query_id", "position", F.col("_r.id").alias("recording_id"), F.col("_r.title").alias("hit_title"),
         tx.plain_quotes(F.get(names, F.lit(0))).alias("hit_artist"),
         F.coalesce(F.get(F.col("_r.artist-credit"), F.lit(0))["artist"]["sort-name"], F.lit("")).alias("sort_name"),
-        F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))).alias("featured"), F.col("_r.score").alias("score"))
+        F.transform(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), tx.plain_quotes).alias("featured"), F.col("_r.score").alias("score"))
 
 
 def releases(search: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,20 +74,25 @@ def releases(search: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(F.coalesce(own_name, F.lit(False)), F.col("artist")).otherwise(F.coalesce(by["name"], by["artist"]["name"])).alias("release_artist"))
 
 
+def _name_of(field: Column) -> Column:
+    """An artist given as text, or as an object with a name."""
+    return F.when(F.startswith(F.trim(field), F.lit("{")), F.get_json_object(field, "$.name")).otherwise(field)
+
+
 def similar_tracks(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Up to five similar tracks per document; a single object counts as a list of one, a missing match as 0."""
     rows = documents.select(key, F.slice(json_list(F.col(text), schemas.SIMILAR_TRACKS), 1, 5).alias("_s"))
     return rows.select(key, F.posexplode("_s").alias("position", "_e")).select(
-        key, "position", F.col("_e.name").alias("title"), tx.none_if_empty(F.col("_e.artist")).alias("artist"),
+        key, "position", F.col("_e.name").alias("title"), tx.none_if_empty(_name_of(F.col("_e.artist"))).alias("artist"),
         rounded(F.coalesce(F.col("_e.match").try_cast("double"), F.lit(0.0)), 4).alias("similarity"))
 
 
 def track_info(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Title, guests, counts (0 when missing) and normalised date of track documents."""
-    schema = "name string, artist struct<name: string>, album struct<title: string>, playcount string, listeners string, mbid string, url string, wiki struct<published: string>"
+    schema = "name string, artist string, album struct<title: string>, playcount string, listeners string, mbid string, url string, wiki struct<published: string>"
     t = F.from_json(F.get_json_object(text, "$.track"), schema)
     return documents.select(key, t.alias("_t")).select(
-        key, F.col("_t.name").alias("title"), tx.none_if_empty(F.col("_t.artist.name")).alias("artist"), tx.parse_featured(F.col("_t.name")).alias("featured"),
+        key, F.col("_t.name").alias("title"), tx.none_if_empty(_name_of(F.col("_t.artist"))).alias("artist"), tx.parse_featured(F.col("_t.name")).alias("featured"),
         tx.none_if_empty(F.col("_t.album.title")).alias("album"), tx.normalize_date(F.col("_t.wiki.published")).alias("release_date"),
         F.coalesce(F.col("_t.playcount").try_cast("bigint"), F.lit(0)).alias("playcount"),
         F.coalesce(F.col("_t.listeners").try_cast("bigint"), F.lit(0)).alias("listeners"),

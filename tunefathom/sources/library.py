@@ -8,11 +8,9 @@ from tunefathom import fixed_values as fv, schemas
 from tunefathom.functions import text as tx
 from tunefathom.functions.udfs import song_id
 from tunefathom.operators.filters import failure_reason
-from tunefathom.plans.shapes import top_n
 from tunefathom.session import settled
 
 TABLES = {"songs": schemas.SONGS, **schemas.ONE_TO_ONE, **{t: schemas.LABELS for t in schemas.LABEL_TABLES}, "artists": schemas.ARTISTS}
-LABELS_PER_SONG = 12
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -31,11 +29,10 @@ def song_wide(songs: DataFrame, *tables: DataFrame, key: str = "song_id") -> Dat
     return songs
 
 
-def nested_labels(labels: DataFrame, name: str, n: int = LABELS_PER_SONG, song: str = "song_id", label: str = "label", score: str = "score") -> DataFrame:
-    """One array of the first ``n`` labels per song, best first; never more than ``n`` rows meet in a group."""
-    best = top_n(labels, [song], [F.desc(score), F.col(label)], n, "_r")
-    entries = F.array_sort(F.collect_list(F.struct("_r", F.col(label).alias("label"), F.col(score).alias("score"))))
-    return best.groupBy(song).agg(F.transform(entries, lambda e: F.struct(e["label"], e["score"])).alias(name))
+def nested_labels(labels: DataFrame, name: str, song: str = "song_id", label: str = "label", score: str = "score") -> DataFrame:
+    """One array of all labels per song, best first; a song has at most one row per class of its model."""
+    order = F.struct(F.col(score).isNull().alias("_n"), (-F.col(score)).alias("_s"), F.col(label).alias("label"), F.col(score).alias("score"))
+    return labels.groupBy(song).agg(F.transform(F.array_sort(F.collect_list(order)), lambda e: F.struct(e["label"], e["score"])).alias(name))
 
 
 def scan_songs(spark: SparkSession, root: str) -> DataFrame:
@@ -84,36 +81,41 @@ def audio_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(wanted).withColumn("basename", name).orderBy(path)
 
 
-def split_results(results: DataFrame, songs: DataFrame, artists: DataFrame) -> dict[str, DataFrame]:
-    """Nested analysis results as library tables.
+def new_songs(results: DataFrame, songs: DataFrame, order: str | None = None) -> DataFrame:
+    """Results of songs not stored yet, one per song id: the first by ``order``, ties (or no order) by their values.
 
-    Results without title or artist and songs already stored are left out; of repeated songs one arrives.
-    An artist's row appears only when the artist is new.
+    Results without title or artist are left out.
     """
     named = results.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("artist", F.lit("")) != ""))
-    keyed = named.withColumn("song_id", song_id(F.col("title"), F.col("artist"))).dropDuplicates(["song_id"])
-    fresh = keyed.join(songs.select("song_id"), "song_id", "left_anti")
-    out = {"songs": fresh.select("song_id", "title", "artist", "recording_id", "metadata_source", F.lit(False).alias("reviewed"), "original_name", "video_id")}
+    columns = [order, *[c for c in results.columns if c != order]] if order else results.columns
+    keyed = named.select(song_id(F.col("title"), F.col("artist")).alias("song_id"), F.struct(*columns).alias("_row"))
+    return keyed.groupBy("song_id").agg(F.min("_row").alias("_row")).join(songs.select("song_id"), "song_id", "left_anti").select("song_id", "_row.*")
+
+
+def split_results(fresh: DataFrame, artists: DataFrame) -> dict[str, DataFrame]:
+    """Nested results of :func:`new_songs` as library tables, songs last; an artist's row appears only when the artist is new."""
+    out = {}
     for name in schemas.ONE_TO_ONE:
         out[name] = fresh.filter(F.col(name).isNotNull()).select("song_id", f"{name}.*")
     for name in schemas.LABEL_TABLES:
-        out[name] = fresh.select("song_id", F.inline(name)).dropDuplicates(["song_id", "label"])
-    out["artists"] = fresh.filter(F.col("artist_info").isNotNull()).select("artist", "artist_info.*").dropDuplicates(["artist"]).join(
-        artists.select("artist"), "artist", "left_anti")
+        out[name] = fresh.select("song_id", F.inline(name)).groupBy("song_id", "label").agg(F.max("score").alias("score"))
+    told = fresh.filter(F.col("artist_info").isNotNull()).groupBy("artist").agg(F.min_by("artist_info", "song_id").alias("_info"))
+    out["artists"] = told.join(artists.select("artist"), "artist", "left_anti").select("artist", "_info.*")
+    out["songs"] = fresh.select("song_id", "title", "artist", "recording_id", "metadata_source", F.lit(False).alias("reviewed"), "original_name", "video_id")
     return out
 
 
-def write_songs(results: DataFrame, root: str) -> None:
+def write_songs(results: DataFrame, root: str, order: str | None = None) -> None:
     """Append analysis results to the library below ``root``.
 
-    The rows to add are settled once, so all tables see the same songs even if a stage is retried.
+    The chosen rows are settled once, so all tables take a song's rows from the same result. ``songs`` is written
+    last: after a failure a second run finds the song missing and adds what is not there yet, table by table.
     """
     spark = results.sparkSession
-    songs, artists = read_table(spark, root, "songs"), read_table(spark, root, "artists")
-    settled_results = settled(results, "analysis-results")
-    known = settled(songs.select("song_id"), "known-songs")
-    for name, rows in split_results(settled_results, known, settled(artists.select("artist"), "known-artists")).items():
-        rows.write.mode("append").parquet(f"{root}/{name}")
+    fresh = settled(new_songs(results, read_table(spark, root, "songs"), order), "new-songs")
+    for name, rows in split_results(fresh, settled(read_table(spark, root, "artists").select("artist"), "known-artists")).items():
+        there = settled(read_table(spark, root, name).select(F.col(rows.columns[0]).alias("_there")).distinct(), "stored-ids")
+        rows.join(there, F.col(rows.columns[0]) == F.col("_there"), "left_anti").write.mode("append").parquet(f"{root}/{name}")
 
 
 def create_library(spark: SparkSession, root: str) -> None:
@@ -126,12 +128,20 @@ truncate_library = create_library
 
 
 def failure_rows(results: DataFrame) -> DataFrame:
-    """Log rows of results that were not saved; labels cut to 512 characters, reasons to 64, status to 16."""
+    """Log rows of results that were not saved; labels cut to 512 characters, reasons to 64, status to 16.
+
+    ``title``, ``artist``, ``song_id`` and ``note`` may be missing; a note follows the detail in brackets.
+    """
+    def given(name: str) -> Column:
+        return F.col(name).cast("string") if name in results.columns else F.lit(None).cast("string")
     split = failure_reason(F.col("reason"), F.col("message"))
-    rows = results.filter(F.coalesce(F.col("status") != "saved", F.lit(True))).withColumn("_f", split)
+    rows = results.filter(F.coalesce(F.col("status") != "saved", F.lit(True))).withColumns({"_f": split, "_note": tx.none_if_empty(given("note"))})
+    detail = tx.none_if_empty(F.col("_f.detail"))
+    noted = F.when(F.col("_note").isNull(), F.col("_f.detail")).when(detail.isNull(), F.col("_note")).otherwise(F.concat(detail, F.lit(" ("), "_note", F.lit(")")))
     return rows.select("source", F.substring("label", 1, 512).alias("label"), "video_id",
                        F.substring(F.coalesce(tx.none_if_empty(F.col("status")), F.lit("error")), 1, 16).alias("status"),
-                       F.substring("_f.reason", 1, 64).alias("reason"), "_f.detail")
+                       F.substring("_f.reason", 1, 64).alias("reason"), noted.alias("detail"), tx.none_if_empty(given("title")).alias("title"),
+                       tx.none_if_empty(given("artist")).alias("artist"), given("song_id").alias("song_id"))
 
 
 def write_failures(results: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tunefathom.operators.features import apply_map, knn_of_new, standardise
 from tunefathom.operators.matching import already_saved
 from tunefathom.operators.playlists import upsert_links
-from tunefathom.plans.shapes import Chunker, chunks_of, previous_value
+from tunefathom.plans.shapes import Chunker, even_chunks, previous_value
 from tunefathom.sources.library import failure_rows
 from tunefathom.session import settled
 
@@ -72,16 +72,21 @@ def stream_add_songs(
 
 STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"
 FINISHED = "finished"
+#: How long, in event time, a finished job is remembered, so that updates that come late do not bring it back.
+REMEMBERED = "1 day"
 
 
-def merge_stages(view: DataFrame, updates: DataFrame, chunk: Chunker | None = None) -> DataFrame:
+def merge_stages(view: DataFrame, updates: DataFrame, chunk: Chunker | None = None, remembered: str = REMEMBERED) -> DataFrame:
     """A stage view (STAGE_VIEW) brought forward by a batch of updates (job_id, stage, ts).
 
     The batch is first reduced to one row per job: its first and last stage and its last change. An update
-    that repeats the known stage keeps the known start.
+    that repeats the known stage keeps the known start; one older than what is known of its job is left out.
+    Finished jobs stay in the view until ``remembered`` before the newest update.
     """
-    chunk = chunks_of(lambda t: F.floor(F.unix_seconds(t) / 600)) if chunk is None else chunk
-    rows = previous_value(updates.filter(F.col("stage").isNotNull()).select("job_id", "stage", "ts"), ["job_id"], "ts", chunk, "stage", "_before")
+    chunk = even_chunks(updates, "ts") if chunk is None else chunk
+    timely = updates.filter(F.col("stage").isNotNull()).select("job_id", "stage", "ts").join(
+        view.select("job_id", F.col("last_update").alias("_known")), "job_id", "left").filter(F.col("_known").isNull() | (F.col("ts") >= F.col("_known")))
+    rows = previous_value(timely.drop("_known"), ["job_id"], "ts", chunk, "stage", "_before")
     changed = F.col("_before").isNotNull() & (F.col("stage") != F.col("_before"))
     jobs = rows.groupBy("job_id").agg(
         F.min_by("stage", "ts").alias("_first"), F.min("ts").alias("_start"), F.max_by("stage", "ts").alias("_stage"),
@@ -89,32 +94,43 @@ def merge_stages(view: DataFrame, updates: DataFrame, chunk: Chunker | None = No
     both = view.join(jobs, "job_id", "full")
     since = F.coalesce("_change", F.when(F.col("_first") == F.col("stage"), F.col("stage_since")), "_start")
     touched = F.col("_stage").isNotNull()
-    return both.select(
+    merged = both.select(
         "job_id", F.when(touched, F.col("_stage")).otherwise(F.col("stage")).alias("stage"), F.when(touched, since).otherwise(F.col("stage_since")).alias("stage_since"),
-        F.coalesce("_last", "last_update").alias("last_update")).filter(F.col("stage") != FINISHED)
+        F.coalesce("_last", "last_update").alias("last_update"))
+    newest = updates.select(F.col("ts").alias("t")).unionByName(view.select(F.col("last_update").alias("t"))).agg(F.max("t")).scalar()
+    return merged.filter((F.col("stage") != FINISHED) | (F.col("last_update") >= newest - F.expr(f"interval {remembered}")))
+
+
+def _newest_batch(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The highest batch (below ``before``) that a stream has written whole, from the folders and not from their rows."""
+    if not _exists(spark, path):
+        return None
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+    numbers = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and _exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max((n for n in numbers if before is None or n < before), default=None)
+
+
+def _stage_view(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    batch = _newest_batch(spark, path, before)
+    return spark.createDataFrame([], STAGE_VIEW) if batch is None else spark.read.schema(STAGE_VIEW).parquet(_batch_path(path, batch))
 
 
 def stream_job_stage(updates: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Latest stage per running job: each batch writes the view as it then stands, finished jobs left out.
+    """Latest stage per job: each batch writes the view as it then stands; read it with :func:`current_stages`.
 
-    ``updates``: job_id, stage, ts. Only the view of the batch before is read, which holds running jobs only.
+    ``updates``: job_id, stage, ts. Only the view of the batch before is read: running jobs and those finished lately.
     """
     def advance(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = _batch_path(path, batch_id - 1)
-        view = spark.read.schema(STAGE_VIEW).parquet(earlier) if _exists(spark, earlier) else spark.createDataFrame([], STAGE_VIEW)
-        merge_stages(view, batch).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        batch = settled(batch, "stage-updates")
+        merge_stages(_stage_view(batch.sparkSession, path, batch_id), batch).write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
     return _start(updates, advance, checkpoint, trigger)
 
 
 def current_stages(spark: SparkSession, path: str) -> DataFrame:
-    """The newest view a stage stream has written."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], STAGE_VIEW)
-    rows = spark.read.schema(f"{STAGE_VIEW}, batch bigint").parquet(path)
-    newest = rows.agg(F.max("batch").alias("b")).scalar()
-    return rows.filter(F.col("batch") == newest).drop("batch")
+    """The running jobs of the newest view a stage stream has written."""
+    return _stage_view(spark, path).filter(F.col("stage") != FINISHED)
 
 
 def stream_dedup_songs(arrivals: DataFrame, library: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
