@@ -149,8 +149,9 @@ def ordered_union(*lists: Column) -> Column:
 
 def final_featured(artist: Column, names: Column) -> Column:
     """Names that are neither the main artist nor a caseless repeat of an earlier one."""
-    return F.filter(names, lambda n, i: (casefold(n) != casefold(artist)) & ~F.exists(
-        F.slice(names, 1, F.coalesce(i, F.lit(0))), lambda earlier: casefold(earlier) == casefold(n)))
+    def first_of_each(box: Column) -> Column:
+        return F.filter(names, lambda n, i: (casefold(n) != box["artist"]) & (F.array_position(box["names"], casefold(n)) == i + 1))
+    return let(F.struct(F.transform(names, casefold).alias("names"), casefold(artist).alias("artist")), first_of_each)
 
 
 def dedup_featured(names: Column) -> Column:

@@ -151,7 +151,8 @@ def liked_version(liked: DataFrame, user: str = "user_id") -> DataFrame:
 
 
 def import_elapsed(imports: DataFrame, now: Column) -> DataFrame:
-    """Running or finished time in the largest fitting unit, and each status's share of the import.
+    """Running or finished time in the largest fitting unit with the rest in the next one (3 hours 5, 1 day 2), and
+    each status's share of the import.
 
     ``imports``: import_id, created_at, finished_at, total and the status counts.
     """
@@ -159,7 +160,8 @@ def import_elapsed(imports: DataFrame, now: Column) -> DataFrame:
     minutes = F.greatest(F.floor(seconds / 60), F.lit(0))
     unit = F.when(minutes < 60, "minutes").when(minutes < 1440, "hours").otherwise("days")
     amount = F.when(minutes < 60, minutes).when(minutes < 1440, F.floor(minutes / 60)).otherwise(F.floor(minutes / 1440))
-    return imports.select("import_id", amount.alias("amount"), unit.alias("unit"), *[
+    rest = F.when(minutes < 60, F.lit(0)).when(minutes < 1440, minutes % 60).otherwise(F.floor(minutes % 1440 / 60))
+    return imports.select("import_id", amount.alias("amount"), unit.alias("unit"), rest.alias("rest"), *[
         (F.col(s) / F.greatest("total", F.lit(1))).alias(f"{s}_share") for s in STATUSES])
 
 

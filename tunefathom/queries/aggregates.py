@@ -8,7 +8,7 @@ from tunefathom import fixed_values as fv
 from tunefathom.functions import numeric as nu
 from tunefathom.operators import aggregates as ag, ranking as rk
 from tunefathom.plans.shapes import rounded
-from tunefathom.queries.registry import LABELS_SQL, SONGS_SQL, Tables, labels_from_lineitem, query, songs_from_part, sql_round
+from tunefathom.queries.registry import LABELS_SQL, SONGS_SQL, Tables, key_if, labels_from_lineitem, query, songs_from_part, sql_round
 
 
 @query("a1_song_count", "SELECT count(*) AS songs FROM lineitem")
@@ -92,7 +92,7 @@ def _ranked_moods(t: Tables):
         F.array_join(F.transform(rk.ranked_moods(moods), lambda e: e["mood"]), ">").alias("ranking"))
 
 
-_YEARS_SQL = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) NOT IN (1997, 1998)"
+_YEARS_SQL = "SELECT CAST(CASE WHEN year(o_orderdate) IN (1997, 1998) THEN 1996 ELSE year(o_orderdate) END AS INTEGER) AS year FROM orders"
 
 
 @query("a8_release_years", f"""
@@ -100,7 +100,7 @@ _YEARS_SQL = "SELECT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHER
     LEFT JOIN (SELECT year, count(*) AS n FROM ({_YEARS_SQL}) GROUP BY year) c ON c.year = y""")
 def _release_years(t: Tables):
     years = t.orders.select(nu.release_year(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year"))
-    return ag.release_years(years.filter(~F.col("year").isin(1997, 1998)))
+    return ag.release_years(years.withColumn("year", F.when(F.col("year").isin(1997, 1998), 1996).otherwise(F.col("year"))))
 
 
 @query("a9_top_artists", """
@@ -300,8 +300,8 @@ def _union_recordings(t: Tables):
         AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)""")
 def _pool_add(t: Tables):
     video = F.col("l_partkey").alias("video_id")
-    return rk.pool_add(t.lineitem.filter("l_quantity >= 46").select(video), t.lineitem.filter("l_returnflag = 'A'").select(video),
-                       t.part.filter("p_size > 40").select(F.col("p_partkey").alias("video_id")))
+    return rk.pool_add(t.lineitem.select(key_if("l_quantity >= 46", "l_partkey").alias("video_id")), t.lineitem.filter("l_returnflag = 'A'").select(video),
+                       t.part.select(key_if("p_size > 40", "p_partkey").alias("video_id")))
 
 
 # --- scalar functions -------------------------------------------------------------

@@ -52,11 +52,11 @@ def _best_match(t: Tables):
     return ca.best_match(rows.withColumn("position", F.col("result_id")))
 
 
-_COMPOSER_SQL = "SELECT DISTINCT l_orderkey AS recording_id, l_partkey AS work_id FROM lineitem WHERE l_quantity < 20"
+_COMPOSER_SQL = "SELECT DISTINCT l_orderkey AS recording_id, l_partkey AS work_id FROM lineitem"
 
 
 def _composer_rows(t: Tables):
-    performances = t.lineitem.filter("l_quantity < 20").select(F.col("l_orderkey").alias("recording_id"), F.col("l_partkey").alias("work_id"), F.col("l_partkey").alias("work_pos")).distinct()
+    performances = t.lineitem.select(F.col("l_orderkey").alias("recording_id"), F.col("l_partkey").alias("work_id"), F.col("l_partkey").alias("work_pos")).distinct()
     credits = t.part.select(F.col("p_partkey").alias("work_id"), F.explode(F.array(
         F.struct(F.lit(0).alias("credit_pos"), F.concat(F.lit("Johann "), F.translate("p_brand", "#", "")).alias("composer")),
         F.struct(F.lit(1).alias("credit_pos"), F.concat(F.lit("Maria "), F.col("p_type")).alias("composer")))).alias("_c")).select("work_id", "_c.*")

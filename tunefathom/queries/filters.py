@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunefathom.functions import numeric as nu
 from tunefathom.operators import aggregates as ag, filters as fi
-from tunefathom.queries.registry import LABELS_SQL, SONGS_SQL, Tables, labels_from_lineitem, query, songs_from_part, sql_round
+from tunefathom.queries.registry import LABELS_SQL, SONGS_SQL, Tables, key_if, labels_from_lineitem, query, songs_from_part, sql_round
 
 
 @query("f1_search", f"""
@@ -157,7 +157,7 @@ def _identity_verdict(t: Tables):
     WHERE p_size <> 7""")
 def _scatter(t: Tables):
     songs = t.part.select(F.col("p_partkey").alias("song_id"), F.col("p_size").cast("double").alias("x"), F.try_divide("p_retailprice", F.col("p_size") - 7).alias("y"))
-    edges = t.lineitem.filter("l_quantity >= 49").select(F.col("l_partkey").alias("song_id"), F.col("l_suppkey").alias("neighbor_id")).distinct()
+    edges = t.lineitem.select(key_if("l_quantity >= 49", "l_partkey").alias("song_id"), F.col("l_suppkey").alias("neighbor_id")).distinct()
     return fi.scatter_with_neighbours(songs, edges, "x", "y").withColumn("y", F.round(F.round("y", 12), 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunefathom.operators import filters as fi, matching as ma
 from tunefathom.plans.shapes import rounded
-from tunefathom.queries.registry import Tables, query, sql_round
+from tunefathom.queries.registry import Tables, key_if, name_if, query, sql_round
 from tunefathom.queries.texts import _VIDEOS_PARSED_SQL, videos
 
 
@@ -14,8 +14,7 @@ from tunefathom.queries.texts import _VIDEOS_PARSED_SQL, videos
     SELECT c_custkey, coalesce(lower(c_name) IN (SELECT lower('customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'), false) AS has_audio
     FROM customer""")
 def _has_audio(t: Tables):
-    files = t.orders.filter("o_orderstatus = 'F' and o_orderpriority = '5-LOW'").select(
-        F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("basename"))
+    files = t.orders.select(name_if("o_orderstatus = 'F' and o_orderpriority = '5-LOW'", F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("basename"))
     songs = t.customer.select("c_custkey", F.when(F.col("c_nationkey") >= 0, F.col("c_name")).alias("filename"))
     return ma.with_audio(songs, files).select("c_custkey", "has_audio")
 
@@ -26,7 +25,7 @@ def _has_audio(t: Tables):
 def _already_saved(t: Tables):
     new = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("song_id"),
                           F.when(F.col("o_orderpriority") != "5-LOW", F.floor("o_totalprice")).alias("recording_id"))
-    songs = t.lineitem.filter("l_tax > 0.06").select((F.col("l_suppkey") * 7).alias("song_id"), F.when(F.col("l_returnflag") != "N", F.floor("l_extendedprice")).alias("recording_id"))
+    songs = t.lineitem.select(key_if("l_tax > 0.06", F.col("l_suppkey") * 7).alias("song_id"), F.when(F.col("l_returnflag") != "N", key_if("l_tax > 0.06", F.floor("l_extendedprice"))).alias("recording_id"))
     return ma.already_saved(new, songs).select("row_id")
 
 
@@ -41,9 +40,9 @@ _RESOLVE_SQL = """
 def resolve_inputs(t: Tables):
     part = F.col("l_partkey")
     tracks = t.lineitem.select(part.alias("track_id"), F.array(part, part + 3, part + 6).alias("candidates"))
-    imports = t.lineitem.filter("l_returnflag = 'A' and l_quantity > 44").select(
-        (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_suppkey")).alias("id"), part.alias("track_id"), (F.col("l_suppkey") * 3).alias("song_id"))
-    songs = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("song_id"))
+    imports = t.lineitem.select(
+        (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_suppkey")).alias("id"), key_if("l_returnflag = 'A' and l_quantity > 44", part).alias("track_id"), (F.col("l_suppkey") * 3).alias("song_id"))
+    songs = t.part.select(key_if("p_size > 25", "p_partkey").alias("song_id"))
     return tracks, imports, songs
 
 
@@ -64,8 +63,8 @@ def _candidates(t: Tables):
     SELECT video_id FROM v JOIN raw USING (video_id) WHERE EXISTS (SELECT 1 FROM lib WHERE (t = lower(title) AND a = lower(artist))
         OR (k <> 3 AND contains(' ' || lower(words) || ' ', ' ' || t || ' ') AND contains(' ' || lower(words) || ' ', ' ' || a || ' ')))""")
 def _in_library(t: Tables):
-    songs = t.part.filter("p_size > 45").select(F.concat("p_name", F.lit(" [Deluxe]")).alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
-    plain = t.part.filter("p_size > 45").select(F.col("p_name").alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
+    songs = t.part.select(name_if("p_size > 45", F.concat("p_name", F.lit(" [Deluxe]"))).alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
+    plain = t.part.select(name_if("p_size > 45", "p_name").alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
     return ma.in_library(videos(t), songs.unionByName(plain))
 
 
@@ -79,13 +78,13 @@ def _heard(t: Tables):
 
 @query("j7_title_in_library", f"SELECT video_id FROM ({_HEARD_SQL}) WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey IN (0, 3) AND contains(lower(video_title), lower(n_name)))")
 def _title_known(t: Tables):
-    titles = t.nation.filter("n_regionkey in (0, 3)").select(F.concat(F.lit(" "), "n_name").alias("title"))
+    titles = t.nation.select(F.concat(F.lit(" "), name_if("n_regionkey in (0, 3)", "n_name")).alias("title"))
     return ma.title_in_library(_heard(t), titles, keep_known=True).select("video_id")
 
 
 @query("j7_title_not_in_library", f"SELECT video_id FROM ({_HEARD_SQL}) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey IN (0, 3) AND contains(lower(video_title), lower(n_name)))")
 def _title_unknown(t: Tables):
-    titles = t.nation.filter("n_regionkey in (0, 3)").select(F.col("n_name").alias("title"))
+    titles = t.nation.select(name_if("n_regionkey in (0, 3)", "n_name").alias("title"))
     return ma.title_in_library(_heard(t), titles, keep_known=False).select("video_id")
 
 
@@ -178,7 +177,7 @@ def _rank(t: Tables):
         AND l_partkey NOT IN (SELECT ps * 3 FROM (SELECT s_suppkey AS ps FROM supplier))""")
 def _pending(t: Tables):
     hits = t.lineitem.select(F.col("l_partkey").alias("video_id"), "l_orderkey", "l_linenumber")
-    found = ma.pending_hits(hits, t.part.filter("p_size > 30").select(F.col("p_partkey").alias("video_id")), t.supplier.select((F.col("s_suppkey") * 3).alias("video_id")))
+    found = ma.pending_hits(hits, t.part.select(key_if("p_size > 30", "p_partkey").alias("video_id")), t.supplier.select((F.col("s_suppkey") * 3).alias("video_id")))
     return found.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("n"), F.col("video_id").alias("p"))
 
 
@@ -187,4 +186,4 @@ def _pending(t: Tables):
     SELECT count(*) FILTER (WHERE a) AS in_library, count(*) FILTER (WHERE b) AS loading, count(*) FILTER (WHERE NOT a AND NOT b) AS pending FROM h""")
 def _pending_counts(t: Tables):
     hits = t.lineitem.select(F.col("l_partkey").alias("video_id"))
-    return ma.pending_counts(hits, t.part.filter("p_size > 30").select(F.col("p_partkey").alias("video_id")), t.supplier.select((F.col("s_suppkey") * 3).alias("video_id")))
+    return ma.pending_counts(hits, t.part.select(key_if("p_size > 30", "p_partkey").alias("video_id")), t.supplier.select((F.col("s_suppkey") * 3).alias("video_id")))

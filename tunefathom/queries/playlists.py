@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunefathom.operators import filters as fi, matching as ma, playlists as pl, ranking as rk
 from tunefathom.plans.shapes import rounded
-from tunefathom.queries.registry import Tables, query, sql_round
+from tunefathom.queries.registry import Tables, key_if, name_if, query, sql_round
 
 # A line item is one track of an import; its number in the import is unique after this.
 _TRACKS_SQL = """
@@ -108,6 +108,7 @@ def _liked(t: Tables):
     WITH c AS (SELECT import_id, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in pl.STATUSES)} FROM ({_TRACKS_SQL}) GROUP BY import_id),
     e AS (SELECT *, greatest(floor(date_diff('second', created_at, coalesce(finished_at, TIMESTAMP '2002-01-01 00:00:00')) / 60), 0) AS m FROM ({_END_SQL}))
     SELECT import_id, CAST(CASE WHEN m < 60 THEN m WHEN m < 1440 THEN floor(m / 60) ELSE floor(m / 1440) END AS BIGINT) AS amount, CASE WHEN m < 60 THEN 'minutes' WHEN m < 1440 THEN 'hours' ELSE 'days' END AS unit,
+        CAST(CASE WHEN m < 60 THEN 0 WHEN m < 1440 THEN m % 60 ELSE floor(m % 1440 / 60) END AS BIGINT) AS rest,
         {", ".join(sql_round(f"{s} / greatest(total, 1)", 6) + f" AS {s}_share" for s in pl.STATUSES)} FROM e JOIN c USING (import_id)""")
 def _elapsed(t: Tables):
     ends = pl.import_end(_imports(t), _tracks(t))
@@ -121,7 +122,7 @@ def _elapsed(t: Tables):
     UNION ALL SELECT playlist_id, position, p_name, p_brand, song_id FROM ({_LINKS_SQL}) JOIN part ON p_partkey = song_id WHERE playlist_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
 def _view(t: Tables):
     entries = _tracks(t).select(F.col("import_id").alias("playlist_id"), "position", "track_id", F.concat(F.lit("Track "), "track_id").alias("title"), F.array(F.concat(F.lit("A"), "track_id"), F.lit("B")).alias("artists"))
-    resolved = t.part.filter("p_size > 15").select(F.col("p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
+    resolved = t.part.select(key_if("p_size > 15", "p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
     playlists = t.orders.select(F.col("o_orderkey").alias("playlist_id"), (F.col("o_orderstatus") != "P").alias("has_tracks"))
     songs = t.part.select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
     return pl.playlist_view(entries, resolved, playlists, _links(t), songs)
@@ -162,8 +163,8 @@ def _backfill(t: Tables):
         return F.when(F.col(c) % 2 == 0, F.concat(F.lit("v"), (F.col(c) % 50).cast("string")))
     tracks = _tracks(t).select("id", "import_id", "status", video("track_id").alias("video_id"), F.concat(F.lit("T"), (F.col("track_id") % 50).cast("string")).alias("title"),
                                F.to_json(F.array(F.concat(F.lit("A"), (F.col("position") % 3).cast("string")), F.lit("B"))).alias("artists_json"))
-    failures = t.lineitem.filter("l_discount > 0.05").select(video("l_partkey").alias("video_id"), F.concat(
-        F.lit("A"), (F.col("l_suppkey") % 3).cast("string"), F.lit(", B – T"), (F.col("l_partkey") % 50).cast("string")).alias("label"), F.col("l_shipdate").alias("created_at"))
+    failures = t.lineitem.select(video("l_partkey").alias("video_id"), name_if("l_discount > 0.05", F.concat(
+        F.lit("A"), (F.col("l_suppkey") % 3).cast("string"), F.lit(", B – T"), (F.col("l_partkey") % 50).cast("string"))).alias("label"), F.col("l_shipdate").alias("created_at"))
     return pl.backfill_finished(tracks, failures, _imports(t)).withColumn("finished_at", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -172,7 +173,7 @@ def _backfill(t: Tables):
     linked AS (SELECT track_id, arg_max(song_id, id) AS song_id FROM t WHERE song_id IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1)
     SELECT user_id, playlist_id, l.song_id, min(position) AS position FROM t JOIN newest USING (import_id) JOIN linked l ON l.track_id = t.track_id GROUP BY 1, 2, 3""")
 def _backfill_links(t: Tables):
-    return pl.backfill_links(_imports(t), _tracks(t), t.part.filter("p_size > 10").select(F.col("p_partkey").alias("song_id")))
+    return pl.backfill_links(_imports(t), _tracks(t), t.part.select(key_if("p_size > 10", "p_partkey").alias("song_id")))
 
 
 @query("j20_playlist_library_songs", f"""
@@ -194,7 +195,7 @@ def _detail(t: Tables):
     SELECT import_id, position, track_id, CASE WHEN song_id IS NOT NULL OR row_number() OVER (PARTITION BY import_id, track_id ORDER BY position) > 1 THEN 'duplicate' ELSE 'queued' END AS status, song_id FROM u LEFT JOIN s USING (track_id)""")
 def _start(t: Tables):
     tracks = _tracks(t).select((F.col("import_id") % 500).alias("import_id"), (F.col("import_id") * 10 + F.col("position")).alias("position"), "track_id")
-    resolved = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
+    resolved = t.part.select(key_if("p_size > 25", "p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
     return pl.start_import(tracks, resolved)
 
 
@@ -209,7 +210,7 @@ def _record(t: Tables):
     results = _tracks(t).select("id", F.when(kind == 0, "saved").otherwise("error").alias("status"), F.when(kind == 1, "duplicate").when(kind == 2, "no_search_hit").when(kind == 3, "write_error: disk").alias("reason"),
                                 F.when(kind == 0, F.concat(F.lit("s"), track)).alias("song_id"), F.lit("v").alias("video_id"))
     candidates = t.part.select(F.col("p_partkey").cast("string").alias("track_id"), F.array(F.lit("none"), F.concat(F.lit("c"), "p_partkey")).alias("candidates"))
-    songs = t.part.filter("p_size > 25").select(F.concat(F.lit("c"), "p_partkey").alias("song_id"))
+    songs = t.part.select(name_if("p_size > 25", F.concat(F.lit("c"), "p_partkey")).alias("song_id"))
     return pl.record_result(tracks, results, candidates, songs).select("id", "status", "reason", "song_id")
 
 

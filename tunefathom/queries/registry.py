@@ -52,6 +52,18 @@ def sql_round(expression: str, digits: int) -> str:
     return f"CAST(ROUND(CAST({expression} AS DECIMAL(30, {digits + 6})), {digits}) AS DOUBLE)"
 
 
+def key_if(condition: Column | str, key: Column | str) -> Column:
+    """The key where the condition holds, else a number that matches nothing: the row is read, and misses."""
+    column = F.col(key) if isinstance(key, str) else key
+    return F.when(F.expr(condition) if isinstance(condition, str) else condition, column).otherwise(-1 - column)
+
+
+def name_if(condition: Column | str, name: Column | str) -> Column:
+    """The same for a name."""
+    column = F.col(name) if isinstance(name, str) else name
+    return F.when(F.expr(condition) if isinstance(condition, str) else condition, column).otherwise(F.concat(F.lit("unmatched "), column))
+
+
 def whole_words(text: Column) -> Column:
     """White-space separated tokens of a text, none of them empty."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -39,10 +39,11 @@ def _song_means(t: Tables):
 
 
 @query("a20_vector_mean", f"""
-    SELECT label AS song_id, {sql_round('avg(embedding[1]::DOUBLE)', 6)} AS m0, {sql_round('avg(embedding[13]::DOUBLE)', 6)} AS m12 FROM embeddings GROUP BY label""")
+    SELECT label AS song_id, CAST(i - 1 AS INTEGER) AS i, {sql_round('avg(v)', 6)} AS mean FROM (
+        SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i""")
 def _vector_mean(t: Tables):
-    rows = ro.vector_mean(t.embeddings.withColumnRenamed("label", "song_id"), "embedding", 13)
-    return rows.select("song_id", rounded(F.get("embedding_mean", F.lit(0)), 6).alias("m0"), rounded(F.get("embedding_mean", F.lit(12)), 6).alias("m12"))
+    rows = ro.vector_mean(t.embeddings.withColumnRenamed("label", "song_id"), "embedding", 64)
+    return rows.select("song_id", F.posexplode("embedding_mean").alias("i", "mean")).withColumn("mean", rounded(F.col("mean"), 6))
 
 
 _CHANGES_SQL = f"SELECT *, coalesce(chord <> lag(chord) OVER (PARTITION BY song_id ORDER BY frame_idx), false) AS changed FROM ({_FRAMES_SQL})"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tunefathom.operators import features as fe
 from tunefathom.plans.shapes import rounded
-from tunefathom.queries.registry import Tables, query, sql_round
+from tunefathom.queries.registry import Tables, key_if, query, sql_round
 from tunefathom.queries.sources import FAILURE_ROWS_SQL, failure_stream
 from tunefathom.session import work_path
 from tunefathom.streaming import jobs
@@ -75,7 +75,7 @@ def _links(t: Tables):
     def links(rows: DataFrame, step: int) -> DataFrame:
         return rows.select(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("song_id"), (F.col("l_linenumber") + step).alias("position"))
     stored = links(t.lineitem.filter("l_returnflag <> 'R'"), 1)
-    songs = t.part.filter("p_size > 20").select(F.col("p_partkey").alias("song_id"))
+    songs = t.part.select(key_if("p_size > 20", "p_partkey").alias("song_id"))
     out, checkpoint = _paths(t, "playlist-links")
     jobs.stream_playlist_links(links(_stream(t, "lineitem"), 0), stored, songs, out, checkpoint).awaitTermination()
     return jobs.current_links(t.spark, out, stored)
