@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
+from tunefathom.functions.numeric import let
 from tunefathom.plans.shapes import place_in_group, top_n
 
 
@@ -18,7 +19,8 @@ def _first(df: DataFrame, by: list[str], keep: list[str], order: list[Column]) -
 def resolve_identity(fingerprints: DataFrame, hints: DataFrame, tags: DataFrame, song: str = "file_id") -> DataFrame:
     """Title, artist, source of every file: fingerprint, then hint, then file tags; each needs both names.
 
-    ``fingerprints``: file_id, title, artist, recording_id. ``hints``: file_id, title, artist, source. ``tags``: file_id, title, artist.
+    ``fingerprints``: file_id, title, artist, recording_id, featured. ``hints``: file_id, title, artist, source. ``tags``: file_id,
+    title, artist. Guests come with a fingerprint only, without the main artist; otherwise ``featured`` is empty.
     """
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(song, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != song])
@@ -34,9 +36,14 @@ def resolve_identity(fingerprints: DataFrame, hints: DataFrame, tags: DataFrame,
     def pick(prefix: str, source: Column) -> Column:
         trim = (lambda c: c) if prefix == "f" else tx.strip
         recording = F.col("f_recording_id") if prefix == "f" else F.lit(None).cast("string")
+        nobody = F.array().cast("array<string>")
+        guests = nobody
+        if prefix == "f" and "featured" in fingerprints.columns:
+            others = let(tx.casefold(tx.plain_quotes(F.col("f_artist"))), lambda own: F.filter("f_featured", lambda g: tx.casefold(g) != own))
+            guests = F.coalesce(F.transform(others, tx.plain_quotes), nobody)
         return F.struct(
             tx.plain_quotes(tx.strip_version_markers(tx.strip(F.col(f"{prefix}_title")))).alias("title"),
-            tx.plain_quotes(trim(F.col(f"{prefix}_artist"))).alias("artist"), source.alias("source"), recording.alias("recording_id"))
+            tx.plain_quotes(trim(F.col(f"{prefix}_artist"))).alias("artist"), source.alias("source"), recording.alias("recording_id"), guests.alias("featured"))
     chosen = F.when(both("f", False), pick("f", F.lit("acoustid"))).when(both("h", True), pick("h", F.col("h_source"))).when(
         both("t", True), pick("t", F.lit("file_tags")))
     return rows.select(song, chosen.alias("_i")).filter(F.col("_i").isNotNull()).select(song, "_i.*")
@@ -224,9 +231,10 @@ def first_with_genres(lookups: DataFrame, genres: DataFrame, song: str = "song_i
 
 
 def provider_track(queries: DataFrame, hits: DataFrame, query: str = "query_id") -> DataFrame:
-    """Similar titles only; album of the best type then date, and the earliest day-precise date of all matches.
+    """Similar titles only; album of the best type then date, its track's guests, and the earliest day-precise date of all matches.
 
-    ``queries``: query_id, title. ``hits``: query_id, position, track_id, hit_title, album, album_type, release_date, release_precision.
+    ``queries``: query_id, title. ``hits``: query_id, position, track_id, hit_title, artists, album, album_type, release_date,
+    release_precision.
     """
     rows = hits.join(queries.select(query, "title"), query)
     matches = rows.filter(tx.title_similar(F.col("title"), F.coalesce("hit_title", F.lit(""))))
@@ -234,8 +242,10 @@ def provider_track(queries: DataFrame, hits: DataFrame, query: str = "query_id")
         F.col("album_type") == "compilation", 3).otherwise(99)
     key = F.struct(rank.alias("a"), F.coalesce(tx.none_if_empty(F.col("release_date")), F.lit(fv.UNDATED)).alias("b"), F.col("position").alias("c"))
     full = F.when((F.col("release_precision") == "day") & (F.length("release_date") == 10), F.col("release_date"))
-    return matches.groupBy(query).agg(F.min_by(F.struct("track_id", "album"), key).alias("_r"), F.min(full).alias("release_date")).select(
-        query, "_r.track_id", tx.none_if_empty(F.col("_r.album")).alias("album"), "release_date")
+    guests = F.filter(F.slice("artists", 2, F.greatest(F.size("artists"), F.lit(1))), lambda g: g != "")
+    chosen = F.struct("track_id", "album", F.coalesce(guests, F.array().cast("array<string>")).alias("featured"))
+    return matches.groupBy(query).agg(F.min_by(chosen, key).alias("_r"), F.min(full).alias("release_date")).select(
+        query, "_r.track_id", tx.none_if_empty(F.col("_r.album")).alias("album"), "release_date", "_r.featured")
 
 
 def merge_metadata(identities: DataFrame, tags: DataFrame, provider: DataFrame, catalogue: DataFrame, song: str = "file_id") -> DataFrame:
@@ -268,14 +278,18 @@ def merge_metadata(identities: DataFrame, tags: DataFrame, provider: DataFrame,
 def apply_recording_identity(songs: DataFrame, wanted: DataFrame, song: str = "song_id", recording: str = "recording_id") -> DataFrame:
     """Rename songs to their recording's identity, ids kept; a recording another song owns is a conflict.
 
-    ``wanted``: song_id, recording_id, title, artist.
+    A renamed song's source is the fingerprint service, it counts as reviewed and takes the recording's guests.
+    ``songs``: song_id, title, artist, recording_id, metadata_source, reviewed, featured. ``wanted``: song_id, recording_id,
+    title, artist, featured.
     """
     owners = songs.filter(F.col(recording).isNotNull()).groupBy(recording).agg(F.min(song).alias("_a"), F.max(song).alias("_b"))
-    asked = wanted.select(song, F.col(recording).alias("_rec"), F.col("title").alias("_title"), F.col("artist").alias("_artist"))
+    asked = wanted.select(song, F.col(recording).alias("_rec"), F.col("title").alias("_title"), F.col("artist").alias("_artist"), F.col("featured").alias("_featured"))
     asked = asked.join(owners.withColumnRenamed(recording, "_rec"), "_rec", "left")
     taken = F.coalesce((F.col("_a") != F.col(song)) | (F.col("_b") != F.col(song)), F.lit(False))
     rows = songs.join(asked.withColumn("_conflict", taken).drop("_a", "_b"), song, "left")
     apply = F.col("_rec").isNotNull() & ~F.col("_conflict")
     return rows.select(
         song, F.when(apply, F.col("_title")).otherwise(F.col("title")).alias("title"), F.when(apply, F.col("_artist")).otherwise(F.col("artist")).alias("artist"),
-        F.when(apply, F.col("_rec")).otherwise(F.col(recording)).alias(recording), F.coalesce("_conflict", F.lit(False)).alias("conflict"))
+        F.when(apply, F.col("_rec")).otherwise(F.col(recording)).alias(recording),
+        F.when(apply, "acoustid").otherwise(F.col("metadata_source")).alias("metadata_source"), (apply | F.coalesce("reviewed", F.lit(False))).alias("reviewed"),
+        F.when(apply, F.col("_featured")).otherwise(F.col("featured")).alias("featured"), F.coalesce("_conflict", F.lit(False)).alias("conflict"))

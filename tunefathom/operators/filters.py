@@ -46,6 +46,23 @@ def chart_filter(songs: DataFrame, conditions: list[Column]) -> DataFrame:
     return songs.filter(reduce(lambda a, b: a & b, conditions, F.lit(True)))
 
 
+def among_top_labels(songs: DataFrame, labels: DataFrame, wanted: str, n: int, song: str = "song_id", label: str = "label", score: str = "score") -> DataFrame:
+    """Songs that have a label among their first ``n`` (three genres, five detailed ones, ten instruments in the charts)."""
+    return songs.join(dominant_labels(labels, n, song, label, score).filter(F.col(label) == wanted).select(song), song, "left_semi")
+
+
+def artist_is(artist: Column, wanted: str) -> Column:
+    """The artist as the charts show it: one without a name is ``Unknown``."""
+    return F.coalesce(F.when(artist != "", artist), F.lit("Unknown")) == wanted
+
+
+def dominant_mood_is(songs: DataFrame, moods: list[str], wanted: str) -> DataFrame:
+    """Songs whose highest mood is the wanted one; the first named of equal ones counts, songs without moods never."""
+    best = F.array_max(F.array(*[F.struct(F.col(m).alias("score"), F.lit(-i).alias("order")) for i, m in enumerate(moods)]))
+    known = F.coalesce(*[F.col(m) for m in moods]).isNotNull()
+    return songs.filter(known & (best["order"] == -moods.index(wanted)))
+
+
 def threshold_filter(songs: DataFrame, axes: dict[str, Column], thresholds: dict[str, float]) -> DataFrame:
     """Normalised axis values at or above their threshold; zero and below are off, a missing value fails."""
     active = [_true(axes[name] >= t) for name, t in thresholds.items() if t > 0]

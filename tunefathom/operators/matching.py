@@ -103,16 +103,16 @@ def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", tit
 def title_in_library(hits: DataFrame, titles: DataFrame, keep_known: bool, video: str = "video_id", text: str = "video_title", title: str = "title") -> DataFrame:
     """Hits whose text holds (or, without ``keep_known``, does not hold) some library title, at any place.
 
-    Substrings of the lengths that library titles have are looked up by equality.
+    Every place of a text is looked up by as many characters as the shortest title has, and verified from there on; what
+    is carried per place is no longer than the longest title.
     """
     names = titles.select(F.lower(tx.strip(F.coalesce(F.col(title), F.lit("")))).alias("_t")).filter("_t <> ''").distinct()
-    # distinct title lengths: a short list of small numbers
-    lengths = one_row(names.agg(F.array_sort(F.collect_set(F.length("_t"))).alias("sizes")))
-    low = hits.select(video, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_x")).withColumn("_s", lengths)
-    def cuts(x: Column) -> Column:
-        return F.flatten(F.transform(F.filter(F.col("_s.sizes"), lambda n: n <= F.length(x)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(x) - n + 1), lambda at: F.substr(x, at, n))))
-    known = low.select(video, F.explode(F.array_distinct(let(F.col("_x"), cuts))).alias("_t")).join(names, "_t", "left_semi").select(video).distinct()
+    span = one_row(names.agg(F.coalesce(F.min(F.length("_t")), F.lit(1)).alias("low"), F.coalesce(F.max(F.length("_t")), F.lit(1)).alias("high")))
+    keyed = names.withColumn("_s", span).select("_t", F.substring(F.col("_t"), F.lit(1), F.col("_s.low")).alias("_key"))
+    low = hits.select(video, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_x")).withColumn("_s", span).filter(F.length("_x") >= F.col("_s.low"))
+    places = low.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_x") - F.col("_s.low") + 1)))
+    windows = places.select(video, F.substring(F.col("_x"), F.col("_at"), F.col("_s.low")).alias("_key"), F.substring(F.col("_x"), F.col("_at"), F.col("_s.high")).alias("_rest"))
+    known = windows.join(keyed, "_key").filter(F.startswith("_rest", F.col("_t"))).select(video).distinct()
     return hits.join(known, video, "left_semi" if keep_known else "left_anti")
 
 

@@ -165,32 +165,39 @@ def import_elapsed(imports: DataFrame, now: Column) -> DataFrame:
         (F.col(s) / F.greatest("total", F.lit(1))).alias(f"{s}_share") for s in STATUSES])
 
 
-def start_import(tracks: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Repeated tracks and known songs are duplicates (linked), the rest is queued.
+def start_import(tracks: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:
+    """Repeated tracks and known songs are duplicates (linked, finished ``now``), the rest is queued.
 
     ``tracks``: import_id, position, track_id. The first position of a track comes from an aggregate, not a window.
     """
     first = tracks.groupBy("import_id", "track_id").agg(F.min("position").alias("_first"))
     rows = tracks.join(first, ["import_id", "track_id"]).join(resolved, "track_id", "left")
     known = (F.col("position") > F.col("_first")) | F.col("song_id").isNotNull()
-    return rows.select("import_id", "position", "track_id", F.when(known, "duplicate").otherwise("queued").alias("status"), "song_id")
+    return rows.select("import_id", "position", "track_id", F.when(known, "duplicate").otherwise("queued").alias("status"), "song_id", F.when(known, now).alias("finished_at"))
 
 
-def record_result(tracks: DataFrame, results: DataFrame, candidates: DataFrame, songs: DataFrame) -> DataFrame:
-    """Import tracks with their worker's result: saved, duplicate or failed with a category; unknown duplicates are looked up.
+def record_result(tracks: DataFrame, results: DataFrame, candidates: DataFrame, songs: DataFrame, earlier: DataFrame, now: Column) -> DataFrame:
+    """Import tracks with their worker's result: saved, duplicate or failed with a category, finished ``now``.
 
-    ``tracks``: id, import_id, position, track_id. ``results``: id, status, reason, song_id, video_id. ``candidates``: track_id, candidates.
+    Duplicates without a song are looked up, in ``earlier`` imports first, then among the candidates.
+    ``tracks``: id, import_id, position, track_id. ``results``: id, status, reason, song_id, video_id. ``candidates``: track_id,
+    candidates. ``earlier``: id, track_id, song_id.
     """
     rows = tracks.join(results, "id")
     state = F.when(F.col("status") == "saved", "saved").when(F.col("reason") == "duplicate", "duplicate").otherwise("failed")
     category = F.substring(failure_reason(F.col("reason"), F.lit(None).cast("string"))["reason"], 1, 64)
     marked = rows.withColumn("new_status", state).withColumn("new_reason", F.when(F.col("new_status") == "failed", category))
     unlinked = marked.filter("new_status = 'duplicate' and song_id is null").select("track_id").distinct()
-    no_imports = tracks.sparkSession.createDataFrame([], "id bigint, track_id string, song_id string")
-    found = resolve_tracks(unlinked.join(candidates, "track_id"), no_imports, songs).withColumnRenamed("song_id", "_found")
+    found = resolve_tracks(unlinked.join(candidates, "track_id"), earlier, songs).withColumnRenamed("song_id", "_found")
     return marked.join(found, "track_id", "left").select(
         "id", "import_id", "position", F.col("new_status").alias("status"), F.col("new_reason").alias("reason"),
-        F.coalesce("song_id", F.when(F.col("new_status") == "duplicate", F.col("_found"))).alias("song_id"), "video_id")
+        F.coalesce("song_id", F.when(F.col("new_status") == "duplicate", F.col("_found"))).alias("song_id"), "video_id", now.alias("finished_at"))
+
+
+def result_links(recorded: DataFrame, imports: DataFrame, links: DataFrame, songs: DataFrame) -> DataFrame:
+    """Stored links with those of saved and duplicate tracks merged in. ``imports``: import_id, playlist_id."""
+    done = recorded.filter(F.col("status").isin("saved", "duplicate") & F.col("song_id").isNotNull())
+    return upsert_links(links, done.join(imports.select("import_id", "playlist_id"), "import_id").select("playlist_id", "song_id", "position"), songs)
 
 
 def requeue(tracks: DataFrame, only_import: int | None = None) -> DataFrame:

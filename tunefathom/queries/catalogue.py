@@ -12,17 +12,18 @@ from tunefathom.queries.registry import Tables, query
 
 @query("e1_resolve_identity", """
     WITH o AS (SELECT o_orderkey AS file_id, 'Title ' || o_orderkey AS title, 'Artist ' || o_custkey AS artist, o_orderstatus AS s, o_orderpriority AS p FROM orders)
-    SELECT file_id, title, artist, CASE WHEN s = 'F' THEN 'acoustid' WHEN p <> '5-LOW' THEN 'hint' ELSE 'file_tags' END AS source, CASE WHEN s = 'F' THEN 'rec' || file_id END AS recording_id
+    SELECT file_id, title, artist, CASE WHEN s = 'F' THEN 'acoustid' WHEN p <> '5-LOW' THEN 'hint' ELSE 'file_tags' END AS source, CASE WHEN s = 'F' THEN 'rec' || file_id END AS recording_id, CASE WHEN s = 'F' AND file_id % 4 > 0 THEN 'Guest''s' ELSE '' END AS featured
     FROM o WHERE s = 'F' OR p <> '5-LOW' OR file_id % 3 > 0""")
 def _resolve(t: Tables):
     k = F.col("o_orderkey")
     title, artist = F.concat(F.lit("Title "), k), F.concat(F.lit("Artist "), F.col("o_custkey"))
     rows = t.orders.select(k.alias("file_id"), title.alias("title"), artist.alias("artist"), "o_orderstatus", "o_orderpriority")
     fingerprints = rows.filter("o_orderstatus <> 'O'").select(
-        "file_id", F.concat("title", F.lit(" (2011 Remaster)")).alias("title"), F.when(F.col("o_orderstatus") == "F", F.col("artist")).alias("artist"), F.concat(F.lit("rec"), "file_id").alias("recording_id"))
+        "file_id", F.concat("title", F.lit(" (2011 Remaster)")).alias("title"), F.when(F.col("o_orderstatus") == "F", F.col("artist")).alias("artist"), F.concat(F.lit("rec"), "file_id").alias("recording_id"),
+        F.when(F.col("file_id") % 4 > 0, F.array(F.upper("artist"), F.lit("Guest’s"))).alias("featured"))
     hints = rows.select("file_id", F.concat(F.lit("  "), "title", F.lit(" - Live")).alias("title"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("artist")).otherwise("  ").alias("artist"), F.lit("hint").alias("source"))
     tags = rows.select("file_id", F.when(F.col("file_id") % 3 > 0, F.concat("title", F.lit(" "))).otherwise("").alias("title"), "artist")
-    return ca.resolve_identity(fingerprints, hints, tags)
+    return ca.resolve_identity(fingerprints, hints, tags).withColumn("featured", F.array_join("featured", "+"))
 
 
 @query("e2_pick_recording", """
@@ -229,7 +230,8 @@ def _first_genres(t: Tables):
 @query("e12_provider_track", """
     WITH h AS (SELECT l_orderkey AS query_id, l_partkey * 1000 + l_suppkey AS position, min(l_linenumber) AS k, min(l_shipdate) AS d, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
     m AS (SELECT *, CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 99 END AS rank, CASE WHEN f = 'N' THEN strftime(d, '%Y') ELSE strftime(d, '%Y-%m-%d') END AS date FROM h WHERE k <> 6)
-    SELECT query_id, arg_min('t' || position, (rank, date, position)) AS track_id, arg_min_null(CASE WHEN k = 7 THEN NULL ELSE 'Album ' || k END, (rank, date, position)) AS album, min(date) FILTER (WHERE f = 'A') AS release_date
+    SELECT query_id, arg_min('t' || position, (rank, date, position)) AS track_id, arg_min_null(CASE WHEN k = 7 THEN NULL ELSE 'Album ' || k END, (rank, date, position)) AS album, min(date) FILTER (WHERE f = 'A') AS release_date,
+        arg_min(CASE WHEN k % 2 = 0 THEN 'G' || k ELSE '' END, (rank, date, position)) AS featured
     FROM m GROUP BY query_id""")
 def _provider(t: Tables):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position")).agg(
@@ -238,9 +240,10 @@ def _provider(t: Tables):
     hits = rows.select(
         "query_id", "position", F.concat(F.lit("t"), "position").alias("track_id"), F.when(k == 6, "Zzz").when(k == 5, "The Long Song Titel!").otherwise("the long song title, deluxe").alias("hit_title"),
         F.when(k == 7, "").otherwise(F.concat(F.lit("Album "), k)).alias("album"), F.when(k == 1, "album").when(k == 2, "single").when(k == 3, "ep").when(k == 4, "compilation").otherwise("other").alias("album_type"),
-        F.when(f == "N", F.date_format("d", "yyyy")).otherwise(F.date_format("d", "yyyy-MM-dd")).alias("release_date"), F.when(f == "A", "day").otherwise("year").alias("release_precision"))
+        F.when(f == "N", F.date_format("d", "yyyy")).otherwise(F.date_format("d", "yyyy-MM-dd")).alias("release_date"), F.when(f == "A", "day").otherwise("year").alias("release_precision"),
+        F.when(k % 2 == 0, F.array(F.lit("Main"), F.concat(F.lit("G"), k), F.lit(""))).otherwise(F.array(F.lit("Main"))).alias("artists"))
     queries = t.orders.select(F.col("o_orderkey").alias("query_id"), F.lit("The Long Song Title").alias("title"))
-    return ca.provider_track(queries, hits)
+    return ca.provider_track(queries, hits).withColumn("featured", F.array_join("featured", "+"))
 
 
 @query("e13_merge_metadata", """
@@ -265,9 +268,13 @@ def _merge(t: Tables):
     WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'rec' || o_custkey END AS rec, o_orderpriority AS p FROM orders),
     own AS (SELECT rec, min(k) AS a, max(k) AS b FROM o WHERE rec IS NOT NULL GROUP BY rec),
     x AS (SELECT o.*, p = '2-HIGH' AS asked, coalesce(a <> k OR b <> k, false) AS taken FROM o LEFT JOIN own ON own.rec = 'rec' || c)
-    SELECT k AS song_id, CASE WHEN asked AND NOT taken THEN 'New' ELSE 'Old' END AS title, CASE WHEN asked AND NOT taken THEN 'rec' || c ELSE rec END AS recording_id, asked AND taken AS conflict FROM x""")
+    SELECT k AS song_id, CASE WHEN asked AND NOT taken THEN 'New' ELSE 'Old' END AS title, CASE WHEN asked AND NOT taken THEN 'rec' || c ELSE rec END AS recording_id, asked AND taken AS conflict,
+        CASE WHEN asked AND NOT taken THEN 'acoustid' ELSE 'hint' END AS metadata_source, (asked AND NOT taken) OR c % 2 = 0 AS reviewed, CASE WHEN asked AND NOT taken THEN 'G' || c ELSE 'Old' END AS featured FROM x""")
 def _apply_identity(t: Tables):
     rec = F.concat(F.lit("rec"), "o_custkey")
-    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.lit("Old").alias("title"), F.lit("A").alias("artist"), F.when(F.col("o_orderstatus") == "F", rec).alias("recording_id"))
-    wanted = t.orders.filter("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"))
-    return ca.apply_recording_identity(songs, wanted).select("song_id", "title", "recording_id", "conflict")
+    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.lit("Old").alias("title"), F.lit("A").alias("artist"), F.when(F.col("o_orderstatus") == "F", rec).alias("recording_id"),
+                            F.lit("hint").alias("metadata_source"), (F.col("o_custkey") % 2 == 0).alias("reviewed"), F.array(F.lit("Old")).alias("featured"))
+    wanted = t.orders.filter("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"),
+                                                                      F.array(F.concat(F.lit("G"), "o_custkey")).alias("featured"))
+    out = ca.apply_recording_identity(songs, wanted).withColumn("featured", F.array_join("featured", "+"))
+    return out.select("song_id", "title", "recording_id", "conflict", "metadata_source", "reviewed", "featured")

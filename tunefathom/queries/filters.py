@@ -38,6 +38,23 @@ def _open_range(t: Tables):
     return fi.chart_filter(t.orders, [fi.in_range(F.col("o_totalprice"), 400000, None)]).select("o_orderkey")
 
 
+@query("f2_top_label_filter", f"""
+    SELECT o_orderkey AS song_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'A' || o_custkey % 3 END AS artist FROM orders WHERE (o_orderstatus = 'P') AND o_orderkey IN (
+        SELECT song_id FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, label) AS rank FROM ({LABELS_SQL})) WHERE rank <= 3 AND label = 'P' || 7 % 7 || '---D7')""")
+def _top_label(t: Tables):
+    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("A"), F.col("o_custkey") % 3)).alias("artist"))
+    return fi.among_top_labels(fi.chart_filter(songs, [fi.artist_is(F.col("artist"), "Unknown")]), labels_from_lineitem(t), "P0---D7", 3)
+
+
+@query("f2_dominant_mood", """
+    SELECT o_orderkey AS song_id FROM (SELECT o_orderkey, o_custkey % 7 AS happy, o_orderkey % 7 AS sad, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey % 5 END AS party FROM orders)
+    WHERE sad > happy AND (party IS NULL OR sad >= party)""")
+def _dominant_mood(t: Tables):
+    songs = t.orders.select(F.col("o_orderkey").alias("song_id"), (F.col("o_custkey") % 7).cast("double").alias("happy"), (F.col("o_orderkey") % 7).cast("double").alias("sad"),
+                            F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 5).cast("double").alias("party"))
+    return fi.dominant_mood_is(songs, ["happy", "sad", "party"], "sad").select("song_id")
+
+
 @query("f3_threshold_filter", """
     WITH s AS (SELECT min(p_size) AS slo, max(p_size) AS shi, min(p_retailprice) AS rlo, max(p_retailprice) AS rhi FROM part)
     SELECT p_partkey FROM part, s WHERE (p_size - slo)::DOUBLE / (shi - slo) >= 0.4 AND (p_retailprice - rlo) / (rhi - rlo) >= 0.25""")

@@ -192,17 +192,19 @@ def _detail(t: Tables):
 
 @query("e14_start_import", f"""
     WITH t AS ({_TRACKS_SQL}), u AS (SELECT import_id % 500 AS import_id, import_id * 10 + position AS position, track_id FROM t), s AS (SELECT p_partkey AS track_id, p_partkey // 2 AS song_id FROM part WHERE p_size > 25)
-    SELECT import_id, position, track_id, CASE WHEN song_id IS NOT NULL OR row_number() OVER (PARTITION BY import_id, track_id ORDER BY position) > 1 THEN 'duplicate' ELSE 'queued' END AS status, song_id FROM u LEFT JOIN s USING (track_id)""")
+    SELECT import_id, position, track_id, CASE WHEN song_id IS NOT NULL OR row_number() OVER (PARTITION BY import_id, track_id ORDER BY position) > 1 THEN 'duplicate' ELSE 'queued' END AS status, song_id,
+        CASE WHEN song_id IS NOT NULL OR row_number() OVER (PARTITION BY import_id, track_id ORDER BY position) > 1 THEN '2002-01-01' END AS finished_at FROM u LEFT JOIN s USING (track_id)""")
 def _start(t: Tables):
     tracks = _tracks(t).select((F.col("import_id") % 500).alias("import_id"), (F.col("import_id") * 10 + F.col("position")).alias("position"), "track_id")
     resolved = t.part.select(key_if("p_size > 25", "p_partkey").alias("track_id"), F.floor(F.col("p_partkey") / 2).alias("song_id"))
-    return pl.start_import(tracks, resolved)
+    return pl.start_import(tracks, resolved, F.lit("2002-01-01"))
 
 
 @query("e15_record_result", f"""
     WITH t AS ({_TRACKS_SQL}), r AS (SELECT *, CASE track_id % 4 WHEN 0 THEN 'saved' ELSE 'error' END AS result, CASE track_id % 4 WHEN 1 THEN 'duplicate' WHEN 2 THEN 'no_search_hit' WHEN 3 THEN 'write_error: disk' END AS why FROM t)
     SELECT id, CASE WHEN result = 'saved' THEN 'saved' WHEN why = 'duplicate' THEN 'duplicate' ELSE 'failed' END AS status, CASE why WHEN 'no_search_hit' THEN why WHEN 'write_error: disk' THEN 'write_error' END AS reason,
-        CASE WHEN result = 'saved' THEN 's' || track_id WHEN why = 'duplicate' AND track_id IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'c' || track_id END AS song_id FROM r""")
+        CASE WHEN result = 'saved' THEN 's' || track_id WHEN why = 'duplicate' AND track_id IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 8 = 1) AND track_id IN (SELECT p_partkey FROM part WHERE p_size > 5) THEN 'e' || track_id
+        WHEN why = 'duplicate' AND track_id IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'c' || track_id END AS song_id, '2002-01-01' AS finished_at FROM r""")
 def _record(t: Tables):
     track = F.col("track_id").cast("string")
     tracks = _tracks(t).select("id", "import_id", "position", track.alias("track_id"))
@@ -211,7 +213,25 @@ def _record(t: Tables):
                                 F.when(kind == 0, F.concat(F.lit("s"), track)).alias("song_id"), F.lit("v").alias("video_id"))
     candidates = t.part.select(F.col("p_partkey").cast("string").alias("track_id"), F.array(F.lit("none"), F.concat(F.lit("c"), "p_partkey")).alias("candidates"))
     songs = t.part.select(name_if("p_size > 25", F.concat(F.lit("c"), "p_partkey")).alias("song_id"))
-    return pl.record_result(tracks, results, candidates, songs).select("id", "status", "reason", "song_id")
+    songs = songs.unionByName(t.part.select(name_if("p_size > 5", F.concat(F.lit("e"), "p_partkey")).alias("song_id")))
+    # earlier imports linked some of the tracks
+    earlier = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name_if("l_suppkey % 3 = 0 and l_partkey % 8 = 1", F.col("l_partkey").cast("string")).alias("track_id"),
+                                F.concat(F.lit("e"), "l_partkey").alias("song_id"))
+    return pl.record_result(tracks, results, candidates, songs, earlier, F.lit("2002-01-01")).select("id", "status", "reason", "song_id", "finished_at")
+
+
+@query("e15_result_links", f"""
+    WITH r AS (SELECT import_id, position, track_id, CASE WHEN track_id % 4 = 0 THEN track_id ELSE track_id + 1 END AS song_id FROM ({_TRACKS_SQL}) WHERE track_id % 4 < 2),
+    a AS (SELECT o_orderpriority AS playlist_id, song_id, position FROM r JOIN orders ON o_orderkey = import_id WHERE song_id IN (SELECT p_partkey FROM part WHERE p_size > 10)
+        UNION ALL SELECT '1-URGENT', p_partkey, p_size FROM part)
+    SELECT playlist_id, song_id, CAST(min(position) AS INTEGER) AS position FROM a GROUP BY 1, 2""")
+def _result_links(t: Tables):
+    kind = F.col("track_id") % 4
+    recorded = _tracks(t).select("import_id", F.col("position").cast("int").alias("position"), F.when(kind == 0, "saved").when(kind == 1, "duplicate").otherwise("failed").alias("status"),
+                                 F.when(kind == 0, F.col("track_id")).otherwise(F.col("track_id") + 1).alias("song_id"))
+    imports = t.orders.select(F.col("o_orderkey").alias("import_id"), F.col("o_orderpriority").alias("playlist_id"))
+    links = t.part.select(F.lit("1-URGENT").alias("playlist_id"), F.col("p_partkey").alias("song_id"), F.col("p_size").cast("int").alias("position"))
+    return pl.result_links(recorded, imports, links, t.part.select(key_if("p_size > 10", "p_partkey").alias("song_id")))
 
 
 @query("e16_requeue", f"""
