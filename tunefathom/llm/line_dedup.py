@@ -3,12 +3,13 @@
 A line of at least ``MIN_CHARS`` characters is removed when an equal line, or one within ``MAX_EDITS`` edits, comes
 earlier (by document id, then line number) anywhere in the table. Shorter lines stay.
 
-1. Equal lines collapse to their first occurrence; only these are joined.
-2. Each is cut into ``MAX_EDITS + 1`` segments. A line within that many edits shares at least one of them, at a place
-   that the lengths confine. Segments are indexed under (length, number, text); every line probes the lengths up to
-   ``MAX_EDITS`` below its own at the few places possible. Index and probes are rows of one table, keyed by a hash.
-3. Per key, each line is compared with the earliest one; lines that this leaves open are compared with the other
-   earlier lines of the key. So a thousand variants of a line cost a thousand comparisons, not all pairs.
+1. Equal lines collapse to their first occurrence, by a hash of 96 bits; lines are not moved between tasks.
+2. A line is cut into ``MAX_EDITS + 1`` segments. A line within that many edits shares at least one of them, at a
+   place that the lengths confine. Segments are indexed under (length, number, text); every line probes the lengths
+   up to ``MAX_EDITS`` below its own at the few places possible. Index and probes are rows of one table, keyed by a
+   hash. Lines so frequent that their keys would be hot take part with their first occurrence only.
+3. Per key, each line is compared with the earliest one; lines that this leaves open are compared with those other
+   earlier lines of the key whose letter counts are as close as the edits allow.
 4. Candidates are verified by the banded bit-parallel edit distance (one machine word of ``2 * MAX_EDITS + 1`` bits
    per character), after what both have in common at the ends, in steps of an eighth, is cut off.
 
@@ -29,18 +30,30 @@ MIN_CHARS = 24
 #: Candidate lines are filtered by the hash of their key modulo this before they are joined: what is broadcast has at
 #: most so many rows.
 SLOTS = 1 << 18
+#: Letters that are counted before two lines are compared. One edit changes one count, or two of them by one each.
+LETTERS = "etaoinsrhdlucmpgbfvwy"
+#: Lines that make up so much of all lines are told to every task: by that, at most ``1 / FREQUENT`` of them.
+FREQUENT = 1e-4
 
 
 def long_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line, content) of every line that takes part."""
+    """(doc, line, content, id) of every line that takes part; ``id`` is a hash of the content."""
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "content"))
-    return rows.filter(F.length("content") >= MIN_CHARS)
+    return rows.filter(F.length("content") >= MIN_CHARS).withColumn("id", F.xxhash64("content"))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """The first occurrence (doc, line) of every content, under a hash of it."""
-    firsts = lines.groupBy(F.xxhash64("content").alias("id"), "content").agg(F.min(F.struct("doc", "line")).alias("first"))
-    return firsts.select("id", "content", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(id, doc, line, n): the first occurrence of every content and how often it occurs. No text is shuffled."""
+    firsts = lines.groupBy("id", F.hash("content").alias("check")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    return firsts.select("id", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n")
+
+
+def without_repeats(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The lines, of frequent ones only the first occurrence."""
+    total = firsts.agg(F.sum("n").alias("n")).select(F.col("n") * FREQUENT).scalar()
+    often = firsts.filter((F.col("n") > 1) & (F.col("n") >= total)).select("id", F.col("doc").alias("_doc"), F.col("line").alias("_line"))
+    met = lines.join(F.broadcast(often), "id", "left")
+    return met.filter(F.col("_doc").isNull() | ((F.col("doc") == F.col("_doc")) & (F.col("line") == F.col("_line")))).drop("_doc", "_line")
 
 
 def segment_keys(content: Column, edits: int = MAX_EDITS) -> Column:
@@ -120,36 +133,50 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     return _trimmed(a, b, edits, compare)
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``later`` lines of those (later, earlier) pairs that are within the edits."""
-    slots = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).select(F.pmod("id", F.lit(SLOTS)).alias("slot")).distinct()
-    texts = firsts.select("id", "content", F.pmod("id", F.lit(SLOTS)).alias("slot")).join(F.broadcast(slots), "slot", "left_semi").select("id", "content")
+    texts = texts.select("id", "content")
     both = pairs.join(texts.toDF("earlier", "old"), "earlier").join(texts.toDF("later", "new"), "later")
     return both.filter(within_edits(F.col("old"), F.col("new"))).select(F.col("later").alias("id")).distinct()
 
 
-def similar_lines(firsts: DataFrame) -> DataFrame:
+def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, content, letters) of the wanted lines, filtered where the documents are read."""
+    slots = ids.select(F.pmod("id", F.lit(SLOTS)).alias("slot")).distinct()
+    near = lines.select("id", "content").withColumn("slot", F.pmod("id", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
+    counts = F.struct(*[(F.length("content") - F.length(F.replace("content", F.lit(x)))).alias(x) for x in LETTERS])
+    return near.select("id", "content").distinct().join(ids, "id", "left_semi").withColumn("letters", counts)
+
+
+def similar_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """Ids of the distinct lines that have an earlier similar one."""
-    rows = firsts.select("id", "doc", "line", F.inline(segment_keys(F.col("content"))).alias("key", "indexed"))
+    rows = without_repeats(lines, firsts).select("id", F.inline(segment_keys(F.col("content"))).alias("key", "indexed"))
     same_key = Window.partitionBy("key")
-    place = F.struct("doc", "line", "id")
-    met = rows.withColumns({"earliest": F.min(place).over(same_key), "n": F.count("*").over(same_key), "n_indexed": F.count_if("indexed").over(same_key)})
-    met = settled(met.filter("n > 1 and n_indexed > 0").withColumn("earliest", F.col("earliest.id")), "line-candidates")
+    met = rows.withColumns({"least": F.min("id").over(same_key), "most": F.max("id").over(same_key), "any": F.max("indexed").over(same_key)})
+    met = settled(met.filter("least < most and any").groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "line-candidates")
+    ids = met.select("id").distinct()
+    texts = settled(texts_of(ids, lines), "candidate-lines")
+    places = firsts.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("place"))
+    place = F.struct("place", "id")
+    met = met.join(places, "id").withColumns({"earliest": F.min(place).over(same_key), "n": F.count("*").over(same_key)})
+    met = settled(met.withColumn("earliest", F.col("earliest.id")), "placed-lines")
     pairs = met.filter("id <> earliest").select(F.col("id").alias("later"), F.col("earliest").alias("earlier")).distinct()
-    found = settled(_verified(pairs, firsts), "similar-lines")
+    found = settled(_verified(pairs, texts), "similar-lines")
     # what is not settled by the earliest line of the key meets the other earlier ones
-    crowded = met.filter("n > 2 and id <> earliest")
+    crowded = met.filter("n > 2 and id <> earliest").join(texts.select("id", "letters"), "id")
     open_lines = crowded.join(found, "id", "left_anti")
-    before = crowded.select("key", F.col("id").alias("earlier"), place.alias("place"), F.col("indexed").alias("other"))
-    rest = open_lines.join(before, "key").filter((F.col("place") < place) & (F.col("earlier") != F.col("id")) & (F.col("indexed") | F.col("other")))
+    before = crowded.select("key", F.col("id").alias("earlier"), place.alias("_place"), F.col("indexed").alias("other"), F.col("letters").alias("_letters"))
+    apart = sum((F.abs(F.col("letters")[x] - F.col("_letters")[x]) for x in LETTERS), F.lit(0))
+    rest = open_lines.join(before, (open_lines["key"] == before["key"]) & (F.col("_place") < place) & (F.col("indexed") | F.col("other")) & (apart <= 2 * MAX_EDITS))
     rest = rest.select(F.col("id").alias("later"), "earlier").distinct()
-    return found.unionByName(_verified(rest, firsts)).distinct()
+    return found.unionByName(_verified(rest, texts)).distinct()
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, kept): the numbers of a document's long lines that stay. Documents that keep none are missing."""
-    firsts = distinct_lines(long_lines(docs, doc_id, text))
-    stay = firsts.join(similar_lines(firsts), "id", "left_anti")
+    lines = long_lines(docs, doc_id, text)
+    firsts = settled(first_lines(lines), "first-lines")
+    stay = firsts.join(similar_lines(lines, firsts), "id", "left_anti")
     return stay.groupBy("doc").agg(F.collect_set("line").alias("kept"))
 
 
