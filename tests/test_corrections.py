@@ -111,5 +111,12 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
         session.shared_folder(Session())
 
 
+def test_case_folding(spark):
+    from tunefathom.functions import text as tx
+    words = ["Straße", "ΟΔΟΣ", "ﬁn", "ﬄ", "ABC", "Ünï"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(tx.casefold(F.col("w"))).collect()
+    assert [r[0] for r in got] == [w.casefold() for w in words]
+
+
 def test_micro_batches_helper_is_ordered(spark):
     assert micro_batches(spark, [(1,), (2,)], "a int", 2).isStreaming

@@ -62,7 +62,6 @@ POSITIVE_CLASS_FIRST = ["mood_happy", "mood_aggressive", "mood_acoustic", "mood_
 
 # --- numeric constants ------------------------------------------------------------
 NEIGHBOURS = 10
-MAP_NEIGHBOURS = 5
 MIN_SERIES_SONGS = 5
 LOUDNESS_FLOOR_DB = -70.0
 CONSTANT_LEVEL = 0.5
@@ -103,6 +102,8 @@ FEATURE_FAMILY = {
 FIRST_YEAR, LAST_YEAR = 1900, 2030
 ALBUM_TYPE_RANK = {"Album": 0, "EP": 1, "Single": 2}
 PROVIDER_ALBUM_TYPE_RANK = {"album": 0, "single": 1, "ep": 2, "compilation": 3}
+# letters whose folded form has several
+FOLDED_LETTERS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 UNDATED = "9999"
 ALBUM_WINDOW_YEARS = 1
 MIN_SEARCH_SCORE = 70
@@ -195,7 +196,6 @@ FEATURED_PATTERNS = [
 FEATURED_SPLIT = r"(?iU)\s*[&,]\s*|\s+x\s+|\s+and\s+"
 ARTIST_SPLIT = r"(?iU)\s*(?:,|&|\bx\b|\band\b|\bund\b)\s*"
 LIBRARY_ARTIST_SPLIT = r"(?iU)\s*(?:,|&|\bfeat\.?|\bft\.?|\bvs\.?|\bx\b)\s*"
-FIRST_ARTIST_SPLIT = r"(?iU),\s*|\s+&\s+|\s+x\s+|\s+and\s+|\s+(?:feat\.?|ft\.?|featuring)\s+"
 FEAT_BRACKET = r"(?iU)\s*[\(\[]\s*(?:feat\.?|ft\.?|featuring|with)\s[^\)\]]*[\)\]]"
 FEAT_TAIL = r"(?iU)\s+(?:-\s+)?(?:feat\.?|ft\.?|featuring)\s.+$"
 FROM_TAIL = r"(?iU)\s+-\s+from\s.+$"
@@ -211,7 +211,6 @@ QUERY_SEPARATOR = r"(?U)\s+[-–—]\s+"
 
 VIDEO_SEPARATOR = r"(?U)\s+[-–—|]\s+"
 COLON_SEPARATOR = r"(?U):\s+"
-VIDEO_BRACKET = r"(?U)\s*[\(\[【][^\)\]】]*[\)\]】]"
 # A bracketed part holding one of these words is noise: the same pattern, with the word looked ahead for.
 VIDEO_NOISE_WORDS = (
     r"official|video|audio|lyric|visuali[sz]er|\bhd\b|\bhq\b|\b4k\b|\bmv\b|remaster|"

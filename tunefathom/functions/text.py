@@ -17,8 +17,11 @@ def strip(text: Column, characters: str | None = None) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Caseless form; covers the one letter in common use whose lower case is not its folded form."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Caseless form: lower case, where sharp s and the ligatures are spelt out and a final sigma is an ordinary one."""
+    folded = F.translate(F.lower(text), "ς", "σ")
+    for letter, spelt in fv.FOLDED_LETTERS.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(spelt))
+    return folded
 
 
 def none_if_empty(text: Column) -> Column:

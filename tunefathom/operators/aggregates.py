@@ -151,7 +151,7 @@ def mean_profile(songs: DataFrame, axes: dict[str, Column]) -> DataFrame:
 _MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
-def correlations(songs: DataFrame, features: list[str], zero_is_missing: tuple[str, ...] = ("playcount", "listeners")) -> DataFrame:
+def correlations(songs: DataFrame, features: list[str] = fv.CORRELATION_FEATURES, zero_is_missing: tuple[str, ...] = ("playcount", "listeners")) -> DataFrame:
     """Pearson coefficient of every feature pair over the songs having both, rounded to three digits.
 
     Every record batch is reduced to one matrix of pair moments where it is read, so the shuffle carries

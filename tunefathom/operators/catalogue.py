@@ -145,13 +145,18 @@ def search_candidates(queries: DataFrame, hits: DataFrame, query: str = "query_i
 
 # --- albums -----------------------------------------------------------------------
 
+def _rank(value: Column, ranks: dict[str, int]) -> Column:
+    """The rank of a named value, null for one without."""
+    return F.coalesce(*[F.when(value == name, rank) for name, rank in ranks.items()])
+
+
 def album_candidates(releases: DataFrame, allow_soundtracks: bool = True) -> DataFrame:
     """Official releases of an album, EP or single group without other secondary types and sampler names.
 
     ``releases``: song_id, group_id, group_title, release_title, primary_type, secondary_types, status, date,
     release_artist, song_artist, song_title. A release credited to somebody else is dropped, one without credit stays.
     """
-    rank = F.when(F.col("primary_type") == "Album", 0).when(F.col("primary_type") == "EP", 1).when(F.col("primary_type") == "Single", 2)
+    rank = _rank(F.col("primary_type"), fv.ALBUM_TYPE_RANK)
     title = F.coalesce(tx.none_if_empty(F.col("group_title")), tx.none_if_empty(F.col("release_title")), F.lit(""))
     allowed = F.array(F.lit("Soundtrack")) if allow_soundtracks else F.array().cast("array<string>")
     others = F.size(F.array_except(F.coalesce("secondary_types", F.array().cast("array<string>")), allowed))
@@ -238,8 +243,7 @@ def provider_track(queries: DataFrame, hits: DataFrame, query: str = "query_id")
     """
     rows = hits.join(queries.select(query, "title"), query)
     matches = rows.filter(tx.title_similar(F.col("title"), F.coalesce("hit_title", F.lit(""))))
-    rank = F.when(F.col("album_type") == "album", 0).when(F.col("album_type") == "single", 1).when(F.col("album_type") == "ep", 2).when(
-        F.col("album_type") == "compilation", 3).otherwise(99)
+    rank = F.coalesce(_rank(F.col("album_type"), fv.PROVIDER_ALBUM_TYPE_RANK), F.lit(99))
     key = F.struct(rank.alias("a"), F.coalesce(tx.none_if_empty(F.col("release_date")), F.lit(fv.UNDATED)).alias("b"), F.col("position").alias("c"))
     full = F.when((F.col("release_precision") == "day") & (F.length("release_date") == 10), F.col("release_date"))
     guests = F.filter(F.slice("artists", 2, F.greatest(F.size("artists"), F.lit(1))), lambda g: g != "")
