@@ -280,3 +280,37 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, str(tmp_path)).columns == empty.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_far_members_of_one_hub_meet_in_blocks(spark):
+    """Members that differ from the hub too much, in pairs that are alike: found whatever the blocks."""
+    rng = np.random.default_rng(11)
+    def pool(n):
+        return rng.integers(0, 1 << 62, n, dtype=np.int64).view(np.uint64)
+    hub = np.unique(pool(200))
+    rows, want = [], set()
+    for i in range(40):
+        own = np.unique(np.concatenate([hub[:150], pool(50)]))  # far from the hub
+        twin = np.unique(np.concatenate([own[:-4], pool(4)]))
+        near = np.unique(np.concatenate([hub[:-1], pool(1)]))
+        for k, s in enumerate((own, twin, near)):
+            rows.append((3 * i + k, 1000, len(s), np.setxor1d(s, hub).tobytes(), 1000 if k == 2 else 3 * i + k, k != 2))
+        want.add(tuple(sorted((3 * i, 3 * i + 1))))
+    members = spark.createDataFrame(rows, "doc long, hub long, size long, differs binary, component long, far boolean")
+    for block in (1024, 7):
+        got = {tuple(sorted((r["a"], r["b"]))) for r in jaccard_join.far_links(members, 90, 100, block).collect()}
+        assert got == want
+
+
+def test_many_near_copies_without_their_original(spark):
+    rng = random.Random(12)
+    base = _words(rng, 150, 5000)
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(150)] = f"new{rng.randrange(400)}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame, 3, 90, 100).collect()}
+    assert [got[i] for i in range(60)] == _linked(texts, 3, 90, 100)

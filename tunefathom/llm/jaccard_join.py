@@ -11,11 +11,12 @@ The weights add up to the largest difference plus one, plus a reserve for empty
 left out, unless a set has more of them than the reserve covers. How many segments get weight 2 is decided per band
 by cost: entries to index against expected tiny segments, which collide by chance (``Plan``). No similar pair is lost.
 
-Sets under one key are compared with the member that shares most keys with others, and only then, if they are still
-in different components, with each other; so the work for a group of near copies follows its size. Texts of equal
-sets are linked by a fingerprint of 128 bits and are compared no further.
+Sets under one key are compared with its hub, the member that shares most keys with others, from both whole texts.
+Members that the hub leaves in other components are compared with the hub's other members by what each of them differs
+in from the hub, which tells exactly how much they share: in blocks of bounded size, which yield a spanning forest of
+the links found and never a list of pairs. Texts of equal sets are linked by a fingerprint of 128 bits.
 
-Verification reads both whole texts. Defined results: null and empty texts (no words) have an empty set and are
+Defined results: null and empty texts (no words) have an empty set and are
 linked with nothing; a text of fewer words than a shingle is one shingle; rows without an id get their set's size and
 no component; equal ids are one node; ties and repeated rows are copies like any other.
 """
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -38,6 +40,8 @@ from tunefathom.session import settled
 #: What a segment of one shingle or none is worth in index entries, when weights are chosen.
 TINY_COST = 20.0
 SLOTS = 1 << 18
+#: Members of one hub in a block.
+BLOCK = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,75 +135,153 @@ def signatures(tokens: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def signed_sets(docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, a fingerprint of the set and its keys (only once per set and task)."""
+def _marks(tokens: np.ndarray) -> tuple[int, int]:
+    """A fingerprint of a set, 0 for the empty one."""
+    return tuple(np.array([mix(tokens).sum(), mix(tokens ^ _ODD).sum()], np.uint64).view(np.int64).tolist()) if len(tokens) else (0, 0)
+
+
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """Per row: doc_id, n_shingles and the fingerprint of the set."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            marks = [_marks(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)]],
+                                             names=["doc_id", "n_shingles", "mark_1", "mark_2"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, mark_1 long, mark_2 long")
+
+
+def set_keys(docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
+    """(doc, key): the keys of every set, of equal sets in one task only once. Rows without an id have none."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in text_slices(batches, "text", 2_000_000):
-            ids = batch.column("doc_id").to_pylist()
-            sizes, first, second, keys = [], [], [], []
-            for doc, text in zip(ids, batch.column("text").to_pylist()):
+        for batch in text_slices(batches, "text", 1_000_000):
+            ids, keys = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingles(text, n)
-                sizes.append(len(tokens))
-                marks = (int(mix(tokens).sum()), int(mix(tokens ^ _ODD).sum())) if len(tokens) else (0, 0)
-                first.append(marks[0]), second.append(marks[1])
-                if doc is None or not len(tokens) or marks in seen:
-                    keys.append(None)
-                else:
+                if doc is not None and len(tokens) and (marks := _marks(tokens)) not in seen:
                     seen.add(marks)
-                    keys.append(np.concatenate([signatures(tokens, p) for p in plans_for(len(tokens), a, b)]).view(np.int64))
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *signed, pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "mark_1", "mark_2", "keys"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, mark_1 long, mark_2 long, keys array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
-    """The (a, b) pairs of document ids whose sets are similar, from both texts."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
-    texts = texts.join(F.broadcast(slots), "slot", "left_semi").select("id", "text")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+                    for plan in plans_for(len(tokens), a, b):
+                        found = signatures(tokens, plan)
+                        keys.append(found.view(np.int64))
+                        ids.append(np.full(len(found), doc, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["doc", "key"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc long, key long")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
+    """For (doc, hub) pairs of ids: the document's size, whether both are similar, and the shingles only one of them has."""
+    ids = pairs.select(F.explode(F.array("doc", "hub")).alias("id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # texts that no pair needs are left out where they are read, but for those whose id falls into used slots of both tables
+    for seed in (1, 2):
+        slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SLOTS))
+        texts = texts.withColumn("slot", slot).join(F.broadcast(ids.select(slot.alias("slot")).distinct()), "slot", "left_semi").select("id", "text")
+    both = pairs.join(texts.toDF("doc", "text"), "doc").join(texts.toDF("hub", "hub_text"), "hub")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for whole in batches:
-            for batch in text_slices([whole], "text_a", 4_000_000):
-                keep = []
-                for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                    if y != last[0]:
-                        last = (y, shingles(y, n))
-                    left, right = shingles(x, n), last[1]
-                    shared = len(np.intersect1d(left, right, assume_unique=True))
-                    keep.append(shared > 0 and b * shared >= a * (len(left) + len(right) - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
+        for batch in text_slices(batches, "text"):
+            sizes, similar, differs = [], [], []
+            for x, y in zip(batch.column("text").to_pylist(), batch.column("hub_text").to_pylist()):
+                if y != last[0]:
+                    last = (y, shingles(y, n))
+                own, hub = shingles(x, n), last[1]
+                only = np.setxor1d(own, hub, assume_unique=True)
+                sizes.append(len(own)), similar.append(_similar(len(own), len(hub), len(only), a, b)), differs.append(only.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hub"), pa.array(sizes, pa.int64()), pa.array(similar, pa.bool_()), pa.array(differs, pa.binary())],
+                                             names=["doc", "hub", "size", "similar", "differs"])
+
+    return both.select("doc", "hub", "text", "hub_text").mapInArrow(work, "doc long, hub long, size long, similar boolean, differs binary")
+
+
+def _similar(one: int, other: int, apart: int, a: int, b: int) -> bool:
+    """From the sizes of two sets and that of their symmetric difference."""
+    shared = (one + other - apart) // 2
+    return shared > 0 and b * shared >= a * (one + other - shared)
+
+
+def far_links(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join components among the members of one hub.
+
+    ``members``: doc, hub, size, differs, component, far (not in the hub's component). Far members meet each other and
+    the near ones, block by block; near ones do not meet each other.
+    """
+    counts = members.groupBy("hub").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 1")
+    rows = members.join(counts, "hub").withColumns({"far_blocks": F.ceil(F.col("n_far") / block).cast("int"), "near_blocks": F.ceil(F.col("n_near") / block).cast("int")})
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("far"), F.col("far_blocks")).otherwise(F.greatest("near_blocks", F.lit(1)))).cast("int")
+
+    def upto(count):
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    # (far block, second block, whether the second is a near one)
+    far_places = F.concat(F.transform(upto(F.col("far_blocks")), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), F.lit(False).alias("near"))),
+                          F.transform(upto(F.col("near_blocks")), lambda j: F.struct(F.col("own").alias("x"), j.alias("y"), F.lit(True).alias("near"))))
+    near_places = F.transform(upto(F.col("far_blocks")), lambda i: F.struct(i.alias("x"), F.col("own").alias("y"), F.lit(True).alias("near")))
+    placed = rows.withColumn("own", own).select("hub", "doc", "size", "differs", "component", F.inline(F.when(F.col("far"), far_places).otherwise(near_places)).alias("x", "y", "near"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return _spanning(group["doc"].to_numpy(), group["component"].to_numpy(), group["size"].to_numpy(), [np.frombuffer(d, np.uint64) for d in group["differs"]], a, b)
+
+    return placed.groupBy("hub", "x", "y", "near").applyInPandas(compare, "a long, b long")
+
+
+def _spanning(docs: np.ndarray, component: np.ndarray, size: np.ndarray, differs: list[np.ndarray], a: int, b: int) -> pd.DataFrame:
+    """Links between different components of a block, as many as join them and no more."""
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+    out: dict[str, list] = {"a": [], "b": []}
+    if len(root) > 1:
+        lengths = np.array([len(d) for d in differs])
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        tokens, place, often = np.unique(np.concatenate(differs), return_inverse=True, return_counts=True)
+        common = often[place] > 1  # a shingle of one member only is shared with nobody
+        owner, place = owner[common], np.unique(place[common], return_inverse=True)[1]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        shared = np.zeros((len(docs), len(docs)), np.float32)
+        step = 4096
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+            i, j = np.searchsorted(place, [low, low + step])
+            have = np.zeros((len(docs), step), np.float32)
+            have[owner[i:j], place[i:j] - low] = 1
+            shared += have @ have.T
+        apart = lengths[:, None] + lengths[None, :] - 2 * shared.astype(np.int64)
+        both = (size[:, None] + size[None, :] - apart) // 2
+        linked = (both > 0) & (b * both >= a * (size[:, None] + size[None, :] - both)) & (component[:, None] != component[None, :])
+        for x, y in zip(*np.nonzero(np.triu(linked))):
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out["a"].append(int(docs[x])), out["b"].append(int(docs[y]))
+    return pd.DataFrame(out, dtype="int64")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link when ``b * shared >= a * united``."""
-    sets = settled(signed_sets(docs, n, a, b), "shingle-sets")
-    keyed = sets.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key")).distinct()
-    met = settled(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "shared-keys")
+    sets = settled(set_sizes(docs, n), "shingle-sets")
+    keyed = set_keys(docs, n, a, b)
+    same_key = Window.partitionBy("key")
+    met = keyed.withColumns({"least": F.min("doc").over(same_key), "most": F.max("doc").over(same_key), "n": F.count("*").over(same_key)})
+    met = settled(met.filter("least < most").select("key", "doc", "n"), "shared-keys")
     # the member that shares most keys with others: in a group of near copies the one in the middle
     support = met.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("support"))
-    ranked = met.join(support, "doc").withColumn("hub", F.max(F.struct("support", (-F.col("doc")).alias("minus"))).over(Window.partitionBy("key")))
-    ranked = settled(ranked.select("key", "doc", "size", (-F.col("hub.minus")).alias("hub")), "hubs")
+    ranked = met.join(support, "doc").withColumn("hub", F.max(F.struct("support", (-F.col("doc")).alias("minus"))).over(same_key))
+    pairs = ranked.select("doc", (-F.col("hub.minus")).alias("hub")).filter("doc <> hub").distinct()
+    members = settled(compared(pairs, docs, n, a, b), "hub-members")
     copies = sets.filter("n_shingles > 0 and doc_id is not null").withColumnRenamed("doc_id", "a").join(
         sets.filter("n_shingles > 0").groupBy("mark_1", "mark_2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("many")).filter("many > 1"),
         ["mark_1", "mark_2", "n_shingles"]).filter("a <> b").select("a", "b")
-    pairs = ranked.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    links = settled(verified(pairs, docs, n, a, b).unionByName(copies), "near-links")
+    links = settled(members.filter("similar").select(F.col("doc").alias("a"), F.col("hub").alias("b")).unionByName(copies).distinct(), "near-links")
     found = components(links)
-    # members of one key that the hub has not brought together
-    placed = ranked.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).filter("least < most and n > 2")
-    left = placed.join(apart.select("key"), "key", "left_semi").filter("doc <> hub")
-    right = left.select("key", *[F.col(c).alias(c + "_2") for c in ("doc", "size", "component")])
-    close = (F.least("size", "size_2") * b >= F.greatest("size", "size_2") * a)
-    rest = left.join(right, "key").filter((F.col("doc") < F.col("doc_2")) & (F.col("component") != F.col("component_2")) & close)
-    rest = settled(verified(rest.select(F.col("doc").alias("a"), F.col("doc_2").alias("b")).distinct(), docs, n, a, b), "far-links")
+    placed = members.join(found.toDF("doc", "component"), "doc", "left").join(found.toDF("hub", "hub_component"), "hub", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
+    rest = settled(far_links(placed.drop("hub_component"), a, b), "far-links")
     if not rest.isEmpty():
         found = components(links.unionByName(rest))
     return sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
