@@ -206,6 +206,18 @@ def test_toxic_words_are_found_disguised(spark):
     assert all(got[i] >= 0.3 for i in (902, 903, 904, 905)) and got[906] < 0.3 and got[900] == got[901] < 0.3
 
 
+def test_one_doubled_letter_and_split_words_weigh(spark):
+    words = ["stupid", "moron", "idiot", "idiot-", "clown"]
+    texts = ["the stupid moron and the idiot clown went into the town to find a path", "an idea of many other words in one line of text and on"] * 40
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    language = toxicity.language_model([(r["trigram"], r["n"]) for r in toxicity.trigram_counts(frame).collect()])
+    scorer = toxicity.Scorer(toxicity.ToxicModel(language, {w: 3.0 for w in words}, np.array([-3.0, 1.0, 1.0])))
+    disguised = ["stuupid", "moroon", "idiiot", "Idioots", "cloown,", "stu pid", "mor on", "id io ts!", "st u pid", "clow n", '"stu p1d"']
+    assert all(len(scorer.weights(f"a line with {d} in it")[0]) == 1 for d in disguised)
+    rest = ["too good", "stu. pid", "mor only", "clow down", "full of wood", "id of iota", "stupid pid", "s t u p i d"]
+    assert [len(scorer.weights(f"a line with {d} in it")[0]) for d in rest] == [0, 0, 0, 0, 0, 0, 1, 1]
+
+
 def test_language_counts_cover_all_texts(spark):
     texts = ["abc ab", "É abd", None, "", "zz" * 50]
     counts = {r["trigram"]: r["n"] for r in toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}

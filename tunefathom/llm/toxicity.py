@@ -3,8 +3,10 @@
 A token that mixes letters with digits or symbols, spells letters out one by one, or repeats a letter becomes a
 lattice: each observed character may stand for itself, for the letters it is known to imitate, or (separators,
 repeats) for nothing, each at a price. The Viterbi path through the lattice under a character trigram model is the
-restored token. Toxic words and word beginnings come from labelled texts; a text's score is calibrated from the weights of those
-it contains, plainly or restored, in total and per word.
+restored token. A token with repeated letters also stands for each toxic word that it equals but for repeats, and
+neighbouring pieces for the toxic word that they are when written together. Toxic words and word beginnings come from
+labelled texts; a text's score is calibrated from the weights of those it contains, plainly or restored, in total and
+per word.
 
 The trigram model is counted over all texts (a table of fixed size); words and calibration are fitted on a bounded
 sample of labelled texts (``PER_CLASS`` per class, ``MAX_WORDS`` words). Scoring is map-only over whole texts.
@@ -135,8 +137,10 @@ def viterbi(token: str, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
-_TRIPLE, _PAIR, _RUN = re.compile(r"(.)\1\1"), re.compile(r"(.)\1"), re.compile(r"(.)\1*", re.S)
+_PAIR, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1*", re.S)
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/~`@+"
+#: Those that imitate no letter.
+_MARKS = "".join(c for c in _EDGES if c not in LOOKALIKES)
 
 
 class Restorer:
@@ -145,25 +149,27 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
 
-    def forms(self, raw: str) -> list[str]:
+    def forms(self, raw: str) -> Iterator[str]:
         """The words a token may stand for: itself without marks around it, and the decoded lattices where it has any.
 
         A symbol at an edge may belong to the word ($tupid) or not (stupid!!), so both readings are decoded.
         """
-        out = [own] if (own := raw.lower().strip(_EDGES)).isalpha() else []
+        own = raw.lower().strip(_EDGES)
+        if own.isalpha():
+            yield own
         text = _letters(raw)
         core = text.strip(_EDGES)
         plain = core.isascii() and core.isalpha()
-        if plain and core not in out:
-            out.append(core)
+        if plain and core != own:
+            yield core
         if core and any("a" <= c <= "z" for c in core):
             start, end = text.find(core), text.find(core) + len(core)
             left, right = start and text[start - 1] in LOOKALIKES, end < len(text) and text[end] in LOOKALIKES
-            readings = [core] if not plain or _TRIPLE.search(core) or len(_PAIR.findall(core)) > 2 else []
+            readings = [core] if not plain or _PAIR.search(core) else []
             readings += [text[start - 1:end]] if left else []
             readings += [text[start:end + 1]] if right and text[end:end + 2] in LOOKALIKES else []
-            out += [viterbi(r, self.model) for r in readings]
-        return out
+            for reading in readings:
+                yield viterbi(reading, self.model)
 
     def spelt(self, letters: list[str]) -> str:
         """Single characters in a row, read as one."""
@@ -185,23 +191,89 @@ class ToxicModel:
 
 
 class _Weights(dict):
-    """Highest weight among a token's forms, found once per token."""
+    """Highest weight among a token's forms, found once per token; below zero if it has none but may be the first
+    piece of a toxic word."""
 
     def __init__(self, restorer: Restorer, weights: dict[str, float]) -> None:
         super().__init__()
+        whole = {w for u in weights if len(u) > 3 for w in (u.removesuffix("-"), _letters(u.removesuffix("-")))}
+        self.beginnings = {w[:n] for w in whole for n in range(1, len(w))}
         self.restorer, self.known = restorer, weights
+        self.shapes: dict[str, list[tuple[float, re.Pattern]]] = {}
+        for unit, weight in weights.items():
+            self.shapes.setdefault(_RUN.sub(r"\1", unit.removesuffix("-")), []).append((weight, re.compile(_with_repeats(unit))))
+        self.lengths = sorted({len(shape) for shape in self.shapes})
+
+    def plain(self, word: str) -> float:
+        """Without restoring anything."""
+        known = self.known
+        found = known.get(word, 0.0)
+        for n in BEGINNINGS:
+            if len(word) > n and (weight := known.get(word[:n] + "-", 0.0)) > found:
+                found = weight
+        return found
+
+    def repeated(self, word: str) -> float:
+        """Of a word whose repeats may be left out."""
+        shape = _RUN.sub(r"\1", word)
+        near = [u for n in self.lengths if n <= len(shape) for u in self.shapes.get(shape[:n], ())]
+        return max((weight for weight, pattern in near if pattern.fullmatch(word)), default=0.0)
 
     def __missing__(self, raw: str) -> float:
-        self[raw] = found = max((self.known.get(u, 0.0) for w in self.restorer.forms(raw) if len(w) > 2 for u in units(w)), default=0.0)
+        core = raw.strip(_MARKS)
+        if core.isascii() and core.isalpha():
+            # a lattice of letters only differs by repeats, so its path is among what ``repeated`` finds
+            core = core.lower()
+            found = self.plain(core) if len(core) > 2 else 0.0
+            if _PAIR.search(core):
+                found = max(found, self.repeated(core))
+        else:
+            found = max((self.plain(w) for w in self.restorer.forms(raw) if len(w) > 2), default=0.0)
+            if _PAIR.search(raw):
+                found = max(found, *[self.repeated(w) for w in (raw.lower().strip(_EDGES), _letters(raw).strip(_EDGES)) if w.isalpha()], 0.0)
+        if not found and raw[-1].isalpha() and (core.lower() in self.beginnings or _letters(core) in self.beginnings):
+            found = -1.0
+        self[raw] = found
         return found
 
 
+def _with_repeats(unit: str) -> str:
+    """A pattern of the words that are ``unit``, or begin with it, when some repeats of letters are left out."""
+    word = unit.removesuffix("-")
+    return "".join(f"{re.escape(r[1])}{{{len(r[0])},}}" for r in _RUN.finditer(word)) + (".+" if unit != word else "")
+
+
 class Scorer:
     def __init__(self, model: ToxicModel) -> None:
         self.model, self.restorer = model, Restorer(model.language)
         self.cache = _Weights(self.restorer, model.weights)
         self.sizes = sorted({len(w) for w in model.weights if len(w) > 3 and not w.endswith("-")})
 
+    def in_pieces(self, tokens: list[str], found: np.ndarray) -> list[float]:
+        """The weights of toxic words written in neighbouring pieces, none of which weighs anything itself.
+
+        Marks may stand around the whole. Rows of single characters are left to ``spelt``.
+        """
+        out, used = [], 0
+        for i in np.flatnonzero(found < 0).tolist():
+            if i < used:
+                continue
+            joined = tokens[i].lstrip(_EDGES)
+            for j in range(i + 1, len(tokens)):
+                piece = tokens[j]
+                if found[j] > 0 or not piece[0].isalnum() and piece[0] not in LOOKALIKES:
+                    break
+                joined += piece
+                own, word = joined.lower().strip(_EDGES), _letters(joined).strip(_EDGES)
+                weight = max(self.cache.plain(own), self.cache.plain(word)) if word.isalpha() else self.cache[joined]
+                if weight > 0 and (j == i + 1 or any(len(t) > 1 for t in tokens[i:j + 1])):
+                    out.append(weight)
+                    used = j + 1
+                    break
+                if not piece[-1].isalpha() or not (own in self.cache.beginnings or word in self.cache.beginnings):
+                    break
+        return out
+
     def weights(self, text: str) -> tuple[np.ndarray, int]:
         """The weights of a text's toxic words, and its number of words."""
         if len(self.cache) > CACHED_TOKENS:
@@ -216,7 +288,7 @@ class Scorer:
             if b - a > 2:
                 whole = self.restorer.spelt(tokens[a:b])
                 spelt += [self.model.weights.get(whole[i:i + n], 0.0) for n in self.sizes for i in range(len(whole) - n + 1)]
-        found = np.append(found, spelt)
+        found = np.concatenate([found, spelt, self.in_pieces(tokens, found)])
         return found[found > 0], len(tokens)
 
     def features(self, text: str | None) -> list[float]:
@@ -238,7 +310,7 @@ def toxic_words(sample: DataFrame, language: np.ndarray, min_contexts: int = MIN
         for batch in text_slices(batches, "text", 1_000_000):
             seen = set()
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                words = [next(iter(restorer.forms(t)), "") for t in text.split()]
+                words = [next(restorer.forms(t), "") for t in text.split()]
                 seen.update((label, b, u) for b, w in zip(["", *words], words) if len(w) > 2 for u in units(w))
             yield pa.RecordBatch.from_pydict(dict(zip(("label", "before", "unit"), zip(*seen))) if seen else {"label": [], "before": [], "unit": []}, schema=schema)
 
