@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -118,5 +119,13 @@ def test_case_folding(spark):
     assert [r[0] for r in got] == [w.casefold() for w in words]
 
 
+def test_library_of_the_queries_holds_a_row_of_every_part(spark):
+    from tunefathom.queries.registry import Tables
+    from tunefathom.queries.sources import _library
+    t = Tables(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    root, n = _library(t), t.part.count()
+    assert [li.read_table(spark, root, name).count() for name in ("songs", "dsp", "tracks")] == [n, n, n]
+
+
 def test_micro_batches_helper_is_ordered(spark):
     assert micro_batches(spark, [(1,), (2,)], "a int", 2).isStreaming

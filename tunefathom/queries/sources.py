@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tunefathom import schemas
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.filters import REASONS_SQL
-from tunefathom.queries.registry import Tables, query, sql_round
+from tunefathom.queries.registry import Tables, key_if, query, sql_round
 from tunefathom.session import work_path
 from tunefathom.sources import catalogue as sc, library as li
 
@@ -22,8 +22,8 @@ def _library(t: Tables) -> str:
         empty = li.read_table(t.spark, root, name)
         empty.unionByName(rows, allowMissingColumns=True).write.mode("append").parquet(f"{root}/{name}")
     add("songs", t.part.select(key, F.col("p_name").alias("title"), F.col("p_brand").alias("artist")))
-    add("dsp", t.part.filter("p_partkey % 5 > 0").select(key, F.col("p_size").cast("double").alias("bpm")))
-    add("tracks", t.part.filter("p_partkey % 3 > 0").select(key, F.col("p_type").alias("album")))
+    add("dsp", t.part.select(key_if("p_partkey % 5 > 0", "p_partkey").cast("string").alias("song_id"), F.col("p_size").cast("double").alias("bpm")))
+    add("tracks", t.part.select(key_if("p_partkey % 3 > 0", "p_partkey").cast("string").alias("song_id"), F.col("p_type").alias("album")))
     rows = t.lineitem.select(F.col("l_partkey").cast("string").alias("song_id"), F.concat(F.lit("L"), "l_suppkey").alias("label"), F.col("l_discount").alias("score"))
     add("parent_genres", rows.groupBy("song_id", "label").agg(F.max("score").alias("score")))
     frames = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")))
