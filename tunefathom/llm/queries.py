@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tunefathom.llm import bpe, decontamination, jaccard_join, line_dedup, quality_cnn, quality_rules, records, sharding, toxicity, url_templates
+from tunefathom.llm import (
+    bpe, decontamination, importance_resampling, jaccard_join, line_dedup, quality_cnn, quality_rules, records, sharding, source_divergence, toxicity,
+    url_templates,
+)
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
 from tunefathom.session import apply_defaults
@@ -90,3 +93,13 @@ def op2(spark, folder):
 @query("op3_jaccard_join", jaccard_join.sql())
 def op3(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), n=3, a=90, b=100)
+
+
+@query("op12_importance_resampling", importance_resampling.sql())
+def op12(spark, folder):
+    return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=25, seed=7)
+
+
+@query("op13_source_divergence", source_divergence.sql())
+def op13(spark, folder):
+    return source_divergence.source_divergence(table(spark, folder, "documents"))
