@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tunefathom.llm import (
-    bpe, decontamination, importance_resampling, jaccard_join, line_dedup, quality_cnn, quality_rules, records, sharding, source_divergence, toxicity,
-    url_templates,
+    bpe, decontamination, importance_resampling, jaccard_join, line_dedup, quality_cnn, quality_rules, records, sharding, source_divergence, suffix_dedup,
+    toxicity, url_templates,
 )
 from tunefathom.llm.sample import fold, labelled_sample
 from tunefathom.queries.registry import Query
@@ -95,6 +95,11 @@ def op3(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), n=3, a=90, b=100)
 
 
+@query("op11_suffix_dedup")
+def op11(spark, folder):
+    return suffix_dedup.remove_repeated(table(spark, folder, "documents"))
+
+
 @query("op12_importance_resampling", importance_resampling.sql())
 def op12(spark, folder):
     return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=25, seed=7)
