@@ -35,7 +35,7 @@ def test_plan_has_no_cross_join(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["w1_top_n_labels", "a10_detailed_genre_counts", "a32_tag_genres", "s1_scan_songs"])
+@pytest.mark.parametrize("name", ["w1_top_n_labels", "a10_detailed_genre_counts", "a32_tag_genres"])
 def test_top_n_is_limited_before_the_shuffle(spark, name):
     plan = QUERIES[name].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
@@ -47,6 +47,18 @@ def test_scan_reads_only_what_it_needs(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_tax:double>" in plan
 
 
+def test_song_scan_reads_only_its_columns(spark):
+    plan = QUERIES["s1_scan_songs"].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<song_id:string,label:string,score:double>" in plan
+    assert "reviewed" not in plan and "original_name" not in plan
+
+
+@pytest.mark.parametrize("name", ["t1_song_id", "j5_resolve_tracks", "j5_candidate_ids", "j6_in_library"])
+def test_song_ids_run_no_python(spark, name):
+    plan = QUERIES[name].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
 def test_contract():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

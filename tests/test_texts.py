@@ -33,6 +33,20 @@ def song_key(title, artist):
     return out[:22].ljust(22, "0")
 
 
+def test_base62_at_the_edges(spark):
+    from tunefathom.functions import ids
+    numbers = [0, 1, 61, 62, 2**256 - 1, 2**60, 2**60 - 1, 2**240, *[62**k + d for k in range(1, 43) for d in (-1, 0, 1)]]
+
+    def want(number):
+        out = ""
+        while number:
+            number, digit = divmod(number, 62)
+            out = ids.DIGITS[digit] + out
+        return out[:22].ljust(22, "0")
+    assert apply(spark, ids.base62, [f"{n:064x}" for n in numbers]) == [want(n) for n in numbers]
+    assert apply(spark, tx.song_id, [(None, "a"), ("a", None)]) == [None, None]
+
+
 def test_song_id(spark):
     names = [("Hello", "Adele"), (" HELLO ", "adele"), ("Adele", "Hello"), ("", ""), ("Für Elise", "Beethoven"), ("a" * 500, "ß")]
     got = apply(spark, tx.song_id, names)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions.numeric import let
-from tunefathom.functions.udfs import sequence_ratio, song_id, without_accents  # noqa: F401  (part of this surface)
+from tunefathom.functions.ids import song_id  # noqa: F401  (part of this surface)
+from tunefathom.functions.udfs import sequence_ratio, without_accents  # noqa: F401  (part of this surface)
 
 
 def strip(text: Column, characters: str | None = None) -> Column:

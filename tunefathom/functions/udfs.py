@@ -1,43 +1,14 @@
-"""The three things Spark has no built-in for: base-62 song ids, Unicode decomposition, sequence similarity."""
+"""The two things Spark has no built-in for: Unicode decomposition, sequence similarity."""
 
 from __future__ import annotations
 
 import difflib
-import string
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-_DIGITS = string.digits + string.ascii_letters
-_ID_LENGTH = 22
-
-
-def _base62(hex_digest: str | None) -> str | None:
-    if hex_digest is None:
-        return None
-    number, digits = int(hex_digest, 16), ""
-    while number:
-        number, rest = divmod(number, 62)
-        digits = _DIGITS[rest] + digits
-    return digits[:_ID_LENGTH].ljust(_ID_LENGTH, "0")
-
-
-@F.pandas_udf(StringType())
-def _base62_udf(digests: pd.Series) -> pd.Series:
-    return digests.map(_base62)
-
-
-def song_id(title: Column, artist: Column) -> Column:
-    """Stable 22-character key of a title and artist, blind to case and outer spaces."""
-    text = F.concat(_trim(F.lower(title)), F.lit("|"), _trim(F.lower(artist)))
-    return _base62_udf(F.sha2(text.cast("binary"), 256))
-
-
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
 
 def _without_accents(text: str | None) -> str | None:
     if text is None or text.isascii():

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
+from tunefathom.functions.ids import song_id
 from tunefathom.functions.numeric import let
-from tunefathom.functions.udfs import sequence_ratio, song_id
+from tunefathom.functions.udfs import sequence_ratio
 from tunefathom.plans.shapes import one_row, place_in_group, top_n
 
 

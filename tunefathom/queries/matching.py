@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tunefathom.operators import filters as fi, matching as ma
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.registry import Tables, key_if, name_if, query, sql_round
-from tunefathom.queries.texts import _VIDEOS_PARSED_SQL, videos
+from tunefathom.queries.texts import _VIDEOS_PARSED_SQL, song_id_sql, videos
 
 
 @query("j3_has_audio", """
@@ -51,7 +51,10 @@ def _resolve(t: Tables):
     return ma.resolve_tracks(*resolve_inputs(t))
 
 
-@query("j5_candidate_ids")
+_CANDIDATES_SQL = " UNION ALL ".join(f"SELECT p_partkey * 2 + {i} AS track_id, p_name AS title, {artist} AS artist FROM part" for i, artist in enumerate(("p_brand", "p_type")))
+
+
+@query("j5_candidate_ids", f"SELECT track_id // 2 AS track_id, string_agg(song_id, ' ' ORDER BY track_id) AS candidates FROM ({song_id_sql(_CANDIDATES_SQL, 'track_id')}) GROUP BY ALL")
 def _candidates(t: Tables):
     tracks = t.part.select(F.col("p_partkey").alias("track_id"), F.concat("p_name", F.lit(" (feat. Guest) - Remastered 2009")).alias("title"), F.array("p_brand", "p_type").alias("artists"))
     return ma.with_candidates(tracks).select("track_id", F.array_join("candidates", " ").alias("candidates"))

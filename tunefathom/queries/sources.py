@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunefathom import schemas
+from tunefathom.functions.ids import song_id
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.filters import REASONS_SQL
-from tunefathom.queries.registry import Tables, key_if, query, sql_round
+from tunefathom.queries.registry import Tables, key_if, name_if, query, sql_round
 from tunefathom.session import work_path
 from tunefathom.sources import catalogue as sc, library as li
 
@@ -146,7 +147,7 @@ def _split(t: Tables):
         *[F.array(F.struct(F.col("p_type").alias("label"), F.col("p_retailprice").alias("score"))).alias(n) for n in schemas.LABEL_TABLES])
     root = work_path(t.spark, "library")
     li.create_library(t.spark, root)
-    known = t.part.filter("p_size > 48").select(li.song_id(F.col("p_name"), F.col("p_brand")).alias("song_id")).distinct()
+    known = t.part.select(song_id(name_if("p_size > 48", "p_name"), F.col("p_brand")).alias("song_id")).distinct()
     old = known.join(li.read_table(t.spark, root, "songs"), "song_id", "left").withColumn("original_name", F.lit("old"))
     old.select(*li.read_table(t.spark, root, "songs").columns).write.mode("append").parquet(f"{root}/songs")
     artists = li.read_table(t.spark, root, "artists")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunefathom import fixed_values as fv
-from tunefathom.functions import numeric as nu, text as tx
+from tunefathom.functions import ids, numeric as nu, text as tx
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.registry import Tables, query, sql_round
 
@@ -55,9 +55,27 @@ def _version_sql(text: str) -> str:
     return _strip(_replace(_replace(text, fv.VERSION_BRACKET), fv.VERSION_DASH_TAIL))
 
 
-@query("t1_song_id")
+def song_id_sql(source: str, key: str) -> str:
+    """Keys and song ids of a query with the columns ``key``, ``title`` and ``artist``: long division by 62^10, 60 bits at a time."""
+    limbs = ", ".join(f"('0x' || substr(h, {15 * i + 1}, 15))::HUGEINT AS a{i}" for i in range(5))
+    now = f"SELECT {key}, {limbs} FROM (SELECT {key}, lpad(sha256(lower(trim(title)) || '|' || lower(trim(artist))), 75, '0') AS h FROM ({source}))"
+    groups: list[str] = []
+    for left in range(4, 0, -1):
+        rest, columns = "a0", [key, *groups]
+        for i in range(1, left + 1):
+            whole = f"({rest} * {2**60} + a{i})"
+            columns.append(f"{whole} // {62**10} AS a{i - 1}")
+            rest = f"{whole} % {62**10}"
+        now = f"SELECT {', '.join(columns)}, {rest} AS g{left} FROM ({now})"
+        groups.append(f"g{left}")
+    powers = ", ".join(str(62**k) for k in reversed(range(10)))
+    digits = [f"array_to_string(list_transform([{powers}], lambda p: substr('{ids.DIGITS}', ({g} // p % 62 + 1)::INT, 1)), '')" for g in ("a0", *reversed(groups))]
+    return f"SELECT {key}, rpad(substr(ltrim({' || '.join(digits)}, '0'), 1, 22), 22, '0') AS song_id FROM ({now})"
+
+
+@query("t1_song_id", song_id_sql("SELECT p_partkey, p_name AS title, p_brand AS artist FROM part", "p_partkey"))
 def _song_id(t: Tables):
-    return t.part.select("p_partkey", tx.song_id(F.col("p_name"), F.col("p_brand")).alias("song_id"))
+    return t.part.select("p_partkey", ids.song_id(F.col("p_name"), F.col("p_brand")).alias("song_id"))
 
 
 @query("t2_strip_version_markers", f"SELECT p_partkey, {_version_sql('title')} AS title FROM ({TITLES_SQL})")

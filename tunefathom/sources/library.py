@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tunefathom import fixed_values as fv, schemas
 from tunefathom.functions import text as tx
-from tunefathom.functions.udfs import song_id
+from tunefathom.functions.ids import song_id
 from tunefathom.operators.filters import failure_reason
 from tunefathom.session import settled
 
