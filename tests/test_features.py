@@ -40,7 +40,7 @@ def test_knn_clusters_copies_and_blocks(spark, monkeypatch, block):
     vectors = {i: centres[i % 6] + rng.normal(0, 1, 5) for i in range(300)}
     for i in range(300, 420):  # more than a quarter of the library is one vector
         vectors[i] = centres[0]
-    check_knn(spark, vectors, 4, pivots=9)
+    check_knn(spark, vectors, 4, cell_rows=30)
 
 
 def test_knn_tiny_libraries(spark):
@@ -50,7 +50,20 @@ def test_knn_tiny_libraries(spark):
 
 
 def test_knn_on_a_grid_breaks_ties_by_id(spark):
-    check_knn(spark, {i: np.array([i % 6, i // 6], dtype=float) for i in range(36)}, 3, pivots=5)
+    check_knn(spark, {i: np.array([i % 6, i // 6], dtype=float) for i in range(36)}, 3, cell_rows=6)
+
+
+def test_knn_visits_grow_slower_than_all_pairs(spark):
+    def compared(n: int) -> int:
+        rng = np.random.default_rng(3)
+        centres = rng.normal(0, 50, (40, 3))
+        points = [(i, (centres[i % 40] + rng.normal(0, 1, 3)).tolist()) for i in range(n)]
+        cells, own = fe.own_cells(spark.createDataFrame(points, "_rep bigint, _vec array<double>"), 5, cell_rows=10)
+        sizes = cells.groupBy("_cell").count()
+        met = own.select(F.explode("visits").alias("_cell")).join(sizes, "_cell").agg(F.sum("count")).first()[0] or 0
+        return met + own.agg(F.sum(F.size("near"))).first()[0]
+    small, large = compared(400), compared(3200)
+    assert large < 8**1.6 * small and large < 3200**2 / 20
 
 
 def test_standardise_ignores_zero_and_missing(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,9 @@ from tunefathom import fixed_values as fv
 from tunefathom.plans.shapes import one_row, top_n
 from tunefathom.session import settled
 
-# Upper bounds of what is sent to every task: pivots of the space, and rows per compared block.
-MAX_PIVOTS = 256
+# Vectors that make a cell worth while; upper bounds of what is sent to every task: pivots, and rows per compared block.
+CELL_ROWS = 1024
+PIVOT_BYTES = 64_000_000
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 32_000_000
 
@@ -86,99 +88,156 @@ def _closest(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) ->
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", pivots: int | None = None) -> DataFrame:
-    """Exact ``k`` nearest other songs of every song: ``(song_id, rank, neighbor_id, distance)``.
+@dataclass(frozen=True)
+class CellIndex:
+    """Pivots of the cells, and which of a smaller set of top pivots each cell lies under."""
+    pivots: np.ndarray
+    tops: np.ndarray
+    top_of: np.ndarray
+
+    @classmethod
+    def of(cls, pivots: np.ndarray) -> CellIndex:
+        tops = pivots[:max(1, int(np.ceil(np.sqrt(len(pivots)))))]
+        return cls(pivots, tops, np.concatenate([_distances(pivots[i:i + 4096], tops).argmin(1) for i in range(0, len(pivots), 4096)]))
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A close pivot of each point and its distance: the closest one under the point's two closest tops."""
+        close = np.argsort(_distances(points, self.tops), axis=1)[:, :2]
+        cell, best = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+        for top in np.unique(close):
+            at, under = np.flatnonzero((close == top).any(axis=1)), np.flatnonzero(self.top_of == top)
+            if len(under):
+                d = _distances(points[at], self.pivots[under])
+                low = d.argmin(1)
+                value = d[np.arange(len(at)), low]
+                better = value < best[at]
+                cell[at[better]], best[at[better]] = under[low[better]], value[better]
+        return cell, best
+
+    def reachable(self, points: np.ndarray, reach: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) wherever the cell's ball comes within the point's reach; tops rule out all their cells at once."""
+        slack = 1e-6 * (1.0 + float(np.abs(self.pivots).max()))
+        rows, cells = [], []
+        for top in range(len(self.tops)):
+            under = np.flatnonzero((self.top_of == top) & (radius >= 0))
+            if not len(under):
+                continue
+            outer = (_distances(self.tops[top:top + 1], self.pivots[under])[0] + radius[under]).max()
+            at = np.flatnonzero(_distances(points, self.tops[top:top + 1])[:, 0] - outer <= reach + slack)
+            for i in range(0, len(at), 1024):
+                part = at[i:i + 1024]
+                q, c = np.nonzero(_distances(points[part], self.pivots[under]) - radius[under] <= reach[part][:, None] + slack)
+                rows.append(part[q]), cells.append(under[c])
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    Euclidean, closest first, ties by id; min(k, n-1) rows per song, none for a single song.
 
-    1. Songs with the same vector collapse to one, so a third of the library being copies costs nothing.
-    2. Every distinct vector belongs to its nearest pivot's cell. From the cells' radii and their k closest
-       members each vector gets an upper bound for its k-th distance.
-    3. A vector is compared with the cells the triangle inequality cannot rule out; big cells are split into
-       blocks and their visitors into chunks, so no task compares more than BLOCK_ROWS by BLOCK_ROWS rows.
-    4. Each block yields at most k+1 rows per vector; a final top-k merges them and expands copies.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(song).alias("_id"), F.transform(vector, lambda v: v.cast("double")).alias("_vec"))
-    id_type = dict(rows.dtypes)["_id"]
-    # the first k+1 copies are enough to answer for all of them
-    copies = settled(top_n(rows, ["_vec"], ["_id"], k + 1, "_copy"), "knn-copies")
-    distinct = copies.filter("_copy = 1").select(F.col("_id").alias("_rep"), "_vec")
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors in cells, and what each one's own block says.
 
+    Cells: _rep, _vec, _cell, _block. Own blocks: the same with ``near``, the k+1 closest of the block (the vector itself
+    among them), and ``visits``, the cells that may hold closer ones: others, and its own where that has more blocks.
+    """
+    id_type = dict(distinct.dtypes)["_rep"]
     count = distinct.count()
-    wanted = pivots or int(min(MAX_PIVOTS, max(1, np.sqrt(count) / 2)))
-    centre_rows = distinct.orderBy(F.xxhash64("_rep"), "_rep").limit(wanted).select("_vec").collect()
-    if not centre_rows:
-        return spark.createDataFrame([], f"{song} {id_type}, rank int, neighbor_id {id_type}, distance double")
-    centres = np.array([r["_vec"] for r in centre_rows], dtype=float)
+    wanted = max(1, min(int(np.sqrt(count)), count // (cell_rows or CELL_ROWS)))
+    width = distinct.select(F.max(F.size("_vec"))).first()[0] or 1
+    wanted = min(wanted, max(1, PIVOT_BYTES // (8 * width)))
+    index = CellIndex.of(np.array([r["_vec"] for r in distinct.orderBy(F.xxhash64("_rep"), "_rep").limit(wanted).select("_vec").collect()], dtype=float))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(np.stack(batch["_vec"].to_numpy()).astype(float), centres)
-                cell = d.argmin(1)
-                yield batch.assign(_cell=cell.astype("int32"), _to_centre=d[np.arange(len(d)), cell])
-
-    cells = settled(distinct.mapInPandas(assign, f"_rep {id_type}, _vec array<double>, _cell int, _to_centre double"), "knn-cells")
-    nearest = top_n(cells.select("_cell", "_to_centre"), ["_cell"], ["_to_centre"], k + 1, "_r")
-    summary = nearest.groupBy("_cell").agg(F.array_sort(F.collect_list("_to_centre")).alias("near")).join(
-        cells.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_to_centre").alias("radius")), "_cell").collect()
-    # one summary row per pivot: at most MAX_PIVOTS rows of k+1 numbers
-    radius, sizes = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=int)
-    near = np.full((len(centres), k + 1), np.inf)
-    for row in summary:
-        radius[row["_cell"]], sizes[row["_cell"]] = row["radius"], row["n"]
-        near[row["_cell"], :len(row["near"])] = row["near"]
-    between = _distances(centres, centres)
-    slack = 1e-6 * (1.0 + float(np.abs(centres).max()))
+                cell, distance = index.nearest(_stacked(batch["_vec"]))
+                yield batch.assign(_cell=cell.astype("int32"), _far=distance)
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = _distances(np.stack(batch["_vec"].to_numpy()).astype(float), centres)
-            own = batch["_cell"].to_numpy()
-            reach = np.empty(len(d))
-            for i in range(0, len(d), 256):
-                upper = (d[i:i + 256, :, None] + near[None]).reshape(len(d[i:i + 256]), -1)
-                reach[i:i + 256] = np.partition(upper, min(k, upper.shape[1] - 1), axis=1)[:, min(k, upper.shape[1] - 1)]
-            lower = d - radius[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2.0 * between[own])
-            plane[~np.isfinite(plane)] = -np.inf
-            possible = (np.maximum(lower, plane) <= reach[:, None] + slack) & (sizes > 0)[None, :]
-            qi, ci = np.nonzero(possible)
-            yield pd.DataFrame({"_rep": batch["_rep"].to_numpy()[qi], "_vec": batch["_vec"].to_numpy()[qi], "_cell": ci.astype("int32")})
-
-    visitors = settled(cells.mapInPandas(visits, f"_rep {id_type}, _vec array<double>, _cell int"), "knn-visits")
-    visit_counts = {r["_cell"]: r["n"] for r in visitors.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: int(-(-s // BLOCK_ROWS)) for c, s in enumerate(sizes) if s}
-    chunks = {c: int(-(-visit_counts.get(c, 1) // BLOCK_ROWS)) for c in blocks}
-
-    def lookup(table: dict[int, int]) -> Column:
-        return F.get(F.array(*[F.lit(table.get(c, 1)) for c in range(len(centres))]), F.col("_cell"))
-    part = F.xxhash64("_rep")
-    data = cells.select("_rep", "_vec", "_cell", F.pmod(part, lookup(blocks)).cast("int").alias("_block")).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), lookup(chunks) - 1)))
-    asked = visitors.select("_rep", "_vec", "_cell", F.pmod(part, lookup(chunks)).cast("int").alias("_chunk")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), lookup(blocks) - 1)))
+    held = settled(distinct.select("_rep", "_vec").mapInPandas(assign, f"_rep {id_type}, _vec array<double>, _cell int, _far double"), "knn-cells")
+    radius, sizes = np.full(len(index.pivots), -1.0), np.zeros(len(index.pivots), dtype=np.int64)
+    for row in held.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect():  # a row per cell, as pivots are
+        radius[row["_cell"]], sizes[row["_cell"]] = row["radius"], row["n"]
+    blocks = np.maximum(-(-sizes // BLOCK_ROWS), 1)
+    several = F.broadcast(held.sparkSession.createDataFrame([(int(c), int(blocks[c])) for c in np.flatnonzero(blocks > 1)], "_cell int, _blocks int"))
+    cells = held.join(several, "_cell", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    cells = cells.select("_rep", "_vec", "_cell", F.pmod(F.xxhash64("_rep"), "_blocks").cast("int").alias("_block"), "_blocks")
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        points, ids = _stacked(group["_vec"]), group["_rep"].to_numpy()
+        q, d, distance = _closest(points, points, ids, k + 1)
+        first = np.searchsorted(q, np.arange(len(points) + 1))
+        full = np.diff(first) > k
+        reach = np.where(full, distance[np.minimum(first[:-1] + k, len(distance) - 1)], np.inf)
+        row, cell = index.reachable(points, reach, radius)
+        own = group["_cell"].iloc[0]
+        keep = (cell != own) | (blocks[own] > 1)
+        row, cell = row[keep], cell[keep]
+        order = np.argsort(row, kind="stable")
+        cut = np.searchsorted(row[order], np.arange(len(points) + 1))
+        cell = cell[order].astype("int32")
+        return group.drop(columns="_blocks").assign(
+            near=[ids[d[a:b]] for a, b in zip(first, first[1:])], far=[distance[a:b] for a, b in zip(first, first[1:])],
+            visits=[cell[a:b] for a, b in zip(cut, cut[1:])])
+
+    own = cells.groupBy("_cell", "_block").applyInPandas(
+        look, f"_rep {id_type}, _vec array<double>, _cell int, _block int, near array<{id_type}>, far array<double>, visits array<int>")
+    return cells, settled(own, "knn-own")
+
+
+def _visited(cells: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """The k+1 closest of every block that a vector visits, besides its own."""
+    id_type = dict(own.dtypes)["_rep"]
+    visits = own.select("_rep", "_vec", F.explode("visits").alias("_to"), F.col("_cell").alias("_from"), F.col("_block").alias("_own"))
+    many = own.select(F.explode("visits").alias("_cell")).groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_chunks"))
+    shape = settled(many.join(cells.groupBy("_cell").agg(F.max("_blocks").alias("_in")), "_cell"), "knn-shape")  # a row per cell, as pivots are
+    chunk = F.pmod(F.xxhash64("_rep"), F.col("_chunks")).cast("int")
+    asked = visits.join(F.broadcast(shape.withColumnRenamed("_cell", "_to")), "_to").select("_rep", "_vec", F.col("_to").alias("_cell"), chunk.alias("_chunk"), "_from", "_own", F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("_block"))
+    asked = asked.filter((F.col("_from") != F.col("_cell")) | (F.col("_own") != F.col("_block"))).select("_rep", "_vec", "_cell", "_chunk", "_block")
+    data = cells.join(F.broadcast(shape), "_cell").select("_rep", "_vec", "_cell", "_block", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or members.empty:
             return pd.DataFrame({"_rep": [], "_other": [], "distance": []})
         ids = members["_rep"].to_numpy()
-        qi, di, dist = _closest(np.stack(queries["_vec"].to_numpy()).astype(float), np.stack(members["_vec"].to_numpy()).astype(float), ids, k + 1)
-        return pd.DataFrame({"_rep": queries["_rep"].to_numpy()[qi], "_other": ids[di], "distance": dist})
+        q, d, distance = _closest(_stacked(queries["_vec"]), _stacked(members["_vec"]), ids, k + 1)
+        return pd.DataFrame({"_rep": queries["_rep"].to_numpy()[q], "_other": ids[d], "distance": distance})
 
     keys = ["_cell", "_block", "_chunk"]
-    pairs = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(compare, f"_rep {id_type}, _other {id_type}, distance double")
+    return asked.groupBy(*keys).cogroup(data.toDF(*data.columns).groupBy(*keys)).applyInPandas(compare, f"_rep {id_type}, _other {id_type}, distance double")
+
+
+def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", cell_rows: int | None = None) -> DataFrame:
+    """Exact ``k`` nearest other songs of every song: ``(song_id, rank, neighbor_id, distance)``.
+
+    Euclidean, closest first, ties by id; min(k, n-1) rows per song, none for a single song.
+
+    1. Songs with the same vector collapse to one, so a third of the library being copies costs nothing.
+    2. Distinct vectors belong to cells around pivots, and pivots to top pivots. There are at most as many cells as the
+       square root of the vectors, of ``cell_rows`` vectors or more, and no more than ``PIVOT_BYTES`` of pivots.
+    3. A vector is compared with its own block first. That bounds its k-th distance, and only cells whose ball comes
+       within that reach are visited; top pivots rule out all their cells at once.
+    4. A block yields at most k+1 rows per vector; a final top-k merges them and expands copies. Big cells are split
+       into blocks and their visitors into chunks, so no task compares more than BLOCK_ROWS by BLOCK_ROWS rows.
+    """
+    rows = vectors.select(F.col(song).alias("_id"), F.transform(vector, lambda v: v.cast("double")).alias("_vec"))
+    id_type = dict(rows.dtypes)["_id"]
+    # the first k+1 copies are enough to answer for all of them
+    first = top_n(rows, ["_vec"], ["_id"], k + 1, "_copy")
+    copies = settled(first.groupBy("_vec").agg(F.min("_id").alias("_rep"), F.collect_list("_id").alias("_ids")), "knn-copies")
+    if copies.isEmpty():
+        return vectors.sparkSession.createDataFrame([], f"{song} {id_type}, rank int, neighbor_id {id_type}, distance double")
+    cells, own = own_cells(copies, k, cell_rows)
+    pairs = own.select("_rep", F.explode(F.arrays_zip("near", "far")).alias("_n")).select("_rep", F.col("_n.near").alias("_other"), F.col("_n.far").alias("distance"))
+    if not own.filter(F.size("visits") > 0).isEmpty():
+        pairs = pairs.unionByName(_visited(cells, own, k))
     pairs = top_n(pairs, ["_rep"], ["distance", "_other"], k + 1, "_r").select("_rep", "_other", "distance")
 
     # answers per distinct vector: the copies of every close vector, k+1 of them (one may be the song itself)
-    names = copies.join(distinct, "_vec").select(F.col("_rep").alias("_other"), F.col("_id").alias("neighbor_id"))
+    names = copies.select(F.col("_rep").alias("_other"), F.explode("_ids").alias("neighbor_id"))
     answers = top_n(pairs.join(names, "_other"), ["_rep"], ["distance", "neighbor_id"], k + 1, "_r")
-    answers = answers.join(distinct, "_rep").select("_vec", "neighbor_id", "distance", "_r")
-    per_vector = answers.groupBy("_vec").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbor_id", "distance"))).alias("_list"))
+    lists = answers.groupBy("_rep").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbor_id", "distance"))).alias("_list"))
+    per_vector = lists.join(copies.select("_rep", "_vec"), "_rep").select("_vec", "_list")
     listed = rows.join(per_vector, "_vec").select(F.col("_id"), F.slice(
         F.filter("_list", lambda e: e["neighbor_id"] != F.col("_id")), 1, k).alias("_list"))
     return listed.select(F.col("_id").alias(song), F.posexplode("_list").alias("_pos", "_e")).select(

@@ -115,8 +115,8 @@ def _add_songs(t: Tables):
 @query("j18_neighbour_songs", f"""
     WITH k AS ({_knn_sql(5)})
     SELECT k.song_id, k.rank, k.neighbor_id, k.distance, s.label = n.label AS same_label, s.label % 3 = n.label % 3 AS same_group
-    FROM k JOIN embeddings s ON s.vec_id = k.song_id JOIN embeddings n ON n.vec_id = k.neighbor_id WHERE s.label = 3""")
+    FROM k JOIN embeddings s ON s.vec_id = k.song_id JOIN embeddings n ON n.vec_id = k.neighbor_id""")
 def _neighbour_songs(t: Tables):
     songs = t.embeddings.select(F.col("vec_id").alias("song_id"), "label", (F.col("label") % 3).alias("group"))
     edges = fe.knn(_vectors(t), 5).withColumn("distance", rounded(F.col("distance"), 4))
-    return fe.neighbour_songs(edges, songs, songs.filter("label = 3"), attributes=("label", "group"))
+    return fe.neighbour_songs(edges, songs, songs, attributes=("label", "group"))
