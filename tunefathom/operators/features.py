@@ -135,6 +135,15 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def pivots_of(distinct: DataFrame, cell_rows: int) -> np.ndarray:
+    """Vectors of lowest hash of the id (_rep, _vec): one per ``cell_rows`` vectors, no more than the square root of their number and ``PIVOT_BYTES``."""
+    seen = distinct.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("width")).first()
+    width = max(seen["width"] or 1, 1)
+    wanted = max(1, min(int(np.sqrt(seen["n"])), seen["n"] // cell_rows, PIVOT_BYTES // (8 * width)))
+    rows = distinct.orderBy(F.xxhash64("_rep"), "_rep").limit(wanted).select("_vec").collect()
+    return np.array([r["_vec"] for r in rows], dtype=float).reshape(-1, width) if rows else np.zeros((1, width))
+
+
 def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors in cells, and what each one's own block says.
 
@@ -142,11 +151,7 @@ def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tupl
     among them), and ``visits``, the cells that may hold closer ones: others, and its own where that has more blocks.
     """
     id_type = dict(distinct.dtypes)["_rep"]
-    count = distinct.count()
-    wanted = max(1, min(int(np.sqrt(count)), count // (cell_rows or CELL_ROWS)))
-    width = distinct.select(F.max(F.size("_vec"))).first()[0] or 1
-    wanted = min(wanted, max(1, PIVOT_BYTES // (8 * width)))
-    index = CellIndex.of(np.array([r["_vec"] for r in distinct.orderBy(F.xxhash64("_rep"), "_rep").limit(wanted).select("_vec").collect()], dtype=float))
+    index = CellIndex.of(pivots_of(distinct, cell_rows or CELL_ROWS))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -18,6 +18,16 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
+def _in_batches(t: Tables, rows: DataFrame, order: str, batches: int) -> DataFrame:
+    """Rows as a stream of several micro-batches, cut by ranks of a column."""
+    path = work_path(t.spark, "stream-input")
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    number = sum([F.when(F.col(order).cast("double") > c, 1).otherwise(0) for c in cuts], F.lit(0))
+    for i in range(batches):  # file streams read the oldest files first
+        rows.filter(number == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _paths(t: Tables, name: str) -> tuple[str, str]:
     base = work_path(t.spark, name)
     return f"{base}/out", f"{base}/checkpoint"
@@ -56,9 +66,9 @@ def _job_stage(t: Tables):
 
 
 @query("x3_stream_dedup_songs", """
-    WITH f AS (SELECT user_id AS song_id, arg_min(CAST(json_extract(props, '$.k') AS BIGINT), ts) AS recording_id, min(ts) AS ts FROM events GROUP BY 1),
+    WITH f AS (SELECT user_id AS song_id, arg_min(CAST(json_extract(props, '$.k') AS BIGINT), ts) AS recording_id, min(ts) AS ts FROM events WHERE user_id NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1),
     w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY ts, song_id) = 1)
-    SELECT song_id, recording_id FROM w WHERE song_id NOT IN (SELECT n_nationkey FROM nation) AND recording_id NOT IN (SELECT n_nationkey + 30 FROM nation)""")
+    SELECT song_id, recording_id FROM w WHERE recording_id NOT IN (SELECT n_nationkey + 30 FROM nation)""")
 def _dedup(t: Tables):
     arrivals = _stream(t, "events").select(F.col("user_id").alias("song_id"), F.get_json_object("props", "$.k").cast("bigint").alias("recording_id"), F.col("ts").cast("timestamp").alias("ts"))
     library = t.nation.select(F.col("n_nationkey").cast("bigint").alias("song_id"), (F.col("n_nationkey") + 30).cast("bigint").alias("recording_id"))
@@ -68,25 +78,30 @@ def _dedup(t: Tables):
 
 
 @query("x4_stream_playlist_links", """
-    SELECT l_orderkey AS playlist_id, l_partkey AS song_id, min(p) AS position FROM (
-        SELECT l_orderkey, l_partkey, l_linenumber + 1 AS p FROM lineitem WHERE l_returnflag <> 'R' UNION ALL
+    SELECT playlist_id, song_id, min(p) AS position FROM (
+        SELECT CASE WHEN l_returnflag <> 'R' THEN l_orderkey ELSE -1 - l_orderkey END AS playlist_id, l_partkey AS song_id, l_linenumber + 1 AS p FROM lineitem UNION ALL
         SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)) GROUP BY 1, 2""")
 def _links(t: Tables):
-    def links(rows: DataFrame, step: int) -> DataFrame:
-        return rows.select(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("song_id"), (F.col("l_linenumber") + step).alias("position"))
-    stored = links(t.lineitem.filter("l_returnflag <> 'R'"), 1)
+    def links(rows: DataFrame, step: int, playlist) -> DataFrame:
+        return rows.select(playlist.alias("playlist_id"), F.col("l_partkey").alias("song_id"), (F.col("l_linenumber") + step).alias("position"))
+    stored = links(t.lineitem, 1, key_if("l_returnflag <> 'R'", "l_orderkey"))
     songs = t.part.select(key_if("p_size > 20", "p_partkey").alias("song_id"))
     out, checkpoint = _paths(t, "playlist-links")
-    jobs.stream_playlist_links(links(_stream(t, "lineitem"), 0), stored, songs, out, checkpoint).awaitTermination()
+    arriving = _in_batches(t, links(t.lineitem, 0, F.col("l_orderkey")), "position", 5)
+    jobs.stream_playlist_links(arriving, stored, songs, out, checkpoint, fan=2).awaitTermination()
     return jobs.current_links(t.spark, out, stored)
 
 
-@query("x5_stream_suggestions", "SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS video_id FROM events")
+@query("x5_stream_suggestions", """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS video_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+    n AS MATERIALIZED (SELECT e.video_id, e.ts, f.ts AS later FROM e ASOF JOIN e f ON e.video_id = f.video_id AND e.ts + INTERVAL 6 HOUR <= f.ts),
+    served AS (SELECT video_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT video_id, n.later FROM served JOIN n USING (video_id, ts))
+    SELECT video_id, epoch_us(ts) AS served_us FROM served""")
 def _suggestions(t: Tables):
-    rows = _stream(t, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = t.events.select(F.get_json_object("props", "$.k").cast("bigint").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
     out, checkpoint = _paths(t, "suggestions")
-    jobs.stream_suggestions(rows, out, checkpoint).awaitTermination()
-    return t.spark.read.schema("video_id bigint").parquet(out)
+    jobs.stream_suggestions(_in_batches(t, rows, "ts", 4), out, checkpoint).awaitTermination()
+    return t.spark.read.schema("video_id bigint, ts timestamp").parquet(out).select("video_id", F.unix_micros("ts").alias("served_us"))
 
 
 @query("x6_stream_failures", FAILURE_ROWS_SQL)

@@ -18,6 +18,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Python workers get small record batches, so wide arrays do not pile up in one batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Streams keep what they have seen on disk and in the checkpoint, not in the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

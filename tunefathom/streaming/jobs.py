@@ -7,15 +7,21 @@ a failure replaces its own output instead of adding to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tunefathom.operators.features import apply_map, knn_of_new, standardise
-from tunefathom.operators.matching import already_saved
+from tunefathom.operators.features import CELL_ROWS, CellIndex, apply_map, knn_of_new, pivots_of, standardise
 from tunefathom.operators.playlists import upsert_links
-from tunefathom.plans.shapes import Chunker, even_chunks, previous_value
+from tunefathom.plans.shapes import Chunker, even_chunks, previous_value, top_n
 from tunefathom.sources.library import failure_rows
 from tunefathom.session import settled
+from tunefathom.streaming.runs import add_run, live_runs
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -49,25 +55,103 @@ def stream_failures(results: DataFrame, path: str, checkpoint: str, trigger: dic
     return failure_rows(results).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+class _FirstRow(StatefulProcessor):
+    """Passes the first row of every key: of several in a batch the one that sorts first by ``order``."""
+
+    def __init__(self, order: list[str]) -> None:
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", StructType([StructField("times", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, best = self.seen.exists(), None
+        for batch in rows:
+            if not known and len(batch):  # a key of the initial state alone comes with no rows
+                best = pd.concat([best, batch]).sort_values(self.order, kind="stable").head(1)
+        if best is not None:
+            self.seen.update((1,))
+            yield best
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        if not self.seen.exists():
+            self.seen.update((1,))
+
+    def close(self) -> None:
+        pass
+
+
+def first_of(stream: DataFrame, key: str, order: list[str], known: DataFrame) -> DataFrame:
+    """The first row of every key of a stream that ``known`` (a table with the same key) does not have.
+
+    What has been seen is one value per key in the stream's own state, so no batch reads what was written before.
+    """
+    seen = known.select(F.col(key).cast(stream.schema[key].dataType).alias(key)).filter(F.col(key).isNotNull()).distinct().groupBy(key)
+    rows = stream.select(key, *[c for c in stream.columns if c != key])
+    return rows.groupBy(key).transformWithStateInPandas(_FirstRow(order), rows.schema, "Append", "None", initialState=seen)
+
+
 def stream_add_songs(
     new: DataFrame, library: DataFrame, statistics: DataFrame, model: dict, keys: list[str], map_path: str, edge_path: str,
-    checkpoint: str, k: int = 10, song: str = "song_id", trigger: dict = AVAILABLE_NOW,
+    checkpoint: str, k: int = 10, song: str = "song_id", trigger: dict = AVAILABLE_NOW, cell_rows: int = CELL_ROWS,
 ) -> StreamingQuery:
     """New songs enter the stored feature space; their neighbours among the library and earlier arrivals are written.
 
-    ``library``: song_id, features (standardised by the same statistics).
+    ``library``: song_id, features (standardised by the same statistics). Songs that were seen before are dropped by the
+    stream's state. Vectors lie in cells around pivots of the library (``<map_path>-cells``): a batch is compared with
+    the cells its songs fall into, and then only with those cells whose ball comes within the reach found there.
     """
-    placed_schema = f"{song} {dict(library.dtypes)[song]}, features array<double>, x double, y double"
+    spark = library.sparkSession
+    store = f"{map_path}-cells"
+    index = CellIndex.of(pivots_of(library.select(F.col(song).alias("_rep"), F.col("features").alias("_vec")), cell_rows))
+    schema = f"{song} {dict(library.dtypes)[song]}, features array<double>, _cell int, _far double"
+
+    def placed(rows: DataFrame) -> DataFrame:
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    cell, far = index.nearest(np.stack(batch["features"].to_numpy()).astype(float))
+                    yield batch.assign(_cell=cell.astype("int32"), _far=far)
+        return rows.select(song, "features").mapInPandas(assign, schema)
+
+    def radii(rows: DataFrame, before: np.ndarray) -> np.ndarray:
+        out = before.copy()
+        for row in rows.groupBy("_cell").agg(F.max("_far").alias("r")).collect():  # a row per cell, as pivots are
+            out[row["_cell"]] = max(out[row["_cell"]], row["r"])
+        return out
+
+    if not live_runs(spark, store):
+        add_run(spark, store, -1, placed(library), None, by="_cell")
+
+    def in_cells(batch_id: int, cells: list[int]) -> DataFrame:
+        return live(batch_id).filter(F.col("_cell").isin(cells)).select(song, "features")
+
+    def live(batch_id: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(run) for run in live_runs(spark, store, batch_id)])
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = library.select(song, "features").unionByName(written(spark, map_path, placed_schema, batch_id).select(song, "features"))
-        fresh = settled(batch, "arrivals").join(known.select(song), song, "left_anti").dropDuplicates([song])
-        vectors = settled(standardise(fresh, keys, statistics, song=song), "arrival-vectors")
+        vectors = settled(standardise(settled(batch, "arrivals"), keys, statistics, song=song), "arrival-vectors")
         vectors.join(apply_map(vectors, model, song), song).write.mode("overwrite").parquet(_batch_path(map_path, batch_id))
-        knn_of_new(vectors, known, k, song).write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
-
-    return _start(new, add, checkpoint, trigger)
+        here = settled(placed(vectors), "arrival-cells")
+        own = [r["_cell"] for r in here.select("_cell").distinct().collect()]
+        near = settled(knn_of_new(vectors, in_cells(batch_id, own), k, song), "near-songs")
+        reach = near.filter(F.col("rank") == k).select(song, F.col("distance").alias("_reach"))
+        radius = radii(live(batch_id).select("_cell", "_far"), np.full(len(index.pivots), -1.0))
+
+        def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if len(part):
+                    _, cells = index.reachable(np.stack(part["features"].to_numpy()).astype(float), part["_reach"].fillna(np.inf).to_numpy(), radius)
+                    yield pd.DataFrame({"_cell": np.unique(cells)})
+        visits = here.join(reach, song, "left").select("features", "_reach").mapInPandas(reachable, "_cell int").distinct()
+        more = sorted({r["_cell"] for r in visits.collect()} - set(own))
+        if more:
+            near = near.drop("rank").unionByName(knn_of_new(vectors, in_cells(batch_id, more), k, song).drop("rank")).distinct()
+            near = top_n(near, [song], ["distance", "neighbor_id"], k).select(song, "rank", "neighbor_id", "distance")
+        near.write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
+        add_run(spark, store, batch_id, here, None, by="_cell")
+
+    return _start(first_of(new, song, [c for c in new.columns if c != song], library), add, checkpoint, trigger)
 
 
 STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"
@@ -134,40 +218,84 @@ def current_stages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_dedup_songs(arrivals: DataFrame, library: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """First arrival of a song or recording wins, against the library and everything written before.
+    """First arrival of a song wins, then the first of these with a recording, against the library and all arrivals before.
 
-    ``arrivals``: song_id, recording_id, ts. ``library``: song_id, recording_id.
+    ``arrivals``: song_id, recording_id, ts. ``library``: song_id, recording_id. What has been seen is state of the
+    stream, one value per song and one per recording; of several arrivals in one batch the earliest ``ts`` counts. A song
+    without a recording stands for itself. Read the result with :func:`written`.
     """
-    types = dict(library.dtypes)
-    schema = f"song_id {types['song_id']}, recording_id {types['recording_id']}"
+    key = F.coalesce(F.concat(F.lit("recording "), F.col("recording_id").cast("string")), F.concat(F.lit("song "), F.col("song_id").cast("string")))
+    songs = first_of(arrivals.select("song_id", "recording_id", "ts"), "song_id", ["ts", "recording_id"], library)
+    known = library.filter(F.col("recording_id").isNotNull()).withColumn("entity", key)
+    fresh = first_of(songs.withColumn("entity", key), "entity", ["ts", "song_id"], known).select("song_id", "recording_id")
+    return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        known = library.select("song_id", "recording_id").unionByName(written(batch.sparkSession, path, schema, batch_id))
-        songs = batch.groupBy("song_id").agg(F.min_by("recording_id", "ts").alias("recording_id"), F.min("ts").alias("ts"))
-        # one song per recording; songs without a recording stand for themselves
-        key = F.struct("recording_id", F.when(F.col("recording_id").isNull(), F.col("song_id")).alias("own"))
-        songs = settled(songs.groupBy(key.alias("_k")).agg(F.min_by(F.struct("song_id", "recording_id"), F.struct("ts", "song_id")).alias("_r")).select("_r.*"), "arrivals")
-        songs.join(already_saved(songs, known).select("song_id"), "song_id", "left_anti").write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
-    return _start(arrivals, add, checkpoint, trigger)
+def _lowest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("playlist_id", "song_id").agg(F.min("position").alias("position"))
+
 
+def stream_playlist_links(results: DataFrame, links: DataFrame, songs: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW, fan: int = 8) -> StreamingQuery:
+    """Link songs as results arrive (playlist_id, song_id, position); read the merged links with :func:`current_links`.
 
-def stream_playlist_links(results: DataFrame, links: DataFrame, songs: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Link songs as results arrive (playlist_id, song_id, position); read the merged links with :func:`current_links`."""
+    Each batch is a run; ``fan`` runs of a level are merged by key into one of the next, so a reader opens fewer than
+    ``fan`` runs per level, and there are as many levels as ``fan`` goes into the batches by powers.
+    """
     def add(batch: DataFrame, batch_id: int) -> None:
-        upsert_links(links.limit(0), batch, songs).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        add_run(batch.sparkSession, path, batch_id, upsert_links(links.limit(0), batch, songs), _lowest, fan)
     return _start(results, add, checkpoint, trigger)
 
 
 def current_links(spark: SparkSession, path: str, links: DataFrame) -> DataFrame:
     """Stored links merged with the stream's: the smallest position wins."""
-    types = dict(links.dtypes)
     columns = ["playlist_id", "song_id", "position"]
-    new = written(spark, path, ", ".join(f"{c} {types[c]}" for c in columns))
-    return links.select(*columns).unionByName(new).groupBy("playlist_id", "song_id").agg(F.min("position").alias("position"))
-
-
-def stream_suggestions(suggestions: DataFrame, path: str, checkpoint: str, memory: str = "6 hours", trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Never repeat an id within ``memory`` of event time. ``suggestions``: video_id, ts."""
-    fresh = suggestions.withWatermark("ts", memory).dropDuplicatesWithinWatermark(["video_id"])
+    types = dict(links.dtypes)
+    runs = live_runs(spark, path)
+    stored = links.select(*columns)
+    return _lowest(stored.unionByName(spark.read.schema(", ".join(f"{c} {types[c]}" for c in columns)).parquet(*runs)) if runs else stored)
+
+
+class _NotLately(StatefulProcessor):
+    """Passes a key's rows that lie at least ``memory`` after the last one passed; forgets the key by a timer."""
+
+    def __init__(self, memory: pd.Timedelta) -> None:
+        self.memory = memory // pd.Timedelta(1, "us")
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([batch["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for batch in rows if len(batch)] or [[]]).astype(np.int64))
+        last, passed = self.last.get()[0] if self.last.exists() else None, []
+        at = 0
+        while at < len(times):
+            if last is None or times[at] >= last + self.memory:
+                last = int(times[at])
+                passed.append(last)
+            at = max(at + 1, int(np.searchsorted(times, last + self.memory)))
+        if passed:
+            self.last.update((last,))
+            # event time has millisecond timers; the next one after the memory ends
+            self.handle.registerTimer(-(-(last + self.memory) // 1000))
+            yield pd.DataFrame({"video_id": [key[0]] * len(passed), "ts": pd.to_datetime(passed, unit="us")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.memory <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_suggestions(suggestions: DataFrame, path: str, checkpoint: str, memory: str = "6 hours", lateness: str = "1 hour", trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
+    """Never repeat an id within ``memory`` of event time after it was last served. ``suggestions``: video_id, ts.
+
+    An id comes back with its first suggestion at or after that, whatever the batches are: the rule is kept per id in
+    the stream's state, which a timer of event time forgets. Suggestions that come ``lateness`` behind the newest are
+    left out.
+    """
+    timed = suggestions.select("video_id", "ts").withWatermark("ts", lateness)
+    fresh = timed.groupBy("video_id").transformWithStateInPandas(_NotLately(pd.Timedelta(memory)), timed.schema, "Append", "EventTime")
     return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
