@@ -127,24 +127,56 @@ def music_span(segments: DataFrame, song: str = "song_id", index: str = "idx", l
 
 # --- chorus -----------------------------------------------------------------------
 
+#: Products of seconds that are held at a time.
+PRODUCTS = 200_000
+
 def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
-    return np.diff(np.concatenate([[0.0], values.cumsum()])[np.add.outer([0, width], np.arange(len(values) - width + 1))], axis=0)[0]
+    total = np.concatenate([[0.0], values.cumsum()])
+    return total[width:] - total[:-width]
 
 
-def _section(signals: np.ndarray, width: int) -> int:
-    """Start of the window that recurs most and is loud, from standardised signals (rows are seconds).
+def _diagonal_sums(products: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``width`` neighbours along every diagonal: sums of 1, 2, 4, ... of them, put together as ``width`` is."""
+    rows, columns = products.shape[0] - width + 1, products.shape[1] - width + 1
+    total, at, size = np.zeros((rows, columns)), 0, 1
+    while True:
+        if width & size:
+            total += products[at:at + rows, at:at + columns]
+            at += size
+        if at == width:
+            return total
+        products = products[:-size, :-size] + products[size:, size:]
+        size *= 2
+
 
-    Windows are compared lag by lag: the products of each second with the one ``lag`` later, summed over windows,
-    are all similarities of that lag. No window matrix is built.
+def _recurrence(signals: np.ndarray, width: int, inverse: np.ndarray) -> np.ndarray:
+    """For every window the highest cosine with one that it does not overlap, -1 without one.
+
+    Windows are compared a block of starts at a time: the products of its seconds with all later ones, summed along
+    diagonals, are all similarities of the block. One block is all that is held.
     """
+    starts = len(inverse)
+    alike = np.full(starts, -1.0)
+    block = max(16, PRODUCTS // max(len(signals), 1))
+    for low in range(0, starts - width - 1, block):
+        high = min(low + block, starts - width - 1)
+        first = low + width + 1  # the earliest window beside the block's first one
+        cosines = _diagonal_sums(signals[low:high + width - 1] @ signals[first:starts + width - 1].T, width)
+        cosines *= inverse[first:]
+        cosines *= inverse[low:high, None]
+        # a later start of the block overlaps the first of these windows
+        cosines[np.arange(first, starts) - np.arange(low, high)[:, None] <= width] = -1.0
+        np.maximum(alike[low:high], cosines.max(axis=1), out=alike[low:high])
+        np.maximum(alike[first:], cosines.max(axis=0), out=alike[first:])
+    return alike
+
+
+def _section(signals: np.ndarray, width: int) -> int:
+    """Start of the window that recurs most and is loud, from standardised signals (rows are seconds)."""
     seconds = len(signals)
     starts = seconds - width
-    length = np.sqrt(_window_sums((signals**2).sum(1), width)[:starts]) + fv.CHORUS_EPSILON
-    alike = np.full(starts, -1.0)
-    for lag in range(width + 1, starts):
-        pairs = _window_sums((signals[lag:] * signals[:-lag]).sum(1), width)[:starts - lag] / (length[lag:] * length[:starts - lag])
-        np.maximum(alike[:starts - lag], pairs, out=alike[:starts - lag])
-        np.maximum(alike[lag:], pairs, out=alike[lag:])
+    inverse = 1 / (np.sqrt(np.maximum(_window_sums((signals**2).sum(1), width)[:starts], 0)) + fv.CHORUS_EPSILON)
+    alike = _recurrence(signals, width, inverse)
     loud = signals[:, 0]
     share = (_window_sums(loud, width)[:starts] / width - loud.min()) / (loud.max() - loud.min() + fv.CHORUS_EPSILON)
     edge = max(fv.CHORUS_EDGE_SECONDS, int(seconds * fv.CHORUS_EDGE_SHARE))
@@ -152,9 +184,12 @@ def _section(signals: np.ndarray, width: int) -> int:
         return 0
     best = edge + int((fv.CHORUS_REPETITION_WEIGHT * alike + fv.CHORUS_ENERGY_WEIGHT * share)[edge:starts - edge].argmax())
     # the same section may come earlier; the first place counts
-    for start in range(edge, best - width):
-        if (signals[start:start + width] * signals[best:best + width]).sum() / (length[start] * length[best]) >= alike[best] * fv.CHORUS_SAME_SECTION:
-            return start
+    if best - width > edge:
+        window = signals[best:best + width]
+        cosines = sum(np.correlate(signals[edge:best - 1, c], window[:, c], "valid") for c in range(signals.shape[1])) * inverse[edge:best - width] * inverse[best]
+        same = np.flatnonzero(cosines >= alike[best] * fv.CHORUS_SAME_SECTION)
+        if len(same):
+            return edge + int(same[0])
     return best
 
 
