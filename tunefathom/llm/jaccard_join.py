@@ -11,10 +11,15 @@ The weights add up to the largest difference plus one, plus a reserve for empty
 left out, unless a set has more of them than the reserve covers. How many segments get weight 2 is decided per band
 by cost: entries to index against expected tiny segments, which collide by chance (``Plan``). No similar pair is lost.
 
+Every set keeps a parity sketch: about a bit per shingle, ``SKETCH`` at least, one of them flipped by each shingle. Two
+sketches, cut to one length, differ in at most as many bits as the sets do in shingles, so a pair whose sketches differ in more than a similar pair can is refused for
+certain, before any text moves.
+
 Sets under one key are compared with its hub, the member that shares most keys with others, from both whole texts.
-Members that the hub leaves in other components are compared with the hub's other members by what each of them differs
-in from the hub, which tells exactly how much they share: in blocks of bounded size, which yield a spanning forest of
-the links found and never a list of pairs. Texts of equal sets are linked by a fingerprint of 128 bits.
+Members that the hub leaves in other components are compared with the hub's other members, in blocks of bounded size:
+first by sketch, which leaves those that may be similar to some other one; then by what each of them differs in from
+the hub, which tells exactly how much they share. The blocks yield a spanning forest of the links found and never a
+list of pairs. Texts of equal sets are linked by a fingerprint of 128 bits.
 
 Defined results: null and empty texts (no words) have an empty set and are
 linked with nothing; a text of fewer words than a shingle is one shingle; rows without an id get their set's size and
@@ -42,6 +47,8 @@ TINY_COST = 20.0
 SLOTS = 1 << 18
 #: Members of one hub in a block.
 BLOCK = 1024
+#: Bits of the shortest sketch.
+SKETCH = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,15 +147,48 @@ def _marks(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([mix(tokens).sum(), mix(tokens ^ _ODD).sum()], np.uint64).view(np.int64).tolist()) if len(tokens) else (0, 0)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit: as many bits as shingles, rounded up to a power of two."""
+    bits = max(SKETCH, 1 << max(len(tokens) - 1, 0).bit_length())
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(one: bytes, size: int) -> np.ndarray:
+    """A sketch as 64-bit numbers, cut down to ``size`` bytes: halves laid on each other are the sketch of half the bits."""
+    out = np.frombuffer(one, np.uint64)
+    while len(out) * 8 > size:
+        out = out[:len(out) // 2] ^ out[len(out) // 2:]
+    return out
+
+
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: doc_id, n_shingles and the fingerprint of the set."""
+    """Per row: doc_id, n_shingles, the fingerprint of the set and its sketch."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             marks = [_marks(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)]],
-                                             names=["doc_id", "n_shingles", "mark_1", "mark_2"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, mark_1 long, mark_2 long")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)],
+                                              pa.array([sketch(s) for s in sets], pa.binary())],
+                                             names=["doc_id", "n_shingles", "mark_1", "mark_2", "sketch"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, mark_1 long, mark_2 long, sketch binary")
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """(doc, hub) pairs with the document's size, and whether sizes and sketches allow them to be similar."""
+    side = sets.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
+    both = pairs.join(side.toDF("doc", "size", "sketch"), "doc").join(side.toDF("hub", "hub_size", "hub_sketch"), "hub")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, hub_size = (batch.column(c).to_numpy() for c in ("size", "hub_size"))
+            least = np.abs(size - hub_size)
+            for i, (x, y) in enumerate(zip(batch.column("sketch").to_pylist(), batch.column("hub_sketch").to_pylist())):
+                short = min(len(x), len(y))
+                least[i] = max(least[i], int(np.bitwise_count(folded(x, short) ^ folded(y, short)).sum()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "hub", "size")], pa.array(least * (a + b) <= (size + hub_size) * (b - a))],
+                                             names=["doc", "hub", "size", "possible"])
+    return both.select("doc", "hub", "size", "sketch", "hub_size", "hub_sketch").mapInArrow(work, "doc long, hub long, size long, possible boolean")
 
 
 def set_keys(docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
@@ -202,11 +242,10 @@ def _similar(one: int, other: int, apart: int, a: int, b: int) -> bool:
     return shared > 0 and b * shared >= a * (one + other - shared)
 
 
-def far_links(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join components among the members of one hub.
+def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
+    """Members of a hub dealt to pairs of blocks (hub, x, y, near): far ones meet each other and the near ones.
 
-    ``members``: doc, hub, size, differs, component, far (not in the hub's component). Far members meet each other and
-    the near ones, block by block; near ones do not meet each other.
+    ``members``: doc, hub, component, far (not in the hub's component) and ``columns``. Near ones do not meet each other.
     """
     counts = members.groupBy("hub").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 1")
     rows = members.join(counts, "hub").withColumns({"far_blocks": F.ceil(F.col("n_far") / block).cast("int"), "near_blocks": F.ceil(F.col("n_near") / block).cast("int")})
@@ -218,12 +257,34 @@ def far_links(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFra
     far_places = F.concat(F.transform(upto(F.col("far_blocks")), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), F.lit(False).alias("near"))),
                           F.transform(upto(F.col("near_blocks")), lambda j: F.struct(F.col("own").alias("x"), j.alias("y"), F.lit(True).alias("near"))))
     near_places = F.transform(upto(F.col("far_blocks")), lambda i: F.struct(i.alias("x"), F.col("own").alias("y"), F.lit(True).alias("near")))
-    placed = rows.withColumn("own", own).select("hub", "doc", "size", "differs", "component", F.inline(F.when(F.col("far"), far_places).otherwise(near_places)).alias("x", "y", "near"))
+    placed = rows.withColumn("own", own).select("hub", "doc", "component", *columns, F.inline(F.when(F.col("far"), far_places).otherwise(near_places)).alias("x", "y", "near"))
+    return placed
+
+
+def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
+    """(doc, hub) of the members that, by size and sketch, may be similar to a member of the hub in another component."""
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        size, component = group["size"].to_numpy(), group["component"].to_numpy()
+        short = min(map(len, group["sketch"]))
+        bits = np.stack([folded(x, short) for x in group["sketch"]])
+        apart = np.zeros((len(group), len(group)), np.int32)
+        for word in bits.T:
+            apart += np.bitwise_count(word[:, None] ^ word[None, :])
+        possible = (apart.astype(np.int64) * (a + b) <= (size[:, None] + size[None, :]) * (b - a)) & (component[:, None] != component[None, :])
+        return group.loc[possible.any(axis=1), ["doc", "hub"]]
+
+    return _in_blocks(members, "size", "sketch", block=block).groupBy("hub", "x", "y", "near").applyInPandas(compare, "doc long, hub long").distinct()
 
+
+def far_links(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join components among the members of one hub.
+
+    ``members``: doc, hub, size, differs, component, far (not in the hub's component).
+    """
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _spanning(group["doc"].to_numpy(), group["component"].to_numpy(), group["size"].to_numpy(), [np.frombuffer(d, np.uint64) for d in group["differs"]], a, b)
 
-    return placed.groupBy("hub", "x", "y", "near").applyInPandas(compare, "a long, b long")
+    return _in_blocks(members, "size", "differs", block=block).groupBy("hub", "x", "y", "near").applyInPandas(compare, "a long, b long")
 
 
 def _spanning(docs: np.ndarray, component: np.ndarray, size: np.ndarray, differs: list[np.ndarray], a: int, b: int) -> pd.DataFrame:
@@ -273,15 +334,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100) -
     support = met.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("support"))
     ranked = met.join(support, "doc").withColumn("hub", F.max(F.struct("support", (-F.col("doc")).alias("minus"))).over(same_key))
     pairs = ranked.select("doc", (-F.col("hub.minus")).alias("hub")).filter("doc <> hub").distinct()
-    members = settled(compared(pairs, docs, n, a, b), "hub-members")
+    known = settled(sketched(pairs, sets, a, b), "hub-pairs")
+    members = settled(compared(known.filter("possible").select("doc", "hub").distinct(), docs, n, a, b), "hub-members")
     copies = sets.filter("n_shingles > 0 and doc_id is not null").withColumnRenamed("doc_id", "a").join(
         sets.filter("n_shingles > 0").groupBy("mark_1", "mark_2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("many")).filter("many > 1"),
         ["mark_1", "mark_2", "n_shingles"]).filter("a <> b").select("a", "b")
     links = settled(members.filter("similar").select(F.col("doc").alias("a"), F.col("hub").alias("b")).unionByName(copies).distinct(), "near-links")
     found = components(links)
-    placed = members.join(found.toDF("doc", "component"), "doc", "left").join(found.toDF("hub", "hub_component"), "hub", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
-    rest = settled(far_links(placed.drop("hub_component"), a, b), "far-links")
+    def placed(rows: DataFrame) -> DataFrame:
+        both = rows.join(found.toDF("doc", "component"), "doc", "left").join(found.toDF("hub", "hub_component"), "hub", "left")
+        both = both.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
+        return both.drop("hub_component")
+    sketches = sets.select(F.col("doc_id").alias("doc"), "sketch")
+    still = settled(may_link(placed(known.select("doc", "hub", "size")).join(sketches, "doc"), a, b), "open-members")
+    compared_before = members.join(still, ["doc", "hub"], "left_semi")
+    compared_now = compared(still.join(members.select("doc", "hub").distinct(), ["doc", "hub"], "left_anti"), docs, n, a, b)
+    rest = settled(far_links(placed(compared_before.unionByName(compared_now)), a, b), "far-links")
     if not rest.isEmpty():
         found = components(links.unionByName(rest))
     return sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
