@@ -56,7 +56,14 @@ def test_song_scan_reads_only_its_columns(spark):
 @pytest.mark.parametrize("name", ["t1_song_id", "j5_resolve_tracks", "j5_candidate_ids", "j6_in_library"])
 def test_song_ids_run_no_python(spark, name):
     plan = QUERIES[name].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+    assert "EvalPython" not in plan
+    assert name == "j6_in_library" or not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("name", ["j6_in_library", "j7_title_in_library"])
+def test_texts_are_searched_without_a_row_per_place(spark, name):
+    plan = QUERIES[name].run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "posexplode" not in plan and "sequence(" not in plan
 
 
 def test_contract():

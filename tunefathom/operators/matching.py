@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
 from tunefathom.functions.ids import song_id
-from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio
-from tunefathom.plans.shapes import one_row, place_in_group, top_n
+from tunefathom.plans.shapes import place_in_group, top_n
+from tunefathom.session import settled
 
 
 def with_audio(songs: DataFrame, files: DataFrame, filename: str = "filename", basename: str = "basename") -> DataFrame:
@@ -59,23 +63,69 @@ def with_candidates(tracks: DataFrame, track: str = "track_id", title: str = "ti
 
 # --- is a video in the library ----------------------------------------------------
 
-def _phrases(words: Column, longest: Column) -> Column:
-    """Every run of up to ``longest`` words, once."""
-    def runs(box: Column) -> Column:
-        ws = box["words"]
-        return F.flatten(F.transform(
-            F.sequence(F.lit(1), F.least(F.size(ws), box["longest"])),
-            lambda size: F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda at: F.array_join(F.slice(ws, at, size), " "))))
-    return F.array_distinct(let(F.struct(words.alias("words"), longest.alias("longest")), runs))
+#: Characters of names in one automaton, which takes some fifty times as many bytes in a task.
+AUTOMATON_CHARS = 2_000_000
+_AUTOMATA: dict[str, tuple] = {}
+
+
+def _automaton(shared):
+    """The automaton of a broadcast block of (name, partners) and the partners by name; built once per worker."""
+    name_of_block, names = shared.value
+    if name_of_block not in _AUTOMATA:
+        import ahocorasick
+        machine, partners = ahocorasick.Automaton(), {}
+        for name, others in names:
+            machine.add_word(name, name)
+            if others is not None:
+                partners.setdefault(name, set()).update(others)
+                for other in others:
+                    machine.add_word(other, other)
+        machine.make_automaton()
+        _AUTOMATA.clear()  # one block at a time
+        _AUTOMATA[name_of_block] = (machine, partners)
+    return _AUTOMATA[name_of_block]
+
+
+def texts_naming(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys of the texts that hold a name and, where the name has partners, one of them. May repeat a key.
+
+    ``names``: name, partners (array<string>; null where the name alone is enough). Names are dealt by hash into blocks
+    of about ``AUTOMATON_CHARS`` characters; a block is one automaton, sent to the texts' partitions, which it runs over
+    once per text, however long. Every block costs one pass over the texts, which are not shuffled.
+    """
+    spark = texts.sparkSession
+    known = settled(names.select("name", "partners"), "names")
+    chars = known.agg(F.sum(F.length("name") + F.coalesce(F.aggregate("partners", F.lit(0), lambda n, p: n + F.length(p)), F.lit(0)))).first()[0] or 0
+    blocks = -(-chars // AUTOMATON_CHARS)
+    rows = texts.select(key, F.col(text).alias("_text")).filter("_text <> ''")
+    kind = rows.schema[key].dataType.simpleString()
+    found = spark.createDataFrame([], f"{key} {kind}")
+    for block in range(blocks):
+        part = [(r["name"], r["partners"]) for r in known.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()]
+        if part:
+            found = found.unionByName(rows.mapInPandas(_search(spark.sparkContext.broadcast((uuid.uuid4().hex, part)), key), f"{key} {kind}"))
+    return found
+
+
+def _search(shared, key: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, partners = _automaton(shared)
+
+        def holds(text: str) -> bool:
+            if not partners:
+                return next(machine.iter(text), None) is not None
+            there = {name for _, name in machine.iter(text)}
+            return any(not partners[name].isdisjoint(there) for name in there if name in partners)
+        for batch in batches:
+            yield batch.loc[[holds(text) for text in batch["_text"]], [key]]
+    return work
 
 
 def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", title: str = "video_title", uploader: str = "uploader") -> DataFrame:
     """Ids of videos showing a library song.
 
     Either the parsed title and artist give a stored song id, or a library title and one of its artists
-    both stand as whole words in the video's title and channel. The word runs of each video (no longer than
-    the longest library key) are looked up by equality, first among all titles and all artists, then the pairs
-    that survive among the songs: work grows with the text, not with how many songs share a title.
+    both stand as whole words in the video's title and channel.
     """
     # a key that cannot be null: else the join would filter on it, below a second copy of all the parsing
     parsed = tx.with_parsed_video(videos.select(video, title, uploader), title, uploader, "_p")
@@ -85,35 +135,19 @@ def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", tit
 
     bracketless = F.regexp_replace(F.coalesce("title", F.lit("")), r"[\(\[][^\)\]]*[\)\]]", " ")
     pairs = songs.select(
-        F.trim(tx.word_key(bracketless)).alias("_title"),
-        F.explode(F.split(F.coalesce("artist", F.lit("")), fv.LIBRARY_ARTIST_SPLIT)).alias("_name"),
-    ).select("_title", F.trim(tx.word_key(F.col("_name"))).alias("_artist")).filter((F.col("_title") != "") & (F.col("_artist") != "")).distinct()
-
-    def size(c: str) -> Column:
-        return F.size(F.split(F.col(c), " "))
-    longest = one_row(pairs.agg(F.coalesce(F.max(F.greatest(size("_title"), size("_artist"))), F.lit(1)).alias("words")))
-    haystack = F.trim(tx.word_key(F.concat_ws(" ", F.col(title), F.coalesce(F.col(uploader), F.lit("")))))
-    runs = videos.select(video, haystack.alias("_h")).filter("_h <> ''").withColumn("_s", longest).select(
-        video, F.explode(_phrases(F.split("_h", " "), F.col("_s.words"))).alias("_run"))
-    titles = runs.join(pairs.select(F.col("_title").alias("_run")).distinct(), "_run", "left_semi").withColumnRenamed("_run", "_title")
-    artists = runs.join(pairs.select(F.col("_artist").alias("_run")).distinct(), "_run", "left_semi").withColumnRenamed("_run", "_artist")
-    by_words = titles.join(artists, video).join(pairs, ["_title", "_artist"], "left_semi").select(video)
-    return by_id.unionByName(by_words).distinct()
+        tx.word_key(bracketless).alias("name"), F.explode(F.split(F.coalesce("artist", F.lit("")), fv.LIBRARY_ARTIST_SPLIT)).alias("_artist"),
+    ).select("name", tx.word_key(F.col("_artist")).alias("_artist")).filter((F.col("name") != "") & (F.col("_artist") != ""))
+    # a title may stand in several rows; each holds a bounded list of its artists
+    dealt = pairs.distinct().groupBy("name", F.pmod(F.xxhash64("_artist"), F.lit(64)).alias("_deal")).agg(F.collect_list("_artist").alias("partners"))
+    haystack = tx.word_key(F.concat_ws(" ", F.col(title), F.coalesce(F.col(uploader), F.lit(""))))
+    return by_id.unionByName(texts_naming(videos.select(video, haystack.alias("_h")), dealt, video, "_h")).distinct()
 
 
 def title_in_library(hits: DataFrame, titles: DataFrame, keep_known: bool, video: str = "video_id", text: str = "video_title", title: str = "title") -> DataFrame:
-    """Hits whose text holds (or, without ``keep_known``, does not hold) some library title, at any place.
-
-    Every place of a text is looked up by as many characters as the shortest title has, and verified from there on; what
-    is carried per place is no longer than the longest title.
-    """
-    names = titles.select(F.lower(tx.strip(F.coalesce(F.col(title), F.lit("")))).alias("_t")).filter("_t <> ''").distinct()
-    span = one_row(names.agg(F.coalesce(F.min(F.length("_t")), F.lit(1)).alias("low"), F.coalesce(F.max(F.length("_t")), F.lit(1)).alias("high")))
-    keyed = names.withColumn("_s", span).select("_t", F.substring(F.col("_t"), F.lit(1), F.col("_s.low")).alias("_key"))
-    low = hits.select(video, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_x")).withColumn("_s", span).filter(F.length("_x") >= F.col("_s.low"))
-    places = low.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_x") - F.col("_s.low") + 1)))
-    windows = places.select(video, F.substring(F.col("_x"), F.col("_at"), F.col("_s.low")).alias("_key"), F.substring(F.col("_x"), F.col("_at"), F.col("_s.high")).alias("_rest"))
-    known = windows.join(keyed, "_key").filter(F.startswith("_rest", F.col("_t"))).select(video).distinct()
+    """Hits whose text holds (or, without ``keep_known``, does not hold) some library title, at any place."""
+    names = titles.select(F.lower(tx.strip(F.coalesce(F.col(title), F.lit("")))).alias("name")).filter("name <> ''").distinct()
+    low = hits.select(video, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_x"))
+    known = texts_naming(low, names.withColumn("partners", F.lit(None).cast("array<string>")), video, "_x").distinct()
     return hits.join(known, video, "left_semi" if keep_known else "left_anti")
 
 
