@@ -16,8 +16,8 @@ sketches, cut to one length, differ in at most as many bits as the sets do in sh
 certain, before any text moves.
 
 Sets under one key are compared with its hub, the member that shares most keys with others, from both whole texts.
-Members that the hub leaves in other components are compared with the hub's other members, in blocks of bounded size:
-first by sketch, which leaves those that may be similar to some other one; then by what each of them differs in from
+Members that the hub leaves in other components are compared with the hub's other members (of a hub with many, those
+under the same key), in blocks of bounded size: first by sketch, which leaves those that may be similar to some other one; then by what each of them differs in from
 the hub, which tells exactly how much they share. The blocks yield a spanning forest of the links found and never a
 list of pairs. Texts of equal sets are linked by a fingerprint of 128 bits.
 
@@ -243,12 +243,13 @@ def _similar(one: int, other: int, apart: int, a: int, b: int) -> bool:
 
 
 def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
-    """Members of a hub dealt to pairs of blocks (hub, x, y, near): far ones meet each other and the near ones.
+    """Members of a group dealt to pairs of blocks (hub, via, x, y, near): far ones meet each other and the near ones.
 
-    ``members``: doc, hub, component, far (not in the hub's component) and ``columns``. Near ones do not meet each other.
+    ``members``: doc, hub, via, component, far (not in the hub's component) and ``columns``. Near ones do not meet each
+    other.
     """
-    counts = members.groupBy("hub").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 1")
-    rows = members.join(counts, "hub").withColumns({"far_blocks": F.ceil(F.col("n_far") / block).cast("int"), "near_blocks": F.ceil(F.col("n_near") / block).cast("int")})
+    counts = members.groupBy("hub", "via").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 1")
+    rows = members.join(counts, ["hub", "via"]).withColumns({"far_blocks": F.ceil(F.col("n_far") / block).cast("int"), "near_blocks": F.ceil(F.col("n_near") / block).cast("int")})
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("far"), F.col("far_blocks")).otherwise(F.greatest("near_blocks", F.lit(1)))).cast("int")
 
     def upto(count):
@@ -257,10 +258,23 @@ def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFra
     far_places = F.concat(F.transform(upto(F.col("far_blocks")), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), F.lit(False).alias("near"))),
                           F.transform(upto(F.col("near_blocks")), lambda j: F.struct(F.col("own").alias("x"), j.alias("y"), F.lit(True).alias("near"))))
     near_places = F.transform(upto(F.col("far_blocks")), lambda i: F.struct(i.alias("x"), F.col("own").alias("y"), F.lit(True).alias("near")))
-    placed = rows.withColumn("own", own).select("hub", "doc", "component", *columns, F.inline(F.when(F.col("far"), far_places).otherwise(near_places)).alias("x", "y", "near"))
+    placed = rows.withColumn("own", own).select("hub", "via", "doc", "component", *columns, F.inline(F.when(F.col("far"), far_places).otherwise(near_places)).alias("x", "y", "near"))
     return placed
 
 
+def _groups(known: DataFrame, met: DataFrame, most: int) -> DataFrame:
+    """(doc, hub, via): the groups in which a hub's members may still meet.
+
+    All members of a hub are one group (``via`` 0) where they are no more than a block. A set that shares keys with very
+    many others is the hub of sets that share nothing but it; its members meet under the key they have in common.
+    """
+    sizes = known.select("doc", "hub").distinct().groupBy("hub").agg(F.count("*").alias("many"))
+    pairs = known.select("doc", "hub").distinct()
+    small = pairs.join(sizes.filter(F.col("many") <= most).select("hub"), "hub").select("doc", "hub", F.lit(0).cast("long").alias("via"))
+    keys = met.join(sizes.filter(F.col("many") > most).select(F.col("hub").alias("doc")), "doc", "left_semi").select("key", F.col("doc").alias("hub"))
+    return small.unionByName(met.select("key", "doc").join(keys, "key").filter("doc <> hub").select("doc", "hub", F.col("key").alias("via")))
+
+
 def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
     """(doc, hub) of the members that, by size and sketch, may be similar to a member of the hub in another component."""
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -273,18 +287,18 @@ def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFram
         possible = (apart.astype(np.int64) * (a + b) <= (size[:, None] + size[None, :]) * (b - a)) & (component[:, None] != component[None, :])
         return group.loc[possible.any(axis=1), ["doc", "hub"]]
 
-    return _in_blocks(members, "size", "sketch", block=block).groupBy("hub", "x", "y", "near").applyInPandas(compare, "doc long, hub long").distinct()
+    return _in_blocks(members, "size", "sketch", block=block).groupBy("hub", "via", "x", "y", "near").applyInPandas(compare, "doc long, hub long").distinct()
 
 
 def far_links(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join components among the members of one hub.
 
-    ``members``: doc, hub, size, differs, component, far (not in the hub's component).
+    ``members``: doc, hub, via, size, differs, component, far (not in the hub's component).
     """
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _spanning(group["doc"].to_numpy(), group["component"].to_numpy(), group["size"].to_numpy(), [np.frombuffer(d, np.uint64) for d in group["differs"]], a, b)
 
-    return _in_blocks(members, "size", "differs", block=block).groupBy("hub", "x", "y", "near").applyInPandas(compare, "a long, b long")
+    return _in_blocks(members, "size", "differs", block=block).groupBy("hub", "via", "x", "y", "near").applyInPandas(compare, "a long, b long")
 
 
 def _spanning(docs: np.ndarray, component: np.ndarray, size: np.ndarray, differs: list[np.ndarray], a: int, b: int) -> pd.DataFrame:
@@ -323,7 +337,7 @@ def _spanning(docs: np.ndarray, component: np.ndarray, size: np.ndarray, differs
     return pd.DataFrame(out, dtype="int64")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link when ``b * shared >= a * united``."""
     sets = settled(set_sizes(docs, n), "shingle-sets")
     keyed = set_keys(docs, n, a, b)
@@ -346,10 +360,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100) -
         both = both.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
         return both.drop("hub_component")
     sketches = sets.select(F.col("doc_id").alias("doc"), "sketch")
-    still = settled(may_link(placed(known.select("doc", "hub", "size")).join(sketches, "doc"), a, b), "open-members")
+    groups = settled(_groups(known, met, block), "hub-groups")
+    still = settled(may_link(placed(known.select("doc", "hub", "size")).join(sketches, "doc").join(groups, ["doc", "hub"]), a, b, block), "open-members")
     compared_before = members.join(still, ["doc", "hub"], "left_semi")
     compared_now = compared(still.join(members.select("doc", "hub").distinct(), ["doc", "hub"], "left_anti"), docs, n, a, b)
-    rest = settled(far_links(placed(compared_before.unionByName(compared_now)), a, b), "far-links")
+    rest = settled(far_links(placed(compared_before.unionByName(compared_now)).join(groups, ["doc", "hub"]), a, b, block), "far-links")
     if not rest.isEmpty():
         found = components(links.unionByName(rest))
     return sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
