@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunefathom import fixed_values as fv
-from tunefathom.plans.shapes import Chunker, even_chunks, previous_value, top_n
+from tunefathom.plans.shapes import Chunker, even_chunks, neighbour_values, previous_value, top_n
+from tunefathom.session import settled
 
 
 def ranked_moods(moods: list[str] = fv.MOODS) -> Column:
@@ -29,16 +30,11 @@ def top_genre(labels: DataFrame, song: str = "song_id", label: str = "label", sc
 def queue_moves(queue: DataFrame, list_id: str, position: str, item: str, chunk: Chunker | None = None) -> DataFrame:
     """Next and previous item of every queue position, wrapping around; positions may have gaps but not repeat.
 
-    Neighbours are carried from chunk to chunk of the positions, so one endless queue still spreads over all tasks;
-    only the first and the last item of a queue are gathered, by aggregation.
+    Neighbours are carried from chunk to chunk of the positions, so one endless queue still spreads over all tasks.
     """
     chunk = even_chunks(queue, position) if chunk is None else chunk
-    ends = queue.groupBy(list_id).agg(F.min_by(item, position).alias("_first"), F.max_by(item, position).alias("_last"))
-    behind = previous_value(queue, [list_id], position, chunk, item, "_before")
-    backwards = behind.withColumn("_back", -F.col(position))
-    flipped = lambda rows, order: chunk(rows, position).withColumn("_chunk", -F.col("_chunk"))
-    both = previous_value(backwards, [list_id], "_back", flipped, item, "_after").drop("_back")
-    return both.join(ends, list_id).select(*queue.columns, F.coalesce("_after", "_first").alias("next_item"), F.coalesce("_before", "_last").alias("previous_item"))
+    both = neighbour_values(queue, [list_id], position, chunk, item)
+    return both.select(*queue.columns, F.coalesce("_after", "_first").alias("next_item"), F.coalesce("_before", "_last").alias("previous_item"))
 
 
 def start_of_queue(queue: DataFrame, list_id: str, position: str, item: str) -> DataFrame:
@@ -85,13 +81,34 @@ def sort_songs(songs: DataFrame, column: str, descending: bool = False, tie: str
     return songs.orderBy(F.desc_nulls_last(key) if descending else F.asc_nulls_last(key), tie)
 
 
+def sorted_places(songs: DataFrame, column: str, descending: bool = False, tie: str = "song_id", collation: str | None = None) -> DataFrame:
+    """The order of :func:`sort_songs` as a ``place`` (1, 2, ...) of every row."""
+    key = F.collate(F.col(column), collation) if collation else F.col(column)
+    sort = songs.repartitionByRange(F.col(column).isNull(), F.desc(key) if descending else F.asc(key), tie)
+    order = [F.col(column).isNull(), F.desc(key) if descending else F.asc(key), F.col(tie)]
+    placed = settled(sort.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    slices = placed.groupBy(F.shiftright("_at", 33).alias("_slice")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    shifts = slices.select("_slice", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    both = placed.withColumn("_slice", F.shiftright("_at", 33)).join(F.broadcast(shifts), "_slice")
+    return both.select(*songs.columns, (F.col("_at") + F.col("_shift")).cast("int").alias("place"))
+
+
 def page(sorted_rows: DataFrame, pages: int, size: int = 50) -> DataFrame:
     """The first ``pages`` pages of an ordered result."""
     return sorted_rows.limit(pages * size)
 
 
-def random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_sample(df: DataFrame, n: int, seed: int, key: str, weight: str | None = None) -> DataFrame:
+    """``n`` rows drawn without replacement: those of lowest seeded hash of ``key``, the same under any partitioning.
+
+    With ``weight`` (above 0, else never drawn) a row's chance is in proportion to it. Every task keeps ``n`` rows.
+    """
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    if weight is None:
+        return df.orderBy(hashed, key).limit(n)
+    share = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
+    return df.filter(F.col(weight) > 0).orderBy(-F.log(share) / F.col(weight), key).limit(n)
 
 
 def union_recordings(broad: DataFrame, narrow: DataFrame, query: str = "query_id", recording: str = "recording_id", total: str = "total_hits") -> DataFrame:

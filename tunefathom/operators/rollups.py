@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
 from tunefathom import fixed_values as fv
@@ -92,9 +92,10 @@ def class_means(patches: DataFrame, labels: list[str], song: str = "song_id", pr
 def parent_genre_shares(means: DataFrame, song: str = "song_id", label: str = "label", score: str = "score") -> DataFrame:
     """Share of every parent genre (text before ``---``) in the song's total score, from one percent up."""
     parents = means.groupBy(song, F.substring_index(label, "---", 1).alias("genre")).agg(F.sum(score).alias("_s"))
-    totals = means.groupBy(song).agg(F.sum(score).alias("_t"))
+    # a song's parents are few: their sum is windowed, the means are read once
+    totals = parents.withColumn("_t", F.sum("_s").over(Window.partitionBy(song)))
     share = F.try_divide(F.col("_s"), F.col("_t"))
-    return parents.join(totals, song).filter(share >= 0.01).select(song, "genre", rounded(share, 4).alias("share"))
+    return totals.filter(share >= 0.01).select(song, "genre", rounded(share, 4).alias("share"))
 
 
 def top_classes(means: DataFrame, n: int = 10, song: str = "song_id", label: str = "label", score: str = "score") -> DataFrame:

@@ -34,19 +34,22 @@ def top_n(df: DataFrame, by: list, order: list, n: int, rank: str = "rank") -> D
 def place_in_group(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Rank of every row in its group (1, 2, ...) when all ranks are wanted, not a first few.
 
-    Rows are range-partitioned by group and order, numbered inside each slice of a group, and shifted by the
-    slices before; a group holding a third of the rows spans a third of the partitions. ``order`` must be total.
-    The sliced rows are settled, so slice numbers stay the same when a task runs again.
+    ``df`` is evaluated once: its rows and order are settled, and only groups, order and row ids are range-partitioned
+    and sorted. The id of a sorted row holds its slice and its place there; the slices before it are added up, so a
+    group holding a third of the rows spans a third of the partitions. ``order`` must be total.
     """
     keys = [f"_o{i}" for i in range(len(order))]
-    rows = df.withColumns(dict(zip(keys, order)))
-    slices = settled(rows.repartitionByRange(*by, *keys).withColumn("_slice", F.spark_partition_id()), "ranked")
-    counts = slices.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_slice").orderBy(*keys)
-    numbered = slices.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*by, "_slice"])
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("int").alias(name))
+    rows = settled(df.withColumns({**dict(zip(keys, order)), "_row": F.monotonically_increasing_id()}), "ranked")
+    sort = [*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *keys]
+    thin = rows.select(*sort, "_row")
+    groups, ranges = [f"_g{i}" for i in range(len(by))], [f"_g{i}" for i in range(len(by))] + keys
+    placed = thin.repartitionByRange(*ranges).sortWithinPartitions(*ranges).withColumn("_at", F.monotonically_increasing_id())
+    slices = settled(placed.select(F.struct(*groups, F.shiftright("_at", 33).alias("slice")).alias("_part"), "_row", "_at"), "places")
+    counts = slices.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*[F.col(f"_part.{g}") for g in groups]).orderBy("_part.slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    places = slices.join(offsets, "_part").select("_row", (F.col("_at") + F.col("_shift")).cast("int").alias(name))
+    return rows.join(places, "_row").select(*df.columns, name)
 
 
 Chunker = Callable[[DataFrame, str], DataFrame]
@@ -57,38 +60,63 @@ def chunks_of(bucket: Callable[[Column], Column]) -> Chunker:
     return lambda rows, order: rows.withColumn("_chunk", bucket(F.col(order)))
 
 
-def even_chunks(df: DataFrame, order: str, rows_per_chunk: int = 50_000) -> Chunker:
+#: Cuts that the driver holds at most; beyond them chunks are cut evenly by value.
+MAX_CUTS = 4096
+
+
+def even_chunks(df: DataFrame, order: str, rows_per_chunk: int = 50_000, most: int = MAX_CUTS) -> Chunker:
     """Adds ``_chunk`` such that every chunk holds about equally many rows of ``df``, whatever their spread.
 
-    The cuts are approximate quantiles, one number per ``rows_per_chunk`` rows on the driver, searched by bisection
-    in the JVM.
+    The cuts are at most ``most`` approximate quantiles, searched by bisection in the JVM. Where more chunks are wanted,
+    what lies between two cuts is divided into equal ranges of the value.
     """
     def number(rows: DataFrame, column: str) -> Column:
         kind = dict(rows.dtypes)[column]
         return (F.unix_micros(F.col(column).cast("timestamp")) if "timestamp" in kind else F.col(column)).cast("double")
 
-    cuts = -(-df.count() // rows_per_chunk)
-    edges = df.select(number(df, order).alias("v")).approxQuantile("v", [i / cuts for i in range(1, cuts)], 0.25 / cuts) if cuts > 1 else []
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
+    wanted = -(-df.count() // rows_per_chunk)
+    cuts, parts = min(wanted, most), -(-wanted // most)
+    # the lowest and highest value are cuts too where the ranges between cuts are divided
+    shares = [i / cuts for i in (range(cuts + 1) if parts > 1 else range(1, cuts))]
+    edges = sorted(set(df.select(number(df, order).alias("v")).approxQuantile("v", shares, 0.25 / cuts))) if cuts > 1 else []
+    splits = [-math.inf, *edges, math.inf]
 
     def add(rows: DataFrame, column: str) -> DataFrame:
         if len(splits) < 3:
             return rows.withColumn("_chunk", F.lit(0))
         bucketizer = Bucketizer(splits=splits, inputCol="_number", outputCol="_chunk", handleInvalid="keep")
-        return bucketizer.transform(rows.withColumn("_number", number(rows, column))).drop("_number")
+        cut = bucketizer.transform(rows.withColumn("_number", number(rows, column)))
+        if parts > 1:
+            low, high = (F.get(F.array(*[F.lit(v) for v in ends]), F.col("_chunk").cast("int")) for ends in ([edges[0], *edges], [*edges, edges[-1]]))
+            share = F.coalesce(F.try_divide(F.col("_number") - low, high - low), F.lit(0.0))
+            cut = cut.withColumn("_chunk", F.col("_chunk") * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1)))
+        return cut.drop("_number")
     return add
 
 
-def previous_value(
-    df: DataFrame, group: list[str], order: str, chunk: Chunker, value: str, name: str,
-) -> DataFrame:
-    """The value of the row before inside an ordered group.
+def neighbour_values(df: DataFrame, group: list[str], order: str, chunk: Chunker, value: str) -> DataFrame:
+    """Adds the values of the rows before and after inside an ordered group, and of its first and last row.
 
-    ``chunk`` buckets the order column. Rows are windowed per (group, chunk); only one
-    summary row per chunk is windowed per group to carry values across chunk borders, so a group
-    holding a third of the table is still spread over all its chunks.
+    Columns ``_before``, ``_after`` (null at the ends), ``_first``, ``_last``. ``chunk`` buckets the order column. Rows
+    are windowed once per (group, chunk); one summary row per chunk, with its first and last value, is windowed per group
+    to carry values across chunk borders, so a group holding a third of the table is still spread over all its chunks.
     """
     keys = [*group, "_chunk"]
+    boxed = F.struct(F.col(value).alias("v"))
+    inside = Window.partitionBy(*keys).orderBy(order)
+    rows = chunk(df, order).withColumns({"_behind": F.lag(boxed).over(inside), "_ahead": F.lead(boxed).over(inside)})
+    ends = chunk(df, order).groupBy(*keys).agg(F.min_by(boxed, order).alias("_low"), F.max_by(boxed, order).alias("_high"))
+    across, whole = Window.partitionBy(*group).orderBy("_chunk"), Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select(*keys, F.lag("_high").over(across).alias("_from"), F.lead("_low").over(across).alias("_to"),
+                          F.first("_low").over(whole).alias("_start"), F.last("_high").over(whole).alias("_end"))
+    joined = rows.join(carried, keys, "left")
+    return joined.select(*df.columns, F.coalesce("_behind", "_from")["v"].alias("_before"), F.coalesce("_ahead", "_to")["v"].alias("_after"),
+                         F.col("_start.v").alias("_first"), F.col("_end.v").alias("_last"))
+
+
+def previous_value(df: DataFrame, group: list[str], order: str, chunk: Chunker, value: str, name: str) -> DataFrame:
+    """The value of the row before inside an ordered group, carried across chunks as in :func:`neighbour_values`."""
+    keys = [*group, "_chunk"]
     rows = chunk(df, order)
     boxed = F.struct(F.col(value).alias("v"))
     rows = rows.withColumn("_inner", F.lag(boxed).over(Window.partitionBy(*keys).orderBy(order)))

@@ -281,9 +281,36 @@ def _page(t: Tables):
     return rk.page(rk.sort_songs(songs_from_part(t).select("song_id", "title"), "title"), 3)
 
 
-@query("o8_random_sample")
+@query("o8_random_sample", "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 10")
 def _random_sample(t: Tables):
-    return rk.random_sample(t.orders.select("o_orderkey"), 10, seed=7)
+    return rk.random_sample(t.orders.select("o_orderkey"), 10, 7, "o_orderkey")
+
+
+@query("o8_weighted_sample", """
+    SELECT o_orderkey FROM orders WHERE o_totalprice - 100000 > 0 ORDER BY -ln((('0x' || substr(md5('7:' || o_orderkey), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / (o_totalprice - 100000), o_orderkey LIMIT 50""")
+def _weighted_sample(t: Tables):
+    rows = t.orders.select("o_orderkey", (F.col("o_totalprice") - 100000).alias("weight"))
+    return rk.random_sample(rows, 50, 7, "o_orderkey", "weight").select("o_orderkey")
+
+
+_ACCENTED_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 2 = 0 THEN translate(p_name, 'aeou', 'áèöü') ELSE p_name END AS title FROM part"""
+
+
+def _in_collation(t: Tables, descending: bool):
+    k = F.col("p_partkey")
+    title = F.when(k % 7 == 0, F.lit(None)).when(k % 3 == 0, F.upper("p_name")).when(k % 2 == 0, F.translate("p_name", "aeou", "áèöü")).otherwise(F.col("p_name"))
+    songs = t.part.select(k.alias("song_id"), title.alias("title"))
+    return rk.sorted_places(songs, "title", descending, collation="UNICODE_CI_AI").select(F.col("song_id").alias("p_partkey"), "place")
+
+
+@query("o1_sort_by_collation", f"SELECT p_partkey, row_number() OVER (ORDER BY title COLLATE NOCASE.NOACCENT ASC NULLS LAST, p_partkey)::INT AS place FROM ({_ACCENTED_SQL})")
+def _sort_by_collation(t: Tables):
+    return _in_collation(t, False)
+
+
+@query("o1_sort_by_collation_descending", f"SELECT p_partkey, row_number() OVER (ORDER BY title COLLATE NOCASE.NOACCENT DESC NULLS LAST, p_partkey)::INT AS place FROM ({_ACCENTED_SQL})")
+def _sort_by_collation_descending(t: Tables):
+    return _in_collation(t, True)
 
 
 @query("u4_union_recordings", """
