@@ -28,7 +28,8 @@ URLS = [None, "", "no scheme", "http://", "http://WWW.Example.COM/en/a", "https:
 def odd(spark, tmp_path_factory):
     """Documents and pages with nulls, empty and long texts, ties and repeats."""
     folder = str(tmp_path_factory.mktemp("odd"))
-    spark.createDataFrame([(i * 3 % 101, t, "en", "s", None) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([(i * 3 % 101, t, ("en", "de", None, "")[i % 4], ("s", "t", None)[i % 3], None) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "the quick brown fox of the hill"), (3, "one two three")], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
     pages = [(i, u, None) for i, u in enumerate(URLS)] + [(100 + i, f"http://h{i % 3}.net/{'de' if i % 2 else 'es'}/{i}.html", None) for i in range(120)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(folder + "/pages.parquet")
     return folder
@@ -37,7 +38,7 @@ def odd(spark, tmp_path_factory):
 def _frames(folder):
     import duckdb
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     return db
 

@@ -4,7 +4,7 @@
    ``dictionary_encode`` and a hash ``group_by`` per document, then one per (language, source, term). Counts of several
    batches are merged before they leave a task, up to ``HELD_ROWS`` rows at a time.
 2. Spark sums them. A term is kept in a language where at least ``MIN_DOCUMENTS`` of its documents have it.
-3. The kept counts are cut into columnar shards: all sources of some terms of one language, at most ``SHARD_CELLS``
+3. The kept counts are cut into columnar shards: all sources of some terms of one language, about ``SHARD_CELLS``
    cells. A shard is one matrix of smoothed shares; it yields its part of every pair's divergence, and the terms that
    stand out. Parts are summed, ranks are given per source. More than ``BLOCK_SOURCES`` sources are compared in blocks.
 
@@ -34,7 +34,7 @@ from tunefathom.session import settled
 MIN_DOCUMENTS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: What is no part of a term, once A-Z are lower-cased.
 BETWEEN_TERMS = r"[\x00-\x60\x7B-\x7F]+"
-HELD_ROWS, SHARD_CELLS, BLOCK_SOURCES = 400_000, 1 << 21, 1024
+HELD_ROWS, SHARD_CELLS, BLOCK_SOURCES = 400_000, 1 << 18, 1024
 _KEYS = ["lang", "source", "term"]
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -157,7 +157,8 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     placed = groups.withColumn("place", F.row_number().over(in_lang.orderBy("source")) - 1).withColumn("sources", F.count("*").over(in_lang))
     placed = settled(placed.select(
         "lang", "source", "place", (F.col("total") + 2 * F.col("terms")).alias("total"), (F.col("lang_total") + 2 * F.col("terms")).alias("lang_total"),
-        F.greatest(F.ceil(F.col("terms") * F.col("sources") / SHARD_CELLS), F.lit(1)).cast("int").alias("shards"),
+        # a shard has at least as many terms as sources, so that it yields no more pairs than it reads cells
+        F.greatest(F.ceil(F.col("terms") / F.greatest(F.lit(SHARD_CELLS) / F.col("sources"), F.col("sources"))), F.lit(1)).cast("int").alias("shards"),
         F.ceil(F.col("sources") / BLOCK_SOURCES).cast("int").alias("blocks")), "sources")
 
     def below(count: str) -> Column:
