@@ -37,6 +37,22 @@ def test_previous_value_across_chunks(spark):
                 assert got[(g, t)] == (mine[i - 1][1] if i else None)
 
 
+def test_neighbours_across_chunks_of_two_levels(spark):
+    random.seed(4)
+    rows = [(g, t, random.choice(["a", "b", None])) for g in ("x", "y") for t in sorted(random.sample(range(100_000), 300))] + [("z", 5, "only")]
+    df = spark.createDataFrame(rows, "g string, t int, v string").repartition(5)
+    chunk = shapes.even_chunks(df, "t", 10, most=4)
+    assert chunk(df, "t").select("_chunk").distinct().count() > 20
+    got = {(r["g"], r["t"]): r for r in shapes.neighbour_values(df, ["g"], "t", chunk, "v").collect()}
+    assert len(got) == len(rows)
+    for g in ("x", "y", "z"):
+        mine = [(t, v) for k, t, v in rows if k == g]
+        for i, (t, _) in enumerate(mine):
+            r = got[g, t]
+            assert r["_before"] == (mine[i - 1][1] if i else None) and r["_after"] == (mine[i + 1][1] if i + 1 < len(mine) else None)
+            assert r["_first"] == mine[0][1] and r["_last"] == mine[-1][1]
+
+
 def test_following_event(spark):
     random.seed(3)
     asked = [(i, random.choice("abc"), random.randrange(500)) for i in range(300)]

@@ -82,12 +82,13 @@ def overlay_songs(songs: DataFrame, ids: list, song: str = "song_id") -> DataFra
 def chart_rows(env: DataFrame, overlays: DataFrame) -> DataFrame:
     """Envelope and up to three overlays on one gapless axis; the band exists only with both quartiles.
 
-    ``overlays``: (overlay 1..3, position, value). The axis is as long as the longest series.
+    ``overlays``: (overlay 1..3, position, value). The axis is as long as the longest series; ``songs`` is how many songs
+    have a value there, 0 where none has.
     """
     curves = overlays.groupBy("position").agg(*[F.max(F.when(F.col("overlay") == i, F.col("value"))).alias(f"overlay_{i}") for i in (1, 2, 3)])
     last = env.select("position").unionByName(overlays.select("position")).agg(F.max("position").alias("last")).filter(F.col("last").isNotNull())
     axis = last.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("position"))
     band = F.col("p25").isNotNull() & F.col("p75").isNotNull()
     return axis.join(env, "position", "left").join(curves, "position", "left").select(
-        "position", "mean", F.when(band, F.col("p25")).alias("band_low"), F.when(band, F.col("p75")).alias("band_high"),
+        "position", "mean", F.when(band, F.col("p25")).alias("band_low"), F.when(band, F.col("p75")).alias("band_high"), F.coalesce("songs", F.lit(0)).alias("songs"),
         "overlay_1", "overlay_2", "overlay_3")

@@ -139,11 +139,11 @@ def _overlays(t: Tables):
 
 @query("m19_chart_rows", f"""
     WITH e AS ({_envelope_sql(_RELATIVE_SQL)}), o AS (SELECT * FROM ({_RELATIVE_SQL}) WHERE song_id IN (11, 3, 7))
-    SELECT e.position, {sql_round('mean', 4)} AS mean, {sql_round('p25', 4)} AS band_low, {sql_round('p75', 4)} AS band_high,
+    SELECT e.position, {sql_round('mean', 4)} AS mean, {sql_round('p25', 4)} AS band_low, {sql_round('p75', 4)} AS band_high, e.songs,
         {", ".join(f"{sql_round(f'(SELECT value FROM o WHERE o.position = e.position AND song_id = {s})', 4)} AS overlay_{i + 1}" for i, s in enumerate(_OVERLAYS))} FROM e""")
 def _chart_rows(t: Tables):
     songs = series_songs(t)
     chosen = ts.overlay_songs(songs, _OVERLAYS)
     points = ts.resample_long(chosen, "spectral_flux", "relative").join(chosen.select("song_id", "overlay"), "song_id")
     rows = ts.chart_rows(ts.timeseries_envelope(songs, "spectral_flux", "relative"), points)
-    return rows.select("position", *[rounded(F.col(c), 4).alias(c) for c in rows.columns if c != "position"])
+    return rows.select("position", "songs", *[rounded(F.col(c), 4).alias(c) for c in rows.columns if c not in ("position", "songs")])

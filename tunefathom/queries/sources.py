@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tunefathom import schemas
@@ -9,7 +11,7 @@ from tunefathom.functions.ids import song_id
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.filters import REASONS_SQL
 from tunefathom.queries.registry import Tables, key_if, name_if, query, sql_round
-from tunefathom.session import work_path
+from tunefathom.session import settled, work_path
 from tunefathom.sources import catalogue as sc, library as li
 
 
@@ -118,6 +120,23 @@ def _lines(t: Tables):
 
 
 @query("s7_list_audio_files", """
+    SELECT lower(name) AS basename, count(*) AS files FROM (SELECT page_id % 3 AS folder, 'Brand ' || page_id % 40 || list_extract(['.MP3', '.flac', '.txt', '.m4a', '.mp3.part', '.aiff', '.jpg'], page_id % 7 + 1) AS name FROM pages GROUP BY ALL)
+    WHERE regexp_matches(lower(name), '[.](mp3|flac|m4a|aiff)$') GROUP BY 1""")
+def _listed(t: Tables):
+    # a file of each of those names (at most 840) below three folders, then listed
+    endings = F.array(*[F.lit(e) for e in (".MP3", ".flac", ".txt", ".m4a", ".mp3.part", ".aiff", ".jpg")])
+    root = work_path(t.spark, "audio")
+    k = F.col("page_id")
+    named = t.pages.select((k % 3).alias("folder"), F.concat(F.lit("Brand "), (k % 40).cast("string"), F.get(endings, (k % 7).cast("int"))).alias("name")).distinct()
+    for row in named.collect():
+        target = t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{row['folder']}/{row['name']}")
+        file = target.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(target, True)
+        file.write(bytearray(b"-"))
+        file.close()
+    return li.list_audio_files(t.spark, root).groupBy("basename").agg(F.count("*").alias("files"))
+
+
+@query("s7_audio_files", """
     SELECT page_id, lower(name) AS basename FROM (SELECT page_id, 'Track' || page_id || list_extract(['.MP3', '.flac', '.txt', '.m4a', '.mp3.part', '.aiff', '.jpg'], page_id % 7 + 1) AS name FROM pages) WHERE page_id % 7 IN (0, 1, 3, 5)""")
 def _files(t: Tables):
     endings = F.array(*[F.lit(e) for e in (".MP3", ".flac", ".txt", ".m4a", ".mp3.part", ".aiff", ".jpg")])
@@ -203,17 +222,20 @@ def _dump(t: Tables):
     return t.spark.read.schema("p_partkey bigint, p_name string, price double").json(path)
 
 
-@query("s12_truncate_library", f"SELECT * FROM (VALUES {', '.join(repr((name, 0)) for name in li.TABLES)}) v(name, n)")
+@query("s12_truncate_library", f"SELECT name, CASE WHEN name = 'songs' THEN (SELECT count(*) FROM part) ELSE 0 END AS before, n FROM (VALUES {', '.join(repr((name, 0)) for name in li.TABLES)}) v(name, n)")
 def _truncate(t: Tables):
     root = work_path(t.spark, "library")
     li.create_library(t.spark, root)
     li.read_table(t.spark, root, "songs").unionByName(t.part.select(F.col("p_partkey").cast("string").alias("song_id"), F.col("p_name").alias("title")), allowMissingColumns=True).write.mode("append").parquet(f"{root}/songs")
+    before = settled(_counted(t, root), "counts")
     li.truncate_library(t.spark, root)
-    counts = [li.read_table(t.spark, root, name).agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("name"), "n") for name in li.TABLES]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return _counted(t, root).withColumn("n", F.col("n").cast("int")).join(before.select("name", F.col("n").alias("before")), "name").select("name", "before", "n")
+
+
+def _counted(t: Tables, root: str):
+    """Rows of every table of a library."""
+    counts = [li.read_table(t.spark, root, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in li.TABLES]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("t22_similar_tracks", f"""
@@ -241,9 +263,10 @@ def _track_info(t: Tables):
 
 
 @query("t23_file_tags", f"""
-    SELECT p_partkey AS file_id, p_brand AS artist, 'Guest+Other' AS featured, 'MP3' AS file_format, {sql_round('p_retailprice / 7', 2)} AS duration_seconds, CASE WHEN p_size > 5 THEN CAST(round((p_size * 1000 + 128000) / 1000.0) AS INTEGER) END AS bitrate_kbps FROM part""")
+    SELECT p_partkey AS file_id, p_brand AS artist, 'Guest+Other' AS featured, 'MP3' AS file_format, {sql_round('p_retailprice / 7', 2)} AS duration_seconds, CASE WHEN p_size > 5 THEN CAST(round((p_size * 1000 + 128000) / 1000.0) AS INTEGER) END AS bitrate_kbps,
+        CASE WHEN p_size % 4 > 0 THEN p_type ELSE '' END AS genres, 44100 + p_size AS sample_rate_hz, CASE WHEN p_size % 3 > 0 THEN CAST(p_size % 3 AS INTEGER) END AS channels FROM part""")
 def _file_tags(t: Tables):
     tags = t.part.select(
         F.col("p_partkey").alias("file_id"), F.concat(F.lit("track."), "p_partkey", F.lit(".mp3")).alias("filename"), F.concat("p_name", F.lit(" (feat. Guest & Other)")).alias("title"), F.concat("p_brand", F.lit(" Ft. Guest")).alias("artist"),
-        F.lit("Album").alias("album"), F.lit("2001").alias("date"), F.lit("rock").alias("genre"), (F.col("p_retailprice") / 7).alias("length"), F.when(F.col("p_size") > 5, F.col("p_size") * 1000 + 128000).otherwise(0).alias("bitrate"))
-    return li.file_tag_rows(tags).select("file_id", "artist", F.array_join("featured", "+").alias("featured"), "file_format", "duration_seconds", "bitrate_kbps")
+        F.lit("Album").alias("album"), F.lit("2001").alias("date"), F.when(F.col("p_size") % 4 > 0, F.col("p_type")).when(F.col("p_size") % 8 > 0, "").alias("genre"), (44100 + F.col("p_size")).alias("sample_rate"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3).alias("channels"), (F.col("p_retailprice") / 7).alias("length"), F.when(F.col("p_size") > 5, F.col("p_size") * 1000 + 128000).otherwise(0).alias("bitrate"))
+    return li.file_tag_rows(tags).select("file_id", "artist", F.array_join("featured", "+").alias("featured"), "file_format", "duration_seconds", "bitrate_kbps", F.array_join("genres", "+").alias("genres"), "sample_rate_hz", "channels")

@@ -68,7 +68,7 @@ def query_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def list_audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files below a folder, by path; contents are not read."""
+    """Audio files below a folder, by path; contents are not read. Files without any are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     return audio_files(files)
 
@@ -162,15 +162,17 @@ def dump_results(results: DataFrame, path: str) -> None:
 
 
 def file_tag_rows(tags: DataFrame) -> DataFrame:
-    """File tags as stored: main artist, guests of artist and title, rounded duration, bitrate in kbps.
+    """File tags as stored: main artist, guests of artist and title, genre as a list, rounded duration, bitrate in kbps.
 
-    ``tags``: file_id, filename, title, artist, album, date, genre, length, bitrate.
+    ``tags``: file_id, filename, title, artist, album, date, genre, length, bitrate, sample_rate, channels.
     """
     guests = tx.dedup_featured(tx.ordered_union(tx.parse_featured(F.coalesce("artist", F.lit(""))), tx.parse_featured(F.coalesce("title", F.lit("")))))
     return tags.select(
         "file_id", "filename", "title", tx.main_artist(F.col("artist")).alias("artist"), guests.alias("featured"), "album",
-        tx.normalize_date(F.col("date")).alias("release_date"), F.upper(F.substring_index("filename", ".", -1)).alias("file_format"),
-        F.round("length", 2).alias("duration_seconds"), F.round(F.nullif("bitrate", F.lit(0)) / 1000).cast("int").alias("bitrate_kbps"))
+        tx.normalize_date(F.col("date")).alias("release_date"),
+        F.filter(F.array(tx.none_if_empty(F.col("genre"))), lambda g: g.isNotNull()).alias("genres"), F.upper(F.substring_index("filename", ".", -1)).alias("file_format"),
+        F.round("length", 2).alias("duration_seconds"), F.round(F.nullif("bitrate", F.lit(0)) / 1000).cast("int").alias("bitrate_kbps"),
+        F.col("sample_rate").cast("int").alias("sample_rate_hz"), F.col("channels").cast("int").alias("channels"))
 
 
 def json_list(text: Column, of: str) -> Column:
