@@ -323,11 +323,12 @@ def _union_recordings(t: Tables):
 
 
 @query("u5_pool_add", """
-    SELECT DISTINCT l_partkey AS video_id FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 46)
-        AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)""")
+    SELECT DISTINCT video_id FROM (SELECT CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey END AS video_id FROM lineitem) WHERE video_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 46)
+        AND video_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)
+        AND video_id NOT IN (SELECT -1 - l_partkey FROM lineitem WHERE l_quantity < 46) AND video_id NOT IN (SELECT -1 - p_partkey FROM part WHERE p_size <= 40)""")
 def _pool_add(t: Tables):
-    video = F.col("l_partkey").alias("video_id")
-    return rk.pool_add(t.lineitem.select(key_if("l_quantity >= 46", "l_partkey").alias("video_id")), t.lineitem.filter("l_returnflag = 'A'").select(video),
+    # rows that are not offered, pooled or served have a key of their own
+    return rk.pool_add(t.lineitem.select(key_if("l_quantity >= 46", "l_partkey").alias("video_id")), t.lineitem.select(key_if("l_returnflag = 'A'", "l_partkey").alias("video_id")),
                        t.part.select(key_if("p_size > 40", "p_partkey").alias("video_id")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunefathom.operators import catalogue as ca
-from tunefathom.queries.registry import Tables, query
+from tunefathom.queries.registry import Tables, key_if, query
 
 # --- identity ---------------------------------------------------------------------
 
@@ -223,7 +223,7 @@ def _first_genres(t: Tables):
     date = F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy")).when(k % 3 == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
     lookups = t.orders.select(F.col("o_custkey").alias("song_id"), k.alias("position"), k.alias("recording_id"), date.alias("release_date"), F.concat(F.lit("guest"), k).alias("featured"),
                               F.when(k % 4 == 1, F.concat(F.lit("alb"), k)).otherwise("").alias("album_id"), F.lit("Album").alias("album"))
-    genres = t.orders.filter("o_orderpriority = '3-MEDIUM'").select(k.alias("recording_id"), F.lit(1).alias("place"), F.lit("rock").alias("name"))
+    genres = t.orders.select(key_if("o_orderpriority = '3-MEDIUM'", "o_orderkey").alias("recording_id"), F.lit(1).alias("place"), F.lit("rock").alias("name"))
     return ca.first_with_genres(lookups, genres).drop("album")
 
 
@@ -274,7 +274,7 @@ def _apply_identity(t: Tables):
     rec = F.concat(F.lit("rec"), "o_custkey")
     songs = t.orders.select(F.col("o_orderkey").alias("song_id"), F.lit("Old").alias("title"), F.lit("A").alias("artist"), F.when(F.col("o_orderstatus") == "F", rec).alias("recording_id"),
                             F.lit("hint").alias("metadata_source"), (F.col("o_custkey") % 2 == 0).alias("reviewed"), F.array(F.lit("Old")).alias("featured"))
-    wanted = t.orders.filter("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"),
+    wanted = t.orders.select(key_if("o_orderpriority = '2-HIGH'", "o_orderkey").alias("song_id"), rec.alias("recording_id"), F.lit("New").alias("title"), F.lit("A").alias("artist"),
                                                                       F.array(F.concat(F.lit("G"), "o_custkey")).alias("featured"))
     out = ca.apply_recording_identity(songs, wanted).withColumn("featured", F.array_join("featured", "+"))
     return out.select("song_id", "title", "recording_id", "conflict", "metadata_source", "reviewed", "featured")

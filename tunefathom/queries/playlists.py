@@ -132,7 +132,7 @@ def _view(t: Tables):
     SELECT o_custkey AS user_id, o_orderkey AS playlist_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
 def _missing(t: Tables):
     entries = t.orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("playlist_id"), F.col("o_orderpriority").alias("kind"))
-    kept = t.orders.join(t.lineitem.filter("l_returnflag = 'A'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("playlist_id"))
+    kept = t.orders.join(t.lineitem.select(key_if("l_returnflag = 'A'", "l_orderkey").alias("_kept")), F.col("o_orderkey") == F.col("_kept"), "left_semi").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("playlist_id"))
     return pl.remove_missing(entries, kept, ["1-URGENT", "2-HIGH"]).select("user_id", "playlist_id")
 
 
@@ -241,11 +241,13 @@ def _requeue(t: Tables):
 
 
 @query("e17_upsert_link", """
-    SELECT l_orderkey AS playlist_id, l_partkey AS song_id, min(l_linenumber) AS position FROM lineitem
-    WHERE l_returnflag <> 'R' OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20) GROUP BY 1, 2""")
+    SELECT playlist_id, l_partkey AS song_id, min(l_linenumber) AS position FROM (
+        SELECT CASE WHEN l_returnflag <> 'R' THEN l_orderkey ELSE -1 - l_orderkey END AS playlist_id, l_partkey, l_linenumber FROM lineitem UNION ALL
+        SELECT CASE WHEN l_returnflag = 'R' THEN l_orderkey ELSE -1 - l_orderkey END, l_partkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)) GROUP BY 1, 2""")
 def _upsert(t: Tables):
-    links = t.lineitem.select("l_returnflag", F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("song_id"), F.col("l_linenumber").alias("position"))
-    return pl.upsert_links(links.filter("l_returnflag <> 'R'"), links.filter("l_returnflag = 'R'"), t.part.filter("p_size > 20").select(F.col("p_partkey").alias("song_id")))
+    def links(condition: str):
+        return t.lineitem.select(key_if(condition, "l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("song_id"), F.col("l_linenumber").alias("position"))
+    return pl.upsert_links(links("l_returnflag <> 'R'"), links("l_returnflag = 'R'"), t.part.select(key_if("p_size > 20", "p_partkey").alias("song_id")))
 
 
 @query("o7_recent_imports", """
