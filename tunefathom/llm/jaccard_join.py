@@ -16,7 +16,7 @@ sketches, cut to one length, differ in at most as many bits as the sets do in sh
 certain, before any text moves.
 
 Sets under one key are compared with its hub, the member that shares most keys with others, from both whole texts.
-Members that the hub leaves in other components are compared with the hub's other members (of a hub with many, those
+Members that the hub leaves in other components are compared with the hub's other members (if they are many, with those
 under the same key), in blocks of bounded size: first by sketch, which leaves those that may be similar to some other one; then by what each of them differs in from
 the hub, which tells exactly how much they share. The blocks yield a spanning forest of the links found and never a
 list of pairs. Texts of equal sets are linked by a fingerprint of 128 bits.
@@ -263,16 +263,20 @@ def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFra
 
 
 def _groups(known: DataFrame, met: DataFrame, most: int) -> DataFrame:
-    """(doc, hub, via): the groups in which a hub's members may still meet.
+    """(doc, hub, via): the groups in which a hub's members may still meet. ``known``: doc, hub, far.
 
-    All members of a hub are one group (``via`` 0) where they are no more than a block. A set that shares keys with very
-    many others is the hub of sets that share nothing but it; its members meet under the key they have in common.
+    All members of a hub are one group (``via`` 0) where no more than a block of them are far from it. A set that shares
+    keys with very many others is the hub of sets that have nothing in common but it; these meet, and the near ones
+    with them, under each key that one of them shares with the hub.
     """
-    sizes = known.select("doc", "hub").distinct().groupBy("hub").agg(F.count("*").alias("many"))
-    pairs = known.select("doc", "hub").distinct()
-    small = pairs.join(sizes.filter(F.col("many") <= most).select("hub"), "hub").select("doc", "hub", F.lit(0).cast("long").alias("via"))
-    keys = met.join(sizes.filter(F.col("many") > most).select(F.col("hub").alias("doc")), "doc", "left_semi").select("key", F.col("doc").alias("hub"))
-    return small.unionByName(met.select("key", "doc").join(keys, "key").filter("doc <> hub").select("doc", "hub", F.col("key").alias("via")))
+    pairs = known.select("doc", "hub", "far").distinct()
+    wide = pairs.groupBy("hub").agg((F.count_if("far") > most).alias("wide"))
+    marked = pairs.join(wide, "hub")
+    rows = met.select("key", "doc")
+    hub_keys = rows.join(wide.filter("wide").select(F.col("hub").alias("doc")), "doc", "left_semi").withColumnRenamed("doc", "hub")
+    far = rows.join(marked.filter("wide and far").select("doc", "hub"), "doc").join(hub_keys, ["key", "hub"], "left_semi").select("doc", "hub", F.col("key").alias("via"))
+    near = rows.join(far.select(F.col("via").alias("key"), "hub").distinct(), "key").join(marked.filter("wide and not far").select("doc", "hub"), ["doc", "hub"], "left_semi")
+    return marked.filter("not wide").select("doc", "hub", F.lit(0).cast("long").alias("via")).unionByName(far).unionByName(near.select("doc", "hub", F.col("key").alias("via")))
 
 
 def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
@@ -360,8 +364,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100, b
         both = both.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
         return both.drop("hub_component")
     sketches = sets.select(F.col("doc_id").alias("doc"), "sketch")
-    groups = settled(_groups(known, met, block), "hub-groups")
-    still = settled(may_link(placed(known.select("doc", "hub", "size")).join(sketches, "doc").join(groups, ["doc", "hub"]), a, b, block), "open-members")
+    pairs = placed(known.select("doc", "hub", "size"))
+    groups = settled(_groups(pairs, met, block), "hub-groups")
+    still = settled(may_link(pairs.join(sketches, "doc").join(groups, ["doc", "hub"]), a, b, block), "open-members")
     compared_before = members.join(still, ["doc", "hub"], "left_semi")
     compared_now = compared(still.join(members.select("doc", "hub").distinct(), ["doc", "hub"], "left_anti"), docs, n, a, b)
     rest = settled(far_links(placed(compared_before.unionByName(compared_now)).join(groups, ["doc", "hub"]), a, b, block), "far-links")
