@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from tunefathom.llm import bpe, records, sharding
+from tunefathom.session import work_path
 
 ODD = ["", None, " ", "aaaa aaaaaaa", "Hello<|endoftext|>World <|startoftext|>x", "ΟΔΥΣΣΕΥΣ Σ", "İstanbul ǅ ﬁ", "é ́x a b\tc\r\nd   e", "it's I'LL 'tis 123 4½ ²",
        "<|endoftext", "\x1c\x1da b\x1f", "日本語 テスト", "𝔘𝔫𝔦 😀👍🏽", "​x", "a" * 5000, "abab" * 3000, "!!!???...", "a  b\n\n c", "\x00\x01", " xy", " lead", "trail \n", "same", "same"]
@@ -107,3 +108,17 @@ def test_every_row_has_one_shard(spark, tmp_path):
     assert placed.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
     sharding.write_shards(rows, "doc_id", str(tmp_path / "out"), files_per_shard=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_files_are_cut_by_bytes_and_stay_in_order(spark):
+    texts = [None, "", *[f"text {i} of some words\nand lines  {i}" for i in range(200)], "same", "same"]
+    docs = spark.createDataFrame([(i % 150 if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    folder = work_path(spark, "cut-records")
+    manifest = records.write_token_records(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, folder, files=2, file_bytes=700)
+    assert manifest.count() > 8
+    rows = records.read_token_records(manifest, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", records.digest).collect()
+    rows.sort(key=lambda r: r["start"])
+    assert len(rows) == len(texts) and rows[0]["doc_id"] is None
+    ids = [r["doc_id"] for r in rows[1:]]
+    assert ids == sorted(ids)
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]

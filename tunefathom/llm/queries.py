@@ -95,7 +95,7 @@ def op3(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), n=3, a=90, b=100)
 
 
-@query("op11_suffix_dedup")
+@query("op11_suffix_dedup", suffix_dedup.sql())
 def op11(spark, folder):
     return suffix_dedup.remove_repeated(table(spark, folder, "documents"))
 

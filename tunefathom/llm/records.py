@@ -10,7 +10,7 @@ The checksum is CRC-32, rotated right by 15 bits plus a constant, so that a file
 The index file beside it has one entry per record (key present, key, offset, payload length, number of ids) and a
 masked CRC at its end.
 
-Ids are written by one task per key range. A task writes under a name of its own attempt, and only the attempts
+Ids are written by one task per key range, in files of bounded size. A task writes under a name of its own attempt, and only the attempts
 that Spark commits are listed in the manifest, a Parquet table beside the files: a lost or repeated task leaves
 unlisted files behind and nothing else. Nothing but the manifest's few rows per file meets in one task.
 
@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tunefathom.llm.bpe import _Numbered, _Rows, text_slices
+from tunefathom.llm.bpe import _Numbered, text_slices
 from tunefathom.session import work_path
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("known", "u1"), ("key", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n", "<u8")])
 #: Bytes of neighbouring records fetched at once while reading.
 READ_BYTES = 8_000_000
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
+#: Bytes from which a task begins a new file, and index entries that are packed together.
+FILE_BYTES, PACKED = 512_000_000, 4096
 
 
 def masked_crc(data: bytes) -> int:
@@ -47,14 +49,40 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
+class _Ids:
+    """Rows of ids in one flat array that doubles when it is full."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends, self.rows = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        start, rows = int(self.ends[self.rows]), self.rows + len(lengths)
+        while start + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while rows + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.flat[start:start + len(flat)] = flat
+        self.ends[self.rows + 1:rows + 1] = start + np.cumsum(lengths)
+        self.rows = rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the rows in order, and each row's length."""
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
 class PieceEncoder:
     """The tokenizers library on whole texts, encoding every piece between single spaces or line breaks once.
 
     A byte-level pre-tokenizer always begins a word at a space before a character, and a line break between two
-    characters stands alone. Texts in which two white-space characters meet go to the library whole.
+    characters stands alone. Texts in which two white-space characters meet go to the library whole. New pieces go there
+    joined by line breaks, whose id then tells them apart; pieces with white space inside or special tokens go alone.
     """
 
     _WHOLE = re.compile(r"\s\s|\x01")
+    _TOGETHER = 256
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
@@ -62,34 +90,52 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"(?!^ \S)[^\S\n]", *special]), re.MULTILINE)
+        line = self._encode(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces, self.ids = _Numbered(), _Rows()
+        self.pieces, self.ids = _Numbered(), _Ids()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _alone(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in self._encode(pieces)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new pieces and keep them in the order of their numbers."""
+        groups = [fresh[i:i + self._TOGETHER] for i in range(0, len(fresh), self._TOGETHER)]
+        texts = ["\n".join(group) for group in groups]
+        together = [self.line is not None and not self.odd.search(text) for text in texts]
+        found = iter(self._alone([text for text, fits in zip(texts, together) if fits]))
+        for group, fits in zip(groups, together):
+            ids = next(found) if fits else None
+            lines = np.flatnonzero(ids == self.line) if fits else None
+            if fits and len(lines) == len(group) - 1:
+                self.ids.append(ids[ids != self.line], np.diff(np.concatenate([[-1], lines, [len(ids)]])) - 1)
+            else:  # a piece with white space inside, a special token or a line break
+                parts = self._alone(group)
+                self.ids.append(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.pieces) > CACHED_PIECES:
             self._reset()
-        number = self.pieces.__getitem__
         whole = {i: t for i, t in enumerate(texts) if t and self._WHOLE.search(t)}
-        rows = []
-        for i, text in enumerate(texts):
-            parts = [] if not text or i in whole else text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-            rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        cut = [text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01") if text and i not in whole else "" for i, text in enumerate(texts)]
+        pieces = "\x01".join(cut).split("\x01")
+        numbers = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
         fresh, self.pieces.fresh = self.pieces.fresh, []
         if fresh:
-            found = self._encode(fresh)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids.append(np.fromiter((i for row in found for i in row), np.int64, int(lengths.sum())), lengths)
-        flat, lengths = self.ids.take(np.concatenate(rows) if rows else np.empty(0, np.int64))
+            self._learn(fresh)
+        flat, lengths = self.ids.take(numbers)
         ends = np.append(0, np.cumsum(lengths))
-        upto = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
-        out = [flat[ends[a]:ends[b]] for a, b in zip(upto[:-1], upto[1:])]
+        upto = ends[np.append(0, np.cumsum([text.count("\x01") + 1 for text in cut])).astype(np.int64)].tolist()
+        out = [flat[a:b] for a, b in zip(upto, upto[1:])]
         for i, ids in zip(whole, self._encode(list(whole.values()))):
-            out[i] = np.array(ids, dtype=np.int64)
+            out[i] = np.array(ids, dtype=np.int32)
         return out
 
 
@@ -99,7 +145,8 @@ class RecordWriter:
     def __init__(self, folder: str, name: str) -> None:
         self.store, self.base = fs.FileSystem.from_uri(f"{folder}/{name}")
         self.store.create_dir(os.path.dirname(self.base), recursive=True)
-        self.file, self.offset, self.entries, self.total = self.store.open_output_stream(self.base + ".rec"), 0, [], 0
+        self.file, self.offset, self.records, self.total = self.store.open_output_stream(self.base + ".rec"), 0, 0, 0
+        self.entries, self.index = [], []
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
         width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
@@ -107,12 +154,19 @@ class RecordWriter:
         size = np.uint64(len(payload)).tobytes()
         self.file.write(b"".join([size, np.uint32(masked_crc(size)).tobytes(), payload, np.uint32(masked_crc(payload)).tobytes()]))
         self.entries.append((key is not None, key or 0, self.offset, len(payload), len(ids)))
+        if len(self.entries) == PACKED:
+            self._pack()
         self.offset += len(payload) + 16
-        self.total += len(ids)
+        self.records, self.total = self.records + 1, self.total + len(ids)
+
+    def _pack(self) -> None:
+        self.index.append(np.array(self.entries, dtype=INDEX_ENTRY).tobytes())
+        self.entries = []
 
     def close(self) -> None:
         self.file.close()
-        index = np.array(self.entries, dtype=INDEX_ENTRY).tobytes()
+        self._pack()
+        index = b"".join(self.index)
         with self.store.open_output_stream(self.base + ".idx") as out:
             out.write(index + np.uint32(masked_crc(index)).tobytes())
 
@@ -160,10 +214,11 @@ def _encoder(spec: str) -> PieceEncoder:
     return _ENCODERS[key]
 
 
-def write_token_records(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
+def write_token_records(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``text`` and write it to record files below ``folder`` in ascending ``key`` order; returns the manifest.
 
-    One row per file: name, number of records and ids. ``files`` defaults to the session's shuffle partitions.
+    One row per file: name, number of records and ids. ``files`` key ranges (the session's shuffle partitions unless
+    given) are written by a task each, which begins a new file every ``file_bytes``.
     """
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as file:
@@ -171,17 +226,23 @@ def write_token_records(docs: DataFrame, vocabulary_path: str, end_id: int, fold
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, first = None, None
+        task, number, writer, first = uuid.uuid4().hex, 0, None, None
+
+        def finished() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pylist([{"first_key": first, "name": name, "n_records": writer.records, "n_tokens": writer.total}], schema=manifest_schema)
         for batch in text_slices(batches, "text"):
-            keys = batch.column("key").to_pylist()
-            if writer is None:
-                name, first = f"tokens-{uuid.uuid4().hex}", keys[0]
-                writer = RecordWriter(folder, name)
-            for k, ids in zip(keys, _encoder(spec.value).encode(batch.column("text").to_pylist())):
+            for k, ids in zip(batch.column("key").to_pylist(), _encoder(spec.value).encode(batch.column("text").to_pylist())):
+                if writer is not None and writer.offset >= file_bytes:
+                    yield finished()
+                    writer = None
+                if writer is None:
+                    # files of one task follow each other by name, also where they begin with equal keys
+                    name, number, first = f"tokens-{task}-{number:06d}", number + 1, k
+                    writer = RecordWriter(folder, name)
                 writer.add(k, np.append(ids, end_id))
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pylist([{"first_key": first, "name": name, "n_records": len(writer.entries), "n_tokens": writer.total}], schema=manifest_schema)
+            yield finished()
 
     manifest_schema = pa.schema([("first_key", pa.int64()), ("name", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())])
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

@@ -290,3 +290,19 @@ def remove_repeated(docs: DataFrame, share: int = HOT, least: int = HOT_ROWS) ->
         texts = seen.filter(F.col("kind") == PENDING).select("row_id", "doc_id", "text_key", "text", "spans")
         found = refined(seen.filter(F.col("kind") == NODE).select("bucket", "class", "text_key", "place", "needed"), last=level == len(LEVELS) - 1)
     return out
+
+
+def sql() -> str:
+    """The same rows in DuckDB's SQL, from the digest of the string at every offset."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT id, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS k
+  FROM (SELECT id, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+r AS (SELECT id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run
+  FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS before FROM r)),
+s AS (SELECT id, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY id, run),
+t AS (SELECT id, count(*) AS spans, sum(b - a) AS removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY id),
+k AS (SELECT d.*, spans, removed, list_concat([0], coalesce(ends, [])) AS low, list_concat(coalesce(starts, []), [length(h) // 2]) AS high FROM d LEFT JOIN t USING (id))
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(low) + 1), lambda j: substr(h, 2 * low[j] + 1, 2 * (high[j] - low[j]))), ''))) AS kept_sha256 FROM k"""
