@@ -190,8 +190,24 @@ def test_similarity_and_candidate_ids(spark):
     pairs(spark, tx.title_similar, [(("Hello", "Hello (Live)"), True), (("Hello", "Goodbye"), False), (("", "x"), False), (("Colour", "Color"), True)])
     tracks = spark.createDataFrame([("t", "Don’t Stop (feat. Z) - Remastered 2009", ["B", "A"])], "track_id string, title string, artists array<string>")
     assert ma.with_candidates(tracks).first()["candidates"] == [song_key("Don't Stop", "B"), song_key("Don't Stop", "A")]
-    sample = rk.random_sample(spark.range(100), 10, seed=3).collect()
-    assert len({r[0] for r in sample}) == 10
+
+
+def test_samples_do_not_depend_on_partitioning(spark):
+    rows = spark.range(1000).withColumn("weight", F.when(F.col("id") < 100, 50.0).when(F.col("id") < 200, 0.0).otherwise(0.5))
+    for weight in (None, "weight"):
+        samples = {tuple(sorted(r["id"] for r in rk.random_sample(rows.repartition(n), 60, 3, "id", weight).collect())) for n in (1, 3, 8)}
+        assert len(samples) == 1 and len(set(samples.pop())) == 60
+    drawn = [r["id"] for r in rk.random_sample(rows, 60, 3, "id", "weight").collect()]
+    assert sum(i < 100 for i in drawn) > 45 and not any(100 <= i < 200 for i in drawn)
+    assert rk.random_sample(rows.limit(0), 5, 3, "id").count() == 0
+
+
+def test_sorting_by_collation_places_missing_last(spark):
+    songs = spark.createDataFrame([(1, "Éclair"), (2, "eclair"), (3, "Zebra"), (4, None), (5, "apple"), (6, "Apple"), (7, None)], "song_id int, title string")
+
+    def order(descending):
+        return [r["song_id"] for r in rk.sorted_places(songs, "title", descending, collation="UNICODE_CI_AI").orderBy("place").collect()]
+    assert order(False) == [5, 6, 1, 2, 3, 4, 7] and order(True) == [3, 1, 2, 5, 6, 4, 7]
 
 
 def test_shared_folder_follows_the_session(spark):

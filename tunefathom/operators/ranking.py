@@ -84,7 +84,7 @@ def sort_songs(songs: DataFrame, column: str, descending: bool = False, tie: str
 def sorted_places(songs: DataFrame, column: str, descending: bool = False, tie: str = "song_id", collation: str | None = None) -> DataFrame:
     """The order of :func:`sort_songs` as a ``place`` (1, 2, ...) of every row."""
     key = F.collate(F.col(column), collation) if collation else F.col(column)
-    sort = songs.repartitionByRange(F.col(column).isNull(), F.desc(key) if descending else F.asc(key), tie)
+    sort = settled(songs, "songs").repartitionByRange(F.col(column).isNull(), F.desc(key) if descending else F.asc(key), tie)
     order = [F.col(column).isNull(), F.desc(key) if descending else F.asc(key), F.col(tie)]
     placed = settled(sort.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     slices = placed.groupBy(F.shiftright("_at", 33).alias("_slice")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
