@@ -73,3 +73,31 @@ def test_clashing_columns_and_no_pages(spark):
     row = url_templates.judge_urls(pages).first()
     assert row["host"] == "a.com" and row["verdict"] == "allow" and row["rule"] == "com/"
     assert url_templates.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_unlabelled_hosts_are_judged_alike_beside_blocks_and_allows(spark):
+    clean = [(i, f"http://clean.org/about/{w}") for i, w in enumerate(["me", "us", "them"] * 5)]
+    blocked = [(100 + i, f"http://h{i % 4}.net/es/{i}") for i in range(40)]
+    allowed = [(200 + i, f"http://h{i % 4}.com/x/{i}") for i in range(40)]
+    for most in (blocked + allowed[:5], allowed + blocked[:5]):
+        rows = url_templates.judge_urls(spark.createDataFrame(clean + most, "page_id long, url string")).collect()
+        assert {r["verdict"] for r in rows if r["host"] == "clean.org"} == {"allow"}
+    # frequent unlabelled siblings of blocked segments are not taken for them; rare ones under a mostly blocked wildcard are
+    pages = [(i, f"http://a.net/{'es' if i % 2 else 'de'}/{i}") for i in range(60)]
+    pages += [(500 + i, f"http://b.net/es/{'abcdefghijklmnop'[i]}") for i in range(8)] + [(600, "http://b.net/zz/q")]
+    got = {r["page_id"]: r for r in url_templates.judge_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert got[0]["verdict"] == "allow" and got[0]["template"].startswith("/?") and got[1]["verdict"] == "block"
+    assert got[600]["template"] == got[500]["template"] == "/*/*" and got[600]["verdict"] == "block"
+
+
+def test_the_template_plan_grows_with_its_levels_only(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.net/a/{i}/b") for i in range(50)], "page_id long, url string")
+    plans = [url_templates.grow_templates(_labelled(pages), levels)._jdf.queryExecution().executedPlan().toString().count("Exchange") for levels in (2, 4)]
+    assert plans[0] == plans[1]
+
+
+def _labelled(pages):
+    from pyspark.sql import functions as F
+    host, path = url_templates.host_and_path(F.col("url"))
+    rows = pages.select(host.alias("host"), path.alias("path"))
+    return rows.withColumns({"rule_verdict": url_templates.fitting_rule(F.col("host"), F.col("path"))[1], "general": url_templates.general_path(F.col("path"))})
