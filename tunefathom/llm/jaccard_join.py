@@ -175,7 +175,7 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def sketched(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
-    """(doc, hub) pairs with the document's size, and whether sizes and sketches allow them to be similar."""
+    """(doc, hub, n_keys) pairs with the document's size, and whether sizes and sketches allow them to be similar."""
     side = sets.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
     both = pairs.join(side.toDF("doc", "size", "sketch"), "doc").join(side.toDF("hub", "hub_size", "hub_sketch"), "hub")
 
@@ -186,9 +186,9 @@ def sketched(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
             for i, (x, y) in enumerate(zip(batch.column("sketch").to_pylist(), batch.column("hub_sketch").to_pylist())):
                 short = min(len(x), len(y))
                 least[i] = max(least[i], int(np.bitwise_count(folded(x, short) ^ folded(y, short)).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "hub", "size")], pa.array(least * (a + b) <= (size + hub_size) * (b - a))],
-                                             names=["doc", "hub", "size", "possible"])
-    return both.select("doc", "hub", "size", "sketch", "hub_size", "hub_sketch").mapInArrow(work, "doc long, hub long, size long, possible boolean")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "hub", "n_keys", "size")], pa.array(least * (a + b) <= (size + hub_size) * (b - a))],
+                                             names=["doc", "hub", "n_keys", "size", "possible"])
+    return both.select("doc", "hub", "n_keys", "size", "sketch", "hub_size", "hub_sketch").mapInArrow(work, "doc long, hub long, n_keys long, size long, possible boolean")
 
 
 def set_keys(docs: DataFrame, n: int, a: int, b: int) -> DataFrame:
@@ -262,21 +262,18 @@ def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFra
     return placed
 
 
-def _groups(known: DataFrame, met: DataFrame, most: int) -> DataFrame:
-    """(doc, hub, via): the groups in which a hub's members may still meet. ``known``: doc, hub, far.
+def _groups(pairs: DataFrame, met: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
+    """(doc, hub, via): the groups in which a hub's members may still meet. ``pairs``: doc, hub, far, n_keys.
 
-    All members of a hub are one group (``via`` 0) where no more than a block of them are far from it. A set that shares
-    keys with very many others is the hub of sets that have nothing in common but it; these meet, and the near ones
-    with them, under each key that one of them shares with the hub.
+    Members of a hub are one group (``via`` 0), but for hubs of sets that have nothing in common but it: where more than
+    a block of members are far from it, and meeting under each shared key takes fewer rows than meeting block by block.
     """
-    pairs = known.select("doc", "hub", "far").distinct()
-    wide = pairs.groupBy("hub").agg((F.count_if("far") > most).alias("wide"))
-    marked = pairs.join(wide, "hub")
-    rows = met.select("key", "doc")
-    hub_keys = rows.join(wide.filter("wide").select(F.col("hub").alias("doc")), "doc", "left_semi").withColumnRenamed("doc", "hub")
-    far = rows.join(marked.filter("wide and far").select("doc", "hub"), "doc").join(hub_keys, ["key", "hub"], "left_semi").select("doc", "hub", F.col("key").alias("via"))
-    near = rows.join(far.select(F.col("via").alias("key"), "hub").distinct(), "key").join(marked.filter("wide and not far").select("doc", "hub"), ["doc", "hub"], "left_semi")
-    return marked.filter("not wide").select("doc", "hub", F.lit(0).cast("long").alias("via")).unionByName(far).unionByName(near.select("doc", "hub", F.col("key").alias("via")))
+    distinct = pairs.select("doc", "hub", "far", "n_keys").distinct()
+    sizes = distinct.groupBy("hub").agg(F.count_if("far").alias("many"), F.sum("n_keys").alias("rows"))
+    wide = sizes.select("hub", ((F.col("many") > most) & (F.col("rows") < F.col("many") * F.ceil(F.col("many") / most))).alias("wide"))
+    small = distinct.join(wide.filter("not wide"), "hub").select("doc", "hub", F.lit(0).cast("long").alias("via"))
+    keys = hubs.join(wide.filter("wide").select("hub"), "hub")
+    return small.unionByName(met.select("key", "doc").join(keys, "key").filter("doc <> hub").select("doc", "hub", F.col("key").alias("via")))
 
 
 def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
@@ -350,8 +347,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100, b
     met = settled(met.filter("least < most").select("key", "doc", "n"), "shared-keys")
     # the member that shares most keys with others: in a group of near copies the one in the middle
     support = met.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("support"))
-    ranked = met.join(support, "doc").withColumn("hub", F.max(F.struct("support", (-F.col("doc")).alias("minus"))).over(same_key))
-    pairs = ranked.select("doc", (-F.col("hub.minus")).alias("hub")).filter("doc <> hub").distinct()
+    hubs = met.join(support, "doc").groupBy("key").agg(F.max(F.struct("support", (-F.col("doc")).alias("minus"))).alias("top"))
+    hubs = settled(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key-hubs")
+    pairs = met.select("key", "doc").join(hubs, "key").filter("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("n_keys"))
     known = settled(sketched(pairs, sets, a, b), "hub-pairs")
     members = settled(compared(known.filter("possible").select("doc", "hub").distinct(), docs, n, a, b), "hub-members")
     copies = sets.filter("n_shingles > 0 and doc_id is not null").withColumnRenamed("doc_id", "a").join(
@@ -364,9 +362,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, a: int = 80, b: int = 100, b
         both = both.withColumn("component", F.coalesce("component", "doc")).withColumn("far", F.col("component") != F.coalesce("hub_component", "hub"))
         return both.drop("hub_component")
     sketches = sets.select(F.col("doc_id").alias("doc"), "sketch")
-    pairs = placed(known.select("doc", "hub", "size"))
-    groups = settled(_groups(pairs, met, block), "hub-groups")
-    still = settled(may_link(pairs.join(sketches, "doc").join(groups, ["doc", "hub"]), a, b, block), "open-members")
+    pairs = placed(known.select("doc", "hub", "size", "n_keys"))
+    groups = settled(_groups(pairs, met, hubs, block), "hub-groups")
+    still = settled(may_link(pairs.drop("n_keys").join(sketches, "doc").join(groups, ["doc", "hub"]), a, b, block), "open-members")
     compared_before = members.join(still, ["doc", "hub"], "left_semi")
     compared_now = compared(still.join(members.select("doc", "hub").distinct(), ["doc", "hub"], "left_anti"), docs, n, a, b)
     rest = settled(far_links(placed(compared_before.unionByName(compared_now)).join(groups, ["doc", "hub"]), a, b, block), "far-links")
