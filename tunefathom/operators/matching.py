@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
 from tunefathom.functions.ids import song_id
+from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio
 from tunefathom.plans.shapes import place_in_group, top_n
 from tunefathom.session import settled
@@ -129,7 +130,9 @@ def in_library(videos: DataFrame, songs: DataFrame, video: str = "video_id", tit
     """
     # a key that cannot be null: else the join would filter on it, below a second copy of all the parsing
     parsed = tx.with_parsed_video(videos.select(video, title, uploader), title, uploader, "_p")
-    ids = parsed.select(video, F.coalesce(song_id(F.col("_p.title"), F.col("_p.artist")), F.lit("")).alias("_sid"))
+    # bound, so that a title is parsed once for both halves of the id
+    parts = let(F.col("_p"), lambda p: song_id(p["title"], p["artist"]))
+    ids = parsed.select(video, F.coalesce(parts, F.lit("")).alias("_sid"))
     known_ids = songs.filter((F.col("title") != "") & (F.col("artist") != "")).select(song_id(F.col("title"), F.col("artist")).alias("_sid"))
     by_id = ids.join(known_ids, "_sid", "left_semi").select(video)
 
