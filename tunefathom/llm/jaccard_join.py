@@ -47,6 +47,8 @@ TINY_COST = 20.0
 SLOTS = 1 << 18
 #: Members of one hub in a block.
 BLOCK = 1024
+#: Rows of a block's comparison matrix that are held at a time.
+STRIP = 64
 #: Bits of the shortest sketch.
 SKETCH = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -282,11 +284,15 @@ def may_link(members: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFram
         size, component = group["size"].to_numpy(), group["component"].to_numpy()
         short = min(map(len, group["sketch"]))
         bits = np.stack([folded(x, short) for x in group["sketch"]])
-        apart = np.zeros((len(group), len(group)), np.int32)
-        for word in bits.T:
-            apart += np.bitwise_count(word[:, None] ^ word[None, :])
-        possible = (apart.astype(np.int64) * (a + b) <= (size[:, None] + size[None, :]) * (b - a)) & (component[:, None] != component[None, :])
-        return group.loc[possible.any(axis=1), ["doc", "hub"]]
+        open_rows = np.zeros(len(group), bool)
+        for low in range(0, len(group), STRIP):
+            rows = slice(low, low + STRIP)
+            apart = np.zeros((len(bits[rows]), len(bits)), np.int32)
+            for word in bits.T:
+                apart += np.bitwise_count(word[rows, None] ^ word[None, :])
+            possible = apart * np.int64(a + b) <= (size[rows, None] + size[None, :]) * (b - a)
+            open_rows[rows] = (possible & (component[rows, None] != component[None, :])).any(axis=1)
+        return group.loc[open_rows, ["doc", "hub"]]
 
     return _in_blocks(members, "size", "sketch", block=block).groupBy("hub", "via", "x", "y", "near").applyInPandas(compare, "doc long, hub long").distinct()
 
@@ -327,14 +333,16 @@ def _spanning(docs: np.ndarray, component: np.ndarray, size: np.ndarray, differs
             have = np.zeros((len(docs), step), np.float32)
             have[owner[i:j], place[i:j] - low] = 1
             shared += have @ have.T
-        apart = lengths[:, None] + lengths[None, :] - 2 * shared.astype(np.int64)
-        both = (size[:, None] + size[None, :] - apart) // 2
-        linked = (both > 0) & (b * both >= a * (size[:, None] + size[None, :] - both)) & (component[:, None] != component[None, :])
-        for x, y in zip(*np.nonzero(np.triu(linked))):
-            p, q = find(int(component[x])), find(int(component[y]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out["a"].append(int(docs[x])), out["b"].append(int(docs[y]))
+        for low in range(0, len(docs), STRIP):
+            rows = slice(low, low + STRIP)
+            sizes = size[rows, None] + size[None, :]
+            both = (sizes - lengths[rows, None] - lengths[None, :] + 2 * shared[rows].astype(np.int64)) // 2
+            linked = (both > 0) & (b * both >= a * (sizes - both)) & (component[rows, None] != component[None, :])
+            for x, y in zip(*np.nonzero(linked)):
+                p, q = find(int(component[low + x])), find(int(component[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out["a"].append(int(docs[low + x])), out["b"].append(int(docs[y]))
     return pd.DataFrame(out, dtype="int64")
 
 
