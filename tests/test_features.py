@@ -66,6 +66,17 @@ def test_knn_visits_grow_slower_than_all_pairs(spark):
     assert large < 8**1.6 * small and large < 3200**2 / 20
 
 
+def test_knn_sends_a_vector_to_few_groups_however_many_cells_it_visits(spark, monkeypatch):
+    monkeypatch.setattr(fe, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(7)
+    points = [(i, rng.normal(0, 1, 16).tolist()) for i in range(320)]
+    cells, own = fe.own_cells(spark.createDataFrame(points, "_rep bigint, _vec array<double>"), 4, cell_rows=12)
+    most = own.agg(F.max(F.size("visits")).alias("cells"), F.max(F.size("groups")).alias("groups")).first()
+    assert most["cells"] > fe.VISIT_GROUPS + 1 >= most["groups"]
+    assert cells.select("_group").distinct().count() <= fe.VISIT_GROUPS + 1
+    check_knn(spark, {i: np.array(v) for i, v in points}, 4, cell_rows=12)
+
+
 def test_standardise_ignores_zero_and_missing(spark):
     df = spark.createDataFrame([("a", 1.0, 5.0, None), ("b", 3.0, 5.0, None), ("c", 0.0, 5.0, None), ("d", None, 5.0, None)], "song_id string, x double, y double, z double")
     got = {r["song_id"]: r["features"] for r in fe.standardise(df, ["x", "y", "z"]).collect()}

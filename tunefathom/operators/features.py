@@ -18,6 +18,9 @@ CELL_ROWS = 1024
 PIVOT_BYTES = 64_000_000
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 32_000_000
+# Groups of blocks that a vector's visits go to: so many, and more only where a group would exceed these bytes.
+VISIT_GROUPS = 8
+GROUP_BYTES = 64_000_000
 
 
 def feature_statistics(songs: DataFrame, keys: list[str], zero_is_missing: bool = True) -> DataFrame:
@@ -69,17 +72,32 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _closest(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, data row and distance of the ``k`` closest, ties at the border by id."""
-    scale = float(max((queries * queries).sum(1).max(), (data * data).sum(1).max(), 1.0))
-    slack = np.sqrt(scale * 1e-12)
+def _closest(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, data row and distance of the ``k`` closest, ties at the border by id.
+
+    ``reach`` leaves out what is farther from its query; a product then settles nearly all pairs.
+    """
+    squares, wanted = (data * data).sum(1), min(k, len(data))
+    scale = float(max((queries * queries).sum(1).max(), squares.max(), 1.0))
+    slack = scale * (1e-12 + 1e-15 * data.shape[1])
+    # half the squared distance less half the query's square, by one product
+    columns = np.vstack([-data.T, squares / 2])
     rows, cols, dists = [], [], []
     for start in range(0, len(queries), 512):
         block = queries[start:start + 512]
-        near = _distances(block, data)
-        cut = np.partition(near, min(k, len(data)) - 1, axis=1)[:, min(k, len(data)) - 1] + slack
+        near = np.column_stack([block, np.ones(len(block))]) @ columns
+        loose = np.arange(len(block))
+        cut = np.full(len(block), np.inf)
+        if reach is not None:
+            cut = (reach[start:start + 512] ** 2 + slack - (block * block).sum(1)) / 2
+            loose = np.flatnonzero((near <= cut[:, None]).sum(1) > 4 * wanted)
+        if len(loose):
+            cut[loose] = np.minimum(cut[loose], np.partition(near[loose], wanted - 1, axis=1)[:, wanted - 1] + slack)
         qi, di = np.nonzero(near <= cut[:, None])
         exact = np.sqrt(((block[qi] - data[di]) ** 2).sum(1))
+        if reach is not None:
+            within = exact <= reach[start + qi]
+            qi, di, exact = qi[within], di[within], exact[within]
         order = np.lexsort((ids[di], exact, qi))
         qi, di, exact = qi[order], di[order], exact[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
@@ -144,13 +162,26 @@ def pivots_of(distinct: DataFrame, cell_rows: int) -> np.ndarray:
     return np.array([r["_vec"] for r in rows], dtype=float).reshape(-1, width) if rows else np.zeros((1, width))
 
 
+def _visit_groups(index: CellIndex, sizes: np.ndarray, blocks: np.ndarray) -> list[list[int]]:
+    """The group of every block of every cell: blocks of cells under the same top lie side by side, a cell's own follow each other."""
+    width = index.pivots.shape[1]
+    room = max(BLOCK_ROWS, min(GROUP_BYTES // (8 * width), -(-int(sizes.sum()) // VISIT_GROUPS)))
+    groups, before = [[] for _ in sizes], 0
+    for cell in np.argsort(index.top_of, kind="stable"):
+        for _ in range(blocks[cell]):
+            groups[cell].append(int(before // room))
+            before += sizes[cell] / blocks[cell]
+    return groups
+
+
 def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors in cells, and what each one's own block says.
 
-    Cells: _rep, _vec, _cell, _block. Own blocks: the same with ``near``, the k+1 closest of the block (the vector itself
-    among them), and ``visits``, the cells that may hold closer ones: others, and its own where that has more blocks.
+    Cells: _rep, _vec, _cell, _block and the block's visit group _group. Own blocks: the first four with ``near``, the k+1
+    closest of the block (the vector itself among them), their distances ``far``, ``visits``, the cells that may hold
+    closer ones (others, and its own where that has more blocks), and ``groups``, where these lie.
     """
-    id_type = dict(distinct.dtypes)["_rep"]
+    id_type, vec_type = dict(distinct.dtypes)["_rep"], dict(distinct.dtypes)["_vec"]
     index = CellIndex.of(pivots_of(distinct, cell_rows or CELL_ROWS))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,57 +190,90 @@ def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tupl
                 cell, distance = index.nearest(_stacked(batch["_vec"]))
                 yield batch.assign(_cell=cell.astype("int32"), _far=distance)
 
-    held = settled(distinct.select("_rep", "_vec").mapInPandas(assign, f"_rep {id_type}, _vec array<double>, _cell int, _far double"), "knn-cells")
+    held = settled(distinct.select("_rep", "_vec").mapInPandas(assign, f"_rep {id_type}, _vec {vec_type}, _cell int, _far double"), "knn-cells")
     radius, sizes = np.full(len(index.pivots), -1.0), np.zeros(len(index.pivots), dtype=np.int64)
     for row in held.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect():  # a row per cell, as pivots are
         radius[row["_cell"]], sizes[row["_cell"]] = row["radius"], row["n"]
     blocks = np.maximum(-(-sizes // BLOCK_ROWS), 1)
-    several = F.broadcast(held.sparkSession.createDataFrame([(int(c), int(blocks[c])) for c in np.flatnonzero(blocks > 1)], "_cell int, _blocks int"))
-    cells = held.join(several, "_cell", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    cells = cells.select("_rep", "_vec", "_cell", F.pmod(F.xxhash64("_rep"), "_blocks").cast("int").alias("_block"), "_blocks")
+    groups = _visit_groups(index, sizes, blocks)
+    held_by = F.broadcast(held.sparkSession.createDataFrame([(c, groups[c]) for c in range(len(groups))], "_cell int, _groups array<int>"))
+    block = F.pmod(F.xxhash64("_rep"), F.size("_groups")).cast("int")
+    cells = held.join(held_by, "_cell").select("_rep", "_vec", "_cell", block.alias("_block"), F.get("_groups", block).alias("_group"))
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
         points, ids = _stacked(group["_vec"]), group["_rep"].to_numpy()
         q, d, distance = _closest(points, points, ids, k + 1)
         first = np.searchsorted(q, np.arange(len(points) + 1))
-        full = np.diff(first) > k
-        reach = np.where(full, distance[np.minimum(first[:-1] + k, len(distance) - 1)], np.inf)
-        row, cell = index.reachable(points, reach, radius)
-        own = group["_cell"].iloc[0]
-        keep = (cell != own) | (blocks[own] > 1)
-        row, cell = row[keep], cell[keep]
-        order = np.argsort(row, kind="stable")
-        cut = np.searchsorted(row[order], np.arange(len(points) + 1))
-        cell = cell[order].astype("int32")
-        return group.drop(columns="_blocks").assign(
-            near=[ids[d[a:b]] for a, b in zip(first, first[1:])], far=[distance[a:b] for a, b in zip(first, first[1:])],
-            visits=[cell[a:b] for a, b in zip(cut, cut[1:])])
-
-    own = cells.groupBy("_cell", "_block").applyInPandas(
-        look, f"_rep {id_type}, _vec array<double>, _cell int, _block int, near array<{id_type}>, far array<double>, visits array<int>")
-    return cells, settled(own, "knn-own")
+        return group.assign(near=[ids[d[a:b]] for a, b in zip(first, first[1:])], far=[distance[a:b] for a, b in zip(first, first[1:])])
+
+    seen = f"_rep {id_type}, _vec {vec_type}, _cell int, _block int, near array<{id_type}>, far array<double>"
+    looked = settled(cells.drop("_group").groupBy("_cell", "_block").applyInPandas(look, seen), "knn-own")
+    low, high = np.array([g[0] for g in groups]), np.array([g[-1] for g in groups])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, cell = index.reachable(_stacked(batch["_vec"]), np.array([f[k] if len(f) > k else np.inf for f in batch["far"]]), radius)
+            own = batch["_cell"].to_numpy()
+            keep = (cell != own[row]) | (blocks[cell] > 1)
+            row, cell = row[keep], cell[keep]
+            order = np.argsort(row, kind="stable")
+            row, cell = row[order], cell[order].astype("int32")
+            cut = np.searchsorted(row, np.arange(len(batch) + 1))
+            where = [np.unique(np.concatenate([low[c], high[c], *[np.arange(low[x] + 1, high[x]) for x in c[high[c] - low[c] > 1]]])).astype("int32")
+                     for c in (cell[a:b] for a, b in zip(cut, cut[1:]))]
+            yield batch.assign(visits=[cell[a:b] for a, b in zip(cut, cut[1:])], groups=where)
+
+    # the list of cells is made where it is read: written, it would grow faster than the vectors
+    return cells, looked.mapInPandas(visit, f"{seen}, visits array<int>, groups array<int>")
 
 
 def _visited(cells: DataFrame, own: DataFrame, k: int) -> DataFrame:
-    """The k+1 closest of every block that a vector visits, besides its own."""
+    """What a vector finds in the blocks it visits, besides its own, within the reach of what it has found so far.
+
+    A vector goes to a group of blocks once, however many of them it visits there, and a group to as many chunks of
+    visitors, each half as large as a group.
+    """
     id_type = dict(own.dtypes)["_rep"]
-    visits = own.select("_rep", "_vec", F.explode("visits").alias("_to"), F.col("_cell").alias("_from"), F.col("_block").alias("_own"))
-    many = own.select(F.explode("visits").alias("_cell")).groupBy("_cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_chunks"))
-    shape = settled(many.join(cells.groupBy("_cell").agg(F.max("_blocks").alias("_in")), "_cell"), "knn-shape")  # a row per cell, as pivots are
+    asked = settled(own.select("_rep", "_vec", "_cell", "_block", "far", "groups"), "knn-asked")
+    members = cells.groupBy("_group").agg(F.count("*").alias("_n"))
+    room = members.agg(F.max("_n")).first()[0]
+    callers = asked.select(F.explode("groups").alias("_group")).groupBy("_group").agg(F.ceil(2 * F.count("*") / room).cast("int").alias("_chunks"))
+    shape = F.broadcast(settled(callers, "knn-shape"))
     chunk = F.pmod(F.xxhash64("_rep"), F.col("_chunks")).cast("int")
-    asked = visits.join(F.broadcast(shape.withColumnRenamed("_cell", "_to")), "_to").select("_rep", "_vec", F.col("_to").alias("_cell"), chunk.alias("_chunk"), "_from", "_own", F.explode(F.sequence(F.lit(0), F.col("_in") - 1)).alias("_block"))
-    asked = asked.filter((F.col("_from") != F.col("_cell")) | (F.col("_own") != F.col("_block"))).select("_rep", "_vec", "_cell", "_chunk", "_block")
-    data = cells.join(F.broadcast(shape), "_cell").select("_rep", "_vec", "_cell", "_block", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    visits = asked.withColumn("_group", F.explode("groups")).drop("groups").join(shape, "_group").withColumn("_chunk", chunk).drop("_chunks")
+    data = cells.join(shape, "_group").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or members.empty:
+        rows, others, distances = [], [], []
+        if len(queries) and len(members):
+            points, everything, ids = _stacked(queries["_vec"]), _stacked(members["_vec"]), members["_rep"].to_numpy()
+            best = np.full((len(points), k + 1), np.inf)  # distances of the closest so far
+            for i, far in enumerate(queries["far"]):
+                best[i, :len(far)] = far
+            home = list(zip(queries["_cell"], queries["_block"]))
+            for unit, at in members.groupby(["_cell", "_block"]).indices.items():
+                data, centre = everything[at], everything[at].mean(axis=0, keepdims=True)
+                spread = _distances(data, centre).max() + 1e-6 * (1.0 + float(np.abs(data).max()))
+                away = np.array([h != unit for h in home])
+                near = np.flatnonzero(away & (_distances(points, centre)[:, 0] - spread <= best[:, k] * (1 + 1e-9)))
+                if not len(near):
+                    continue
+                q, d, distance = _closest(points[near], data, ids[at], k + 1, best[near, k])
+                found = np.full((len(near), k + 1), np.inf)
+                found[q, np.arange(len(q)) - np.searchsorted(q, q)] = distance
+                hit = np.unique(q)
+                best[near[hit]] = np.sort(np.concatenate([best[near[hit]], found[hit]], axis=1), axis=1)[:, :k + 1]
+                rows.append(near[q]), others.append(at[d]), distances.append(distance)
+        if not rows:
             return pd.DataFrame({"_rep": [], "_other": [], "distance": []})
-        ids = members["_rep"].to_numpy()
-        q, d, distance = _closest(_stacked(queries["_vec"]), _stacked(members["_vec"]), ids, k + 1)
-        return pd.DataFrame({"_rep": queries["_rep"].to_numpy()[q], "_other": ids[d], "distance": distance})
+        row, other, distance = np.concatenate(rows), np.concatenate(others), np.concatenate(distances)
+        keep = distance <= best[row, k]
+        return pd.DataFrame({"_rep": queries["_rep"].to_numpy()[row[keep]], "_other": ids[other[keep]], "distance": distance[keep]})
 
-    keys = ["_cell", "_block", "_chunk"]
-    return asked.groupBy(*keys).cogroup(data.toDF(*data.columns).groupBy(*keys)).applyInPandas(compare, f"_rep {id_type}, _other {id_type}, distance double")
+    keys = ["_group", "_chunk"]
+    return visits.groupBy(*keys).cogroup(data.toDF(*data.columns).groupBy(*keys)).applyInPandas(compare, f"_rep {id_type}, _other {id_type}, distance double")
 
 
 def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", cell_rows: int | None = None) -> DataFrame:
@@ -222,10 +286,14 @@ def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vecto
        square root of the vectors, of ``cell_rows`` vectors or more, and no more than ``PIVOT_BYTES`` of pivots.
     3. A vector is compared with its own block first. That bounds its k-th distance, and only cells whose ball comes
        within that reach are visited; top pivots rule out all their cells at once.
-    4. A block yields at most k+1 rows per vector; a final top-k merges them and expands copies. Big cells are split
-       into blocks and their visitors into chunks, so no task compares more than BLOCK_ROWS by BLOCK_ROWS rows.
+    4. Blocks lie in groups: ``VISIT_GROUPS``, or more where one would exceed ``GROUP_BYTES``. A vector is sent to a group
+       once and a group to its chunks of visitors, so what is shuffled grows with the vectors and not with their cells.
+       Within a group every block narrows the reach for the next ones; a final top-k merges and expands copies.
     """
-    rows = vectors.select(F.col(song).alias("_id"), F.transform(vector, lambda v: v.cast("double")).alias("_vec"))
+    kind = dict(vectors.dtypes)[vector]
+    # single precision is carried as it is: comparing starts from the same doubles
+    given = F.col(vector) if kind == "array<float>" else F.transform(vector, lambda v: v.cast("double"))
+    rows = vectors.select(F.col(song).alias("_id"), given.alias("_vec"))
     id_type = dict(rows.dtypes)["_id"]
     # the first k+1 copies are enough to answer for all of them
     first = top_n(rows, ["_vec"], ["_id"], k + 1, "_copy")
