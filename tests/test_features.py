@@ -197,3 +197,20 @@ def test_unit_normalisers(spark):
     assert np.isclose(row.g, 0.1) and (row.h, row.i, row.j) == (None, 2030, None)
     assert row.k == [[0.0, 1.0, 2.0][min(int(np.floor(i * 3 / 7 + 0.5)), 2)] for i in range(7)]
     assert fv.FEATURE_FAMILY["arousal"] == "musicnn"
+
+
+def test_chorus_sums_by_second_only_where_rounding_decides(monkeypatch):
+    summed = []
+    plain = ro._diagonal_sums
+
+    def counted(products, width):
+        sums = plain(products, width)
+        summed.append(sums.size)
+        return sums
+    monkeypatch.setattr(ro, "_diagonal_sums", counted)
+    rng = np.random.default_rng(4)
+    values = rng.normal(0, 1, 1500)
+    values[700:740] = values[300:340]
+    steps = np.diff(values, prepend=0.0)
+    assert ro._chorus_start([values, steps], 1500.0) == brute_chorus([list(values), list(steps)], 1500.0)
+    assert sum(summed) < 1500**2 / 10

@@ -128,8 +128,8 @@ def music_span(segments: DataFrame, song: str = "song_id", index: str = "idx", l
 
 # --- chorus -----------------------------------------------------------------------
 
-#: Products of seconds that are held at a time.
-PRODUCTS = 200_000
+#: Starts on both sides of a tile of similarities, which stays in the processor's cache.
+TILE_ROWS, TILE_COLUMNS = 128, 512
 
 def _window_sums(values: np.ndarray, width: int) -> np.ndarray:
     total = np.concatenate([[0.0], values.cumsum()])
@@ -153,25 +153,43 @@ def _diagonal_sums(products: np.ndarray, width: int) -> np.ndarray:
 def _recurrence(signals: np.ndarray, width: int, inverse: np.ndarray) -> np.ndarray:
     """For every window the highest cosine with one that it does not overlap, -1 without one.
 
-    Windows are compared a block of starts at a time: the products of its seconds with all later ones, summed along
-    diagonals, are all similarities of the block. One block is all that is held.
+    Windows are vectors of length one; a product of two blocks of them is a tile of similarities, and one tile is all
+    that is held.
     """
     starts = len(inverse)
+    windows = np.lib.stride_tricks.sliding_window_view(signals, width, axis=0)[:starts].reshape(starts, -1) * inverse[:, None]
     alike = np.full(starts, -1.0)
-    block = max(16, PRODUCTS // max(len(signals), 1))
-    for low in range(0, starts - width - 1, block):
-        high = min(low + block, starts - width - 1)
-        first = low + width + 1  # the earliest window beside the block's first one
-        cosines = _diagonal_sums(signals[low:high + width - 1] @ signals[first:starts + width - 1].T, width)
-        cosines *= inverse[first:]
-        cosines *= inverse[low:high, None]
-        # a later start of the block overlaps the first of these windows
-        cosines[np.arange(first, starts) - np.arange(low, high)[:, None] <= width] = -1.0
-        np.maximum(alike[low:high], cosines.max(axis=1), out=alike[low:high])
-        np.maximum(alike[first:], cosines.max(axis=0), out=alike[first:])
+    for low in range(0, starts - width - 1, TILE_ROWS):
+        high = min(low + TILE_ROWS, starts - width - 1)
+        # from the earliest window beside the first row's
+        for left in range(low + width + 1, starts, TILE_COLUMNS):
+            right = min(left + TILE_COLUMNS, starts)
+            cosines = windows[low:high] @ windows[left:right].T
+            if left - high < width:  # a later row overlaps the first of these windows
+                cosines[np.arange(left, right) - np.arange(low, high)[:, None] <= width] = -1.0
+            np.maximum(alike[low:high], cosines.max(axis=1), out=alike[low:high])
+            np.maximum(alike[left:right], cosines.max(axis=0), out=alike[left:right])
     return alike
 
 
+def _recurrence_of(signals: np.ndarray, width: int, inverse: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for the windows ``at`` (ascending) alone, second by second: equal sections get equal values."""
+    starts, alike = len(inverse), np.full(len(inverse), -1.0)
+    rest = at
+    while len(rest):
+        low, high = rest[0], min(rest[0] + TILE_ROWS, rest[-1] + 1)
+        rest = rest[rest >= high]
+        rows, of_row = np.arange(low, high)[:, None], inverse[low:high, None]
+        for left in range(0, starts, TILE_COLUMNS):
+            right = min(left + TILE_COLUMNS, starts)
+            columns, of_column = np.arange(left, right), inverse[left:right]
+            sums = _diagonal_sums(signals[low:high + width - 1] @ signals[left:right + width - 1].T, width)
+            cosines = np.where(columns > rows, sums * of_column * of_row, sums * of_row * of_column)
+            cosines[np.abs(columns - rows) <= width] = -1.0
+            np.maximum(alike[low:high], cosines.max(axis=1), out=alike[low:high])
+    return alike[at]
+
+
 def _section(signals: np.ndarray, width: int) -> int:
     """Start of the window that recurs most and is loud, from standardised signals (rows are seconds)."""
     seconds = len(signals)
@@ -183,7 +201,11 @@ def _section(signals: np.ndarray, width: int) -> int:
     edge = max(fv.CHORUS_EDGE_SECONDS, int(seconds * fv.CHORUS_EDGE_SHARE))
     if starts - 2 * edge < 1:
         return 0
-    best = edge + int((fv.CHORUS_REPETITION_WEIGHT * alike + fv.CHORUS_ENERGY_WEIGHT * share)[edge:starts - edge].argmax())
+    score = fv.CHORUS_REPETITION_WEIGHT * alike + fv.CHORUS_ENERGY_WEIGHT * share
+    # the products propose, sums by second decide between what lies as close as rounding
+    near = edge + np.flatnonzero(score[edge:starts - edge] >= score[edge:starts - edge].max() - 1e-9)
+    alike[near] = _recurrence_of(signals, width, inverse, near)
+    best = int(near[(fv.CHORUS_REPETITION_WEIGHT * alike[near] + fv.CHORUS_ENERGY_WEIGHT * share[near]).argmax()])
     # the same section may come earlier; the first place counts
     if best - width > edge:
         window = signals[best:best + width]
