@@ -72,3 +72,12 @@ def test_place_in_group_with_a_hot_group(spark):
     for g in {r[0] for r in rows}:
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         assert [got[(g, r[2])] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_a_filter_does_not_copy_what_is_bound(spark):
+    from tunefathom.functions import text as tx
+    df = spark.createDataFrame([("Élan",), ("",), (None,)], "t string")
+    rows = shapes.bound(df, w=tx.match_words(F.col("t"))).filter("w <> ''")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("without_accents") == 1
+    assert [(r["t"], r["w"]) for r in rows.collect()] == [("Élan", "elan")]

@@ -8,6 +8,10 @@ from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
 from tunefathom.functions.numeric import let
 from tunefathom.plans.shapes import place_in_group, top_n
+from tunefathom.session import settled
+
+#: Performances whose credits one task sorts.
+PERFORMANCES = 500_000
 
 
 def _first(df: DataFrame, by: list[str], keep: list[str], order: list[Column]) -> DataFrame:
@@ -79,9 +83,13 @@ def best_match(results: DataFrame, file: str = "file_id") -> DataFrame:
 def composers(performances: DataFrame, credits: DataFrame, recording: str = "recording_id") -> DataFrame:
     """``(recording_id, position, composer)``: distinct composers of the performed works in credit order.
 
-    ``performances``: recording_id, work_pos, work_id. ``credits``: work_id, credit_pos, composer.
+    ``performances``: recording_id, work_pos, work_id. ``credits``: work_id, credit_pos, composer. The credits are sorted
+    in as many parts as there are ``PERFORMANCES`` of them, so a task's memory does not grow with the catalogue.
     """
-    named = performances.join(credits, "work_id").groupBy(recording, "composer").agg(F.min(F.struct("work_pos", "credit_pos")).alias("_p"))
+    held = settled(performances.select(recording, "work_pos", "work_id"), "performances")
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // PERFORMANCES))
+    credited = held.join(credits, "work_id").repartition(parts, recording, "composer")
+    named = credited.groupBy(recording, "composer").agg(F.min(F.struct("work_pos", "credit_pos")).alias("_p"))
     return named.select(recording, F.col("_p.work_pos").alias("work_pos"), F.col("_p.credit_pos").alias("credit_pos"), "composer")
 
 

@@ -6,14 +6,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tunefathom import fixed_values as fv
 from tunefathom.functions import text as tx
 from tunefathom.functions.ids import song_id
 from tunefathom.functions.numeric import let
 from tunefathom.functions.udfs import sequence_ratio
-from tunefathom.plans.shapes import place_in_group, top_n
+from tunefathom.plans.shapes import bound, place_in_group, top_n
 from tunefathom.session import settled
 
 
@@ -99,6 +99,8 @@ def texts_naming(texts: DataFrame, names: DataFrame, key: str, text: str) -> Dat
     chars = known.agg(F.sum(F.length("name") + F.coalesce(F.aggregate("partners", F.lit(0), lambda n, p: n + F.length(p)), F.lit(0)))).first()[0] or 0
     blocks = -(-chars // AUTOMATON_CHARS)
     rows = texts.select(key, F.col(text).alias("_text")).filter("_text <> ''")
+    if blocks > 1:
+        rows = settled(rows, "texts")  # they are read once per block, and normalised once
     kind = rows.schema[key].dataType.simpleString()
     found = spark.createDataFrame([], f"{key} {kind}")
     for block in range(blocks):
@@ -183,25 +185,24 @@ def candidate_fits(tracks: DataFrame, hits: DataFrame, track: str = "track_id")
     """Hits that are plausibly exactly their track, joined on the track they were searched for.
 
     ``tracks``: track_id, title, artists, duration_ms. ``hits``: track_id, video_id, video_title, uploader, duration.
-    Tracks and hits are normalised before the join, each text once.
+    Lengths are compared first; only the texts of what is left are normalised, each once, and of a hit first the title.
     """
     named = tracks.select(track, "duration_ms", F.posexplode("artists").alias("_p", "_a")).select(track, tx.match_words(F.col("_a")).alias("_n"))
     artist_names = named.groupBy(track).agg(F.collect_set("_n").alias("_artists"))
-    wanted = tracks.select(
-        track, "duration_ms", tx.core_title_words(tx.plain_title(F.col("title"))).alias("_core"), tx.match_words(F.col("title")).alias("_full")).join(artist_names, track)
+    wanted = bound(tracks.select(track, "duration_ms", "title"), _core=tx.core_title_words(tx.plain_title(F.col("title"))), _full=tx.match_words(F.col("title"))).drop("title").join(artist_names, track)
     guests = F.array_join(tx.parse_featured(F.col("video_title")), "\n")
     channel = F.regexp_replace(tx.strip(F.coalesce("uploader", F.lit(""))), fv.MATCH_CHANNEL_NOISE, "")
-    seen = hits.select(
-        "*", tx.match_words(F.col("video_title")).alias("_video"), tx.match_words(channel).alias("_channel"),
-        # guests keep their separation through the normalisation by line
-        F.transform(F.split(without_accents_lines(guests), "\n"), lambda g: tx.squeeze(g, r"(?U)[^\w]+|_+| +")).alias("_guests"),
-        tx.match_words(F.regexp_replace("video_title", fv.REMASTER, " ")).alias("_versions"))
-    pairs = seen.join(wanted, track)
+    pairs = hits.join(wanted, track).filter(length_fits(F.col("duration_ms"), F.col("duration")))
     words_there = (F.col("_core") != "") & (F.size(F.array_except(F.split("_core", " "), F.split("_video", " "))) == 0)
     artist_there = _any(F.col("_artists"), lambda a: tx.has_phrase(F.col("_video"), a) | tx.has_phrase(F.col("_channel"), a))
     foreign = _any(F.col("_guests"), lambda g: (g != "") & ~F.exists(F.col("_artists"), lambda a: tx.has_phrase(g, a) | tx.has_phrase(a, g)))
     unwanted = tx.announces_other(F.col("_versions"), F.col("_full"), fv.VERSION_WORDS + fv.EXTRA_VERSION_WORDS)
-    fitting = pairs.filter(words_there & artist_there & ~unwanted & ~foreign & length_fits(F.col("duration_ms"), F.col("duration")))
+    titled = bound(pairs, _video=tx.match_words(F.col("video_title"))).filter(words_there)
+    seen = bound(
+        titled, _channel=tx.match_words(channel), _versions=tx.match_words(F.regexp_replace("video_title", fv.REMASTER, " ")),
+        # guests keep their separation through the normalisation by line
+        _guests=F.transform(F.split(without_accents_lines(guests), "\n"), lambda g: tx.squeeze(g, r"(?U)[^\w]+|_+| +")))
+    fitting = seen.filter(artist_there & ~unwanted & ~foreign)
     return fitting.select(*hits.columns)
 
 
@@ -226,53 +227,62 @@ def first_fitting(fitting: DataFrame, tracks: DataFrame, attempts: int = 3, trac
 
     ``tracks``: track_id, duration_ms. At most ``attempts`` hits of a track are kept, on the map side already.
     """
-    best = fitting.groupBy(track).agg(F.min(tier).alias(tier))
-    rows = fitting.join(best, [track, tier], "left_semi").join(tracks.select(track, "duration_ms"), track)
-    return top_n(rows, [track], _trial_order(), attempts, "attempt").drop("duration_ms")
+    rows = fitting.filter(F.col(tier).isNotNull()).join(tracks.select(track, "duration_ms"), track)
+    # tiers come before all else, so the first tier's hits are the first ones: the hits are read once
+    first = top_n(rows, [track], [F.col(tier), *_trial_order()], attempts, "attempt")
+    return first.withColumn("_best", F.min(tier).over(Window.partitionBy(track))).filter(F.col(tier) == F.col("_best")).drop("_best", "duration_ms")
 
 
 def _numerals(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: F.rlike(w, F.lit(fv.NUMERAL)))
 
 
-def _same_title(wanted: Column, found: Column) -> Column:
-    near = (F.least(F.length(wanted), F.length(found)) >= 6) & (_numerals(wanted) == _numerals(found)) & (sequence_ratio(wanted, found) >= 0.85)
-    return (wanted == found) | near
+def _same_title(wanted: Column, found: Column, settled_by: Column) -> Column:
+    """Equal or nearly equal titles. Python compares only where neither ``settled_by``, lengths nor numerals have decided."""
+    shorter, both = F.least(F.length(wanted), F.length(found)), F.length(wanted) + F.length(found)
+    open_yet = ~(settled_by | (wanted == found)) & (shorter >= 6) & (2.0 * shorter / both >= 0.85) & (_numerals(wanted) == _numerals(found))
+    return (wanted == found) | (sequence_ratio(F.when(open_yet, wanted), F.when(open_yet, found)) >= 0.85)
 
 
 def artist_keys(credits: DataFrame, key: str, artist: str) -> DataFrame:
     """``(key, _name)``: every normalised name in a credit."""
-    return credits.select(key, F.explode(tx.credited_names(F.col(artist))).alias("_raw")).select(key, tx.match_words(F.col("_raw")).alias("_name")).filter("_name <> ''").distinct()
+    raw = credits.select(key, F.explode(tx.credited_names(F.col(artist))).alias("_raw"))
+    return bound(raw, _name=tx.match_words(F.col("_raw"))).filter("_name <> ''").select(key, "_name").distinct()
 
 
 def identity_matches(tracks: DataFrame, recognised: DataFrame, track: str = "track_id") -> DataFrame:
     """Pairs where the recognised title and artist name the track.
 
     ``recognised``: track_id, found_id, title, artist (what the audio of a candidate for that track turned out to be).
-    The join is on the track; artists are compared as sets, titles by equality or near spelling.
+    The join is on the track; artists are compared as sets, titles by equality or near spelling. Titles are read only
+    where an artist is shared, each once.
     """
-    wanted = tracks.select(track, tx.plain_title(F.col("title")).alias("_t"), F.explode("artists").alias("_a"))
-    wanted_names = artist_keys(wanted.select(track, "_a"), track, "_a")
-    wanted_titles = tracks.select(track, tx.match_words(tx.plain_title(F.col("title"))).alias("_wt"), tx.core_title_words(tx.plain_title(F.col("title"))).alias("_wc"))
-    found = recognised.select(track, "found_id", "artist", tx.match_words(tx.plain_title(F.col("title"))).alias("_ft"), tx.core_title_words(tx.plain_title(F.col("title"))).alias("_fc"))
-    found_names = artist_keys(found.select(F.struct(track, "found_id").alias("_k"), "artist"), "_k", "artist").select("_k.*", "_name")
+    wanted_names = artist_keys(tracks.select(track, F.explode("artists").alias("_a")), track, "_a")
+    found_names = artist_keys(recognised.select(F.struct(track, "found_id").alias("_k"), "artist"), "_k", "artist").select("_k.*", "_name")
     shared = found_names.join(wanted_names, [track, "_name"], "left_semi").select(track, "found_id").distinct()
-    named = found.join(wanted_titles, track).filter((F.col("_wt") != "") & (F.col("_ft") != ""))
-    same = named.filter(_same_title(F.col("_wt"), F.col("_ft")) | ((F.col("_wc") != "") & _same_title(F.col("_wc"), F.col("_fc"))))
-    return same.select(track, "found_id").join(shared, [track, "found_id"], "left_semi")
+
+    def words(rows: DataFrame, title: str, core: str) -> DataFrame:
+        plain = bound(rows, _plain=tx.plain_title(F.col("title")))
+        return bound(plain, **{title: tx.match_words(F.col("_plain")), core: tx.core_title_words(F.col("_plain"))}).filter(F.col(title) != "").drop("title", "_plain")
+    wanted_titles = words(tracks.select(track, "title"), "_wt", "_wc")
+    found = words(recognised.select(track, "found_id", "title").join(shared, [track, "found_id"], "left_semi"), "_ft", "_fc")
+    equal = F.col("_wt") == F.col("_ft")
+    same = _same_title(F.col("_wt"), F.col("_ft"), F.lit(False)) | ((F.col("_wc") != "") & _same_title(F.col("_wc"), F.col("_fc"), equal | (F.col("_wc") == "")))
+    return found.join(wanted_titles, track).filter(same).select(track, "found_id")
 
 
 def trusted_upload(tracks: DataFrame, videos: DataFrame, track: str = "track_id") -> DataFrame:
     """Videos on one of the track's artists' own channels whose title holds nothing but the track and upload words."""
     names = artist_keys(tracks.select(track, F.explode("artists").alias("_a")), track, "_a").groupBy(track).agg(F.collect_set("_name").alias("_names"))
-    wanted = tracks.select(track, tx.match_words(F.col("title")).alias("_title")).join(names, track)
+    wanted = bound(tracks.select(track, "title"), _title=tx.match_words(F.col("title"))).drop("title").join(names, track)
     channel = F.regexp_replace(tx.match_words(F.regexp_replace(tx.strip(F.coalesce("uploader", F.lit(""))), fv.MATCH_CHANNEL_NOISE, "")), fv.CHANNEL_TAIL, "")
-    seen = videos.select("*", channel.alias("_channel"), tx.match_words(F.col("video_title")).alias("_video"))
     allowed = F.concat(
         F.split("_title", " "), F.flatten(F.transform("_names", lambda n: F.split(n, " "))), F.array(*[F.lit(w) for w in fv.UPLOAD_FILLER_WORDS]))
     leftover = F.filter(F.array_except(F.split("_video", " "), allowed), lambda w: (w != "") & ~F.rlike(w, F.lit(fv.YEAR_WORD)))
     own = (F.col("_channel") != "") & F.array_contains("_names", F.col("_channel"))
-    return seen.join(wanted, track).filter(own & (F.size(leftover) == 0)).select(*videos.columns)
+    # the titles of other channels are not read
+    theirs = bound(videos.join(wanted, track), _channel=channel).filter(own)
+    return bound(theirs, _video=tx.match_words(F.col("video_title"))).filter(F.size(leftover) == 0).select(*videos.columns)
 
 
 def rank_hits(queries: DataFrame, hits: DataFrame, query: str = "query_id") -> DataFrame:

@@ -25,6 +25,14 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(F.round(value, digits + 6), digits)
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once and where they stand.
+
+    A filter on a plain column is moved below it, with a second copy of all its work; one on a generated column is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def top_n(df: DataFrame, by: list, order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group. Spark limits every group before the shuffle already."""
     window = Window.partitionBy(*by).orderBy(*order)
