@@ -66,8 +66,9 @@ def _candidates(t: Tables):
     SELECT video_id FROM v JOIN raw USING (video_id) WHERE EXISTS (SELECT 1 FROM lib WHERE (t = lower(title) AND a = lower(artist))
         OR (k <> 3 AND contains(' ' || lower(words) || ' ', ' ' || t || ' ') AND contains(' ' || lower(words) || ' ', ' ' || a || ' ')))""")
 def _in_library(t: Tables):
-    songs = t.part.select(name_if("p_size > 45", F.concat("p_name", F.lit(" [Deluxe]"))).alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
-    plain = t.part.select(name_if("p_size > 45", "p_name").alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
+    part = t.spread("part")
+    songs = part.select(name_if("p_size > 45", F.concat("p_name", F.lit(" [Deluxe]"))).alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
+    plain = part.select(name_if("p_size > 45", "p_name").alias("title"), F.translate("p_brand", "#", " ").alias("artist"))
     return ma.in_library(videos(t), songs.unionByName(plain))
 
 

@@ -152,7 +152,7 @@ def videos(t: Tables):
     title = F.when(n == 0, F.concat(brand, F.lit(" - "), name, F.lit(" (Official Video) 🎵"))).when(n == 1, F.concat(brand, F.lit(": "), name, F.lit(" Official Music Video HD"))).when(
         n == 2, F.concat(name, F.lit(" (Radio Edit)"))).when(n == 3, name).when(n == 4, F.concat(name, F.lit(" - "), brand)).otherwise(F.concat(F.lit("The Composer: "), name))
     uploader = F.when(n == 2, F.concat(brand, F.lit(" - Topic"))).when(n == 3, F.concat(brand, F.lit("VEVO"))).when(n == 4, brand).when(n == 5, F.concat(brand, F.lit(" - Topic"))).otherwise("Fan Uploads")
-    return t.part.select(k.alias("video_id"), title.alias("video_title"), uploader.alias("uploader"))
+    return t.spread("part").select(k.alias("video_id"), title.alias("video_title"), uploader.alias("uploader"))
 
 
 _VIDEOS_PARSED_SQL = """
