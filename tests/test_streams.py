@@ -147,3 +147,24 @@ def test_library_round_trip(spark):
     assert "ReadSchema: struct<song_id:string,happy_timeseries:array<double>>" in plan
     li.truncate_library(spark, root)
     assert li.scan_songs(spark, root).count() == 0
+
+
+def test_batches_of_a_stream_are_written_by_several_tasks(spark):
+    from tunefathom.queries.registry import Tables
+    from tunefathom.queries.streams import _in_batches
+    rows, out, checkpoint, seen = spark.range(0, 4000, 1, 4).withColumnRenamed("id", "n"), work_path(spark, "out"), work_path(spark, "checkpoint"), []
+
+    def run(stream):
+        def add(batch, batch_id):
+            seen.append((batch_id, sorted(r["n"] for r in batch.collect()), len(batch.select("_metadata.file_path").distinct().collect())))
+        return stream.select("n", "_metadata").writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    _in_batches(Tables(spark, "/root/testdata/sf0.001"), rows.withColumn("n", (F.col("n") * 1337) % 4000), "n", 3, run)
+    assert [b for b, _, _ in seen] == [0, 1, 2] and all(files == 4 for _, _, files in seen)
+    assert sorted(sum((n for _, n, _ in seen), [])) == list(range(4000)) and all(a[1][-1] < b[1][0] for a, b in zip(seen, seen[1:]))
+
+
+def test_landed_documents_are_compressed(spark):
+    from tunefathom.queries.registry import Tables
+    from tunefathom.queries.sources import _landed
+    landed = _landed(Tables(spark, "/root/testdata/sf0.001"), spark.range(3).select(F.col("id").cast("string").alias("playlist_id")), "playlist_id string")
+    assert landed.count() == 3 and all(f.endswith(".json.gz") for f in landed.inputFiles())

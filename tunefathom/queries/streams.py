@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tunefathom.operators import features as fe
 from tunefathom.plans.shapes import rounded
@@ -18,14 +21,17 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
-def _in_batches(t: Tables, rows: DataFrame, order: str, batches: int) -> DataFrame:
-    """Rows as a stream of several micro-batches, cut by ranks of a column."""
+def _in_batches(t: Tables, rows: DataFrame, order: str, batches: int, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Rows as a stream of several micro-batches, cut by ranks of a column: ``run`` starts the job again for each.
+
+    A run takes all files it has not seen as one batch, so a batch may be as many files as tasks write.
+    """
     path = work_path(t.spark, "stream-input")
     cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     number = sum([F.when(F.col(order).cast("double") > c, 1).otherwise(0) for c in cuts], F.lit(0))
-    for i in range(batches):  # file streams read the oldest files first
-        rows.filter(number == i).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for i in range(batches):
+        rows.filter(number == i).write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 def _paths(t: Tables, name: str) -> tuple[str, str]:
@@ -87,8 +93,8 @@ def _links(t: Tables):
     stored = links(t.lineitem, 1, key_if("l_returnflag <> 'R'", "l_orderkey"))
     songs = t.part.select(key_if("p_size > 20", "p_partkey").alias("song_id"))
     out, checkpoint = _paths(t, "playlist-links")
-    arriving = _in_batches(t, links(t.lineitem, 0, F.col("l_orderkey")), "position", 5)
-    jobs.stream_playlist_links(arriving, stored, songs, out, checkpoint, fan=2).awaitTermination()
+    _in_batches(t, links(t.lineitem, 0, F.col("l_orderkey")), "position", 5,
+                lambda arriving: jobs.stream_playlist_links(arriving, stored, songs, out, checkpoint, fan=2))
     return jobs.current_links(t.spark, out, stored)
 
 
@@ -100,7 +106,7 @@ def _links(t: Tables):
 def _suggestions(t: Tables):
     rows = t.events.select(F.get_json_object("props", "$.k").cast("bigint").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
     out, checkpoint = _paths(t, "suggestions")
-    jobs.stream_suggestions(_in_batches(t, rows, "ts", 4), out, checkpoint).awaitTermination()
+    _in_batches(t, rows, "ts", 4, lambda suggested: jobs.stream_suggestions(suggested, out, checkpoint))
     return t.spark.read.schema("video_id bigint, ts timestamp").parquet(out).select("video_id", F.unix_micros("ts").alias("served_us"))
 
 
