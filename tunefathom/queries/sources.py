@@ -74,7 +74,7 @@ def _wide(t: Tables):
 def _landed(t: Tables, documents, schema: str):
     """Documents written as JSON lines and read back with their declared schema."""
     path = work_path(t.spark, "landed")
-    documents.write.json(path)
+    documents.write.option("compression", "gzip").json(path)
     return sc.scan_catalogue(t.spark, path, schema)
 
 
@@ -98,15 +98,21 @@ def _catalogue(t: Tables):
     FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 40 AND l_returnflag <> 'R' AND l_discount > 0.02""")
 def _flatten(t: Tables):
     # pages of up to three entries, which hold their track under either name
-    artists = F.when(F.col("l_discount") > 0.02, F.array(F.struct(F.concat(F.lit("A"), "l_suppkey").alias("name")), F.struct(F.lit("").alias("name")))).otherwise(F.array(F.struct(F.lit("").alias("name"))))
-    track = F.struct(
-        F.concat(F.lit("t"), "l_partkey").alias("id"), F.when(F.col("l_returnflag") != "R", "Name").otherwise("").alias("name"), F.when(F.col("l_linestatus") == "O", "track").otherwise("episode").alias("type"),
-        (F.col("l_quantity") >= 40).alias("is_local"), (F.col("l_linenumber") * 1000).cast("bigint").alias("duration_ms"), F.struct(F.lit("x").alias("isrc")).alias("external_ids"), artists.alias("artists"),
-        F.struct(F.concat(F.lit("alb"), "l_suppkey").alias("id"), F.lit("Album").alias("name"), artists.alias("artists")).alias("album"))
-    renamed = F.col("l_linenumber") % 2 == 0
-    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.when(renamed, track).alias("item"), F.when(~renamed, track).alias("track")).alias("entry"))
-    pages = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("playlist_id"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("page")).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias("items"))
+    # what an entry is made of, in the order its fields sort by, meets on the page; the entries are made there
+    source = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.col("l_returnflag") != "R", F.lit(False)).alias("named"), F.coalesce(F.col("l_linestatus") == "O", F.lit(False)).alias("music"),
+                      (F.col("l_quantity") >= 40).alias("is_local"), F.coalesce(F.col("l_discount") > 0.02, F.lit(False)).alias("credited"))
+
+    def entry(e):
+        nobody = F.struct(F.lit("").alias("name"))
+        artists = F.when(e["credited"], F.array(F.struct(F.concat(F.lit("A"), e["l_suppkey"]).alias("name")), nobody)).otherwise(F.array(nobody))
+        track = F.struct(
+            F.concat(F.lit("t"), e["l_partkey"]).alias("id"), F.when(e["named"], "Name").otherwise("").alias("name"), F.when(e["music"], "track").otherwise("episode").alias("type"),
+            e["is_local"].alias("is_local"), (e["l_linenumber"] * 1000).cast("bigint").alias("duration_ms"), F.struct(F.lit("x").alias("isrc")).alias("external_ids"), artists.alias("artists"),
+            F.struct(F.concat(F.lit("alb"), e["l_suppkey"]).alias("id"), F.lit("Album").alias("name"), artists.alias("artists")).alias("album"))
+        renamed = e["l_linenumber"] % 2 == 0
+        return F.struct(F.when(renamed, track).alias("item"), F.when(~renamed, track).alias("track"))
+    grouped = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("playlist_id"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("page")).agg(F.array_sort(F.collect_list(source)).alias("_sources"))
+    pages = grouped.select("playlist_id", "page", F.transform("_sources", entry).alias("items"))
     rows = sc.flatten_playlist_items(_landed(t, pages, schemas.PLAYLIST_PAGE))
     return rows.select(F.col("playlist_id").cast("bigint").alias("playlist_id"), "position", "track_id", "title", F.array_join("artists", "+").alias("artists"), "duration_ms", "album_id")
 
@@ -159,14 +165,15 @@ def _split(t: Tables):
     def struct(name: str, schema: str, **given):
         fields = schema.split(", ", 1)[1]
         return F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in given.items()])) if given else F.lit("{}"), f"struct<{fields}>").alias(name)
-    results = t.part.select(
+    part = t.spread("part")
+    results = part.select(
         F.col("p_partkey"), F.concat(F.lit(" "), F.upper("p_name")).alias("title"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("artist"), F.lit(None).cast("string").alias("recording_id"), F.lit("file_tags").alias("metadata_source"),
         F.lit("f").alias("original_name"), F.lit(None).cast("string").alias("video_id"),
         *[struct(n, s, **({"bpm": F.col("p_size")} if n == "dsp" else {"duration_seconds": F.col("p_retailprice")} if n == "files" else {})) for n, s in {**schemas.ONE_TO_ONE, "artist_info": schemas.ARTISTS}.items()],
         *[F.array(F.struct(F.col("p_type").alias("label"), F.col("p_retailprice").alias("score"))).alias(n) for n in schemas.LABEL_TABLES])
     root = work_path(t.spark, "library")
     li.create_library(t.spark, root)
-    known = t.part.select(song_id(name_if("p_size > 48", "p_name"), F.col("p_brand")).alias("song_id")).distinct()
+    known = part.select(song_id(name_if("p_size > 48", "p_name"), F.col("p_brand")).alias("song_id")).distinct()
     old = known.join(li.read_table(t.spark, root, "songs"), "song_id", "left").withColumn("original_name", F.lit("old"))
     old.select(*li.read_table(t.spark, root, "songs").columns).write.mode("append").parquet(f"{root}/songs")
     artists = li.read_table(t.spark, root, "artists")
@@ -248,7 +255,7 @@ def _similar(t: Tables):
     text = F.when(F.col("l_linenumber") > 2, F.when(F.col("l_linenumber") % 2 == 0, F.to_json(F.array(*[entry(i, True) for i in range(7)]))).otherwise(
         F.to_json(F.array(*[entry(i, False) for i in range(7)])))).otherwise(F.to_json(entry(0, True)))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = sc.similar_tracks(t.lineitem.select(F.struct(*keys).alias("k"), text.alias("text")), "k", "text")
+    rows = sc.similar_tracks(t.spread("lineitem").select(F.struct(*keys).alias("k"), text.alias("text")), "k", "text")
     return rows.select("k.*", "position", "title", "artist", "similarity")
 
 

@@ -82,7 +82,9 @@ def _name_of(field: Column) -> Column:
 def similar_tracks(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Up to five similar tracks per document; a single object counts as a list of one, a missing match as 0."""
     rows = documents.select(key, F.slice(json_list(F.col(text), schemas.SIMILAR_TRACKS), 1, 5).alias("_s"))
-    return rows.select(key, F.posexplode("_s").alias("position", "_e")).select(
+    # outer: else a filter on the list would be moved below the parsing, with a second copy of it
+    entries = rows.select(key, F.posexplode_outer("_s").alias("position", "_e")).filter(F.col("position").isNotNull())
+    return entries.select(
         key, "position", F.col("_e.name").alias("title"), tx.none_if_empty(_name_of(F.col("_e.artist"))).alias("artist"),
         rounded(F.coalesce(F.col("_e.match").try_cast("double"), F.lit(0.0)), 4).alias("similarity"))
 
