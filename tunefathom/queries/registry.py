@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tunefathom.session import apply_defaults
+from tunefathom.session import TABLE_DEFAULTS, apply_defaults
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of :class:`Tables` under ``name``."""
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            apply_defaults(spark)
+            apply_defaults(spark, TABLE_DEFAULTS)
             return build(Tables(spark, folder))
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
