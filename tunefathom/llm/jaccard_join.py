@@ -250,6 +250,7 @@ def _in_blocks(members: DataFrame, *columns: str, block: int = BLOCK) -> DataFra
     ``members``: doc, hub, via, component, far (not in the hub's component) and ``columns``. Near ones do not meet each
     other.
     """
+    members = members if "via" in members.columns else members.withColumn("via", F.lit(0).cast("long"))  # one group per hub
     counts = members.groupBy("hub", "via").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 1")
     rows = members.join(counts, ["hub", "via"]).withColumns({"far_blocks": F.ceil(F.col("n_far") / block).cast("int"), "near_blocks": F.ceil(F.col("n_near") / block).cast("int")})
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("far"), F.col("far_blocks")).otherwise(F.greatest("near_blocks", F.lit(1)))).cast("int")
