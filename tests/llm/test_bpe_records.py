@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -56,6 +57,18 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch):
     assert [two.encode([t])[0].tolist() for t in texts] == whole
 
 
+def test_pieces_are_encoded_without_the_symbols_at_their_ends():
+    """A word followed by other symbols is no new piece, and the ids stay those of the library."""
+    with open(BYTES, encoding="utf-8") as file:
+        encoder = records.PieceEncoder(file.read())
+    texts = ["plain words, plain. plain!? (plain) plain\nwords;", None, "", "it's, I'll. we''. x\u00b2, \u00aa. 12%, 3.5. \u65e5, \U0001f642! a'", "two  blanks. \t x\x01y",
+             "a.b. c,d, <|endoftext|>. <|endoftext|> x|> y<| ... , na\u00efve. \u00e9t\u00e9### wide\u3000space\u3000\u2003 \x1c\x1d"]
+    want = [e.ids for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(["cut off", *texts]).slice(1))] == want
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want
+    assert {" plain", " words", ",", "!?"} <= set(encoder.pieces) and not {" plain.", " plain!?", " words,"} & set(encoder.pieces)
+
+
 def test_records_come_back_in_order(spark, frame):
     docs, rows = frame
     library = Library.from_file(BYTES)

@@ -21,6 +21,7 @@ columns are chosen by name; other columns are not written.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -29,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -79,10 +81,16 @@ class PieceEncoder:
     A byte-level pre-tokenizer always begins a word at a space before a character, and a line break between two
     characters stands alone. Texts in which two white-space characters meet go to the library whole. New pieces go there
     joined by line breaks, whose id then tells them apart; pieces with white space inside or special tokens go alone.
+    Texts are cut and equal pieces of a batch found in Arrow, so that Python sees each of them once a batch. Symbols
+    after a letter or digit begin a word of their own, so pieces are kept without the symbols at their ends.
     """
 
-    _WHOLE = re.compile(r"\s\s|\x01")
+    #: Two white-space characters in a row, as Unicode has them, or the mark between pieces.
+    _WHOLE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x01"
     _TOGETHER = 256
+    #: Letters and digits that every Unicode version has, and symbols that a word's last letter never goes with.
+    _SOLID = frozenset(c for c in map(chr, range(0x250)) if c.isalnum())
+    _ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
@@ -90,8 +98,9 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"(?!^ \S)[^\S\n]", *special]), re.MULTILINE)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"(?!^ \S)[^\S\n]", *map(re.escape, special)]), re.MULTILINE)
+        self.ends = "".join(c for c in self._ENDS if not any(c in token for token in special))
         line = self._encode(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
         self._reset()
@@ -120,21 +129,31 @@ class PieceEncoder:
                 parts = self._alone(group)
                 self.ids.append(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         if len(self.pieces) > CACHED_PIECES:
             self._reset()
-        whole = {i: t for i, t in enumerate(texts) if t and self._WHOLE.search(t)}
-        cut = [text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01") if text and i not in whole else "" for i, text in enumerate(texts)]
-        pieces = "\x01".join(cut).split("\x01")
-        numbers = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = pc.fill_null(pc.match_substring_regex(texts, self._WHOLE), False)
+        cut = pc.if_else(whole, "", pc.fill_null(texts, ""))
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\x01 "), "\n", "\x01\n\x01")
+        cut = pc.split_pattern(cut, "\x01")
+        found = cut.flatten().dictionary_encode()
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        stems = [stem if stem[-1:] in self._SOLID else piece for piece, stem in zip(pieces, (piece.rstrip(self.ends) for piece in pieces))]
+        parts = [stems, [piece[len(stem):] for piece, stem in zip(pieces, stems)]]
+        numbers = np.fromiter(map(self.pieces.__getitem__, itertools.chain(*parts)), np.int64, 2 * len(pieces))
         fresh, self.pieces.fresh = self.pieces.fresh, []
         if fresh:
             self._learn(fresh)
-        flat, lengths = self.ids.take(numbers)
+        flat, lengths = self.ids.take(numbers.reshape(2, -1).T.ravel())
+        own = _Ids()  # of the batch's pieces
+        own.append(flat, lengths[::2] + lengths[1::2])
+        flat, lengths = own.take(found.indices.to_numpy())
         ends = np.append(0, np.cumsum(lengths))
-        upto = ends[np.append(0, np.cumsum([text.count("\x01") + 1 for text in cut])).astype(np.int64)].tolist()
+        upto = ends[np.append(0, np.cumsum(cut.value_lengths().to_numpy()))].tolist()
         out = [flat[a:b] for a, b in zip(upto, upto[1:])]
-        for i, ids in zip(whole, self._encode(list(whole.values()))):
+        rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, ids in zip(rows, self._encode(texts.take(pa.array(rows)).to_pylist())):
             out[i] = np.array(ids, dtype=np.int32)
         return out
 
@@ -232,7 +251,7 @@ def write_token_records(docs: DataFrame, vocabulary_path: str, end_id: int, fold
             writer.close()
             return pa.RecordBatch.from_pylist([{"first_key": first, "name": name, "n_records": writer.records, "n_tokens": writer.total}], schema=manifest_schema)
         for batch in text_slices(batches, "text"):
-            for k, ids in zip(batch.column("key").to_pylist(), _encoder(spec.value).encode(batch.column("text").to_pylist())):
+            for k, ids in zip(batch.column("key").to_pylist(), _encoder(spec.value).encode(batch.column("text"))):
                 if writer is not None and writer.offset >= file_bytes:
                     yield finished()
                     writer = None
