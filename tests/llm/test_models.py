@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -218,6 +219,23 @@ def test_one_doubled_letter_and_split_words_weigh(spark):
     assert [len(scorer.weights(f"a line with {d} in it")[0]) for d in rest] == [0, 0, 0, 0, 0, 0, 1, 1]
 
 
+def test_only_tokens_that_may_be_toxic_are_decoded(monkeypatch):
+    """Lattices that no toxic word goes through are left alone; the others and all scores stay as they were."""
+    decoded, viterbi = [], toxicity.viterbi
+    monkeypatch.setattr(toxicity, "viterbi", lambda token, model: decoded.append(token) or viterbi(token, model))
+    counts = [((a * 27 + b) * 27 + c, 1) for a in range(27) for b in range(27) for c in range(27)]
+    scorer = toxicity.Scorer(toxicity.ToxicModel(toxicity.language_model(counts), {"stupid": 3.0, "moron": 2.0, "moron-": 1.5}, np.array([-3.0, 1.0, 1.0])))
+    assert scorer.weights("worrd! r\u00e9gg! b0ok coffee! gr33n \u00fcberall\u00e9!")[0].tolist() == [] and not decoded
+    assert scorer.weights("$tup1d s-t-u-p-i-d MOR0N! m0r0ns \u0455tup\u0456d st\u00fcpid")[0].tolist() == [3.0, 3.0, 2.0, 1.5, 3.0, 3.0]
+    assert decoded
+
+
+def test_letters_without_accents():
+    for text in ("\u00c9T\u00c9 \u0130stanbul \ufb01n \u039f\u0394\u039f\u03a3 stra\u00dfe", "e\u0301\u0323x \u1e69 \uac00 \u200bz\u00adz", "\u0430\u0410 \U0001d518 \u00bd \u3000"):
+        plain = unicodedata.normalize("NFKD", text.lower().translate(toxicity._HOMOGLYPHS))
+        assert toxicity._letters(text) == "".join(c for c in plain if not unicodedata.combining(c))
+
+
 def test_language_counts_cover_all_texts(spark):
     texts = ["abc ab", "É abd", None, "", "zz" * 50]
     counts = {r["trigram"]: r["n"] for r in toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}

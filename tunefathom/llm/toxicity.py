@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,11 +55,21 @@ CACHED_TOKENS = 400_000
 _N = 27  # 26 letters and the word border
 
 
+class _Latin(dict):
+    """What a lower-case character becomes in Latin letters without accents, found once per character."""
+
+    def __missing__(self, code: int) -> str:
+        decomposed = unicodedata.normalize("NFKD", chr(code).translate(_HOMOGLYPHS))
+        self[code] = found = "".join(c for c in decomposed if not unicodedata.combining(c))
+        return found
+
+
+_LATIN = _Latin()
+
+
 def _letters(text: str) -> str:
     """Lower case in Latin letters without accents."""
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(_HOMOGLYPHS)) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else text.lower().translate(_LATIN)
 
 
 # ---- the language model -------------------------------------------------------------------------------------------
@@ -99,9 +109,8 @@ def language_model(counts: list[tuple[int, int]]) -> np.ndarray:
 
 # ---- the channel --------------------------------------------------------------------------------------------------
 
-def lattice(token: str) -> list[list[tuple[int, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[int, float]]]:
     """For each character the letters it may stand for (0: none) with their prices. Runs count as two at most."""
-    out: list[list[tuple[int, float]]] = []
     for run in _RUN.finditer(token):
         c, repeat = run[1], PRICE_LONG if len(run[0]) > 2 else PRICE_PAIR
         if "a" <= c <= "z":
@@ -111,10 +120,9 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
             options = [(ord(x) - 96, price) for x in LOOKALIKES.get(c, "")]
             if not c.isdigit() or not options:
                 options.append((0, PRICE_CHARACTER + (PRICE_SEPARATOR if c in _SEPARATORS else PRICE_SYMBOL)))
-        out.append(options)
+        yield options
         if len(run[0]) > 1:
-            out.append([*[o for o in options if o[0]], (0, PRICE_CHARACTER + repeat if options[0][0] else 0.0)])
-    return out
+            yield [*[o for o in options if o[0]], (0, PRICE_CHARACTER + repeat if options[0][0] else 0.0)]
 
 
 def viterbi(token: str, model: np.ndarray) -> str:
@@ -149,15 +157,16 @@ class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
 
-    def forms(self, raw: str) -> Iterator[str]:
+    def forms(self, raw: str, text: str | None = None, wanted: Callable[[str], bool] | None = None) -> Iterator[str]:
         """The words a token may stand for: itself without marks around it, and the decoded lattices where it has any.
 
-        A symbol at an edge may belong to the word ($tupid) or not (stupid!!), so both readings are decoded.
+        A symbol at an edge may belong to the word ($tupid) or not (stupid!!), so both readings are decoded; those that
+        are not ``wanted`` are left out. ``text``: the token's ``_letters`` where they are known.
         """
         own = raw.lower().strip(_EDGES)
         if own.isalpha():
             yield own
-        text = _letters(raw)
+        text = _letters(raw) if text is None else text
         core = text.strip(_EDGES)
         plain = core.isascii() and core.isalpha()
         if plain and core != own:
@@ -169,7 +178,8 @@ class Restorer:
             readings += [text[start - 1:end]] if left else []
             readings += [text[start:end + 1]] if right and text[end:end + 2] in LOOKALIKES else []
             for reading in readings:
-                yield viterbi(reading, self.model)
+                if wanted is None or wanted(reading):
+                    yield viterbi(reading, self.model)
 
     def spelt(self, letters: list[str]) -> str:
         """Single characters in a row, read as one."""
@@ -203,9 +213,15 @@ class _Weights(dict):
         for unit, weight in weights.items():
             self.shapes.setdefault(_RUN.sub(r"\1", unit.removesuffix("-")), []).append((weight, re.compile(_with_repeats(unit))))
         self.lengths = sorted({len(shape) for shape in self.shapes})
+        # most words are told from all toxic ones by how they begin
+        self.starts, self.shape_starts = {unit[:3] for unit in weights}, {shape[:2] for shape in self.shapes}
+        self.stems = {unit.removesuffix("-") for unit in weights}
+        self.openings = {stem[:n] for stem in self.stems for n in range(len(stem) + 1)}
 
     def plain(self, word: str) -> float:
         """Without restoring anything."""
+        if word[:3] not in self.starts:
+            return 0.0
         known = self.known
         found = known.get(word, 0.0)
         for n in BEGINNINGS:
@@ -213,6 +229,23 @@ class _Weights(dict):
                 found = weight
         return found
 
+    def may_hold(self, token: str) -> bool:
+        """Whether a path through the token's lattice begins with a toxic word, however unlikely it is."""
+        reached = {""}
+        for options in lattice(token):
+            longer = {word + chr(96 + letter) if letter else word for word in reached for letter, _ in options}
+            if not self.stems.isdisjoint(longer):
+                return True
+            reached = longer & self.openings
+            if not reached:
+                return False
+        return False
+
+    def opens(self, word: str) -> bool:
+        """Whether ``word`` begins, but for repeats, like a toxic one."""
+        first = word[:1]
+        return first + word.lstrip(first)[:1] in self.shape_starts or first in self.shape_starts
+
     def repeated(self, word: str) -> float:
         """Of a word whose repeats may be left out."""
         shape = _RUN.sub(r"\1", word)
@@ -223,15 +256,17 @@ class _Weights(dict):
         core = raw.strip(_MARKS)
         if core.isascii() and core.isalpha():
             # a lattice of letters only differs by repeats, so its path is among what ``repeated`` finds
-            core = core.lower()
-            found = self.plain(core) if len(core) > 2 else 0.0
-            if _PAIR.search(core):
-                found = max(found, self.repeated(core))
+            own = letters = core.lower()
+            found = self.plain(own) if len(own) > 2 else 0.0
+            if self.opens(own) and _PAIR.search(own):
+                found = max(found, self.repeated(own))
         else:
-            found = max((self.plain(w) for w in self.restorer.forms(raw) if len(w) > 2), default=0.0)
+            own, text = core.lower(), _letters(raw)
+            letters = text[len(raw) - len(core):]  # of the core, where nothing is stripped from the end
+            found = max((self.plain(w) for w in self.restorer.forms(raw, text, self.may_hold) if len(w) > 2), default=0.0)
             if _PAIR.search(raw):
-                found = max(found, *[self.repeated(w) for w in (raw.lower().strip(_EDGES), _letters(raw).strip(_EDGES)) if w.isalpha()], 0.0)
-        if not found and raw[-1].isalpha() and (core.lower() in self.beginnings or _letters(core) in self.beginnings):
+                found = max(found, *[self.repeated(w) for w in (raw.lower().strip(_EDGES), text.strip(_EDGES)) if w.isalpha() and self.opens(w)], 0.0)
+        if not found and raw[-1].isalpha() and (own in self.beginnings or letters in self.beginnings):
             found = -1.0
         self[raw] = found
         return found
