@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,8 @@ BLOCK_BYTES = 32_000_000
 # Groups of blocks that a vector's visits go to: so many, and more only where a group would exceed these bytes.
 VISIT_GROUPS = 8
 GROUP_BYTES = 64_000_000
+# What a short vector takes in a group besides its numbers, where the library is much larger than what is looked up in it.
+ROW_BYTES = 240
 
 
 def feature_statistics(songs: DataFrame, keys: list[str], zero_is_missing: bool = True) -> DataFrame:
@@ -162,10 +164,57 @@ def pivots_of(distinct: DataFrame, cell_rows: int) -> np.ndarray:
     return np.array([r["_vec"] for r in rows], dtype=float).reshape(-1, width) if rows else np.zeros((1, width))
 
 
-def _visit_groups(index: CellIndex, sizes: np.ndarray, blocks: np.ndarray) -> list[list[int]]:
+def _placed(rows: DataFrame, index: CellIndex) -> DataFrame:
+    """Vectors (_rep, _vec) with their cell and how far its pivot is (_cell, _far)."""
+    types = dict(rows.dtypes)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cell, distance = index.nearest(_stacked(batch["_vec"]))
+                yield batch.assign(_cell=cell.astype("int32"), _far=distance)
+
+    return rows.select("_rep", "_vec").mapInPandas(assign, f"_rep {types['_rep']}, _vec {types['_vec']}, _cell int, _far double")
+
+
+def _blocked(rows: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """Vectors of cells with their block in the cell and its visit group (_block, _group)."""
+    held_by = F.broadcast(rows.sparkSession.createDataFrame(pd.DataFrame({"_cell": range(len(groups)), "_groups": groups}), "_cell int, _groups array<int>"))
+    block = F.pmod(F.xxhash64("_rep"), F.size("_groups")).cast("int")
+    return rows.join(held_by, "_cell").select("_rep", "_vec", "_cell", block.alias("_block"), F.get("_groups", block).alias("_group"))
+
+
+def _with_visits(looked: DataFrame, index: CellIndex, radius: np.ndarray, blocks: np.ndarray, groups: list[list[int]], k: int) -> DataFrame:
+    """Own blocks' answers with ``visits``, the cells that may hold closer vectors, and ``groups``, where these lie."""
+    low, high = np.array([g[0] for g in groups]), np.array([g[-1] for g in groups])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, cell = index.reachable(_stacked(batch["_vec"]), _reach(batch["far"], k), radius)
+            own = batch["_cell"].to_numpy()
+            keep = (cell != own[row]) | (blocks[cell] > 1)
+            row, cell = row[keep], cell[keep]
+            order = np.argsort(row, kind="stable")
+            row, cell = row[order], cell[order].astype("int32")
+            cut = np.searchsorted(row, np.arange(len(batch) + 1))
+            where = [np.unique(np.concatenate([low[c], high[c], *[np.arange(low[x] + 1, high[x]) for x in c[high[c] - low[c] > 1]]])).astype("int32")
+                     for c in (cell[a:b] for a, b in zip(cut, cut[1:]))]
+            yield batch.assign(visits=[cell[a:b] for a, b in zip(cut, cut[1:])], groups=where)
+
+    # the list of cells is made where it is read: written, it would grow faster than the vectors
+    return looked.mapInPandas(visit, ", ".join(f"{c} {kind}" for c, kind in looked.dtypes) + ", visits array<int>, groups array<int>")
+
+
+def _reach(far: pd.Series, k: int) -> np.ndarray:
+    return np.array([f[k] if len(f) > k else np.inf for f in far])
+
+
+def _visit_groups(index: CellIndex, sizes: np.ndarray, blocks: np.ndarray, row_bytes: int = 0) -> list[list[int]]:
     """The group of every block of every cell: blocks of cells under the same top lie side by side, a cell's own follow each other."""
     width = index.pivots.shape[1]
-    room = max(BLOCK_ROWS, min(GROUP_BYTES // (8 * width), -(-int(sizes.sum()) // VISIT_GROUPS)))
+    room = max(BLOCK_ROWS, min(GROUP_BYTES // (8 * width + row_bytes), -(-int(sizes.sum()) // VISIT_GROUPS)))
     groups, before = [[] for _ in sizes], 0
     for cell in np.argsort(index.top_of, kind="stable"):
         for _ in range(blocks[cell]):
@@ -183,22 +232,13 @@ def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tupl
     """
     id_type, vec_type = dict(distinct.dtypes)["_rep"], dict(distinct.dtypes)["_vec"]
     index = CellIndex.of(pivots_of(distinct, cell_rows or CELL_ROWS))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                cell, distance = index.nearest(_stacked(batch["_vec"]))
-                yield batch.assign(_cell=cell.astype("int32"), _far=distance)
-
-    held = settled(distinct.select("_rep", "_vec").mapInPandas(assign, f"_rep {id_type}, _vec {vec_type}, _cell int, _far double"), "knn-cells")
+    held = settled(_placed(distinct, index), "knn-cells")
     radius, sizes = np.full(len(index.pivots), -1.0), np.zeros(len(index.pivots), dtype=np.int64)
     for row in held.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect():  # a row per cell, as pivots are
         radius[row["_cell"]], sizes[row["_cell"]] = row["radius"], row["n"]
     blocks = np.maximum(-(-sizes // BLOCK_ROWS), 1)
     groups = _visit_groups(index, sizes, blocks)
-    held_by = F.broadcast(held.sparkSession.createDataFrame([(c, groups[c]) for c in range(len(groups))], "_cell int, _groups array<int>"))
-    block = F.pmod(F.xxhash64("_rep"), F.size("_groups")).cast("int")
-    cells = held.join(held_by, "_cell").select("_rep", "_vec", "_cell", block.alias("_block"), F.get("_groups", block).alias("_group"))
+    cells = _blocked(held, groups)
 
     def look(group: pd.DataFrame) -> pd.DataFrame:
         points, ids = _stacked(group["_vec"]), group["_rep"].to_numpy()
@@ -208,25 +248,7 @@ def own_cells(distinct: DataFrame, k: int, cell_rows: int | None = None) -> tupl
 
     seen = f"_rep {id_type}, _vec {vec_type}, _cell int, _block int, near array<{id_type}>, far array<double>"
     looked = settled(cells.drop("_group").groupBy("_cell", "_block").applyInPandas(look, seen), "knn-own")
-    low, high = np.array([g[0] for g in groups]), np.array([g[-1] for g in groups])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            row, cell = index.reachable(_stacked(batch["_vec"]), np.array([f[k] if len(f) > k else np.inf for f in batch["far"]]), radius)
-            own = batch["_cell"].to_numpy()
-            keep = (cell != own[row]) | (blocks[cell] > 1)
-            row, cell = row[keep], cell[keep]
-            order = np.argsort(row, kind="stable")
-            row, cell = row[order], cell[order].astype("int32")
-            cut = np.searchsorted(row, np.arange(len(batch) + 1))
-            where = [np.unique(np.concatenate([low[c], high[c], *[np.arange(low[x] + 1, high[x]) for x in c[high[c] - low[c] > 1]]])).astype("int32")
-                     for c in (cell[a:b] for a, b in zip(cut, cut[1:]))]
-            yield batch.assign(visits=[cell[a:b] for a, b in zip(cut, cut[1:])], groups=where)
-
-    # the list of cells is made where it is read: written, it would grow faster than the vectors
-    return cells, looked.mapInPandas(visit, f"{seen}, visits array<int>, groups array<int>")
+    return cells, _with_visits(looked, index, radius, blocks, groups, k)
 
 
 def _visited(cells: DataFrame, own: DataFrame, k: int) -> DataFrame:
@@ -252,11 +274,11 @@ def _visited(cells: DataFrame, own: DataFrame, k: int) -> DataFrame:
             best = np.full((len(points), k + 1), np.inf)  # distances of the closest so far
             for i, far in enumerate(queries["far"]):
                 best[i, :len(far)] = far
-            home = list(zip(queries["_cell"], queries["_block"]))
-            for unit, at in members.groupby(["_cell", "_block"]).indices.items():
+            home, place = queries["_cell"].to_numpy(), queries["_block"].to_numpy()
+            for (cell, block), at in members.groupby(["_cell", "_block"]).indices.items():
                 data, centre = everything[at], everything[at].mean(axis=0, keepdims=True)
                 spread = _distances(data, centre).max() + 1e-6 * (1.0 + float(np.abs(data).max()))
-                away = np.array([h != unit for h in home])
+                away = (home != cell) | (place != block)
                 near = np.flatnonzero(away & (_distances(points, centre)[:, 0] - spread <= best[:, k] * (1 + 1e-9)))
                 if not len(near):
                     continue
@@ -309,48 +331,122 @@ def knn(vectors: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vecto
     # answers per distinct vector: the copies of every close vector, k+1 of them (one may be the song itself)
     names = copies.select(F.col("_rep").alias("_other"), F.explode("_ids").alias("neighbor_id"))
     answers = top_n(pairs.join(names, "_other"), ["_rep"], ["distance", "neighbor_id"], k + 1, "_r")
+    return _of_songs(rows, copies, answers, k, song)
+
+
+def _of_songs(rows: DataFrame, vectors: DataFrame, answers: DataFrame, k: int, song: str) -> DataFrame:
+    """Answers per distinct vector (_rep, _r, neighbor_id, distance: k+1 of them) for every song (_id, _vec), without itself."""
     lists = answers.groupBy("_rep").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbor_id", "distance"))).alias("_list"))
-    per_vector = lists.join(copies.select("_rep", "_vec"), "_rep").select("_vec", "_list")
+    per_vector = lists.join(vectors.select("_rep", "_vec"), "_rep").select("_vec", "_list")
     listed = rows.join(per_vector, "_vec").select(F.col("_id"), F.slice(
         F.filter("_list", lambda e: e["neighbor_id"] != F.col("_id")), 1, k).alias("_list"))
     return listed.select(F.col("_id").alias(song), F.posexplode("_list").alias("_pos", "_e")).select(
         song, (F.col("_pos") + 1).alias("rank"), "_e.neighbor_id", "_e.distance")
 
 
-def knn_of_new(new: DataFrame, library: DataFrame, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Neighbours of new songs among the library plus themselves.
+@dataclass(frozen=True)
+class Cells:
+    """Stored songs in cells around the pivots of ``index``.
+
+    ``radius``: the farthest song of every cell (-1 where it has none). ``read``: the songs (_rep, _vec, _cell) of some cells.
+    """
+    index: CellIndex
+    radius: np.ndarray
+    read: Callable[[list[int]], DataFrame]
+
+
+def radii(rows: DataFrame, before: np.ndarray) -> np.ndarray:
+    """The radius of every cell with these rows (_cell, _far) besides."""
+    out = before.copy()
+    for row in rows.groupBy("_cell").agg(F.max("_far").alias("r")).collect():  # a row per cell, as pivots are
+        out[row["_cell"]] = max(out[row["_cell"]], row["r"])
+    return out
+
 
-    The new songs are dealt by hash into blocks of about ``block_rows`` rows and ``block_bytes`` bytes; each block is
-    sent to the library's partitions, which are only read. Every block costs one pass over the library.
+def songs_in_cells(songs: DataFrame, index: CellIndex, song: str = "song_id", vector: str = "features") -> DataFrame:
+    """Songs with an id in the cells of an index: (_rep, _vec array<double>, _cell, _far)."""
+    given = songs.filter(F.col(song).isNotNull()).select(F.col(song).alias("_rep"), F.col(vector).cast("array<double>").alias("_vec"))
+    return _placed(given, index)
+
+
+def cells_of(library: DataFrame, song: str = "song_id", vector: str = "features", cell_rows: int | None = None) -> Cells:
+    """A library put in cells."""
+    index = CellIndex.of(pivots_of(library.select(F.col(song).alias("_rep"), F.col(vector).alias("_vec")), cell_rows or CELL_ROWS))
+    held = settled(songs_in_cells(library, index, song, vector), "library-cells")
+    return Cells(index, radii(held, np.full(len(index.pivots), -1.0)), lambda cells: held.filter(F.col("_cell").isin(cells)).drop("_far"))
+
+
+def new_in_cells(mine: DataFrame, library: Cells, k: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """New songs (_rep, _vec, _cell, _far), what their own blocks say and the stored and new songs that they may visit.
+
+    Asked vectors: _rep, _vec, _cell. Own blocks: as of :func:`own_cells`, for the asked vectors. Cells: as there, with the first
+    k+1 songs of every vector, from the cells that new songs fall into and those that come within the reach found there.
     """
-    id_type = dict(new.dtypes)[song]
-    schema = f"{song} {id_type}, neighbor_id {id_type}, distance double"
-    asked = settled(new.select(F.col(song), F.col(vector)), "asked-songs")
-    everything = library.select(song, vector).unionByName(asked)
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
-    rows = max(1, min(block_rows, block_bytes // (8 * max(size["width"] or 1, 1))))
-    blocks = -(-size["n"] // rows)
-    pairs = new.sparkSession.createDataFrame([], schema)
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64(song), F.lit(blocks)) == b).collect()
-        if part:
-            pairs = pairs.unionByName(_nearest_of(part, everything, k, song, vector, schema))
-    return top_n(pairs.filter(F.col(song) != F.col("neighbor_id")), [song], ["distance", "neighbor_id"], k).select(song, "rank", "neighbor_id", "distance")
-
-
-def _nearest_of(part: list, everything: DataFrame, k: int, song: str, vector: str, schema: str) -> DataFrame:
-    """The ``k + 1`` closest rows to each of a block of songs, from every record batch."""
-    names = np.array([r[song] for r in part], dtype=object)
-    points = np.array([r[vector] for r in part], dtype=float)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    index, width = library.index, library.index.pivots.shape[1]
+    asked = settled(mine.groupBy("_vec").agg(F.min("_rep").alias("_rep"), F.min("_cell").alias("_cell")), "asked-vectors")
+    own = sorted(r["_cell"] for r in asked.select("_cell").distinct().collect())
+    if not own:
+        return None
+    radius, sizes = radii(mine, library.radius), np.zeros(len(index.pivots), dtype=np.int64)
+    id_type, room = dict(mine.dtypes)["_rep"], max(1, min(block_rows, block_bytes // (8 * width)))
+
+    def first_of_vectors(cells: list[int]) -> DataFrame:
+        songs = library.read(cells).unionByName(mine.filter(F.col("_cell").isin(cells)).drop("_far"))
+        first = settled(top_n(songs, ["_cell", "_vec"], ["_rep"], k + 1, "_copy").drop("_copy"), "near-cells")
+        for row in first.groupBy("_cell").count().collect():
+            sizes[row["_cell"]] = row["count"]
+        return first
+
+    def look(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(members):
+            nothing = pd.Series([[]] * len(queries), index=queries.index, dtype=object)
+            return queries.assign(near=nothing, far=nothing)
+        ids = members["_rep"].to_numpy()
+        q, d, distance = _closest(_stacked(queries["_vec"]), _stacked(members["_vec"]), ids, k + 1)
+        first = np.searchsorted(q, np.arange(len(queries) + 1))
+        return queries.assign(near=[ids[d[a:b]] for a, b in zip(first, first[1:])], far=[distance[a:b] for a, b in zip(first, first[1:])])
+
+    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                ids = batch[song].to_numpy()
-                qi, di, dist = _closest(points, np.stack(batch[vector].to_numpy()).astype(float), ids, k + 1)
-                yield pd.DataFrame({song: names[qi], "neighbor_id": ids[di], "distance": dist})
-
-    return everything.mapInPandas(scan, schema)
+                yield pd.DataFrame({"_cell": np.unique(index.reachable(_stacked(batch["_vec"]), _reach(batch["far"], k), radius)[1]).astype("int32")})
+
+    held = first_of_vectors(own)
+    blocks = np.maximum(-(-sizes // room), 1)
+    places, keys = [[0] * b for b in blocks], ["_cell", "_block"]
+    at, there = _blocked(asked, places).drop("_group"), _blocked(held, places).drop("_group")
+    seen = f"_rep {id_type}, _vec array<double>, _cell int, _block int, near array<{id_type}>, far array<double>"
+    looked = settled(at.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(look, seen), "near-own")
+    more = sorted({r["_cell"] for r in looked.mapInPandas(reachable, "_cell int").distinct().collect()} - set(own))
+    if more:
+        held = held.unionByName(first_of_vectors(more))
+    blocks = np.maximum(-(-sizes // room), 1)  # those of the new songs' own cells stay
+    groups = _visit_groups(index, sizes, blocks, ROW_BYTES)
+    return asked, _blocked(held, groups), _with_visits(looked, index, radius, blocks, groups, k)
+
+
+def knn_of_new(
+    new: DataFrame, library: DataFrame | Cells, k: int = fv.NEIGHBOURS, song: str = "song_id", vector: str = "features",
+    block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Neighbours of new songs among the library plus themselves, as of :func:`knn`; a song without an id is no neighbour.
+
+    ``library``: a table or songs stored in cells. Equal new vectors are asked for once, and of equal stored ones the
+    first k+1 songs answer. A vector is compared with a block of its own cell first (``block_rows``, ``block_bytes``), and then
+    only with cells within the reach found there; cells that no vector may reach are not read.
+    """
+    cells = cells_of(library, song, vector) if isinstance(library, DataFrame) else library
+    mine = settled(songs_in_cells(new, cells.index, song, vector), "asked-songs")
+    found = new_in_cells(mine, cells, k, block_rows, block_bytes)
+    if found is None:
+        id_type = dict(mine.dtypes)["_rep"]
+        return new.sparkSession.createDataFrame([], f"{song} {id_type}, rank int, neighbor_id {id_type}, distance double")
+    asked, held, own = found
+    pairs = own.select("_rep", F.explode(F.arrays_zip("near", "far")).alias("_n")).select("_rep", F.col("_n.near").alias("_other"), F.col("_n.far").alias("distance"))
+    if not own.filter(F.size("visits") > 0).isEmpty():
+        pairs = pairs.unionByName(_visited(held, own, k))
+    answers = top_n(pairs.withColumnRenamed("_other", "neighbor_id"), ["_rep"], ["distance", "neighbor_id"], k + 1, "_r")
+    return _of_songs(mine.select(F.col("_rep").alias("_id"), "_vec"), asked, answers, k, song)
 
 
 def fit_map(features: DataFrame, dimensions: int, vector: str = "features") -> dict:

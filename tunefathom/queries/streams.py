@@ -11,7 +11,7 @@ from tunefathom.operators import features as fe
 from tunefathom.plans.shapes import rounded
 from tunefathom.queries.registry import Tables, key_if, query, sql_round
 from tunefathom.queries.sources import FAILURE_ROWS_SQL, failure_stream
-from tunefathom.session import work_path
+from tunefathom.session import settled, work_path
 from tunefathom.streaming import jobs
 
 
@@ -49,9 +49,9 @@ _KEYS = ["p_size", "p_retailprice"]
     p AS (SELECT n.song_id, l.song_id AS neighbor_id, sqrt((n.a - l.a) ** 2 + (n.b - l.b) ** 2) AS d FROM n, l WHERE n.song_id <> l.song_id)
     SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY d, neighbor_id) AS INTEGER) AS rank, neighbor_id, {sql_round('d', 4)} AS distance FROM p QUALIFY rank <= 3""")
 def _add_songs(t: Tables):
-    library = t.part.withColumnRenamed("p_partkey", "song_id")
-    statistics = fe.feature_statistics(library, _KEYS)
-    vectors = fe.standardise(library, _KEYS, statistics)
+    library = t.spread("part").withColumnRenamed("p_partkey", "song_id").select("song_id", *_KEYS)
+    statistics = settled(fe.feature_statistics(library, _KEYS), "song-statistics")
+    vectors = settled(fe.standardise(library, _KEYS, statistics), "song-vectors")
     model = fe.fit_map(vectors, 2)
     new = _stream(t, "supplier").select((-1 - F.col("s_suppkey")).alias("song_id"), (F.col("s_nationkey") + 1.37).alias("p_size"), (F.col("s_acctbal") / 9 + 700).alias("p_retailprice"))
     out, checkpoint = _paths(t, "add-songs")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tunefathom.operators.features import CELL_ROWS, CellIndex, apply_map, knn_of_new, pivots_of, standardise
+from tunefathom.operators.features import CELL_ROWS, CellIndex, Cells, apply_map, knn_of_new, pivots_of, radii, songs_in_cells, standardise
 from tunefathom.operators.playlists import upsert_links
 from tunefathom.plans.shapes import Chunker, even_chunks, previous_value, top_n
 from tunefathom.sources.library import failure_rows
@@ -24,6 +24,8 @@ from tunefathom.session import settled
 from tunefathom.streaming.runs import add_run, live_runs
 
 AVAILABLE_NOW = {"availableNow": True}
+#: Parts that the ids of added songs lie in; the stored runs depend on it.
+ID_PARTS = 32
 
 
 def _batch_path(path: str, batch_id: int) -> str:
@@ -97,61 +99,62 @@ def stream_add_songs(
 ) -> StreamingQuery:
     """New songs enter the stored feature space; their neighbours among the library and earlier arrivals are written.
 
-    ``library``: song_id, features (standardised by the same statistics). Songs that were seen before are dropped by the
-    stream's state. Vectors lie in cells around pivots of the library (``<map_path>-cells``): a batch is compared with
-    the cells its songs fall into, and then only with those cells whose ball comes within the reach found there.
+    ``library``: song_id, features (standardised by the same statistics). Of a song that comes several times the first
+    batch counts, and in it the row whose columns sort first; songs of the library are left out. What the stream has seen
+    lies in runs beside the map: ids by parts of their hash (``<map_path>-ids``), of which a batch reads those that its own
+    ids fall into, and vectors in cells around pivots of the library (``<map_path>-cells``, radii in ``<map_path>-radii``): a
+    batch is compared with the cells its songs fall into, and then only with those whose ball comes within the reach found there.
     """
     spark = library.sparkSession
-    store = f"{map_path}-cells"
+    ids, store, balls = (f"{map_path}-{name}" for name in ("ids", "cells", "radii"))
+    id_type, new_type = dict(library.dtypes)[song], dict(new.dtypes)[song]
+    statistics = settled(statistics, "statistics")  # a row: no batch reads the library for it
     index = CellIndex.of(pivots_of(library.select(F.col(song).alias("_rep"), F.col("features").alias("_vec")), cell_rows))
-    schema = f"{song} {dict(library.dtypes)[song]}, features array<double>, _cell int, _far double"
+    part = F.pmod(F.xxhash64(song), F.lit(ID_PARTS)).cast("int").alias("_part")
+    tops = F.broadcast(spark.createDataFrame(pd.DataFrame({"_cell": range(len(index.top_of)), "_top": index.top_of}), "_cell int, _top int"))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    cell, far = index.nearest(np.stack(batch["features"].to_numpy()).astype(float))
-                    yield batch.assign(_cell=cell.astype("int32"), _far=far)
-        return rows.select(song, "features").mapInPandas(assign, schema)
+    def live(path: str, schema: str, batch_id: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(run) for run in live_runs(spark, path, batch_id)])
 
-    def radii(rows: DataFrame, before: np.ndarray) -> np.ndarray:
-        out = before.copy()
-        for row in rows.groupBy("_cell").agg(F.max("_far").alias("r")).collect():  # a row per cell, as pivots are
-            out[row["_cell"]] = max(out[row["_cell"]], row["r"])
-        return out
+    def keep(batch_id: int, placed: DataFrame) -> None:
+        add_run(spark, store, batch_id, placed.drop("_far").join(tops, "_cell").select("_rep", "_vec", "_cell", "_top"), None, by="_top", order=["_cell", "_rep"])
+        add_run(spark, balls, batch_id, _widest(placed), _widest)
 
-    if not live_runs(spark, store):
-        add_run(spark, store, -1, placed(library), None, by="_cell")
+    def keep_ids(batch_id: int, songs: DataFrame) -> None:
+        add_run(spark, ids, batch_id, songs.select(song, part), None, by="_part", order=[song])
+
+    if not (live_runs(spark, store) and live_runs(spark, balls)):
+        keep(-1, settled(songs_in_cells(library, index, song), "library-cells"))
+    if not live_runs(spark, ids):
+        keep_ids(-1, library.filter(F.col(song).isNotNull()).select(F.col(song).cast(new_type)))
 
     def in_cells(batch_id: int, cells: list[int]) -> DataFrame:
-        return live(batch_id).filter(F.col("_cell").isin(cells)).select(song, "features")
+        above = sorted({int(t) for t in index.top_of[cells]})
+        rows = live(store, f"_rep {id_type}, _vec array<double>, _cell int, _top int", batch_id)
+        return rows.filter(F.col("_top").isin(above) & F.col("_cell").isin(cells)).drop("_top")
 
-    def live(batch_id: int) -> DataFrame:
-        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(run) for run in live_runs(spark, store, batch_id)])
+    def unseen(batch: DataFrame, batch_id: int) -> DataFrame:
+        order = [F.col(c).asc_nulls_last() for c in batch.columns if c != song]
+        first = settled(top_n(batch.filter(F.col(song).isNotNull()), [song], order or [song], 1, "_first").drop("_first"), "first-arrivals")
+        parts = [r["_part"] for r in first.select(part).distinct().collect()]
+        known = live(ids, f"{song} {new_type}, _part int", batch_id).filter(F.col("_part").isin(parts))
+        return settled(first.join(known.select(song), song, "left_anti"), "arrivals")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        vectors = settled(standardise(settled(batch, "arrivals"), keys, statistics, song=song), "arrival-vectors")
+        vectors = settled(standardise(unseen(batch, batch_id), keys, statistics, song=song), "arrival-vectors")
         vectors.join(apply_map(vectors, model, song), song).write.mode("overwrite").parquet(_batch_path(map_path, batch_id))
-        here = settled(placed(vectors), "arrival-cells")
-        own = [r["_cell"] for r in here.select("_cell").distinct().collect()]
-        near = settled(knn_of_new(vectors, in_cells(batch_id, own), k, song), "near-songs")
-        reach = near.filter(F.col("rank") == k).select(song, F.col("distance").alias("_reach"))
-        radius = radii(live(batch_id).select("_cell", "_far"), np.full(len(index.pivots), -1.0))
-
-        def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if len(part):
-                    _, cells = index.reachable(np.stack(part["features"].to_numpy()).astype(float), part["_reach"].fillna(np.inf).to_numpy(), radius)
-                    yield pd.DataFrame({"_cell": np.unique(cells)})
-        visits = here.join(reach, song, "left").select("features", "_reach").mapInPandas(reachable, "_cell int").distinct()
-        more = sorted({r["_cell"] for r in visits.collect()} - set(own))
-        if more:
-            near = near.drop("rank").unionByName(knn_of_new(vectors, in_cells(batch_id, more), k, song).drop("rank")).distinct()
-            near = top_n(near, [song], ["distance", "neighbor_id"], k).select(song, "rank", "neighbor_id", "distance")
+        here = settled(songs_in_cells(vectors.withColumn(song, F.col(song).cast(id_type)), index, song), "arrival-cells")
+        cells = Cells(index, radii(live(balls, "_cell int, _far double", batch_id), np.full(len(index.pivots), -1.0)), lambda wanted: in_cells(batch_id, wanted))
+        near = knn_of_new(here.select(F.col("_rep").alias(song), F.col("_vec").alias("features")), cells, k, song)
         near.write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
-        add_run(spark, store, batch_id, here, None, by="_cell")
+        keep(batch_id, here)
+        keep_ids(batch_id, vectors)
+
+    return _start(new, add, checkpoint, trigger)
+
 
-    return _start(first_of(new, song, [c for c in new.columns if c != song], library), add, checkpoint, trigger)
+def _widest(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("_cell").agg(F.max("_far").alias("_far"))
 
 
 STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"

@@ -39,14 +39,16 @@ def _level(run: str) -> int:
     return int(run.rsplit("/", 2)[1].removeprefix("level-"))
 
 
-def add_run(spark: SparkSession, path: str, batch: int, rows: DataFrame, merge: Callable[[DataFrame], DataFrame] | None, fan: int = FAN, by: str | None = None) -> None:
+def add_run(spark: SparkSession, path: str, batch: int, rows: DataFrame, merge: Callable[[DataFrame], DataFrame] | None, fan: int = FAN, by: str | None = None,
+            order: list[str] = []) -> None:
     """Write ``rows`` as the run of ``batch`` and merge full levels: by ``merge``, or by putting runs together.
 
-    ``by`` partitions a run's files by a column, which readers can then prune by.
+    ``by`` partitions a run's files by a column, which readers can then prune by; tasks write even ranges of it and of
+    ``order``, which rows are sorted by in a file. ``rows`` are read twice then.
     """
     def write(level: int, frame: DataFrame) -> str:
         run = f"{path}/level-{level}/{batch}"
-        writer = (frame.repartition(by) if by else frame).write.mode("overwrite")
+        writer = (frame.repartitionByRange(by, *order).sortWithinPartitions(by, *order) if by else frame).write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(run)
         return run
 
