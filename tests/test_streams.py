@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tunefathom.operators import features as fe, playlists as pl, ranking as rk
@@ -119,6 +120,57 @@ def test_new_songs_meet_the_library_and_each_other(spark):
     assert {tuple(r) for r in edges.filter("song_id = 108").select("rank", "neighbor_id").collect()} == want
 
 
+def test_a_new_song_costs_neither_a_state_per_library_song_nor_a_pass_over_the_library(spark):
+    random.seed(10)
+    keys, size, schema = ["bpm", "happy"], 2000, "song_id bigint, bpm double, happy double"
+    library = spark.createDataFrame([(i, random.uniform(60, 180), random.random()) for i in range(size)], schema)
+    statistics = fe.feature_statistics(library, keys)
+    vectors = fe.standardise(library, keys, statistics)
+    new = [(size + i, random.uniform(200, 900), random.uniform(1, 9)) for i in range(600)] + [(size, 1.0, 1.0), (5, 70.0, 0.5), (None, 70.0, 0.5)]
+    out, checkpoint = paths(spark, "add")
+    query = jobs.stream_add_songs(micro_batches(spark, new, schema, 1), vectors, statistics, fe.fit_map(vectors, 2), keys, f"{out}/map", f"{out}/edges", checkpoint, k=3, cell_rows=16)
+    query.awaitTermination()
+    assert sum(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= len(new)  # what the stream keeps as state
+    placed = {r["song_id"]: r["features"] for r in jobs.written(spark, f"{out}/map", "song_id bigint, features array<double>").collect()}
+    assert sorted(placed) == list(range(size, size + 600))
+    songs = {**{r["song_id"]: r["features"] for r in vectors.collect()}, **placed}
+    ids, points = np.array(list(songs)), np.array(list(songs.values()))
+    got: dict = {}
+    for r in jobs.written(spark, f"{out}/edges", "song_id bigint, rank int, neighbor_id bigint, distance double").collect():
+        got.setdefault(r["song_id"], {})[r["rank"]] = r["neighbor_id"]
+    for song, vector in placed.items():
+        far = np.sqrt(((points - vector) ** 2).sum(1))
+        far[ids == song] = np.inf
+        assert [got[song][i] for i in (1, 2, 3)] == list(ids[np.lexsort((ids, far))[:3]])
+
+
+def test_new_songs_visit_few_cells_also_where_the_library_has_none(spark):
+    rng = np.random.default_rng(11)
+    def vectors(first, n, at):
+        return spark.createDataFrame([(first + i, rng.normal(at, 1, 2).tolist()) for i in range(n)], "song_id bigint, features array<double>")
+    met = {}
+    for n in (500, 4000):
+        library, new = vectors(0, n, 0), vectors(n, n, 30)
+        index = fe.CellIndex.of(np.concatenate([fe.pivots_of(x.toDF("_rep", "_vec"), 16) for x in (library, new)]), even=True)
+        held = fe.songs_in_cells(library, index)
+        cells = fe.stored_cells(index, fe.balls(held), lambda wanted: held.filter(F.col("_cell").isin(wanted)).drop("_far"))
+        _, there, own = fe.new_in_cells(fe.songs_in_cells(new, index), cells, 3)
+        sizes = there.groupBy("_cell").count()
+        met[n] = own.select(F.explode("visits").alias("_cell")).join(sizes, "_cell").agg(F.sum("count")).first()[0]
+        assert there.filter(F.col("_rep") < n).count() < n / 4  # cells that no new song may reach are not read
+    assert met[4000] < 8**1.75 * met[500] and met[4000] < 4000**2 / 10
+
+
+def test_library_rows_that_come_twice_are_neighbours_twice_in_any_cells(spark):
+    schema = "song_id bigint, features array<double>"
+    library = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(60)] * 2 + [(7, [7.4, 0.0]), (None, [9.0, 0.0])], schema)
+    new = spark.createDataFrame([(100, [7.3, 0.0]), (101, [20.0, 0.0]), (102, [20.0, 0.0])], schema)
+    for rows in (8, 4096):
+        got = fe.knn_of_new(new, fe.cells_of(library, cell_rows=rows), 3).collect()
+        assert sorted((r["song_id"], r["rank"], r["neighbor_id"]) for r in got) == [
+            (100, 1, 7), (100, 2, 7), (100, 3, 7), (101, 1, 20), (101, 2, 20), (101, 3, 102), (102, 1, 20), (102, 2, 20), (102, 3, 101)]
+
+
 def test_failures_over_batches(spark):
     rows = [("bulk", "x" * 600, "v", "saved", "duplicate", None), ("bulk", "x" * 600, "v", "error", "write_error: disk", "raw"), ("bulk", "l", None, None, None, None)]
     out, checkpoint = paths(spark, "failures")

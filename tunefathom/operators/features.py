@@ -116,8 +116,10 @@ class CellIndex:
     top_of: np.ndarray
 
     @classmethod
-    def of(cls, pivots: np.ndarray) -> CellIndex:
-        tops = pivots[:max(1, int(np.ceil(np.sqrt(len(pivots)))))]
+    def of(cls, pivots: np.ndarray, even: bool = False) -> CellIndex:
+        """Top pivots: the first ones, or from all along (``even``), where later pivots lie elsewhere than the first."""
+        wanted = max(1, int(np.ceil(np.sqrt(len(pivots)))))
+        tops = pivots[np.linspace(0, len(pivots) - 1, wanted).astype(int)] if even else pivots[:wanted]
         return cls(pivots, tops, np.concatenate([_distances(pivots[i:i + 4096], tops).argmin(1) for i in range(0, len(pivots), 4096)]))
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +186,7 @@ def _blocked(rows: DataFrame, groups: list[list[int]]) -> DataFrame:
     return rows.join(held_by, "_cell").select("_rep", "_vec", "_cell", block.alias("_block"), F.get("_groups", block).alias("_group"))
 
 
-def _with_visits(looked: DataFrame, index: CellIndex, radius: np.ndarray, blocks: np.ndarray, groups: list[list[int]], k: int) -> DataFrame:
+def _with_visits(looked: DataFrame, index: CellIndex, radius: np.ndarray, blocks: np.ndarray, groups: list[list[int]], k: int, sizes: np.ndarray | None = None) -> DataFrame:
     """Own blocks' answers with ``visits``, the cells that may hold closer vectors, and ``groups``, where these lie."""
     low, high = np.array([g[0] for g in groups]), np.array([g[-1] for g in groups])
 
@@ -192,7 +194,8 @@ def _with_visits(looked: DataFrame, index: CellIndex, radius: np.ndarray, blocks
         for batch in batches:
             if not len(batch):
                 continue
-            row, cell = index.reachable(_stacked(batch["_vec"]), _reach(batch["far"], k), radius)
+            points = _stacked(batch["_vec"])
+            row, cell = index.reachable(points, _reach(points, batch["far"], k, index, radius, sizes), radius)
             own = batch["_cell"].to_numpy()
             keep = (cell != own[row]) | (blocks[cell] > 1)
             row, cell = row[keep], cell[keep]
@@ -207,8 +210,18 @@ def _with_visits(looked: DataFrame, index: CellIndex, radius: np.ndarray, blocks
     return looked.mapInPandas(visit, ", ".join(f"{c} {kind}" for c, kind in looked.dtypes) + ", visits array<int>, groups array<int>")
 
 
-def _reach(far: pd.Series, k: int) -> np.ndarray:
-    return np.array([f[k] if len(f) > k else np.inf for f in far])
+def _reach(points: np.ndarray, far: pd.Series, k: int, index: CellIndex, radius: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The distance within which a point has k+1 vectors, as far as its own block says.
+
+    Where that has fewer, a ball around any cell of more than ``k`` vectors tells (``sizes``, if known).
+    """
+    reach = np.array([f[k] if len(f) > k else np.inf for f in far])
+    open_, full = np.flatnonzero(np.isinf(reach)), np.flatnonzero(sizes > k) if sizes is not None else []
+    if len(full):
+        for i in range(0, len(open_), 256):
+            part = open_[i:i + 256]
+            reach[part] = (_distances(points[part], index.pivots[full]) + radius[full]).min(axis=1)
+    return reach
 
 
 def _visit_groups(index: CellIndex, sizes: np.ndarray, blocks: np.ndarray, row_bytes: int = 0) -> list[list[int]]:
@@ -348,19 +361,32 @@ def _of_songs(rows: DataFrame, vectors: DataFrame, answers: DataFrame, k: int, s
 class Cells:
     """Stored songs in cells around the pivots of ``index``.
 
-    ``radius``: the farthest song of every cell (-1 where it has none). ``read``: the songs (_rep, _vec, _cell) of some cells.
+    ``radius``: the farthest song of every cell (-1 where it has none). ``sizes``: its songs. ``read``: the songs (_rep, _vec,
+    _cell) of some cells.
     """
     index: CellIndex
     radius: np.ndarray
+    sizes: np.ndarray
     read: Callable[[list[int]], DataFrame]
 
 
-def radii(rows: DataFrame, before: np.ndarray) -> np.ndarray:
-    """The radius of every cell with these rows (_cell, _far) besides."""
-    out = before.copy()
-    for row in rows.groupBy("_cell").agg(F.max("_far").alias("r")).collect():  # a row per cell, as pivots are
-        out[row["_cell"]] = max(out[row["_cell"]], row["r"])
-    return out
+def balls(placed: DataFrame) -> DataFrame:
+    """The radius and size of the cells of songs (_cell, _far): _cell, _far, _n."""
+    return placed.groupBy("_cell").agg(F.max("_far").alias("_far"), F.count("*").alias("_n"))
+
+
+def with_balls(rows: DataFrame, radius: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The radius and size of every cell with those of some cells (_cell, _far, _n) besides."""
+    radius, sizes = radius.copy(), sizes.copy()
+    for row in rows.collect():  # a row per cell, as pivots are, and for each run
+        radius[row["_cell"]], sizes[row["_cell"]] = max(radius[row["_cell"]], row["_far"]), sizes[row["_cell"]] + row["_n"]
+    return radius, sizes
+
+
+def stored_cells(index: CellIndex, rows: DataFrame, read: Callable[[list[int]], DataFrame]) -> Cells:
+    """Cells by the radius and size of those that hold songs (_cell, _far, _n)."""
+    none = len(index.pivots)
+    return Cells(index, *with_balls(rows, np.full(none, -1.0), np.zeros(none, dtype=np.int64)), read)
 
 
 def songs_in_cells(songs: DataFrame, index: CellIndex, song: str = "song_id", vector: str = "features") -> DataFrame:
@@ -373,7 +399,7 @@ def cells_of(library: DataFrame, song: str = "song_id", vector: str = "features"
     """A library put in cells."""
     index = CellIndex.of(pivots_of(library.select(F.col(song).alias("_rep"), F.col(vector).alias("_vec")), cell_rows or CELL_ROWS))
     held = settled(songs_in_cells(library, index, song, vector), "library-cells")
-    return Cells(index, radii(held, np.full(len(index.pivots), -1.0)), lambda cells: held.filter(F.col("_cell").isin(cells)).drop("_far"))
+    return stored_cells(index, balls(held), lambda cells: held.filter(F.col("_cell").isin(cells)).drop("_far"))
 
 
 def new_in_cells(mine: DataFrame, library: Cells, k: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -387,12 +413,12 @@ def new_in_cells(mine: DataFrame, library: Cells, k: int, block_rows: int = BLOC
     own = sorted(r["_cell"] for r in asked.select("_cell").distinct().collect())
     if not own:
         return None
-    radius, sizes = radii(mine, library.radius), np.zeros(len(index.pivots), dtype=np.int64)
+    (radius, songs), sizes = with_balls(balls(mine), library.radius, library.sizes), np.zeros(len(index.pivots), dtype=np.int64)
     id_type, room = dict(mine.dtypes)["_rep"], max(1, min(block_rows, block_bytes // (8 * width)))
 
     def first_of_vectors(cells: list[int]) -> DataFrame:
-        songs = library.read(cells).unionByName(mine.filter(F.col("_cell").isin(cells)).drop("_far"))
-        first = settled(top_n(songs, ["_cell", "_vec"], ["_rep"], k + 1, "_copy").drop("_copy"), "near-cells")
+        rows = library.read(cells).unionByName(mine.filter(F.col("_cell").isin(cells)).drop("_far"))
+        first = settled(top_n(rows, ["_cell", "_vec"], ["_rep"], k + 1, "_copy").drop("_copy"), "near-cells")
         for row in first.groupBy("_cell").count().collect():
             sizes[row["_cell"]] = row["count"]
         return first
@@ -409,7 +435,9 @@ def new_in_cells(mine: DataFrame, library: Cells, k: int, block_rows: int = BLOC
     def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"_cell": np.unique(index.reachable(_stacked(batch["_vec"]), _reach(batch["far"], k), radius)[1]).astype("int32")})
+                points = _stacked(batch["_vec"])
+                cells = index.reachable(points, _reach(points, batch["far"], k, index, radius, songs), radius)[1]
+                yield pd.DataFrame({"_cell": np.unique(cells).astype("int32")})
 
     held = first_of_vectors(own)
     blocks = np.maximum(-(-sizes // room), 1)
@@ -422,7 +450,7 @@ def new_in_cells(mine: DataFrame, library: Cells, k: int, block_rows: int = BLOC
         held = held.unionByName(first_of_vectors(more))
     blocks = np.maximum(-(-sizes // room), 1)  # those of the new songs' own cells stay
     groups = _visit_groups(index, sizes, blocks, ROW_BYTES)
-    return asked, _blocked(held, groups), _with_visits(looked, index, radius, blocks, groups, k)
+    return asked, _blocked(held, groups), _with_visits(looked, index, radius, blocks, groups, k, songs)
 
 
 def knn_of_new(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tunefathom.operators.features import CELL_ROWS, CellIndex, Cells, apply_map, knn_of_new, pivots_of, radii, songs_in_cells, standardise
+from tunefathom.operators.features import CELL_ROWS, PIVOT_BYTES, CellIndex, apply_map, balls, knn_of_new, pivots_of, songs_in_cells, standardise, stored_cells
 from tunefathom.operators.playlists import upsert_links
 from tunefathom.plans.shapes import Chunker, even_chunks, previous_value, top_n
 from tunefathom.sources.library import failure_rows
@@ -24,8 +24,8 @@ from tunefathom.session import settled
 from tunefathom.streaming.runs import add_run, live_runs
 
 AVAILABLE_NOW = {"availableNow": True}
-#: Parts that the ids of added songs lie in; the stored runs depend on it.
-ID_PARTS = 32
+#: Parts that the ids and the cells of added songs lie in; the stored runs depend on it.
+PARTS = 32
 
 
 def _batch_path(path: str, batch_id: int) -> str:
@@ -102,36 +102,46 @@ def stream_add_songs(
     ``library``: song_id, features (standardised by the same statistics). Of a song that comes several times the first
     batch counts, and in it the row whose columns sort first; songs of the library are left out. What the stream has seen
     lies in runs beside the map: ids by parts of their hash (``<map_path>-ids``), of which a batch reads those that its own
-    ids fall into, and vectors in cells around pivots of the library (``<map_path>-cells``, radii in ``<map_path>-radii``): a
-    batch is compared with the cells its songs fall into, and then only with those whose ball comes within the reach found there.
+    ids fall into, and vectors in cells around pivots (``<map_path>-cells``, ``-pivots``, ``-balls``): a batch is compared with the
+    cells its songs fall into, and then only with those whose ball comes within the reach found there. Pivots are songs of the
+    library and one of ``cell_rows`` arrivals, by the hash of its id, so that arrivals unlike the library get cells of their own.
     """
     spark = library.sparkSession
-    ids, store, balls = (f"{map_path}-{name}" for name in ("ids", "cells", "radii"))
+    ids, store, centres, extents = (f"{map_path}-{name}" for name in ("ids", "cells", "pivots", "balls"))
     id_type, new_type = dict(library.dtypes)[song], dict(new.dtypes)[song]
     statistics = settled(statistics, "statistics")  # a row: no batch reads the library for it
-    index = CellIndex.of(pivots_of(library.select(F.col(song).alias("_rep"), F.col("features").alias("_vec")), cell_rows))
-    part = F.pmod(F.xxhash64(song), F.lit(ID_PARTS)).cast("int").alias("_part")
-    tops = F.broadcast(spark.createDataFrame(pd.DataFrame({"_cell": range(len(index.top_of)), "_top": index.top_of}), "_cell int, _top int"))
-
+    part = F.pmod(F.xxhash64(song), F.lit(PARTS)).cast("int").alias("_part")
     def live(path: str, schema: str, batch_id: int) -> DataFrame:
         return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(run) for run in live_runs(spark, path, batch_id)])
 
-    def keep(batch_id: int, placed: DataFrame) -> None:
-        add_run(spark, store, batch_id, placed.drop("_far").join(tops, "_cell").select("_rep", "_vec", "_cell", "_top"), None, by="_top", order=["_cell", "_rep"])
-        add_run(spark, balls, batch_id, _widest(placed), _widest)
+    def keep(batch_id: int, placed: DataFrame, pivots: np.ndarray, known: int) -> None:
+        cell = F.pmod("_cell", F.lit(PARTS)).alias("_part")
+        add_run(spark, store, batch_id, placed.select("_rep", "_vec", "_cell", cell), None, by="_part", order=["_cell", "_rep"])
+        add_run(spark, extents, batch_id, balls(placed), lambda rows: rows.groupBy("_cell").agg(F.max("_far").alias("_far"), F.sum("_n").alias("_n")))
+        rows = pd.DataFrame({"_cell": range(known, known + len(pivots)), "_vec": list(pivots)})
+        add_run(spark, centres, batch_id, spark.createDataFrame(rows, "_cell int, _vec array<double>"), None)
 
     def keep_ids(batch_id: int, songs: DataFrame) -> None:
         add_run(spark, ids, batch_id, songs.select(song, part), None, by="_part", order=[song])
 
-    if not (live_runs(spark, store) and live_runs(spark, balls)):
-        keep(-1, settled(songs_in_cells(library, index, song), "library-cells"))
+    if not all(live_runs(spark, path) for path in (store, extents, centres)):
+        first = pivots_of(library.select(F.col(song).alias("_rep"), F.col("features").alias("_vec")), cell_rows)
+        keep(-1, settled(songs_in_cells(library, CellIndex.of(first), song), "library-cells"), first, 0)
     if not live_runs(spark, ids):
         keep_ids(-1, library.filter(F.col(song).isNotNull()).select(F.col(song).cast(new_type)))
 
     def in_cells(batch_id: int, cells: list[int]) -> DataFrame:
-        above = sorted({int(t) for t in index.top_of[cells]})
-        rows = live(store, f"_rep {id_type}, _vec array<double>, _cell int, _top int", batch_id)
-        return rows.filter(F.col("_top").isin(above) & F.col("_cell").isin(cells)).drop("_top")
+        rows = live(store, f"_rep {id_type}, _vec array<double>, _cell int, _part int", batch_id)
+        return rows.filter(F.col("_part").isin(sorted({c % PARTS for c in cells})) & F.col("_cell").isin(cells)).drop("_part")
+
+    def pivots_before(batch_id: int) -> np.ndarray:
+        rows = live(centres, "_cell int, _vec array<double>", batch_id).collect()  # PIVOT_BYTES at most
+        return np.array([r["_vec"] for r in sorted(rows, key=lambda r: r["_cell"])], dtype=float)
+
+    def pivots_among(vectors: DataFrame, known: np.ndarray) -> np.ndarray:
+        rate, room = max(cell_rows, int(np.sqrt(vectors.count()))), max(0, PIVOT_BYTES // (8 * known.shape[1]) - len(known))
+        drawn = vectors.filter(F.pmod(F.xxhash64(song), F.lit(rate)) == 0).orderBy(F.xxhash64(song), song).limit(room).select("features").collect()
+        return np.array([r["features"] for r in drawn], dtype=float).reshape(-1, known.shape[1])
 
     def unseen(batch: DataFrame, batch_id: int) -> DataFrame:
         order = [F.col(c).asc_nulls_last() for c in batch.columns if c != song]
@@ -143,20 +153,19 @@ def stream_add_songs(
     def add(batch: DataFrame, batch_id: int) -> None:
         vectors = settled(standardise(unseen(batch, batch_id), keys, statistics, song=song), "arrival-vectors")
         vectors.join(apply_map(vectors, model, song), song).write.mode("overwrite").parquet(_batch_path(map_path, batch_id))
+        known = pivots_before(batch_id)
+        drawn = pivots_among(vectors, known)
+        index = CellIndex.of(np.concatenate([known, drawn]), even=True)
         here = settled(songs_in_cells(vectors.withColumn(song, F.col(song).cast(id_type)), index, song), "arrival-cells")
-        cells = Cells(index, radii(live(balls, "_cell int, _far double", batch_id), np.full(len(index.pivots), -1.0)), lambda wanted: in_cells(batch_id, wanted))
+        cells = stored_cells(index, live(extents, "_cell int, _far double, _n bigint", batch_id), lambda wanted: in_cells(batch_id, wanted))
         near = knn_of_new(here.select(F.col("_rep").alias(song), F.col("_vec").alias("features")), cells, k, song)
         near.write.mode("overwrite").parquet(_batch_path(edge_path, batch_id))
-        keep(batch_id, here)
+        keep(batch_id, here, drawn, len(known))
         keep_ids(batch_id, vectors)
 
     return _start(new, add, checkpoint, trigger)
 
 
-def _widest(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("_cell").agg(F.max("_far").alias("_far"))
-
-
 STAGE_VIEW = "job_id bigint, stage string, stage_since timestamp, last_update timestamp"
 FINISHED = "finished"
 #: How long, in event time, a finished job is remembered, so that updates that come late do not bring it back.
